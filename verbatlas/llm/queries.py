@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import byte_bpe, secret_scan
+from verbatlas.llm import byte_bpe, chat_tree, secret_scan
 from verbatlas.llm.common import tokenizer_file
 
 
@@ -16,12 +16,34 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_tree.with_test_turns(_table(spark, sf_dir, "conversations"))
+    return chat_tree.digest(chat_tree.chain(rows))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op10_byte_bpe)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op9_chat_tree, op10_byte_bpe)}
+
+ORACLES: dict[str, str] = {
+    "op9_chat_tree": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+  SELECT *, replace(replace(replace(role, '\', '\\'), '#', '\#'), '</', '<\/') AS safe_role,
+    replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/') AS safe_text FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || safe_role || '</role>' || safe_text || '</turn>'))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+""",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import byte_bpe, chat_tree, secret_scan
+from verbatlas.llm import byte_bpe, chat_tree, quality_qda, secret_scan
 from verbatlas.llm.common import tokenizer_file
 
 
@@ -16,6 +16,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_tree.with_test_turns(_table(spark, sf_dir, "conversations"))
     return chat_tree.digest(chat_tree.chain(rows))
@@ -27,7 +31,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op9_chat_tree, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op8_quality_qda, op9_chat_tree, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op9_chat_tree": r"""

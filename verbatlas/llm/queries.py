@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import byte_bpe, chat_tree, quality_qda, secret_scan
+from verbatlas.llm import byte_bpe, chat_tree, line_dedup, quality_qda, secret_scan
 from verbatlas.llm.common import tokenizer_file
 
 
@@ -16,6 +16,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -31,9 +35,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op8_quality_qda, op9_chat_tree, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_line_dedup, op8_quality_qda, op9_chat_tree, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL
+), windows AS (
+  SELECT doc_id, pos, line, lead(line) OVER w AS line2, lead(line, 2) OVER w AS line3 FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), placed AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, pos) AS nth FROM windows WHERE line3 IS NOT NULL
+), covered AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM placed, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1
+), marked AS (
+  SELECT l.doc_id, l.pos, l.line, c.pos IS NOT NULL AS gone FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.pos = c.pos
+), done AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
+""",
     "op9_chat_tree": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import byte_bpe, chat_tree, line_dedup, quality_qda, secret_scan
+from verbatlas.llm import byte_bpe, chat_tree, line_dedup, ngram_jaccard, quality_qda, secret_scan
 from verbatlas.llm.common import tokenizer_file
 
 
@@ -20,6 +20,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -35,7 +39,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_line_dedup, op8_quality_qda, op9_chat_tree, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_line_dedup, op6_ngram_jaccard, op8_quality_qda, op9_chat_tree, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": """
@@ -56,6 +60,24 @@ WITH lines AS (
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
+""",
+    "op6_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (
+  SELECT x, x FROM edges UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON reach.r = edges.x
+), least AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON least.doc_id = d.doc_id
 """,
     "op9_chat_tree": r"""
 WITH rows AS (

@@ -3,9 +3,14 @@
 For a byte-level BPE vocabulary every prefix of a piece has exactly one valid
 last token.  ``PrefixCoder.table`` stores that token for every prefix: the
 encoding is read by walking back from the end, a longer text needs only the new
-entries, and an edit needs only the entries behind it.  Whether two tokens may
-stand side by side is decided by the merge rule itself (their joined bytes must
-merge back to exactly these two) and remembered.
+entries, and an edit needs only the entries behind it.  The candidates that end at
+a byte come from an automaton over the vocabulary.  Whether two tokens may stand
+side by side is decided by replaying the merges along the border: the parts of the
+left token that end there and those of the right token that begin there grow in
+rank order, and a merge across the border must not come first.  That replay is
+exact for vocabularies in which every part has a lower rank than what it becomes
+(``regular``, which is tested for each vocabulary); for others the joined bytes
+are merged by the rule itself.
 
 The ids equal those of the public rank-file encoders: a piece that is itself in
 the vocabulary is one id, any other piece is merged lowest rank first, and every
@@ -22,15 +27,19 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most pieces, and most token pairs, that a worker remembers between batches.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,56 +54,103 @@ class PrefixCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
         self.split = regex.compile(pattern)
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
-        self._beside: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
-
-    def _merge(self, data: bytes) -> list[int]:
-        """The merge rule on a few bytes: join the leftmost pair of lowest rank until none is left."""
+        self._beside: dict[int, bool] = {}
+        self._sizes = {rank: len(token) for token, rank in ranks.items()}
+        self._heads: dict[int, tuple] = {}
+        self._tails: dict[int, tuple] = {}
+        self._parts: dict[int, tuple[int, int] | None] = {}
+        self.regular, self._stands = True, set()
+        self._tokens: pa.Array | None = None
+        self._ends = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            whole, parts = self._last_merge(token)
+            if not whole:
+                continue
+            self._stands.add(rank)
+            self._parts[rank] = parts
+            self.regular &= parts is None or max(parts) < rank
+            self._ends.add_word(token.decode("latin-1"), (len(token), rank))
+        self._ends.make_automaton()
+
+    def _last_merge(self, token: bytes) -> tuple[bool, tuple[int, int] | None]:
+        """Does the merge rule make this token from its bytes, and from which two parts in the end?"""
+        parts = self._merge(token, 2)
+        if len(parts) == 1:
+            return True, None
+        return len(parts) == 2, (parts[0], parts[1])
+
+    def _merge(self, data: bytes, stop: int = 1) -> list[int]:
+        """The merge rule on a few bytes: join the leftmost pair of lowest rank until none or ``stop`` parts are left."""
+        get = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        while len(parts) > stop:
+            rank, at = min([(get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)])
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _stands(self, token: int) -> bool:
-        if (known := self._whole.get(token)) is None:
-            known = self._whole[token] = self._merge(self.bytes_of[token]) == [token]
+    def _grown(self, token: int, side: int, kept: dict[int, tuple]) -> tuple:
+        """The token and its parts at one side (0 its beginning, 1 its end), smallest first, as (bytes, rank of the next larger)."""
+        if (known := kept.get(token)) is None:
+            chain = [token]
+            while (parts := self._parts[chain[-1]]) is not None:
+                chain.append(parts[side])
+            nexts = [*chain[-2::-1], 1 << 60]
+            known = kept[token] = tuple((self.bytes_of[t], n) for t, n in zip(chain[::-1], nexts, strict=True))
         return known
 
     def _may_follow(self, left: int, right: int) -> bool:
-        if (known := self._beside.get((left, right))) is None:
-            if len(self._beside) >= REMEMBERED:
-                self._beside.clear()
-            known = self._beside[left, right] = self._merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return known
+        if not self.regular:
+            return self._merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        ends, begins, get = self._grown(left, 1, self._tails), self._grown(right, 0, self._heads), self.ranks.get
+        i = j = 0
+        while True:
+            (a, grows_a), (b, grows_b) = ends[i], begins[j]
+            across = get(a + b, 1 << 60)
+            # of merges of one rank the leftmost comes first
+            if across < grows_a and across <= grows_b and across != 1 << 60:
+                return False
+            if grows_a == grows_b == 1 << 60:
+                return True
+            if grows_a <= grows_b:
+                i += 1
+            else:
+                j += 1
 
     def table(self, data: bytes, known: list[int] | None = None) -> list[int]:
         """The valid last token of every prefix of ``data``; ``known`` holds the first entries if they are there."""
         last = list(known or [])
-        ranks, longest = self.ranks, self.longest
-        for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and (self._may_follow(last[start - 1], token) if start else self._stands(token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token of the vocabulary ends at byte {end}; a byte is missing from it")
+        done, beside = len(last), self._beside
+        for at, (size, token) in self._ends.iter(data.decode("latin-1")):  # ends in order
+            if at < done:
+                continue
+            if size <= at:
+                if at - size >= done:
+                    break  # a prefix without a valid token: found below
+                pair = last[at - size] << 32 | token
+                if (ok := beside.get(pair)) is None:
+                    if len(beside) >= REMEMBERED:
+                        beside.clear()
+                    ok = beside[pair] = self._may_follow(last[at - size], token)
+                if not ok:
+                    continue
+            last.append(token)
+            done += 1
+        if done < len(data):
+            raise ValueError(f"no token of the vocabulary ends at byte {done + 1}; a byte is missing from it")
         return last
 
     def walk(self, data: bytes, last: list[int]) -> tuple[int, ...]:
         """The encoding of ``data``, read backwards from its prefix table."""
-        ids, end = [], len(data)
+        ids, end, sizes = [], len(data), self._sizes
         while end:
-            ids.append(last[end - 1])
-            end -= len(self.bytes_of[last[end - 1]])
-        return tuple(reversed(ids))
+            ids.append(token := last[end - 1])
+            end -= sizes[token]
+        return tuple(ids[::-1])
 
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one match of the pattern, remembered in two generations of bounded size."""
@@ -112,16 +168,25 @@ class PrefixCoder:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, piece, add = self._pieces, self.piece, ids.extend
-        for p in self.split.findall(text):
-            add(known.get(p) or piece(p))
-            known = self._pieces
-        return ids
+        known, piece = self._pieces.get, self.piece
+        return list(chain.from_iterable([known(p) or piece(p) for p in self.split.findall(text)]))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of every list of ids: one gather of token bytes, whose buffer is then cut at the lists' borders."""
+        if self._tokens is None:
+            self._tokens = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of, default=-1) + 1)], pa.large_binary())
+        starts = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.list_value_length(ids), 0)))])
+        taken = self._tokens.take(ids.flatten())
+        if taken.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        borders = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        cuts = borders[starts] if len(taken) else np.zeros(len(starts), np.int64)
+        data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.tobytes()), data]).cast(pa.binary())
+
 
 class LiveText:
     """A text with its prefix tables, for appends and edits that re-encode only what they touch.
@@ -231,8 +296,9 @@ def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared, pattern)
         for batch in batches:
-            out = [coder.decode(ids.values.to_pylist() if ids.is_valid else ()) for ids in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
+            ids = batch.column(at)
+            out = coder.decode_lists(ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
 
     return coded.mapInArrow(run, schema)
 

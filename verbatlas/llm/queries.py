@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import byte_bpe, chat_tree, line_dedup, ngram_jaccard, quality_qda, secret_scan
+from verbatlas.llm import byte_bpe, chat_tree, embed_neardup, line_dedup, ngram_jaccard, quality_qda, secret_scan
 from verbatlas.llm.common import tokenizer_file
 
 
@@ -12,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embed_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_neardup.link(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
@@ -39,9 +43,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_line_dedup, op6_ngram_jaccard, op8_quality_qda, op9_chat_tree, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_embed_neardup, op2_secret_scan, op3_line_dedup, op6_ngram_jaccard, op8_quality_qda, op9_chat_tree, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
+    "op1_embed_neardup": """
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), norms AS (
+  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM vecs WHERE v IS NOT NULL AND len(v) > 0 AND NOT list_contains(list_transform(v, lambda x: x IS NULL OR NOT isfinite(x)), true)
+), edges AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM norms a JOIN norms b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
+  WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+), reach(vec_id, r) AS (
+  SELECT x, x FROM edges UNION SELECT reach.vec_id, edges.y FROM reach JOIN edges ON reach.r = edges.x
+), least AS (SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id), counts AS (SELECT x, count(*) AS n FROM edges GROUP BY x)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts ON x = e.vec_id LEFT JOIN least ON least.vec_id = e.vec_id
+""",
     "op3_line_dedup": """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos

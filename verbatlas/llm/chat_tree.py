@@ -57,24 +57,20 @@ def _turns(messages: DataFrame) -> DataFrame:
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(c, leaf, branch, place, role, text): the turns of the ``branches`` best root-to-leaf paths of each root."""
     turns = settle(_turns(messages))
+    n = turns.count()
     # jump[k]: each message's ancestor 2**k replies up with the score of the messages passed on the way
     jumps = [turns.select("c", "id", F.col("up").alias("to"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"))]
     while True:
         at = jumps[-1]
-        up = at.filter("to IS NOT NULL").select("c", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        if len(jumps) > 40 or not up.join(at.filter("to IS NOT NULL").select("c", F.col("to")), ["c", "to"], "left_semi").head(1):
+        going = at.filter("to IS NOT NULL")
+        if 1 << len(jumps) > 2 * n or not going.head(1):  # chains longer than the table are cycles
             break
-        # a message whose ancestor is a root keeps its row with to = null
-        ends = at.filter("to IS NULL").select("c", F.col("id").alias("to"), F.lit(None).cast("long").alias("to2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        new = settle(
-            at.join(up.unionByName(ends), ["c", "to"], "left").select(
-                "c", "id", F.col("to2").alias("to"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")
-            )
-        )
+        # only messages whose branch goes on are joined again
+        up = at.select("c", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
+        further = going.join(up, ["c", "to"]).select("c", "id", F.col("to2").alias("to"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        new = settle(further.unionByName(at.filter("to IS NULL")))
         jumps.append(new)
-    totals = jumps[-1]
-    totals = totals.join(totals.filter("to IS NULL").select("c", F.col("id").alias("to"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2")), ["c", "to"], "left")
-    totals = totals.filter("to IS NULL OR steps2 IS NOT NULL").select("c", "id", (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
+    totals = jumps.pop().filter("to IS NULL").select("c", "id", "sum", "steps")
     parents = turns.filter("up IS NOT NULL").select("c", F.col("up").alias("id"))
     leaves = totals.join(parents, ["c", "id"], "left_anti")
     best = Window.partitionBy("c").orderBy(F.desc("sum"), "steps", "id")

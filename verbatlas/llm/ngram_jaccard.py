@@ -42,6 +42,9 @@ from verbatlas.llm.common import NULL_ID, id_key, settle
 from verbatlas.llm.components import components
 from verbatlas.llm.shingles import mix, shingle_set
 
+#: Most ids (8 bytes each) that are broadcast to pick the texts of candidate pairs; beyond it the pick is a shuffled join.
+SENT_IDS = 1_000_000
+
 #: Members of a group that one task compares with as many others at a time.
 TILE = 1024
 
@@ -141,8 +144,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of ids whose texts' sets reach the similarity, by a count over both whole texts."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(id_key().alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    ids = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    # few ids spare the shuffle of all texts; more go through it
+    few = ids.count() <= SENT_IDS
+    texts = docs.select(id_key().alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
     texts = settle(texts)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
 
@@ -162,6 +167,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _bounded(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose set sizes and bit sketches allow a link."""
+    side = lambda c: info.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.join(side("a"), "a").filter("n_a > 0").join(side("b"), "b").filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for total, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                x, y = (np.frombuffer(z.as_py(), np.uint8) for z in (x, y))
+                width = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
+                keep.append((den + num) * apart <= (den - num) * total)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _close(groups: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of a tile pair's members, of different components, whose sizes and sketches allow a link.
 
@@ -205,7 +228,8 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Data
     to_rep = lambda df, column: df.join(reps.select(F.col("id").alias(column), F.col("rep").alias(f"{column}_rep")), column).drop(column).withColumnRenamed(f"{column}_rep", column)
     first = to_rep(to_rep(stars.select("lo", "id").distinct(), "lo"), "id").filter("lo <> id")
     first = settle(first.select(F.least("lo", "id").alias("a"), F.greatest("lo", "id").alias("b")).distinct())
-    linked = settle(_verified(first, docs, words, num, den))
+    info = rows.filter("n > 0").join(reps.filter("id = rep").select("id"), "id", "left_semi").groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("i")).select("id", "i.n", "i.sketch")
+    linked = settle(_verified(settle(_bounded(first, info, num, den)), docs, words, num, den))
     found = settle(components(linked))
     # groups of three or more that still hold several components
     large = stars.groupBy("key").count().filter("count > 1").select("key")
@@ -213,7 +237,6 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Data
     members = to_rep(members, "id").distinct().join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = members.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("c1 < c2 AND size > 2")
     one = split.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size")  # equal groups once
-    info = rows.filter("n > 0").groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("i")).select("id", "i.n", "i.sketch")
     left = settle(members.join(one, "key"))
     numbered = left.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / TILE)).withColumn("tiles", F.floor((F.col("size") - 1) / TILE) + 1)
     tile = numbered.join(info, "id").select("key", "tile", "tiles", F.struct("id", "component", "n", "sketch").alias("m"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import bm25_decontam, byte_bpe, chat_tree, embed_neardup, line_dedup, ngram_jaccard, quality_qda, secret_scan, token_pack
+from verbatlas.llm import bm25_decontam, byte_bpe, chat_tree, embed_neardup, line_dedup, ngram_jaccard, quality_qda, secret_scan, suffix_dedup, token_pack
 from verbatlas.llm.common import tokenizer_file
 
 
@@ -38,6 +38,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.link(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_embed_neardup, op2_secret_scan, op3_line_dedup, op4_bm25_decontam, op5_token_pack, op6_ngram_jaccard, op8_quality_qda, op9_chat_tree, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_embed_neardup, op2_secret_scan, op3_line_dedup, op4_bm25_decontam, op5_token_pack, op6_ngram_jaccard, op7_suffix_dedup, op8_quality_qda, op9_chat_tree, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op1_embed_neardup": """

@@ -253,3 +253,14 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Data
     out = rows.select("id", "n").join(nodes.select(F.col("node").alias("id"), "component"), "id", "left")
     real = lambda c: F.when(c != NULL_ID, c)
     return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group of linked documents; all columns stay."""
+    found = settle(link(docs, words, num, den).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.coalesce("component_id", F.lit(NULL_ID)).alias("_group")))
+    gone = settle(found.filter("_id <> _group").select("_id").distinct())
+    few = gone.count() <= SENT_IDS
+    kept = docs.withColumn("_id", id_key()).join(F.broadcast(gone) if few else gone, "_id", "left_anti")
+    if found.groupBy("_id").count().filter("count > 1").head(1):  # rows that repeat an id
+        kept = kept.dropDuplicates(["_id"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -175,11 +175,16 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 1e-3) -> Discri
     return Discriminant(center, scale, means, factors, offsets, share)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted; labels are learnt from rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Discriminant, DataFrame]:
+    """The discriminant learnt from labels that are not held out, and the settled statistics of all documents."""
     stats = settle(with_statistics(docs))
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
-    model = fit(stats.join(known.filter(~held_out(F.col("doc_id"))), "doc_id"))
+    return fit(stats.join(known.filter(~held_out(F.col("doc_id"))), "doc_id")), stats
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted; labels are learnt from rows that are not held out."""
+    model, stats = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,3 +193,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
     scored = stats.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns; texts are not shuffled."""
+    model, _ = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(batch.num_rows, len(STATISTICS))
+            yield batch.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -29,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import NULL_ID, id_key, release, settle
+from verbatlas.llm.common import NULL_ID, id_key, release, settle, trim
 from verbatlas.llm.shingles import mix
 
 #: Bytes of the threshold, of an anchor, and anchors' neighbours: SIZE = GRAM + SPAN - 1.
 SIZE, GRAM, SPAN = 50, 32, 19
 #: Most ids that are broadcast to leave out rows; beyond it the choice is a shuffled join.
 SENT_IDS = 1_000_000
-#: About as many bytes of ranks go to one block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text for one bucket of ranks and for one bucket of strings, and of text that a task works on at a time.
+RANK_BYTES, STRING_BYTES, PIECE_BYTES = 8 << 20, 2 << 20, 12 << 20
 
 _FIRST = mix(np.arange(1, 257, dtype=np.uint64))
 _OTHER = mix(np.arange(1001, 1257, dtype=np.uint64))
@@ -82,19 +83,43 @@ def _blocks(buckets: int, key: np.ndarray, columns: list[np.ndarray]) -> Iterato
         yield int(b), [c[ends[b] : ends[b + 1]].tobytes() for c in columns]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about PIECE_BYTES of text."""
+    for batch in batches:
+        sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        part = np.cumsum(sizes) // PIECE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def _numbered(doc: bytes, ids: np.ndarray) -> tuple[bytes, bytes]:
+    """A block's documents as numbers in a table of its own ids."""
+    used, number = np.unique(np.frombuffer(doc, np.uint32), return_inverse=True)
+    return number.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes(), ids[used].tobytes()
+
+
 def _ranked(texts: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of the anchors' ranks: bucket, ranks, docs (number in ids), ids; each document's rank once."""
+    """Blocks of the anchors' ranks: bucket, ranks, docs (number in ids), ids; each document's rank once.
+
+    A rank is cut to the bits of its bucket and 32 more.  The buckets grow with the text, so
+    about one rank in ten thousand or less is taken for repeated by chance, which costs work only."""
+    low = np.uint64(32 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 2):
             ids = np.array(batch.column(0))
-            ranks = [np.unique(anchors(np.frombuffer((t.as_py() or "").encode(), np.uint8))[1]) for t in batch.column(2)]
+            ranks = [np.unique(anchors(np.frombuffer((t.as_py() or "").encode(), np.uint8))[1] >> low) for t in batch.column(2)]
             if not sum(map(len, ranks)):
                 continue
-            doc = np.repeat(np.arange(len(ranks), dtype=np.uint16 if len(ranks) <= 1 << 16 else np.uint32), [len(r) for r in ranks])
-            rows = list(_blocks(buckets, (every := np.concatenate(ranks)), [every, doc]))
-            arrays = [pa.array([b for b, _ in rows], pa.int32()), pa.array([c[0] for _, c in rows], pa.binary()), pa.array([c[1] for _, c in rows], pa.binary()), pa.array([ids.tobytes()] * len(rows), pa.binary())]
+            doc = np.repeat(np.arange(len(ranks), dtype=np.uint32), [len(r) for r in ranks])
+            every = np.concatenate(ranks)
+            rows = list(_blocks(buckets, every << low, [every.astype(np.uint32), doc]))
+            named = [_numbered(c[1], ids) for _, c in rows]
+            arrays = [pa.array([b for b, _ in rows], pa.int32()), pa.array([c[0] for _, c in rows], pa.binary()), pa.array([n[0] for n in named], pa.binary()), pa.array([n[1] for n in named], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "ranks", "docs", "ids"])
+            trim()
 
     return texts.mapInArrow(run, "bucket int, ranks binary, docs binary, ids binary")
 
@@ -103,7 +128,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     """Of one bucket's blocks: (id, rank) of the ranks that occur under two ids at least."""
     ranks, docs = [], []
     for r, d, i in zip(table.column("ranks").to_pylist(), table.column("docs").to_pylist(), table.column("ids").to_pylist(), strict=True):
-        rank, ids = np.frombuffer(r, np.uint64), np.frombuffer(i, np.int64)
+        rank, ids = np.frombuffer(r, np.uint32), np.frombuffer(i, np.int64)
         ranks.append(rank)
         docs.append(ids[np.frombuffer(d, np.uint16 if len(ids) <= 1 << 16 else np.uint32)])
     rank, doc = np.concatenate(ranks), np.concatenate(docs)
@@ -112,17 +137,22 @@ def _repeated(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
     several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
     keep = np.repeat(several, np.diff(np.append(starts, len(rank))))
-    return pa.table({"id": pa.array(doc[keep]), "rank": pa.array(rank[keep].view(np.int64))})
+    high = table.column("bucket")[0].as_py() << 32
+    trim()
+    return pa.table({"id": pa.array(doc[keep]), "rank": pa.array(rank[keep].astype(np.int64) + high)})
 
 
 _AROUND = np.arange(-(SPAN - 1), SIZE)
 
 
-def _strings(texts: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of the surroundings of the anchors that are left: bucket, docs (number in ids), places, near (least and greatest distance to a start), bytes, ids."""
+def _strings(texts: DataFrame, buckets: int, ranked: int) -> DataFrame:
+    """Blocks of the surroundings of the anchors that are left: bucket, docs (number in ids), places, near (least and greatest distance to a start), bytes, ids.
+
+    ``ranked`` is the number of buckets of ``_ranked``."""
+    low = np.uint64(32 - (ranked.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 2):
             ids = np.stack([np.array(batch.column(0)), np.array(batch.column(1))], 1) if batch.num_rows else np.zeros((0, 2), np.int64)
             keys, doc, place, near, around = [], [], [], [], []
             for i, (t, wanted) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
@@ -130,10 +160,12 @@ def _strings(texts: DataFrame, buckets: int) -> DataFrame:
                 at, rank, first, last = anchors(data)
                 if not len(at):
                     continue
-                left = np.isin(rank, np.array(wanted.values).view(np.uint64))
+                left = np.isin((rank >> low).astype(np.int64), np.array(wanted.values))
                 at, rank, first, last = at[left], rank[left], first[left], last[left]
                 padded = np.concatenate([np.zeros(SPAN - 1, np.uint8), data, np.zeros(SIZE, np.uint8)])
-                around.append(padded[(at[:, None] + (SPAN - 1)) + _AROUND[None, :]])
+                near_bytes = padded[(at[:, None] + (SPAN - 1)) + _AROUND[None, :]]
+                near_bytes[(_AROUND < (first - at)[:, None]) | (_AROUND >= (last - at)[:, None] + SIZE)] = 0  # of no string
+                around.append(near_bytes)
                 keys.append(rank)
                 doc.append(np.full(len(at), i, np.uint32))
                 place.append(at.astype(np.uint32))
@@ -142,8 +174,10 @@ def _strings(texts: DataFrame, buckets: int) -> DataFrame:
                 continue
             columns = [np.concatenate(x) for x in (doc, place, near, around)]
             rows = list(_blocks(buckets, np.concatenate(keys), columns))
-            arrays = [pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in range(4)), pa.array([ids.tobytes()] * len(rows), pa.binary())]
+            named = [_numbered(c[0], ids) for _, c in rows]
+            arrays = [pa.array([b for b, _ in rows], pa.int32()), pa.array([n[0] for n in named], pa.binary()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in (1, 2)), pa.array([pa.compress(c[3], "zstd", asbytes=True) for _, c in rows], pa.binary()), pa.array([n[1] for n in named], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "docs", "places", "near", "around", "ids"])
+            trim()
 
     return texts.mapInArrow(run, "bucket int, docs binary, places binary, near binary, around binary, ids binary")
 
@@ -152,14 +186,17 @@ def _later(table: pa.Table) -> pa.Table:
     """Of one bucket's blocks: (id, h, first, last) runs of starts of strings that a smaller id has too."""
     ids, places, near, around = [], [], [], []
     for r in table.select(["docs", "places", "near", "around", "ids"]).to_pylist():
-        ids.append(np.frombuffer(r["ids"], np.int64).reshape(-1, 2)[np.frombuffer(r["docs"], np.uint32)])
+        table_ids = np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
+        ids.append(table_ids[np.frombuffer(r["docs"], np.uint16 if len(table_ids) <= 1 << 16 else np.uint32)])
         places.append(np.frombuffer(r["places"], np.uint32).astype(np.int64))
         near.append(np.frombuffer(r["near"], np.uint8).reshape(-1, 2))
-        around.append(np.frombuffer(r["around"], np.uint8).reshape(-1, len(_AROUND)))
+        plain = pa.decompress(r["around"], len(places[-1]) * len(_AROUND), "zstd")
+        around.append(np.frombuffer(plain, np.uint8).reshape(-1, len(_AROUND)))
     ids, places, near, around = (np.concatenate(x) for x in (ids, places, near, around))
-    one, two = (np.ascontiguousarray(of[around].T) for of in (_FIRST, _OTHER))  # a row for each offset
-    for h in (1, 2, 4, 8, 16, 18):
-        one, two = mix(one[:-h] * _STEP + one[h:]), mix(two[:-h] * _STEP + two[h:])
+    one, two = np.empty((SPAN, len(places)), np.uint64), np.empty((SPAN, len(places)), np.uint64)  # a row for each start
+    for at in range(0, len(places), 8192):
+        part = around[at : at + 8192].T
+        one[:, at : at + 8192], two[:, at : at + 8192] = (doubled(of[part], (1, 2, 4, 8, 16, SIZE - GRAM)) for of in (_FIRST, _OTHER))
     hits = np.zeros((SPAN, len(places)), bool)  # by start, counted from SPAN - 1 before the anchor
     for row in range(SPAN):
         back = SPAN - 1 - row
@@ -176,6 +213,7 @@ def _later(table: pa.Table) -> pa.Table:
     who, first = np.nonzero(edges == 1)
     _, last = np.nonzero(edges == -1)
     base = places[who] - (SPAN - 1)
+    trim()
     return pa.table({"id": ids[who, 0], "h": ids[who, 1], "first": base + first, "last": base + last - 1})
 
 
@@ -210,12 +248,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     copies = settle(rows.select("id", "h", "h2").join(least.filter("least < most").select("h", "h2", "least"), ["h", "h2"]).filter("id > least").select("id", "h").distinct())
     few = copies.count() <= SENT_IDS
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = 1 << max(4, (total // BLOCK_BYTES).bit_length())
+    of = lambda size: 1 << max(4, (total // size).bit_length())
     own = rows.filter(F.octet_length("text") >= SIZE).select("id", "h", "text").join(F.broadcast(copies) if few else copies, ["id", "h"], "left_anti")
-    left = settle(_ranked(own, buckets).groupBy("bucket").applyInArrow(_repeated, "id long, rank long"))
+    left = settle(_ranked(own, of(RANK_BYTES)).groupBy("bucket").applyInArrow(_repeated, "id long, rank long"))
     release(spark)
     wanted = left.groupBy("id").agg(F.collect_set("rank").alias("wanted"))
-    strings = _strings(own.join(wanted, "id").select("id", "h", "text", "wanted"), buckets)
+    strings = _strings(own.join(wanted, "id").select("id", "h", "text", "wanted"), of(STRING_BYTES), of(RANK_BYTES))
     runs = settle(strings.groupBy("bucket").applyInArrow(_later, "id long, h long, first long, last long"))
     release(spark)
     marks = runs.groupBy("id", "h").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))

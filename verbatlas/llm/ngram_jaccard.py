@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import NULL_ID, id_key, settle
+from verbatlas.llm.common import NULL_ID, id_key, settle, trim
 from verbatlas.llm.components import components
 from verbatlas.llm.shingles import mix, shingle_set
 
@@ -121,6 +121,7 @@ def sketched(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "f1", "f2", "sketch", "keys"])
+            trim()
 
     return docs.select(id_key().alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, n long, f1 long, f2 long, sketch binary, keys array<long>")
 

@@ -2,6 +2,404 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verbatlas.functions.stats import round6
+from verbatlas.functions.text import STOPWORDS, date_floor, fold, normalise_url, record_id, strip_html, year_of
+from verbatlas.operators import concord, search, topics
+from verbatlas.sources.corpus import passages, table, words
+
 FLAGSHIP = "collocates_logdice"
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query (spark, sf_dir) under its name, with its SQL twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = BASE + sql if sql.lstrip().startswith(",") else sql
+        return f
+
+    return add
+
+
+def _p(spark: SparkSession, d: str) -> DataFrame:
+    return passages(table(spark, d, "documents"))
+
+
+STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+BASE = r"""WITH lines AS (
+  SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_start FROM documents
+), p AS (
+  SELECT * FROM (SELECT *, regexp_extract_all(lower(line), '[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)*') AS toks FROM lines) WHERE len(toks) > 0
+), t AS (
+  SELECT doc_id, lang, source, line_start, unnest(toks) AS word, unnest(range(len(toks))) AS i, toks FROM p
+)"""
+
+
+@query(", x AS (SELECT 1) SELECT doc_id, line_start, len(toks) AS n_tok FROM p")
+def passages_split(spark, d):
+    return _p(spark, d).select("doc_id", "line_start", "n_tok")
+
+
+@query(", x AS (SELECT 1) SELECT word, count(*) AS n, count(DISTINCT doc_id) AS pieces FROM t GROUP BY word")
+def word_list(spark, d):
+    return concord.word_list(words(_p(spark, d)))
+
+
+def _dist(by: str) -> str:
+    return f""", h AS (SELECT {by}, count(*) AS hits, count(DISTINCT doc_id) AS pieces FROM t WHERE word = 'the' GROUP BY {by}),
+n AS (SELECT {by}, count(*) AS tokens FROM t GROUP BY {by})
+SELECT n.{by}, coalesce(hits, 0) AS hits, coalesce(pieces, 0) AS pieces, tokens, round(coalesce(hits, 0) * 1e6 / tokens * 1000) / 1000 AS per_million FROM n LEFT JOIN h ON n.{by} = h.{by}"""
+
+
+@query(_dist("lang"))
+def dist_by_lang(spark, d):
+    return concord.distribution(_p(spark, d), ["the"], "lang")
+
+
+@query(_dist("source"))
+def dist_by_source(spark, d):
+    return concord.distribution(_p(spark, d), ["the"], "source")
+
+
+@query("SELECT CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS INT) AS year, count(*) AS n, sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END)::BIGINT AS hits FROM orders GROUP BY 1")
+def dist_by_year(spark, d):
+    year = year_of(F.col("o_orderdate").cast("string")).alias("year")
+    return table(spark, d, "orders").groupBy(year).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("hits"))
+
+
+@query(""", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 2], '') AS r1 FROM t WHERE word = 'and')
+SELECT * FROM k ORDER BY r1, l1, doc_id, line_start, i LIMIT 200""")
+def kwic_lines(spark, d):
+    return concord.kwic(_p(spark, d), ["and"], limit=200)
+
+
+@query(", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 3], '') AS r1 FROM t WHERE word = 'of' AND toks[i + 2] = 'the') SELECT * FROM k")
+def kwic_phrase(spark, d):
+    return concord.kwic(_p(spark, d), ["of", "the"])
+
+
+@query(", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 2], '') AS r1 FROM t WHERE word = 'the' AND (list_contains(toks[greatest(i - 4, 1):i], 'and') AND i > 0 OR list_contains(toks[i + 2:i + 6], 'and'))) SELECT * FROM k")
+def kwic_near(spark, d):
+    return concord.kwic(_p(spark, d), ["the"], near="and", width=5)
+
+
+def _grams(sizes, top: int, most: str, more: str = "") -> str:
+    parts = " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, doc_id, unnest(list_transform(range(1, len(toks) - {n} + 2), lambda k: toks[k:k + {n - 1}])) AS g FROM p WHERE len(toks) >= {n}" for n in sizes)
+    return f""", g AS ({parts}), kept AS (SELECT n, doc_id, array_to_string(g, ' ') AS gram FROM g WHERE len(list_filter(g, lambda w: list_contains({STOP}, w))) < {most} {more})
+SELECT n, gram, count(*) AS count, count(DISTINCT doc_id) AS pieces FROM kept GROUP BY n, gram ORDER BY count DESC, gram LIMIT {top}"""
+
+
+@query(_grams((1, 2, 3, 4, 5), 100, "n"))
+def ngrams_top(spark, d):
+    return concord.ngrams(_p(spark, d), (1, 2, 3, 4, 5), 100)
+
+
+@query(_grams((2, 3), 50, "greatest(n - 1, 1)"))
+def ngrams_strict(spark, d):
+    return concord.ngrams(_p(spark, d), (2, 3), 50, strict=True)
+
+
+@query(_grams((3,), 50, "n", "AND contains(' ' || array_to_string(g, ' ') || ' ', ' of the ')"))
+def ngrams_containing(spark, d):
+    return concord.ngrams(_p(spark, d), (3,), 50, containing=["of", "the"])
+
+
+@query(""", h AS (SELECT doc_id, count(*) AS hits FROM t WHERE word = 'the' GROUP BY doc_id), r AS (SELECT *, row_number() OVER (ORDER BY hits DESC, doc_id) AS r FROM h)
+SELECT CASE WHEN r <= 10 THEN CAST(doc_id AS VARCHAR) ELSE 'other' END AS bucket, sum(hits)::BIGINT AS hits FROM r GROUP BY 1""")
+def row_dist_doc_top10_other(spark, d):
+    return concord.row_distribution(_p(spark, d), ["the"])
+
+
+_COLL = f""", f AS (SELECT word, count(*) AS freq FROM t GROUP BY word), tot AS (SELECT count(*) AS size, count(*) FILTER (WHERE word = 'and') AS nf FROM t),
+w AS (SELECT unnest(list_distinct(list_concat(CASE WHEN i > 0 THEN toks[greatest(i - 3, 1):i] ELSE [] END, toks[i + 2:i + 5]))) AS word FROM t WHERE word = 'and'),
+c AS (SELECT word, count(*) AS count FROM w WHERE NOT list_contains({STOP}, word) GROUP BY word HAVING count(*) >= 3)
+SELECT c.word, count, freq, round((14 + log2(2.0 * count / (nf + freq))) * 1000) / 1000 AS log_dice, round(log2(count * size / (nf * freq * 8.0)) * 1000) / 1000 AS mi
+FROM c JOIN f ON c.word = f.word, tot"""
+
+
+@query(_COLL)
+def collocates_logdice(spark, d):
+    out = concord.collocates(_p(spark, d), "and")
+    return out.orderBy(F.desc("log_dice"), F.desc("count"), "word")
+
+
+@query(_COLL + " WHERE round(log2(count * size / (nf * freq * 8.0)) * 1000) / 1000 >= 1")
+def collocates_mi(spark, d):
+    return concord.collocates(_p(spark, d), "and").filter("mi >= 1").orderBy(F.desc("mi"), F.desc("count"), "word")
+
+
+def _side(s: str, lang: str) -> str:
+    return f"""f{s} AS (SELECT word, count(*) AS freq FROM t WHERE lang = '{lang}' GROUP BY word), w{s} AS (SELECT unnest(list_distinct(list_concat(CASE WHEN i > 0 THEN toks[greatest(i - 3, 1):i] ELSE [] END, toks[i + 2:i + 5]))) AS word FROM t WHERE word = 'de' AND lang = '{lang}'),
+c{s} AS (SELECT w.word, count(*) AS n, round((14 + log2(2.0 * count(*) / ((SELECT freq FROM f{s} WHERE word = 'de') + any_value(freq)))) * 1000) / 1000 AS score FROM w{s} w JOIN f{s} f ON w.word = f.word GROUP BY w.word)"""
+
+
+@query(f""", {_side('a', 'fr')}, {_side('b', 'es')}
+SELECT coalesce(a.word, b.word) AS word, coalesce(a.n, 0) AS count_a, coalesce(b.n, 0) AS count_b, round((coalesce(a.score, 0) - coalesce(b.score, 0)) * 1000) / 1000 AS score_diff
+FROM ca a FULL JOIN cb b ON a.word = b.word WHERE coalesce(a.n, 0) >= 3 OR coalesce(b.n, 0) >= 3""")
+def collocates_compare(spark, d):
+    p = _p(spark, d)
+    return concord.compare(p.filter("lang = 'fr'"), p.filter("lang = 'es'"), "de")
+
+
+_KEY = """, fa AS (SELECT word, count(*) AS a FROM t JOIN labels l ON t.doc_id = l.doc_id WHERE quality = 0 GROUP BY word), fb AS (SELECT word, count(*) AS b FROM t JOIN labels l ON t.doc_id = l.doc_id WHERE quality = 1 GROUP BY word),
+s AS (SELECT coalesce(fa.word, fb.word) AS word, coalesce(a, 0) AS a, coalesce(b, 0) AS b, (SELECT sum(a) FROM fa)::DOUBLE AS c, (SELECT sum(b) FROM fb)::DOUBLE AS d FROM fa FULL JOIN fb ON fa.word = fb.word),
+g AS (SELECT word, a, b, c, d, round(2 * (CASE WHEN a > 0 THEN a * ln(a * (c + d) / (c * (a + b))) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b * (c + d) / (d * (a + b))) ELSE 0 END) * 1000) / 1000 AS g2 FROM s)
+"""
+
+
+def _slices(spark, d):
+    p, labels = _p(spark, d), table(spark, d, "labels").select("doc_id", "quality")
+    of = lambda q: p.join(labels.filter(F.col("quality") == q), "doc_id", "left_semi")
+    return of(0), of(1)
+
+
+@query(_KEY + "SELECT word, a, b, g2, CASE WHEN b > 0 THEN round((a / c - b / d) * 100 / (b / d) * 1000) / 1000 END AS pct_diff FROM g WHERE a / c > b / d AND a >= 3 AND g2 >= 3.84")
+def keyness_g2(spark, d):
+    return concord.keyness(*_slices(spark, d)).orderBy(F.desc("g2"), "word")
+
+
+@query("SELECT count(*) AS shared FROM (SELECT source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 0 INTERSECT SELECT source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1)")
+def keyness_overlap(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return docs.filter("quality = 0").select("source").intersect(docs.filter("quality = 1").select("source")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query(""", h AS (SELECT doc_id, count(*) AS hits, min({'l': line_start, 'i': i}) AS f FROM t WHERE word = 'the' GROUP BY doc_id HAVING count(*) >= 3), n AS (SELECT doc_id, count(*) AS tokens FROM t GROUP BY doc_id)
+SELECT h.doc_id, hits, round(hits * 1e6 / tokens * 1000) / 1000 AS per_million, f.l AS first_line, f.i::INT AS first_i FROM h JOIN n ON h.doc_id = n.doc_id""")
+def profile_documents(spark, d):
+    return concord.profile(_p(spark, d), "the")
+
+
+def _bm25(terms, final: str) -> str:
+    size = {"word": "len(list_filter(toks, lambda w: w = '{v}'))", "prefix": "len(list_filter(toks, lambda w: starts_with(w, '{v}')))"}
+    counts = []
+    for kind, v in terms:
+        if kind == "phrase":
+            a, b = v.split()
+            counts.append(f"len(list_filter(range(1, len(toks)), lambda k: toks[k] = '{a}' AND toks[k + 1] = '{b}'))")
+        else:
+            counts.append(size[kind].format(v=v))
+    union = " UNION ALL ".join(f"SELECT doc_id, line_start, len(toks) AS dl, {k} AS term, {c} AS tf FROM p" for k, c in enumerate(counts))
+    return f""", h AS (SELECT * FROM ({union}) WHERE tf > 0), st AS (SELECT count(*) AS nn, avg(len(toks)) AS av FROM p), df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+idf AS (SELECT term, CASE WHEN ln((nn - df + 0.5) / (df + 0.5)) > 0 THEN ln((nn - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS w, av FROM df, st),
+b AS (SELECT doc_id, line_start, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) * 1e6) / 1e6 AS score, count(*) AS held FROM h JOIN idf ON h.term = idf.term GROUP BY doc_id, line_start)
+{final}"""
+
+
+@query(_bm25([("word", "disgusting")], "SELECT * FROM b"))
+def bm25_term(spark, d):
+    return search.bm25(_p(spark, d), [("word", "disgusting")])
+
+
+_DOCS = """, c AS (SELECT *, held / {n} AS cover FROM b {where}), best AS (SELECT doc_id, max({{'cover': cover, 'score': score, 'up': -line_start}}) AS m, count(*) AS passages FROM c GROUP BY doc_id)
+SELECT doc_id, -m.up AS line_start, m.cover AS cover, round(m.score * m.cover * 1e6) / 1e6 AS score, passages FROM best ORDER BY 4 DESC, doc_id LIMIT 20"""
+
+
+@query(_bm25([("word", "disgusting"), ("prefix", "thereb"), ("phrase", "of the")], _DOCS.format(n=3, where="")))
+def search_coverage_docs(spark, d):
+    return search.search(_p(spark, d), [("word", "disgusting"), ("prefix", "thereb"), ("phrase", "of the")])
+
+
+@query(_bm25([("word", "disgusting"), ("word", "trash")], _DOCS.format(n=2, where="WHERE (doc_id, line_start) NOT IN (SELECT doc_id, line_start FROM t WHERE word = 'stupid')")))
+def search_not(spark, d):
+    return search.search(_p(spark, d), [("word", "disgusting"), ("word", "trash")], without=["stupid"])
+
+
+@query(_bm25([("word", "disgusting"), ("word", "trash")], "SELECT b.doc_id, b.line_start, lang, score, round(score / max(score) OVER (PARTITION BY lang) * 1e6) / 1e6 AS rank FROM b JOIN p ON b.doc_id = p.doc_id AND b.line_start = p.line_start"))
+def search_merge_rank(spark, d):
+    p = _p(spark, d)
+    hits = search.bm25(p, [("word", "disgusting"), ("word", "trash")]).join(p.select("doc_id", "line_start", "lang"), ["doc_id", "line_start"])
+    return search.merge_ranks(hits, "lang").select("doc_id", "line_start", "lang", "score", "rank")
+
+
+@query(", x AS (SELECT 1) SELECT doc_id, line_start FROM p WHERE regexp_matches(line, '(?i)licensed under .* license')")
+def search_regex(spark, d):
+    return _p(spark, d).filter(F.col("line").rlike("(?i)licensed under .* license")).select("doc_id", "line_start")
+
+
+_SEED = "(SELECT min({'d': doc_id, 'l': line_start}) FROM p WHERE lang = 'en' AND len(toks) >= 20)"
+
+
+@query(f""", tf AS (SELECT doc_id, line_start, word, count(*) AS tf FROM t WHERE NOT list_contains({STOP}, word) AND regexp_matches(word, '\\p{{L}}') GROUP BY ALL),
+idf AS (SELECT word, ln((1.0 + (SELECT count(*) FROM p)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY word), w AS (SELECT doc_id, line_start, tf.word, (1 + ln(tf)) * idf AS w FROM tf JOIN idf ON tf.word = idf.word),
+norm AS (SELECT doc_id, line_start, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL), sd AS (SELECT {_SEED} AS s), seed AS (SELECT word, w FROM w, sd WHERE doc_id = s.d AND line_start = s.l),
+dots AS (SELECT w.doc_id, w.line_start, sum(w.w * seed.w) AS dot, count(*) AS shared FROM w JOIN seed ON w.word = seed.word, sd WHERE NOT (w.doc_id = s.d AND w.line_start = s.l) GROUP BY ALL)
+SELECT d.doc_id, d.line_start, shared, round(dot / (norm * (SELECT sqrt(sum(w * w)) FROM seed)) * 1e6) / 1e6 AS score FROM dots d JOIN norm n ON d.doc_id = n.doc_id AND d.line_start = n.line_start WHERE shared >= 2
+ORDER BY score DESC, d.doc_id, d.line_start LIMIT 20""")
+def similar_tfidf(spark, d):
+    p = _p(spark, d)
+    seed = p.filter("lang = 'en' AND n_tok >= 20").agg(F.min(F.struct("doc_id", "line_start")).alias("s")).first().s
+    return search.similar(p, seed.doc_id, seed.line_start)
+
+
+_COS = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * 1e6) / 1e6"
+
+
+@query(f"SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, e.vec_id LIMIT 20")
+def semantic_topk_cosine(spark, d):
+    return search.nearest(table(spark, d, "embeddings"), 0)
+
+
+_RRF = f""", a AS (SELECT e.vec_id AS id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, id LIMIT 100), b AS (SELECT e.vec_id AS id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 1 ORDER BY score DESC, id LIMIT 100)
+SELECT coalesce(x.id, y.id) AS vec_id, round((coalesce(x.v, 0) + coalesce(y.v, 0)) * 1e6) / 1e6 AS score FROM (SELECT id, 1.0 / (60 + RANKER) AS v FROM a) x FULL JOIN (SELECT id, 1.0 / (60 + RANKER) AS v FROM b) y ON x.id = y.id"""
+
+
+@query(_RRF.replace("RANKER", "row_number() OVER (ORDER BY score DESC, id)"))
+def rrf_hybrid(spark, d):
+    e = table(spark, d, "embeddings")
+    return search.fuse(search.nearest(e, 0, 100), search.nearest(e, 1, 100), "vec_id")
+
+
+@query(_RRF.replace("RANKER", "rank() OVER (ORDER BY score DESC)"))
+def rrf_competition_rank(spark, d):
+    e = table(spark, d, "embeddings")
+    return search.fuse(search.nearest(e, 0, 100), search.nearest(e, 1, 100), "vec_id", shared=True)
+
+
+@query("SELECT item_id, doc_id, instr(d.text, b.text) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)".replace("AS at", 'AS "at"'))
+def verify_quote(spark, d):
+    return search.verify_quotes(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("SELECT event_type AS value, count(DISTINCT event_id) AS count FROM events GROUP BY event_type")
+def facet_counts(spark, d):
+    return topics.facet(table(spark, d, "events"), "event_id", "event_type")
+
+
+@query("""WITH days AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY)) AS DATE) AS period), themes AS (SELECT DISTINCT event_type AS theme FROM events)
+SELECT theme, CAST(days.period AS VARCHAR) AS period, count(event_id) AS n FROM themes CROSS JOIN days LEFT JOIN events ON event_type = theme AND CAST(ts AS DATE) = days.period GROUP BY ALL""")
+def theme_days_matrix(spark, d):
+    return topics.period_matrix(table(spark, d, "events"), "event_type", F.to_date("ts"), "2024-01-01", "2024-01-31")
+
+
+@query("SELECT user_id, count(*) AS items, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS first_day, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS last_day, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY user_id")
+def events_listing_spans(spark, d):
+    return topics.spans(table(spark, d, "events"), "user_id", "ts")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def last_row_per_key(spark, d):
+    return topics.last_rows(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"])
+
+
+_LOG = "SELECT event_id AS id, user_id AS key, CASE WHEN event_type = 'click' THEN event_id - 7 END AS undoes, event_type AS value FROM events"
+
+
+def _log(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("key"), F.when(F.col("event_type") == "click", F.col("event_id") - 7).alias("undoes"), F.col("event_type").alias("value"))
+
+
+@query(f"WITH log AS ({_LOG.replace('user_id AS key', 'user_id % 3 AS key')}) SELECT id, key, value FROM log l WHERE undoes IS NULL AND NOT EXISTS (SELECT 1 FROM log u WHERE u.undoes = l.id AND u.key = l.key AND u.id > l.id)")
+def undo_antijoin(spark, d):
+    return topics.undone(_log(spark, d)).select("id", "key", "value")
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS a FROM events)
+SELECT a.event_id AS id_a, b.event_id AS id_b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(date_diff('second', date_trunc('second', a.ts), date_trunc('second', b.ts))) <= 3600""")
+def event_band_join(spark, d):
+    return topics.band_pairs(table(spark, d, "events"), "user_id", 3600)
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events), o AS (SELECT a.event_id, b.event_id AS other, row_number() OVER (PARTITION BY a.event_id ORDER BY b.event_id) AS r FROM e a JOIN e b ON a.user_id = b.user_id AND a.day = b.day AND a.event_id <> b.event_id)
+SELECT e.event_id, count(other) AS others, coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY r) FILTER (WHERE r <= 6), '') AS first_six FROM e LEFT JOIN o ON e.event_id = o.event_id GROUP BY e.event_id""")
+def thread_same_user_day(spark, d):
+    return topics.threads(table(spark, d, "events"))
+
+
+@query("""WITH t AS (SELECT user_id, count(*) AS total FROM events GROUP BY user_id), e AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY n DESC, event_type) AS r FROM e JOIN t ON e.user_id = t.user_id WHERE n * 3 >= total)
+SELECT user_id, event_type, n FROM r WHERE r <= 5""")
+def majority_themes(spark, d):
+    return topics.majority(table(spark, d, "events"), "user_id", "event_type")
+
+
+@query("""WITH w AS (SELECT DISTINCT s_suppkey AS id, unnest(string_split(lower(trim(s_name)), ' ')) AS w FROM supplier UNION SELECT DISTINCT 1000000 + p_partkey, unnest(string_split(lower(trim(p_name)), ' ')) FROM part WHERE p_partkey <= 300), s AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+b AS (SELECT x.id, y.id AS id2, count(*) AS c FROM w x JOIN w y ON x.w = y.w AND x.id < y.id GROUP BY ALL)
+SELECT b.id, id2, round(c / (p.n + q.n - c) * 1000) / 1000 AS jaccard, round(2 * c / (p.n + q.n) * 1000) / 1000 AS dice FROM b JOIN s p ON b.id = p.id JOIN s q ON b.id2 = q.id WHERE c / (p.n + q.n - c) >= 0.5""")
+def merge_candidate_scores(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"))
+    p = table(spark, d, "part").filter("p_partkey <= 300").select((F.col("p_partkey") + 1000000).cast("long").alias("id"), F.col("p_name").alias("name"))
+    return topics.name_pairs(s.unionByName(p))
+
+
+@query(r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS text_sha256 FROM pages""")
+def html_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(strip_html(F.col("html")), 256).alias("text_sha256"))
+
+
+@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^(www|m)\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') ||
+CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM (SELECT *, array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_|fbclid|gclid|ref=)')), '&') AS q FROM pages)""")
+def url_normalise(spark, d):
+    return table(spark, d, "pages").select("page_id", normalise_url(F.col("url")).alias("url"))
+
+
+@query("SELECT doc_id, sha1(source || chr(31) || CAST(doc_id AS VARCHAR)) AS record FROM documents")
+def id_sha1(spark, d):
+    return table(spark, d, "documents").select("doc_id", record_id(F.col("source"), F.col("doc_id").cast("string")).alias("record"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS floor, substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 1, 4) || '-01-01' AS year_floor FROM orders")
+def date_floors(spark, d):
+    day = F.to_date("o_orderdate").cast("string")
+    return table(spark, d, "orders").select("o_orderkey", date_floor(day).alias("floor"), date_floor(F.substring(day, 1, 4)).alias("year_floor"))
+
+
+@query("SELECT doc_id, lower(trim(source)) AS source FROM documents")
+def fold_values(spark, d):
+    return table(spark, d, "documents").select("doc_id", fold(F.col("source")).alias("source"))
+
+
+@query("SELECT conv_id, turn, contains(lower(text), 'the')::BIGINT + contains(lower(text), 'and')::BIGINT + contains(lower(text), 'que')::BIGINT AS held FROM conversations WHERE contains(lower(text), 'the') OR contains(lower(text), 'and') OR contains(lower(text), 'que') ORDER BY held DESC, conv_id, turn LIMIT 100")
+def index2_coverage_order(spark, d):
+    return topics.coverage_order(table(spark, d, "conversations"), ["the", "and", "que"], 100)
+
+
+@query("SELECT conv_id, count(*) AS total, count(*) FILTER (WHERE turn <= 3) AS position, max(turn) AS last FROM conversations GROUP BY conv_id")
+def record_position(spark, d):
+    return topics.record_position(table(spark, d, "conversations"), 3)
+
+
+@query("SELECT lower(trim(role)) AS tag, count(*) AS n FROM conversations GROUP BY 1 HAVING lower(trim(role)) <> ''")
+def index2_tags(spark, d):
+    return table(spark, d, "conversations").groupBy(F.lower(F.trim("role")).alias("tag")).agg(F.count(F.lit(1)).alias("n")).filter("tag <> ''")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN 'removed' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM documents UNION ALL SELECT 'new-' || CAST(doc_id AS VARCHAR), 'added' FROM documents WHERE doc_id < 3")
+def incremental_diff(spark, d):
+    from verbatlas.sources.corpus import snapshot_diff
+
+    docs = table(spark, d, "documents")
+    snap = docs.select(F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("mtime"), F.col("n_chars").alias("size"), F.sha1(F.col("text").cast("binary")).alias("hash"))
+    after = snap.filter("doc_id % 7 <> 0").withColumn("hash", F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(F.col("hash"))).withColumn("mtime", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1))
+    after = after.unionByName(snap.filter("doc_id < 3").withColumn("path", F.concat(F.lit("new-"), "path")))
+    return snapshot_diff(snap.drop("doc_id"), after.drop("doc_id"))
+
+
+@query("""WITH p AS (SELECT n_nationkey AS id, n_nationkey AS doc, n_name AS name FROM nation) SELECT r_regionkey AS row_id, doc, 'key' AS matched FROM region JOIN p ON r_regionkey = doc WHERE r_regionkey % 2 = 0
+UNION ALL SELECT r_regionkey, doc, 'path' FROM region JOIN p ON (r_regionkey + 1) = doc WHERE r_regionkey % 2 = 1 AND doc NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 0)""")
+def topic_join_key_then_path(spark, d):
+    rows = table(spark, d, "region").select(F.col("r_regionkey").alias("row_id"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_regionkey")).alias("key"), (F.col("r_regionkey") + 1).alias("path"))
+    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc"), F.col("n_nationkey").alias("key"), F.col("n_nationkey").alias("path"))
+    return topics.key_then_path(rows, docs)
+
+
+@query("""WITH RECURSIVE l AS (SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey > n_regionkey THEN n_regionkey::BIGINT END AS into_ FROM nation), walk AS (SELECT id, id AS at_, into_ AS next FROM l UNION ALL SELECT w.id, l.id, l.into_ FROM walk w JOIN l ON w.next = l.id)
+SELECT id, at_ AS root FROM walk WHERE next IS NULL""")
+def alias_chain_resolution(spark, d):
+    n = table(spark, d, "nation")
+    return topics.resolve_chain(n.select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") > F.col("n_regionkey"), F.col("n_regionkey").cast("long")).alias("into")))
+
+
+@query()
+def corrections_patch_fold(spark, d):
+    e = table(spark, d, "events")
+    base = e.select(F.col("user_id").alias("key")).distinct().select("key", F.array(F.lit("view")).alias("items"))
+    ops = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("line"), F.when(F.col("event_id") % 4 == 0, "remove").otherwise("add").alias("op"), F.col("event_type").alias("value"))
+    return topics.fold_patches(base, ops)

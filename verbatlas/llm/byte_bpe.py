@@ -38,8 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verbatlas.llm.common import trim
+
 #: Most pieces, and most token pairs, that a worker remembers between batches.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,12 +50,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
-class PrefixCoder:
-    """Encoder and decoder over one vocabulary."""
+class TokenBytes:
+    """The bytes of each id."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self._tokens: pa.Array | None = None
+
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of every list of ids: one gather of token bytes, whose buffer is then cut at the lists' borders."""
+        if self._tokens is None:
+            self._tokens = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of, default=-1) + 1)], pa.large_binary())
+        starts = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.list_value_length(ids), 0)))])
+        taken = self._tokens.take(ids.flatten())
+        if taken.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        borders = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        cuts = borders[starts] if len(taken) else np.zeros(len(starts), np.int64)
+        data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.tobytes()), data]).cast(pa.binary())
+
+
+class PrefixCoder(TokenBytes):
+    """Encoder and decoder over one vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks)
         self.split = regex.compile(pattern)
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
@@ -63,7 +89,6 @@ class PrefixCoder:
         self._tails: dict[int, tuple] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self.regular, self._stands = True, set()
-        self._tokens: pa.Array | None = None
         self._ends = ahocorasick.Automaton()
         for token, rank in ranks.items():
             whole, parts = self._last_merge(token)
@@ -171,22 +196,6 @@ class PrefixCoder:
         known, piece = self._pieces.get, self.piece
         return list(chain.from_iterable([known(p) or piece(p) for p in self.split.findall(text)]))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
-        """The bytes of every list of ids: one gather of token bytes, whose buffer is then cut at the lists' borders."""
-        if self._tokens is None:
-            self._tokens = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of, default=-1) + 1)], pa.large_binary())
-        starts = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.list_value_length(ids), 0)))])
-        taken = self._tokens.take(ids.flatten())
-        if taken.null_count:
-            raise ValueError("an id is not in the vocabulary")
-        borders = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
-        cuts = borders[starts] if len(taken) else np.zeros(len(starts), np.int64)
-        data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.tobytes()), data]).cast(pa.binary())
-
 
 class LiveText:
     """A text with its prefix tables, for appends and edits that re-encode only what they touch.
@@ -282,6 +291,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
                 offsets.append(n := n + len(ids))
             flat = pa.concat_arrays(values) if values else pa.array([], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=[*batch.schema.names, ids_col])
+        _coders.clear()  # an idle worker holds no vocabulary and no pieces
+        del coder
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -294,10 +306,9 @@ def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_
     at = coded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared, pattern)
+        tokens = TokenBytes(shared.value)
         for batch in batches:
-            ids = batch.column(at)
-            out = coder.decode_lists(ids)
+            out = tokens.decode_lists(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
 
     return coded.mapInArrow(run, schema)

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verbatlas.llm.common import trim
+
 WORD = re.compile(r"[^\W_]+")
 #: Usual constants of BM25.
 K1, B = 1.2, 0.75
@@ -265,6 +267,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
             kept: dict = {}
             for batch in batches:
                 yield batch.filter(pa.array([not hits for hits in matches(shared.value, batch.column(at).to_pylist(), threshold, kept)], pa.bool_()))
+            trim()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -40,8 +40,8 @@ from pyspark.sql import types as T
 
 from verbatlas.llm.common import trim
 
-#: Most pieces, and most token pairs, that a worker remembers between batches.
-REMEMBERED = 500_000
+#: Most pieces, and most token pairs, that a worker remembers between batches of a task.
+REMEMBERED, PAIRS = 240_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,7 +158,7 @@ class PrefixCoder(TokenBytes):
                     break  # a prefix without a valid token: found below
                 pair = last[at - size] << 32 | token
                 if (ok := beside.get(pair)) is None:
-                    if len(beside) >= REMEMBERED:
+                    if len(beside) >= PAIRS:
                         beside.clear()
                     ok = beside[pair] = self._may_follow(last[at - size], token)
                 if not ok:
@@ -273,11 +273,15 @@ def share_ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(ranks)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of its whole texts in ``ids_col`` (array of int)."""
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of its whole texts in ``ids_col`` (array of int).
+
+    With ``decoded_col``, the ids are decoded again in the same pass, so that a task needs one Python worker only."""
     shared = share_ranks(docs.sparkSession, path)
     docs = docs.drop(ids_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    docs = docs.drop(decoded_col) if decoded_col else docs
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded_col, T.BinaryType(), False)] if decoded_col else [])
+    schema = T.StructType([*docs.schema.fields, *fields])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +290,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
             values, offsets = [], [0]
             n = 0
             for text in batch.column(at):
-                ids = coder.encode(text.as_py() or "")
-                values.append(pa.array(ids, pa.int32()))
-                offsets.append(n := n + len(ids))
+                own = coder.encode(text.as_py() or "")
+                values.append(pa.array(own, pa.int32()))
+                offsets.append(n := n + len(own))
             flat = pa.concat_arrays(values) if values else pa.array([], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=[*batch.schema.names, ids_col])
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+            more = [ids, coder.decode_lists(ids)] if decoded_col else [ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f.name for f in fields)])
         _coders.clear()  # an idle worker holds no vocabulary and no pieces
         del coder
         trim()
@@ -316,8 +322,7 @@ def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, from a full encode and decode."""
-    coded = encode(docs.select("doc_id", "text"), path, pattern).drop("text")
-    return decode(coded, path, pattern).select(
+    return encode(docs.select("doc_id", "text"), path, pattern, decoded_col="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -61,6 +61,11 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get texts in batches of 4 MB at most, which bounds their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public vocabulary file; a parameter of every operator that needs one."""
     import public_tokenizers

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import settle
+from verbatlas.llm.common import settle, trim
 
 #: The statistics in their order.
 STATISTICS = (
@@ -92,6 +92,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             flat = pa.array(np.concatenate(rows) if rows else np.zeros(0))
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "x"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
@@ -204,5 +205,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(batch.num_rows, len(STATISTICS))
             yield batch.filter(pa.array(model.scores(x) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verbatlas.llm import bm25_decontam, byte_bpe, chat_tree, embed_neardup, line_dedup, ngram_jaccard, quality_qda, secret_scan, suffix_dedup, token_pack
-from verbatlas.llm.common import tokenizer_file
+from verbatlas.llm.common import small_batches, tokenizer_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

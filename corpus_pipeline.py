@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm import bm25_decontam, byte_bpe, line_dedup, ngram_jaccard, quality_qda
-from verbatlas.llm.common import settle, tokenizer_file
+from verbatlas.llm.common import settle, small_batches, tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    small_batches(spark)
     return quality_qda.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from verbatlas.llm.common import trim
 
 #: Most pieces, and most token pairs, that a worker remembers between batches of a task.
-REMEMBERED, PAIRS = 240_000, 200_000
+REMEMBERED, PAIRS = 360_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

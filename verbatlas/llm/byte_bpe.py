@@ -78,8 +78,9 @@ class TokenBytes:
 class PrefixCoder(TokenBytes):
     """Encoder and decoder over one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED, pairs: int = PAIRS):
         super().__init__(ranks)
+        self._remembered, self._pairs = remembered, pairs
         self.split = regex.compile(pattern)
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
@@ -158,7 +159,7 @@ class PrefixCoder(TokenBytes):
                     break  # a prefix without a valid token: found below
                 pair = last[at - size] << 32 | token
                 if (ok := beside.get(pair)) is None:
-                    if len(beside) >= PAIRS:
+                    if len(beside) >= self._pairs:
                         beside.clear()
                     ok = beside[pair] = self._may_follow(last[at - size], token)
                 if not ok:
@@ -187,7 +188,7 @@ class PrefixCoder(TokenBytes):
                 whole = self.ranks.get(data)
                 ids = (whole,) if whole is not None else self.walk(data, self.table(data))
             if len(text) <= 64:
-                if len(self._pieces) >= REMEMBERED // 2:
+                if len(self._pieces) >= self._remembered // 2:
                     self._older, self._pieces = self._pieces, {}
                 self._pieces[text] = ids
         return ids
@@ -253,15 +254,15 @@ class LiveText:
         self.pieces[first:rest], self.tables[first:rest] = made, tables
 
 
-_coders: dict[tuple[int, str], PrefixCoder] = {}
+_coders: dict[tuple, PrefixCoder] = {}
 
 
-def _coder(shared, pattern: str) -> PrefixCoder:
+def _coder(shared, pattern: str, remembered: int, pairs: int) -> PrefixCoder:
     """The worker's coder for a broadcast vocabulary; kept while the worker lives."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
+    key = (shared.id if hasattr(shared, "id") else id(shared), pattern, remembered, pairs)
     if key not in _coders:
         _coders.clear()
-        _coders[key] = PrefixCoder(shared.value, pattern)
+        _coders[key] = PrefixCoder(shared.value, pattern, remembered, pairs)
     return _coders[key]
 
 
@@ -273,10 +274,11 @@ def share_ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(ranks)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, remembered: int = REMEMBERED, pairs: int = PAIRS) -> DataFrame:
     """``docs`` with the token ids of its whole texts in ``ids_col`` (array of int).
 
-    With ``decoded_col``, the ids are decoded again in the same pass, so that a task needs one Python worker only."""
+    With ``decoded_col``, the ids are decoded again in the same pass, so that a task needs one Python worker only.
+    ``remembered`` and ``pairs`` trade a worker's memory for time; the ids do not depend on them."""
     shared = share_ranks(docs.sparkSession, path)
     docs = docs.drop(ids_col)
     docs = docs.drop(decoded_col) if decoded_col else docs
@@ -285,7 +287,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared, pattern)
+        coder = _coder(shared, pattern, remembered, pairs)
         for batch in batches:
             values, offsets = [], [0]
             n = 0
@@ -320,9 +322,9 @@ def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_
     return coded.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digest(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED, pairs: int = PAIRS) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, from a full encode and decode."""
-    return encode(docs.select("doc_id", "text"), path, pattern, decoded_col="decoded").select(
+    return encode(docs.select("doc_id", "text"), path, pattern, decoded_col="decoded", remembered=remembered, pairs=pairs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

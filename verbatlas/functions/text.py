@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The tokeniser that SQL can express too: letters and digits, with apostrophes inside.
 TOKEN = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"
 
-#: English function words that collocates drop by default.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+#: English function words that queries, collocates and n-grams drop by default.
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has",
+    "have", "he", "her", "here", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "may", "me", "might", "more",
+    "most", "my", "no", "not", "of", "on", "one", "or", "our", "out", "over", "she", "should", "so", "some", "such", "than", "that",
+    "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "too", "up", "us", "was", "we", "were", "what",
+    "when", "which", "while", "who", "why", "will", "with", "would", "you", "your",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -57,3 +65,21 @@ def strip_html(html: Column) -> Column:
 def record_id(*parts: Column) -> Column:
     """A stable id: sha1 of the parts with unit separators between."""
     return F.sha1(F.concat_ws("\u001f", *parts).cast("binary"))
+
+
+_BORDER = regex.compile(r"(?V1)(?w)\b")
+
+
+def unicode_words(text: str | None) -> list[str]:
+    """Lower-case words by the Unicode word borders, underscores around them cut, those without letter or digit dropped."""
+    words = (w.strip("_") for w in _BORDER.split(text or ""))
+    return [w.lower() for w in words if any(map(str.isalnum, w))]
+
+
+def unicode_tokens(text: Column) -> Column:
+    """unicode_words of a column, in Arrow batches: Spark has no function for these borders."""
+
+    def of(batch: pd.Series) -> pd.Series:
+        return batch.map(unicode_words)
+
+    return F.pandas_udf(of, "array<string>")(text)

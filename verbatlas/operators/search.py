@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.stats import round6
-from verbatlas.functions.text import STOPWORDS
+from verbatlas.functions.text import STOPWORDS, TOKEN, fold
+from verbatlas.plans.grammar import Query, parse
 
 K1, B = 1.2, 0.75
 
@@ -55,6 +57,73 @@ def search(rows: DataFrame, terms: list[tuple[str, str]], without: list[str] = (
     return out.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
+def query_terms(query: Query) -> tuple[list[list[tuple[str, str]]], list[tuple[str, str]]]:
+    """The AND groups and the excluded terms of a parsed query, as terms over index tokens.
+
+    Words and prefixes match the beginnings of tokens, each token of a word by itself; stopwords go unless all are."""
+
+    def of(term) -> list[tuple[str, str]]:
+        tokens = regex.findall(TOKEN, term.text.lower())
+        if term.form == "phrase":
+            return [("phrase", " ".join(tokens))] if tokens else []
+        return [("prefix", t) for t in tokens]
+
+    stop = lambda t: t[0] == "prefix" and t[1] in STOPWORDS
+    groups = [list(dict.fromkeys(t for term in g for t in of(term))) for g in query.any_of]
+    if not all(stop(t) for g in groups for t in g):
+        groups = [[t for t in g if not stop(t)] for g in groups]
+    return [g for g in groups if g], [t for term in query.without for t in of(term)]
+
+
+def search_text(rows: DataFrame, text: str, columns: dict[str, str], titles: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """Documents by their best passage for a query in the search language.
+
+    A passage counts if it holds a term of an AND group and it or its document's ``titles`` (doc_id, toks) hold the
+    others; its cover is the best share that it holds itself.  ``columns`` names the column behind each field.
+    Statistics are those of all ``rows``, whatever the fields select: one row, the only thing broadcast."""
+    query = parse(text)
+    groups, without = query_terms(query)
+    if not groups:
+        raise ValueError("the query has no positive term")
+    if unknown := set(query.fields) - set(columns) - {"in"}:
+        raise ValueError(f"this table has no field {', '.join(sorted(unknown))}")
+    terms = [t for g in groups for t in g]  # a term of several groups counts in each
+    counts = F.array(*[_held(*t).cast("long") for t in terms])
+    counted = rows.withColumn("tf", counts)
+    every = lambda of: F.array(*[of(k) for k in range(len(terms))])
+    stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tok").alias("avgdl"), every(lambda k: F.count_if(F.col("tf")[k] > 0)).alias("df"))
+    kept = counted.filter(F.exists("tf", lambda n: n > 0))
+    for name, value in query.fields.items():
+        if name != "in":
+            kept = kept.filter(fold(F.col(columns[name])) == fold(F.lit(value)))
+    for source, flags in query.patterns:
+        kept = kept.filter(F.col("line").rlike("".join(f"(?{f})" for f in "ims" if f in flags) + source))
+    for t in without:
+        kept = kept.filter(_held(*t) == 0)
+    held = lambda k: F.col("tf")[k] > 0
+    near = held
+    if titles is not None:
+        named = titles.groupBy("doc_id").agg(every(lambda k: F.max(_held(*terms[k]) > 0)).alias("named"))
+        kept = kept.join(named, "doc_id", "left")
+        near = lambda k: held(k) | F.coalesce(F.col("named")[k], F.lit(False))
+    shares, at = [], 0
+    for g in groups:
+        own = range(at, at := at + len(g))
+        n = sum(held(k).cast("int") for k in own)
+        shares.append(F.when((n > 0) & F.forall(F.array(*map(near, own)), lambda x: x), n / len(g)))
+    kept = kept.withColumn("cover", F.array_max(F.array(*shares))).filter("cover IS NOT NULL")
+
+    def weight(k: int) -> Column:
+        tf, df = F.col("tf")[k], F.col("df")[k]
+        idf = F.ln((F.col("N") - df + 0.5) / (df + 0.5))
+        return F.when(tf > 0, F.when(idf > 0, idf).otherwise(1e-6) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tok") / F.col("avgdl")))).otherwise(0.0)
+
+    scored = kept.crossJoin(F.broadcast(stats)).select("doc_id", "line_start", "cover", round6(sum(weight(k) for k in range(len(terms)))).alias("score"))
+    best = scored.groupBy("doc_id").agg(F.max(F.struct("cover", "score", (-F.col("line_start")).alias("up"))).alias("b"), F.count(F.lit(1)).alias("passages"))
+    out = best.select("doc_id", (-F.col("b.up")).alias("line_start"), F.col("b.cover").alias("cover"), round6(F.col("b.score") * F.col("b.cover")).alias("score"), "passages")
+    return out.orderBy(F.desc("score"), "doc_id").limit(limit)
+
+
 def merge_ranks(results: DataFrame, by: str) -> DataFrame:
     """Scores of several corpora made comparable: each by its corpus's best."""
     return results.withColumn("rank", round6(F.col("score") / F.max("score").over(Window.partitionBy(by))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatlas.functions import dates, ids
 from verbatlas.functions.stats import round6
 from verbatlas.functions.text import STOPWORDS, date_floor, fold, normalise_url, record_id, strip_html, year_of
 from verbatlas.operators import concord, search, topics
@@ -212,6 +213,39 @@ def search_not(spark, d):
     return search.search(_p(spark, d), [("word", "disgusting"), ("word", "trash")], without=["stupid"])
 
 
+_TEXT = """, f AS (SELECT doc_id, line_start, bool_or(term = 0) AND bool_or(term = 1) AS g0, bool_or(term = 2) AS g1 FROM h GROUP BY ALL),
+c AS (SELECT b.doc_id, b.line_start, score, 1.0::DOUBLE AS cover FROM b JOIN f ON b.doc_id = f.doc_id AND b.line_start = f.line_start JOIN p ON b.doc_id = p.doc_id AND b.line_start = p.line_start
+  WHERE (g0 OR g1) AND lang = 'en' AND len(list_filter(toks, lambda w: starts_with(w, 'stupid'))) = 0),
+best AS (SELECT doc_id, max({'cover': cover, 'score': score, 'up': -line_start}) AS m, count(*) AS passages FROM c GROUP BY doc_id)
+SELECT doc_id, -m.up AS line_start, m.cover AS cover, round(m.score * m.cover * 1e6) / 1e6 AS score, passages FROM best ORDER BY 4 DESC, doc_id LIMIT 20"""
+
+
+@query(_bm25([("prefix", "disgust"), ("prefix", "trash"), ("phrase", "of the")], _TEXT))
+def search_query_text(spark, d):
+    return search.search_text(_p(spark, d), 'disgust* trash OR "of the" -stupid lang:en', {"lang": "lang", "genre": "source"})
+
+
+@query("""SELECT o_orderkey, strftime(day, '%-d %B %Y') AS shown, strftime(day, '%B %Y') AS shown_month, strftime(day, '%Y-%m') AS month, CAST(date_trunc('quarter', day) AS VARCHAR)[:10] AS first_day,
+CAST(date_trunc('quarter', day) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS VARCHAR)[:10] AS last_day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)""")
+def dates_shown(spark, d):
+    day = F.to_date("o_orderdate")
+    text, span = day.cast("string"), dates.period_span(F.concat(F.year(day), F.lit("-Q"), F.quarter(day)))
+    return table(spark, d, "orders").select(
+        "o_orderkey", dates.british_date(text).alias("shown"), dates.british_date(F.substring(text, 1, 7)).alias("shown_month"), dates.month_of(text).alias("month"), span["first"].alias("first_day"), span["last"].alias("last_day")
+    )
+
+
+@query("""SELECT event_id, strftime(epoch_ms(event_id * 60007 + 86400000 + 1288834974657), '%Y-%m-%dT%H:%M:%SZ') AS at_utc, 'c' || CASE WHEN event_id < 1000000 THEN lpad(CAST(event_id AS VARCHAR), 6, '0') ELSE CAST(event_id AS VARCHAR) END AS numbered FROM events""")
+def numbered_ids(spark, d):
+    post = F.shiftleft(F.col("event_id").cast("long") * 60007 + 86400000, 22).cast("string")
+    return table(spark, d, "events").select("event_id", dates.snowflake_time(post).alias("at_utc"), ids.numbered_id("c", F.col("event_id")).alias("numbered"))
+
+
+@query("SELECT page_id, 'file://' || replace(url_encode(url), '%2F', '/') AS file, 'app:' || url_encode(url) || ':7' AS link FROM pages")
+def links_encoded(spark, d):
+    return table(spark, d, "pages").select("page_id", ids.file_url(F.col("url")).alias("file"), ids.render_link("app:{path}:{line}", F.col("url"), F.lit(7)).alias("link"))
+
+
 @query(_bm25([("word", "disgusting"), ("word", "trash")], "SELECT b.doc_id, b.line_start, lang, score, round(score / max(score) OVER (PARTITION BY lang) * 1e6) / 1e6 AS rank FROM b JOIN p ON b.doc_id = p.doc_id AND b.line_start = p.line_start"))
 def search_merge_rank(spark, d):
     p = _p(spark, d)
@@ -320,12 +354,12 @@ def majority_themes(spark, d):
     return topics.majority(table(spark, d, "events"), "user_id", "event_type")
 
 
-@query("""WITH w AS (SELECT DISTINCT s_suppkey AS id, unnest(string_split(lower(trim(s_name)), ' ')) AS w FROM supplier UNION SELECT DISTINCT 1000000 + p_partkey, unnest(string_split(lower(trim(p_name)), ' ')) FROM part WHERE p_partkey <= 300), s AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+@query("""WITH w AS (SELECT DISTINCT s_suppkey AS id, unnest(string_split(lower(trim(s_name)), ' ')) AS w FROM supplier UNION SELECT DISTINCT 1000000 + p_partkey, unnest(string_split(lower(trim(p_name)), ' ')) FROM part), s AS (SELECT id, count(*) AS n FROM w GROUP BY id),
 b AS (SELECT x.id, y.id AS id2, count(*) AS c FROM w x JOIN w y ON x.w = y.w AND x.id < y.id GROUP BY ALL)
 SELECT b.id, id2, round(c / (p.n + q.n - c) * 1000) / 1000 AS jaccard, round(2 * c / (p.n + q.n) * 1000) / 1000 AS dice FROM b JOIN s p ON b.id = p.id JOIN s q ON b.id2 = q.id WHERE c / (p.n + q.n - c) >= 0.5""")
 def merge_candidate_scores(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"))
-    p = table(spark, d, "part").filter("p_partkey <= 300").select((F.col("p_partkey") + 1000000).cast("long").alias("id"), F.col("p_name").alias("name"))
+    p = table(spark, d, "part").select((F.col("p_partkey") + 1000000).cast("long").alias("id"), F.col("p_name").alias("name"))
     return topics.name_pairs(s.unionByName(p))
 
 

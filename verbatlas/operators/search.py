@@ -88,8 +88,10 @@ def search_text(rows: DataFrame, text: str, columns: dict[str, str], titles: Dat
     if unknown := set(query.fields) - set(columns) - {"in"}:
         raise ValueError(f"this table has no field {', '.join(sorted(unknown))}")
     terms = [t for g in groups for t in g]  # a term of several groups counts in each
-    counts = F.array(*[_held(*t).cast("long") for t in terms])
-    counted = rows.withColumn("tf", counts)
+    counts, barred = F.array(*[_held(*t).cast("long") for t in terms]), F.array(F.lit(0), *[_held(*t) for t in without])
+    # made by a generator, below which no filter moves, the counts are taken once a passage
+    once = F.inline(F.array(F.struct(counts.alias("tf"), F.array_max(barred).alias("barred"))))
+    counted = rows.select(*rows.columns, once)
     every = lambda of: F.array(*[of(k) for k in range(len(terms))])
     stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tok").alias("avgdl"), every(lambda k: F.count_if(F.col("tf")[k] > 0)).alias("df"))
     kept = counted.filter(F.exists("tf", lambda n: n > 0))
@@ -98,8 +100,7 @@ def search_text(rows: DataFrame, text: str, columns: dict[str, str], titles: Dat
             kept = kept.filter(fold(F.col(columns[name])) == fold(F.lit(value)))
     for source, flags in query.patterns:
         kept = kept.filter(F.col("line").rlike("".join(f"(?{f})" for f in "ims" if f in flags) + source))
-    for t in without:
-        kept = kept.filter(_held(*t) == 0)
+    kept = kept.filter("barred = 0")
     held = lambda k: F.col("tf")[k] > 0
     near = held
     if titles is not None:

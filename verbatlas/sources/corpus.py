@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions.text import tokens
 
+#: A line with such a character has a token.
+TOKEN_START = r"[\p{L}\p{N}]"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,7 +19,8 @@ def passages(docs: DataFrame) -> DataFrame:
     """Non-blank lines with tokens: doc_id, lang, source, line_start (from 1), line, toks, n_tok."""
     lines = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     toks = lines.select("doc_id", "lang", "source", (F.col("pos") + 1).cast("long").alias("line_start"), "line", tokens(F.col("line")).alias("toks"))
-    return toks.filter(F.size("toks") > 0).withColumn("n_tok", F.size("toks").cast("long"))
+    # a filter on the tokens would move below them and take them twice
+    return toks.filter(F.col("line").rlike(TOKEN_START)).withColumn("n_tok", F.size("toks").cast("long"))
 
 
 def words(rows: DataFrame) -> DataFrame:

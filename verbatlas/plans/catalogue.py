@@ -405,15 +405,19 @@ def index2_tags(spark, d):
     return table(spark, d, "conversations").groupBy(F.lower(F.trim("role")).alias("tag")).agg(F.count(F.lit(1)).alias("n")).filter("tag <> ''")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN 'removed' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM documents UNION ALL SELECT 'new-' || CAST(doc_id AS VARCHAR), 'added' FROM documents WHERE doc_id < 3")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN lang = 'fr' THEN 'removed' WHEN lang = 'es' THEN 'changed' ELSE 'unchanged' END AS change FROM documents
+UNION ALL SELECT 'fr/' || CAST(doc_id AS VARCHAR), 'added' FROM documents WHERE lang = 'fr'""")
 def incremental_diff(spark, d):
+    """All documents against a later state in which French ones moved to a folder and Spanish ones were edited."""
     from verbatlas.sources.corpus import snapshot_diff
 
     docs = table(spark, d, "documents")
-    snap = docs.select(F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("mtime"), F.col("n_chars").alias("size"), F.sha1(F.col("text").cast("binary")).alias("hash"))
-    after = snap.filter("doc_id % 7 <> 0").withColumn("hash", F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(F.col("hash"))).withColumn("mtime", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1))
-    after = after.unionByName(snap.filter("doc_id < 3").withColumn("path", F.concat(F.lit("new-"), "path")))
-    return snapshot_diff(snap.drop("doc_id"), after.drop("doc_id"))
+    path, edited = F.col("doc_id").cast("string"), F.coalesce(F.col("lang") == "es", F.lit(False))
+    before = docs.select(path.alias("path"), F.lit(1).alias("mtime"), F.col("n_chars").alias("size"), F.sha1(F.col("text").cast("binary")).alias("hash"))
+    moved = F.when(F.col("lang") == "fr", F.concat(F.lit("fr/"), path)).otherwise(path)
+    text = F.when(edited, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    after = docs.select(moved.alias("path"), F.when(edited, 2).otherwise(1).alias("mtime"), F.col("n_chars").alias("size"), F.sha1(text.cast("binary")).alias("hash"))
+    return snapshot_diff(before, after)
 
 
 @query("""WITH p AS (SELECT n_nationkey AS id, n_nationkey AS doc, n_name AS name FROM nation) SELECT r_regionkey AS row_id, doc, 'key' AS matched FROM region JOIN p ON r_regionkey = doc WHERE r_regionkey % 2 = 0

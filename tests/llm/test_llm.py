@@ -86,6 +86,16 @@ def test_jaccard_edges(spark):
     assert ngram_jaccard.link(docs(spark, []), 4, 85, 100).count() == 0
 
 
+def test_jaccard_keeps_rows_of_repeated_ids(spark):
+    say = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    near = say("b") + " end"
+    rows = [(None, say("a")), (None, say("b")), (None, say("c")), (5, say("d")), (5, say("e")), (9, near), (7, say("e") + " end"), (5, say("d")), (6, ""), (6, ""), (8, "")]
+    kept = sorted(((x.doc_id, x.text) for x in ngram_jaccard.keep_one(docs(spark, rows), 5, 80, 100).collect()), key=str)
+    assert kept == sorted([(None, say("a")), (None, say("b")), (None, say("c")), (5, say("d")), (5, say("e")), (6, ""), (8, "")], key=str)
+    one = [(3, say("e")), (5, say("d")), (5, say("e"))]  # the other text of id 5 has no copy
+    assert sorted((x.doc_id, x.text) for x in ngram_jaccard.keep_one(docs(spark, one), 5, 80, 100).collect()) == [(3, say("e")), (5, say("d"))]
+
+
 def test_repeated_strings(spark):
     r = random.Random(2)
     base = ["".join(r.choice("abcdefgh é") for _ in range(300)) for _ in range(3)]

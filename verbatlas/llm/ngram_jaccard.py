@@ -256,12 +256,30 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Data
     return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "id")).alias("component_id"))
 
 
+def _repeats(docs: DataFrame) -> bool:
+    """Does any id, null being one, stand in several rows?"""
+    return bool(docs.groupBy(id_key().alias("_id")).count().filter("count > 1").head(1))
+
+
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each group of linked documents; all columns stay."""
-    found = settle(link(docs, words, num, den).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.coalesce("component_id", F.lit(NULL_ID)).alias("_group")))
-    gone = settle(found.filter("_id <> _group").select("_id").distinct())
+    """``docs`` with one row, that of the smallest id, of each group of linked rows; all columns stay.
+
+    Every row is linked and kept by itself, also where ids are null or repeated: of several texts under one id only
+    those go that are linked.  Of rows of one id in a group, that of the least text hash stays.  Texts without words
+    link with nothing; only rows that repeat id and text of such a one go."""
+    if _repeats(docs):
+        keyed = settle(docs.withColumn("_key", F.monotonically_increasing_id()))
+        found = link(keyed.select(F.col("_key").alias("doc_id"), "text"), words, num, den)
+        rows = found.select(F.col("doc_id").alias("_key"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
+        text = F.col("text").cast("string")
+        rows = settle(rows.join(keyed.select("_key", id_key().alias("_id"), F.sha2(text, 256).alias("_hash")), "_key"))
+        copies = F.when(F.col("_group").isNull(), F.struct("_id", "_hash"))
+        stay = rows.groupBy("_group", copies.alias("_copies")).agg(F.min(F.struct("_id", "_hash", "_key")).alias("k")).select("k._key")
+        gone = settle(rows.select("_key").join(stay, "_key", "left_anti"))
+    else:
+        keyed = docs.withColumn("_key", id_key())
+        found = link(docs, words, num, den).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"), F.coalesce("component_id", F.lit(NULL_ID)).alias("_group"))
+        gone = settle(found.filter("_key <> _group").select("_key"))
     few = gone.count() <= SENT_IDS
-    kept = docs.withColumn("_id", id_key()).join(F.broadcast(gone) if few else gone, "_id", "left_anti")
-    if found.groupBy("_id").count().filter("count > 1").head(1):  # rows that repeat an id
-        kept = kept.dropDuplicates(["_id"])
+    kept = keyed.join(F.broadcast(gone) if few else gone, "_key", "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

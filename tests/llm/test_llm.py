@@ -86,6 +86,13 @@ def test_jaccard_edges(spark):
     assert ngram_jaccard.link(docs(spark, []), 4, 85, 100).count() == 0
 
 
+def test_jaccard_links_every_text_of_an_id(spark):
+    say = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, say("a", 203)), (None, say("b", 53)), (9, say("b", 53) + " end"), (4, say("c", 203)), (4, say("d", 53)), (6, say("d", 53) + " end"), (7, say("f", 30))]
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in ngram_jaccard.link(docs(spark, rows), 4, 85, 100).collect()}
+    assert got == {(None, 200, None), (None, 50, None), (9, 51, None), (4, 200, 4), (4, 50, 4), (6, 51, 4), (7, 27, 7)}
+
+
 def test_jaccard_keeps_rows_of_repeated_ids(spark):
     say = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
     near = say("b") + " end"

@@ -217,8 +217,8 @@ def _close(groups: DataFrame, num: int, den: int) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``; links have den * intersection >= num * union."""
+def _linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs``, each of which has an id of its own."""
     rows = settle(sketched(docs, words, num, den))
     classes = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     idmap = settle(rows.filter("n > 0").select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("id", "rep"))
@@ -229,7 +229,7 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Data
     to_rep = lambda df, column: df.join(reps.select(F.col("id").alias(column), F.col("rep").alias(f"{column}_rep")), column).drop(column).withColumnRenamed(f"{column}_rep", column)
     first = to_rep(to_rep(stars.select("lo", "id").distinct(), "lo"), "id").filter("lo <> id")
     first = settle(first.select(F.least("lo", "id").alias("a"), F.greatest("lo", "id").alias("b")).distinct())
-    info = rows.filter("n > 0").join(reps.filter("id = rep").select("id"), "id", "left_semi").groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("i")).select("id", "i.n", "i.sketch")
+    info = rows.filter("n > 0").join(reps.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "sketch")
     linked = settle(_verified(settle(_bounded(first, info, num, den)), docs, words, num, den))
     found = settle(components(linked))
     # groups of three or more that still hold several components
@@ -261,6 +261,24 @@ def _repeats(docs: DataFrame) -> bool:
     return bool(docs.groupBy(id_key().alias("_id")).count().filter("count > 1").head(1))
 
 
+def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs``; links have den * intersection >= num * union.
+
+    Where ids are repeated, every row is linked by itself, with the size and sketch of its own set; then the groups
+    that rows of one id are in are joined."""
+    if not _repeats(docs):
+        return _linked(docs, words, num, den)
+    keyed = settle(docs.select(F.monotonically_increasing_id().alias("doc_id"), id_key().alias("_id"), "text"))
+    found = _linked(keyed.select("doc_id", "text"), words, num, den)
+    found = settle(found.join(keyed.select("doc_id", "_id"), "doc_id").select("_id", "n_shingles", "component_id"))
+    several = found.groupBy("_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo < hi").select("_id", "lo")
+    joined = components(settle(found.join(several, "_id").filter("component_id <> lo").select("component_id", "lo").distinct()))
+    found = settle(found.join(joined.withColumnRenamed("component", "_top"), F.col("component_id") == F.col("node"), "left").select("_id", "n_shingles", F.coalesce("_top", "component_id").alias("_group")))
+    least = found.groupBy("_group").agg(F.min("_id").alias("_least"))
+    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return found.join(least, "_group").select(real("_id").alias("doc_id"), "n_shingles", real("_least").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row, that of the smallest id, of each group of linked rows; all columns stay.
 
@@ -269,7 +287,7 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     link with nothing; only rows that repeat id and text of such a one go."""
     if _repeats(docs):
         keyed = settle(docs.withColumn("_key", F.monotonically_increasing_id()))
-        found = link(keyed.select(F.col("_key").alias("doc_id"), "text"), words, num, den)
+        found = _linked(keyed.select(F.col("_key").alias("doc_id"), "text"), words, num, den)
         rows = found.select(F.col("doc_id").alias("_key"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
         text = F.col("text").cast("string")
         rows = settle(rows.join(keyed.select("_key", id_key().alias("_id"), F.sha2(text, 256).alias("_hash")), "_key"))
@@ -278,7 +296,7 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
         gone = settle(rows.select("_key").join(stay, "_key", "left_anti"))
     else:
         keyed = docs.withColumn("_key", id_key())
-        found = link(docs, words, num, den).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"), F.coalesce("component_id", F.lit(NULL_ID)).alias("_group"))
+        found = _linked(docs, words, num, den).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"), F.coalesce("component_id", F.lit(NULL_ID)).alias("_group"))
         gone = settle(found.filter("_key <> _group").select("_key"))
     few = gone.count() <= SENT_IDS
     kept = keyed.join(F.broadcast(gone) if few else gone, "_key", "left_anti")

@@ -167,6 +167,27 @@ def test_secrets(spark):
     assert secret_scan.digest(docs(spark, [])).count() == 0
 
 
+def test_secrets_in_url_safe_runs():
+    part = lambda tag, data: bytes([tag, len(data)]) + data
+    r = random.Random(5)
+    for k in range(200):
+        octets = part(0x04, r.randbytes(60 + k % 3))
+        data = part(0x30, part(0x02, b"\0") + part(0x30, part(0x06, b"\x2a\x86\x48")) + octets)
+        for code in (base64.urlsafe_b64encode(data).decode(), base64.b64encode(data).decode()):
+            for before, after in (("", ""), ("x ", " y"), ("key-", "")) + ((("a/", ""), ("", "_b"), ("", "/b")) if not code.endswith("=") else ()):
+                assert secret_scan.confirmed_spans(before + code + after).get("der") == [(len(before), len(before + code))], (before, code, after)
+    field = lambda data: len(data).to_bytes(4, "big") + data
+    for k in range(50):
+        code = base64.urlsafe_b64encode(field(b"ssh-ed25519") + field(r.randbytes(33))).decode()
+        assert secret_scan.confirmed_spans("k_" + code + " z").get("ssh") == [(2, 2 + len(code))]
+        code = base64.urlsafe_b64encode(b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + r.randbytes(90)).decode()
+        assert secret_scan.confirmed_spans(code + " z").get("ssh") == [(0, len(code))]
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "none"}).encode()).decode().rstrip("=")
+    token = f"{head}.e30.eyJhIjoxfQ"
+    assert secret_scan.confirmed_spans(f"sessionid.{token} z")["jwt"] == [(10, 10 + len(token))]
+    assert secret_scan.confirmed_spans(f"somehost1.sessionid.{token}")["jwt"] == [(20, 20 + len(token))]
+
+
 def test_encoder(spark):
     ranks = byte_bpe.read_ranks(RANKS)
     theirs = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -38,7 +38,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)", re.ASCII)
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}")
+STRETCHES = (re.compile(r"[A-Za-z0-9+/]{40,}"), re.compile(r"[A-Za-z0-9_-]{40,}"))
+PAD = re.compile("={0,2}")
+#: First characters of a DER sequence, a key blob and an OpenSSH private key, after the run's start or a sign that is no letter or digit.
+FIRST = re.compile(r"(?<![A-Za-z0-9])(?:M|AAAA|b3BlbnNzaC1rZXktdjE)")
 HEXRUN = re.compile(r"(?:[0-9a-f]{2}){20,}|(?:[0-9A-F]{2}){20,}")
 
 
@@ -122,6 +126,53 @@ def is_ssh_key(data: bytes | None) -> bool:
     return at == len(data) and len(seen) >= 2 and re.match(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+$", seen[0]) is not None
 
 
+def _chars(n: int) -> int:
+    """Characters of n bytes in base64 without padding."""
+    return -(-n * 4 // 3)
+
+
+def key_ends(text: str, start: int, end: int) -> Iterator[int]:
+    """Where a key that begins at start, in a run up to end, can end: by its own lengths, or with the stretch of one alphabet."""
+    head = unbase64(text[start : min(start + 12, end)]) or b""
+    if head[:1] == b"\x30":
+        n = head[1] & 0x7F if head[1] >= 0x80 else 0
+        if n <= 4:
+            yield start + _chars(2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]))
+        return
+    blob = head[:3] == b"\0\0\0"
+    if blob and not head[4:].startswith((b"ssh-", b"ecdsa", b"sk-ss", b"sk-ec")):
+        return
+    for alphabet in STRETCHES:
+        if m := alphabet.match(text, start, end):
+            yield m.end()
+            if blob:  # it has no length of the whole: after the last field that ends well
+                data = unbase64(m[0][: len(m[0]) - (len(m[0]) % 4 == 1)]) or b""
+                at, found = 0, []
+                while at + 4 <= len(data) and (at := at + 4 + int.from_bytes(data[at : at + 4], "big")) <= len(data):
+                    found.append(start + _chars(at))
+                yield from found[1:]
+
+
+def key_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the base64 keys: each run is tried, in both alphabets, from its start and after every sign in it."""
+    for run in RUN.finditer(text):
+        done = run.start()
+        for first in FIRST.finditer(text, run.start(), run.end()):
+            start = first.start()
+            if start < done:
+                continue
+            for end in sorted(set(key_ends(text, start, run.end())), reverse=True):
+                whole = end == run.end() or text[min(end, len(text) - 1)] in "+/-_"
+                if end - start < 40 or end > run.end() or not whole or not any(x.fullmatch(text, start, end) for x in STRETCHES):
+                    continue
+                data = unbase64(text[start:end])
+                kind = "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+                if kind:
+                    done = end
+                    yield start, PAD.match(text, end).end(), kind
+                    break
+
+
 def is_token_header(part: str) -> bool:
     """Does a signed token's first part decode to a JSON object with an "alg" string?"""
     data = unbase64(part)
@@ -152,13 +203,14 @@ def confirmed_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             if is_der_key(data) or is_ssh_key(data):
                 found.setdefault("pem", []).append(m.span())
     if "eyJ" in text or "ey" in text:
-        found["jwt"] = [m.span() for m in JWT.finditer(text) if unbase64(m[2]) is not None and is_token_header(m[1])]
-    for m in RUN.finditer(text):
-        data = unbase64(m[0])
-        if is_der_key(data):
-            found.setdefault("der", []).append(m.span())
-        elif is_ssh_key(data):
-            found.setdefault("ssh", []).append(m.span())
+        at, found["jwt"] = 0, []
+        while m := JWT.search(text, at):
+            good = unbase64(m[2]) is not None and is_token_header(m[1])
+            if good:
+                found["jwt"].append(m.span())
+            at = m.end() if good else m.start(2)  # a token may begin at the second part
+    for start, end, kind in key_runs(text):
+        found.setdefault(kind, []).append((start, end))
     for m in HEXRUN.finditer(text):
         data = bytes.fromhex(m[0])
         if is_der_key(data):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from verbatlas.functions.stats import log_dice, log_likelihood, mutual_information
 from verbatlas.functions.text import date_floor, fold
-from verbatlas.operators import concord, topics
+from verbatlas.operators import concord, search, topics
 from verbatlas.plans import catalogue
 from verbatlas.sources.corpus import frontmatter, passages
 
@@ -81,3 +81,22 @@ def test_logs(spark):
     assert topics.fold_patches(base, ops).first()["items"] == ["b", "c"]
     links = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4), (6, 9)], "id long, into long")
     assert {r.id: r.root for r in topics.resolve_chain(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
+def test_quotes_at_every_place(spark):
+    text = 'He said "the quick brown fox" (and the lazy dog, too) at the end. 漢字 the quick brown fox'
+    quotes = ["the quick brown fox", "quick brown", "the lazy dog", "and the lazy", "dog", "ick brown fo", "(and the lazy dog, too)", "the end.", "no such words in here", "", "漢字 the quick brown fox", "the slow dog"]
+    docs = spark.createDataFrame([(1, text), (None, "the lazy dog"), (2, "aaaa" * 10), (3, None), (4, "")], "doc_id long, text string")
+    frame = spark.createDataFrame([*enumerate(quotes), (50, "aaaa" * 4), (51, "aaa"), (52, None)], "item_id long, text string")
+    want = set()
+    for item, quote in [*enumerate(quotes), (50, "aaaa" * 4), (51, "aaa")]:
+        for doc, whole in [(1, text), (None, "the lazy dog"), (2, "aaaa" * 10)]:
+            at = -len(quote)
+            while quote and (at := whole.find(quote, at + len(quote) if at >= 0 else 0)) >= 0:
+                want.add((item, doc, at + 1))
+    assert {tuple(x) for x in search.verify_quotes(docs, frame).collect()} == want
+    assert len(want) == 29
+    least = {}
+    for item, doc, at in want:
+        least[item, doc] = min(at, least.get((item, doc), at))
+    assert {(x.item_id, x.doc_id): x["at"] for x in search.verify_quotes(docs, frame, first=True).collect()} == least

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,14 +170,74 @@ def fuse(first: DataFrame, second: DataFrame, key: str, pool: int = 100, k: int
     return both.select(key, round6(F.coalesce("v1", F.lit(0.0)) + F.coalesce("v2", F.lit(0.0))).alias("score"))
 
 
-def verify_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(item_id, doc_id, at) of every quote that a text holds word for word, by an equi-join on the first words.
-
-    ``quotes``: item_id and text.  Every text is cut at each word start, and only places that begin
-    with some quote's first three words are compared in full."""
-    key = lambda t: F.array_join(F.slice(F.split(t, r"[ \n]"), 1, 3), " ")
-    q = quotes.filter(F.length("text") > 0).select("item_id", F.col("text").alias("quote"), key(F.col("text")).alias("k"))
-    places = docs.select("doc_id", "text", F.split("text", r"[ \n]", -1).alias("w"))
-    starts = places.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("at", "k"))
-    hits = starts.join(q, "k").select("doc_id", "item_id", "quote").distinct()
-    return hits.join(docs.select("doc_id", "text"), "doc_id").filter(F.expr("contains(text, quote)")).select("item_id", "doc_id", F.instr("text", F.col("quote")).cast("long").alias("at"))
+#: Characters of the piece of a quote that texts are looked through for; shorter quotes are looked for as they are.
+GRAM = 12
+
+#: Pieces (8 bytes each) that are sent to the tasks of one pass over the texts; more quotes take more passes.
+SENT_PIECES = 1_000_000
+
+
+def gram_hashes(text: str) -> np.ndarray:
+    """A hash of the ``GRAM`` characters at each place of a text."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(c) - GRAM + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM if n else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + n]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def verify_quotes(docs: DataFrame, quotes: DataFrame, first: bool = False) -> DataFrame:
+    """(item_id, doc_id, at) of every place, or only the first in each text, where a text holds a quote character for character.
+
+    ``quotes``: item_id and text; null and empty ones are nowhere.  Places are counted in characters from 1 and do not
+    overlap.  A quote is looked for by the piece of it that has the least hash, wherever words begin, and texts that
+    hold such a piece are compared in full; quotes too short for a piece are compared with every text."""
+    doc, item = docs.schema["doc_id"].dataType.simpleString(), quotes.schema["item_id"].dataType.simpleString()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = [int(h.min()) if len(h := gram_hashes(x.as_py())) else None for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], names=["item_id", "quote", "k"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at = [], []
+            for i, (text, quote) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                text, quote, here = text.as_py(), quote.as_py(), 0
+                while (here := text.find(quote, here)) >= 0:
+                    row.append(i)
+                    at.append(here + 1)
+                    if first:
+                        break
+                    here += len(quote)
+            ids = [batch.column(c).take(pa.array(row, pa.int64())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int64())], names=["item_id", "doc_id", "at"])
+
+    def holding(keys: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, held = [], []
+                for i, text in enumerate(batch.column(1)):
+                    h = gram_hashes(text.as_py())
+                    k = np.unique(h[keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h])
+                    if len(k):
+                        row.append(i)
+                        held.append(k.tolist())
+                out = [c.take(pa.array(row, pa.int64())) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(held, pa.list_(pa.int64()))], names=["doc_id", "text", "ks"])
+
+        return run
+
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    q = quotes.filter(F.length("text") > 0).select("item_id", F.col("text").alias("quote")).mapInArrow(keyed, f"item_id {item}, quote string, k long")
+    both = texts.join(F.broadcast(q.filter("k IS NULL")), F.expr("contains(text, quote)")).select("item_id", "doc_id", "text", "quote")
+    pieces = q.filter("k IS NOT NULL").select("k").distinct()
+    passes = -(-pieces.count() // SENT_PIECES)
+    for i in range(passes):
+        keys = np.array(sorted(x.k for x in pieces.filter(F.pmod("k", F.lit(passes)) == i).toLocalIterator()), np.int64)
+        if len(keys):
+            held = texts.mapInArrow(holding(keys), f"doc_id {doc}, text string, ks array<long>").select("doc_id", "text", F.explode("ks").alias("k"))
+            both = both.unionByName(held.join(q, "k").filter(F.expr("contains(text, quote)")).select("item_id", "doc_id", "text", "quote"))
+    return both.mapInArrow(places, f"item_id {item}, doc_id {doc}, at long")

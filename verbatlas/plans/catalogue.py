@@ -299,7 +299,7 @@ def rrf_competition_rank(spark, d):
 
 @query("SELECT item_id, doc_id, instr(d.text, b.text) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)".replace("AS at", 'AS "at"'))
 def verify_quote(spark, d):
-    return search.verify_quotes(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return search.verify_quotes(table(spark, d, "documents"), table(spark, d, "benchmark"), first=True)
 
 
 @query("SELECT event_type AS value, count(DISTINCT event_id) AS count FROM events GROUP BY event_type")

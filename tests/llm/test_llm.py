@@ -301,3 +301,11 @@ def test_trees(spark):
     long = spark.createDataFrame([(1, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(100)], "conv_id long, turn long, role string, text string")
     assert chat_tree.digest(chat_tree.chain(long)).first().n_turns == 100
     assert chat_tree.digest(chat_tree.chain(long.limit(0))).count() == 0
+
+
+def test_chat_has_the_best_path_of_each_root(spark):
+    rows = [(1, 1, None, 5.0), (1, 2, 1, 1.0), (1, 3, 1, 2.0), (1, 4, None, 0.0), (1, 5, 4, 1.0), (1, 6, 5, 1.0), (1, 7, 99, 0.5), (1, 8, None, 0.0), (2, 1, None, 0.0)]
+    df = spark.createDataFrame([(c, i, up, "user", f"m{i}", s) for c, i, up, s in rows], "conv_id long, msg_id long, parent_id long, role string, text string, score double")
+    read = chat_tree.read_back(chat_tree.format_paths(df)).collect()
+    got = sorted((x.conv_id, [t.text for t in x.turns]) for x in read)
+    assert got == [(1, ["m1", "m3"]), (1, ["m4", "m5", "m6"]), (1, ["m7"]), (1, ["m8"]), (2, ["m1"])]

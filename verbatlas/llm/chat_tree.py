@@ -58,22 +58,22 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(c, leaf, branch, place, role, text): the turns of the ``branches`` best root-to-leaf paths of each root."""
     turns = settle(_turns(messages))
     n = turns.count()
-    # jump[k]: each message's ancestor 2**k replies up with the score of the messages passed on the way
-    jumps = [turns.select("c", "id", F.col("up").alias("to"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"))]
+    # jump[k]: each message's ancestor 2**k replies up with the score of the messages passed on the way, and the last message of that way, in the end the root
+    jumps = [turns.select("c", "id", F.col("up").alias("to"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"), F.coalesce("up", "id").alias("root"))]
     while True:
         at = jumps[-1]
         going = at.filter("to IS NOT NULL")
         if 1 << len(jumps) > 2 * n or not going.head(1):  # chains longer than the table are cycles
             break
         # only messages whose branch goes on are joined again
-        up = at.select("c", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        further = going.join(up, ["c", "to"]).select("c", "id", F.col("to2").alias("to"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        up = at.select("c", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"), F.col("root").alias("root2"))
+        further = going.join(up, ["c", "to"]).select("c", "id", F.col("to2").alias("to"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("root2").alias("root"))
         new = settle(further.unionByName(at.filter("to IS NULL")))
         jumps.append(new)
-    totals = jumps.pop().filter("to IS NULL").select("c", "id", "sum", "steps")
+    totals = jumps.pop().filter("to IS NULL").select("c", "id", "sum", "steps", "root")
     parents = turns.filter("up IS NOT NULL").select("c", F.col("up").alias("id"))
     leaves = totals.join(parents, ["c", "id"], "left_anti")
-    best = Window.partitionBy("c").orderBy(F.desc("sum"), "steps", "id")
+    best = Window.partitionBy("c", "root").orderBy(F.desc("sum"), "steps", "id")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches)
     reached = chosen.select("c", F.col("id").alias("leaf"), "branch", "steps", "id", F.lit(0).cast("long").alias("back"))
     for k in reversed(range(len(jumps))):

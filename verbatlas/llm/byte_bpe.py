@@ -26,8 +26,8 @@ them.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -75,50 +75,50 @@ class TokenBytes:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.tobytes()), data]).cast(pa.binary())
 
 
+def merged(ranks: dict[bytes, int], data: bytes, stop: int = 1) -> list[int]:
+    """The merge rule on a few bytes: join the leftmost pair of lowest rank until none or ``stop`` parts are left."""
+    get = ranks.get
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > stop:
+        rank, at = min([(get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)])
+        if rank == 1 << 60:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def last_merges(ranks: dict[bytes, int]) -> dict[int, tuple[int, int] | None]:
+    """Of each token that the merge rule makes from its bytes: the two parts that it is made of in the end; None for a byte."""
+    found: dict[int, tuple[int, int] | None] = {}
+    for token, rank in ranks.items():
+        parts = merged(ranks, token, 2)
+        if len(parts) <= 2:
+            found[rank] = (parts[0], parts[1]) if len(parts) == 2 else None
+    return found
+
+
 class PrefixCoder(TokenBytes):
     """Encoder and decoder over one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED, pairs: int = PAIRS):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED, pairs: int = PAIRS, parts: dict[int, tuple[int, int] | None] | None = None):
         super().__init__(ranks)
         self._remembered, self._pairs = remembered, pairs
         self.split = regex.compile(pattern)
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._beside: dict[int, bool] = {}
-        self._sizes = {rank: len(token) for token, rank in ranks.items()}
         self._heads: dict[int, tuple] = {}
         self._tails: dict[int, tuple] = {}
-        self._parts: dict[int, tuple[int, int] | None] = {}
-        self.regular, self._stands = True, set()
+        self._parts = last_merges(ranks) if parts is None else parts
+        self._sizes = {rank: len(self.bytes_of[rank]) for rank in self._parts}
+        if max(self._sizes, default=0) >= 1 << 20:
+            raise ValueError("ranks must be below 2**20")
+        self.regular = all(p is None or max(p) < rank for rank, p in self._parts.items())
         self._ends = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            whole, parts = self._last_merge(token)
-            if not whole:
-                continue
-            self._stands.add(rank)
-            self._parts[rank] = parts
-            self.regular &= parts is None or max(parts) < rank
-            self._ends.add_word(token.decode("latin-1"), (len(token), rank))
+        for rank, size in self._sizes.items():
+            self._ends.add_word(self.bytes_of[rank].decode("latin-1"), (size, rank))
         self._ends.make_automaton()
 
-    def _last_merge(self, token: bytes) -> tuple[bool, tuple[int, int] | None]:
-        """Does the merge rule make this token from its bytes, and from which two parts in the end?"""
-        parts = self._merge(token, 2)
-        if len(parts) == 1:
-            return True, None
-        return len(parts) == 2, (parts[0], parts[1])
-
-    def _merge(self, data: bytes, stop: int = 1) -> list[int]:
-        """The merge rule on a few bytes: join the leftmost pair of lowest rank until none or ``stop`` parts are left."""
-        get = self.ranks.get
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > stop:
-            rank, at = min([(get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)])
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
     def _grown(self, token: int, side: int, kept: dict[int, tuple]) -> tuple:
         """The token and its parts at one side (0 its beginning, 1 its end), smallest first, as (bytes, rank of the next larger)."""
         if (known := kept.get(token)) is None:
@@ -131,7 +131,7 @@ class PrefixCoder(TokenBytes):
 
     def _may_follow(self, left: int, right: int) -> bool:
         if not self.regular:
-            return self._merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            return merged(self.ranks, self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         ends, begins, get = self._grown(left, 1, self._tails), self._grown(right, 0, self._heads), self.ranks.get
         i = j = 0
         while True:
@@ -147,21 +147,27 @@ class PrefixCoder(TokenBytes):
             else:
                 j += 1
 
+    def _beside_each_other(self, left: int, right: int) -> bool:
+        """``_may_follow``, remembered."""
+        if len(self._beside) >= self._pairs:
+            self._beside.clear()
+        ok = self._beside[left << 20 | right] = self._may_follow(left, right)
+        return ok
+
     def table(self, data: bytes, known: list[int] | None = None) -> list[int]:
         """The valid last token of every prefix of ``data``; ``known`` holds the first entries if they are there."""
         last = list(known or [])
-        done, beside = len(last), self._beside
+        done, seen = len(last), self._beside.get
         for at, (size, token) in self._ends.iter(data.decode("latin-1")):  # ends in order
-            if at < done:
-                continue
+            if at != done:
+                if at < done:
+                    continue
+                break  # a prefix without a valid token: found below
             if size <= at:
-                if at - size >= done:
-                    break  # a prefix without a valid token: found below
-                pair = last[at - size] << 32 | token
-                if (ok := beside.get(pair)) is None:
-                    if len(beside) >= self._pairs:
-                        beside.clear()
-                    ok = beside[pair] = self._may_follow(last[at - size], token)
+                left = last[at - size]
+                ok = seen(left << 20 | token)
+                if ok is None:
+                    ok = self._beside_each_other(left, token)
                 if not ok:
                     continue
             last.append(token)
@@ -178,24 +184,28 @@ class PrefixCoder(TokenBytes):
             end -= sizes[token]
         return tuple(ids[::-1])
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Ids of one match of the pattern, remembered in two generations of bounded size."""
+    def piece(self, text: str) -> bytes:
+        """Ids of one match of the pattern, four bytes each, remembered in two generations of bounded size."""
         ids = self._pieces.get(text)
         if ids is None:
             ids = self._older.get(text)
             if ids is None:
                 data = text.encode()
                 whole = self.ranks.get(data)
-                ids = (whole,) if whole is not None else self.walk(data, self.table(data))
+                ids = array("i", (whole,) if whole is not None else self.walk(data, self.table(data))).tobytes()
             if len(text) <= 64:
                 if len(self._pieces) >= self._remembered // 2:
                     self._older, self._pieces = self._pieces, {}
                 self._pieces[text] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, four bytes each in the machine's order."""
         known, piece = self._pieces.get, self.piece
-        return list(chain.from_iterable([known(p) or piece(p) for p in self.split.findall(text)]))
+        return b"".join([known(p) or piece(p) for p in self.split.findall(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
 
 class LiveText:
@@ -254,18 +264,6 @@ class LiveText:
         self.pieces[first:rest], self.tables[first:rest] = made, tables
 
 
-_coders: dict[tuple, PrefixCoder] = {}
-
-
-def _coder(shared, pattern: str, remembered: int, pairs: int) -> PrefixCoder:
-    """The worker's coder for a broadcast vocabulary; kept while the worker lives."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern, remembered, pairs)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = PrefixCoder(shared.value, pattern, remembered, pairs)
-    return _coders[key]
-
-
 def share_ranks(spark: SparkSession, path: str):
     """Broadcast a rank file; a vocabulary has a fixed size (a few MB), whatever the data's size."""
     ranks = read_ranks(path)
@@ -280,6 +278,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     With ``decoded_col``, the ids are decoded again in the same pass, so that a task needs one Python worker only.
     ``remembered`` and ``pairs`` trade a worker's memory for time; the ids do not depend on them."""
     shared = share_ranks(docs.sparkSession, path)
+    parts = docs.sparkSession.sparkContext.broadcast(last_merges(shared.value))  # an entry a token at most, found once and not in each task
     docs = docs.drop(ids_col)
     docs = docs.drop(decoded_col) if decoded_col else docs
     fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded_col, T.BinaryType(), False)] if decoded_col else [])
@@ -287,20 +286,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared, pattern, remembered, pairs)
+        coder = PrefixCoder(shared.value, pattern, remembered, pairs, parts.value)
         for batch in batches:
-            values, offsets = [], [0]
-            n = 0
-            for text in batch.column(at):
-                own = coder.encode(text.as_py() or "")
-                values.append(pa.array(own, pa.int32()))
-                offsets.append(n := n + len(own))
-            flat = pa.concat_arrays(values) if values else pa.array([], pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+            values = [coder.packed(text.as_py() or "") for text in batch.column(at)]
+            offsets = np.cumsum([0, *map(len, values)]) // 4
+            flat = pa.array(np.frombuffer(b"".join(values), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)
             more = [ids, coder.decode_lists(ids)] if decoded_col else [ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f.name for f in fields)])
-        _coders.clear()  # an idle worker holds no vocabulary and no pieces
-        del coder
+        del coder  # an idle worker holds no pieces
         trim()
 
     return docs.mapInArrow(run, schema)

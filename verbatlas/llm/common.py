@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,18 +15,18 @@ NULL_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoint() works: the cluster's folder, else one of our own.
+    """Make sure that checkpoint() works: the cluster's folder, else, on one machine only, one of our own.
 
     A cluster names a folder that the driver and all executors share in
-    ``spark.checkpoint.dir``.  Only where that is unset (local tests) is a
-    folder below the warehouse or the temporary folder used.
+    ``spark.checkpoint.dir``.  Where that is unset a local session (tests) gets a folder in
+    the temporary one; a session on a cluster is refused, as its executors would not see it.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named or spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
+    if spark.sparkContext.getCheckpointDir():
         return
-    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "verbatlas-checkpoints"))
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "verbatlas-checkpoints"))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -56,6 +57,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], count: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``table``, one settled row a key, whose ``count`` is the key's number of rows.
+
+    Keys of a thousandth of all counted rows or more, of which there are at most a thousand, are broadcast and
+    joined where the rows lie; only the others go through an exchange, so no key fills a task."""
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    least = max(1, total // 1000)
+    hot, cold = (table.filter(F.col(count) >= least), table.filter(F.col(count) < least)) if total > 100_000 else (None, table)
+    if hot is None:
+        return rows.join(cold, on)
+    shared = F.broadcast(hot)
+    return rows.join(shared, on).unionByName(rows.join(shared.select(*on), on, "left_anti").join(cold, on))
+
+
 def id_key(column: str = "doc_id") -> Column:
     """The id with nulls as NULL_ID, so that joins and orders have no nulls."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))

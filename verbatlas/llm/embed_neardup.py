@@ -22,18 +22,20 @@ gives no rows; other columns are dropped, so their names cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verbatlas.llm.common import NULL_ID, id_key, settle
 from verbatlas.llm.components import components, roots
 
-#: Most vectors that are collected to fit the upper levels, and fewest of them in a node that is split.
-SAMPLE, LEAST = 16_384, 64
+#: Most vectors, and bytes of them, that are collected to fit the upper levels, and fewest of them in a node that is split.
+SAMPLE, SAMPLE_BYTES, LEAST = 16_384, 128 << 20, 64
 
 
 def direction(tree: int, path: int, dim: int) -> np.ndarray:
@@ -42,6 +44,15 @@ def direction(tree: int, path: int, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
+def margin_of(threshold: float, dim: int, spill: float) -> float:
+    """How far beyond a cut vectors go to both sides.
+
+    Linked unit vectors are sqrt(2 - 2 * threshold) apart at most, and a random direction sees a distance through a
+    factor that spreads by 1 / sqrt(dim), as it does unit vectors: so the share of vectors within the margin, and with it
+    the number of copies, is the same at every dimension."""
+    return spill * math.sqrt(max(0.0, 2 - 2 * threshold) / dim)
+
+
 def _descend(x: np.ndarray, rows: np.ndarray, tree: int, path: int, cuts: dict[tuple[int, int], float], spill: float, out: list) -> None:
     cut = cuts.get((tree, path))
     if cut is None or not len(rows):
@@ -73,10 +84,11 @@ def fit_cuts(sample: np.ndarray, trees: int, small: int, spill: float) -> dict[t
 
 def _unit(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    values = values / np.abs(values).max(axis=1, keepdims=True)  # squares of huge and tiny components stay in range
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
-def _placed(reps: DataFrame, dim: int, cuts: dict, trees: int, spill: float) -> DataFrame:
+def _placed(reps: DataFrame, cuts: dict, trees: int, spill: float) -> DataFrame:
     """(id, size, v, leaves): the codes of all leaves that a vector lies in; tree in the high bits, then the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +108,11 @@ def _placed(reps: DataFrame, dim: int, cuts: dict, trees: int, spill: float) ->
             ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(x)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[order]))], names=["id", "size", "v", "leaves"])
 
-    return reps.mapInArrow(run, "id long, size long, v array<float>, leaves array<long>")
+    return reps.mapInArrow(run, _schema(reps))
+
+
+def _schema(reps: DataFrame) -> str:
+    return f"id long, size long, v {reps.schema['v'].dataType.simpleString()}, leaves array<long>"
 
 
 def _split_on(placed: DataFrame, large: DataFrame, spill: float) -> DataFrame:
@@ -118,7 +134,7 @@ def _split_on(placed: DataFrame, large: DataFrame, spill: float) -> DataFrame:
                     leaves[i] = sorted([y for y in leaves[i] if y != code] + new)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leaves, pa.list_(pa.int64()))], names=["id", "size", "v", "leaves"])
 
-    return joined.mapInArrow(run, "id long, size long, v array<float>, leaves array<long>")
+    return joined.mapInArrow(run, _schema(placed))
 
 
 def _projected(placed: DataFrame, large: DataFrame) -> DataFrame:
@@ -186,54 +202,66 @@ def _compare(threshold: float):
     return run
 
 
-def link(vectors: DataFrame, threshold: float = 0.9, trees: int = 8, leaf_rows: int = 1024, spill: float = 0.02) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select(id_key("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
+def _forest(reps: DataFrame, n: int, dim: int, trees: int, leaf_rows: int, spill: float) -> tuple[DataFrame, DataFrame]:
+    """(placed, sizes): the ``n`` vectors of one length with their leaves, and the leaves' numbers of vectors."""
+    # the smallest hashes of all vectors, at most SAMPLE of them and SAMPLE_BYTES of components
+    taken = reps.orderBy(F.xxhash64("v"), "id").limit(max(LEAST, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).select("v").toArrow()
+    sample = _unit(taken.column(0).combine_chunks())
+    cuts = fit_cuts(sample, trees, leaf_rows * len(sample) // n, spill)
+    placed = settle(_placed(reps, cuts, trees, spill))
+    stuck = None
+    while True:
+        sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
+        large = sizes.filter((F.col("count") > 2 * leaf_rows) & (F.col("leaf").bitwiseAND((1 << 56) - 1) < 1 << 54))
+        if stuck is not None:
+            large = large.join(stuck, "leaf", "left_anti")
+        large = settle(large)
+        if not large.head(1):
+            return placed, sizes
+        cut = _projected(placed, large).groupBy("leaf").agg(
+            F.percentile_approx("at", 0.5).alias("cut"), F.percentile_approx("at", F.array(F.lit(0.1), F.lit(0.9))).alias("q")
+        )
+        # a leaf whose vectors lie within the spill is one dense cluster: it stays, and is compared in tiles
+        cut = settle(cut.withColumn("splits", F.col("q")[1] - F.col("q")[0] > 2 * spill))
+        now = cut.filter(~F.col("splits")).select("leaf")
+        stuck = now if stuck is None else stuck.unionByName(now)
+        placed = settle(_split_on(placed, cut.filter("splits").select("leaf", "cut"), spill))
+
+
+def link(vectors: DataFrame, threshold: float = 0.9, trees: int = 8, leaf_rows: int = 1024, spill: float = 0.36) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding).
+
+    ``spill`` is the margin around each cut as a share of the largest distance of linked vectors (see ``margin_of``)."""
+    kind = vectors.schema["embedding"].dataType
+    kind = kind.simpleString() if isinstance(kind.elementType, (T.FloatType, T.DoubleType)) else "array<double>"
+    rows = vectors.select(id_key("vec_id").alias("id"), F.col("embedding").cast(kind).alias("v"))
     usable = F.coalesce(
         (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0), F.lit(False)
     )
     good = rows.filter(usable)
-    classes = settle(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")))
-    found = []
-    for dim in [r[0] for r in classes.select(F.size("v")).distinct().collect()]:  # lengths of vectors, commonly one
-        reps = classes.filter(F.size("v") == dim).select("id", "size", "v")
-        n = reps.count()
-        # the SAMPLE smallest hashes of all vectors
-        sample = np.array([r.v for r in reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], np.float64)
-        sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-        cuts = fit_cuts(sample, trees, leaf_rows * len(sample) // n, spill)
-        placed = settle(_placed(reps, dim, cuts, trees, spill))
-        stuck = None
-        while True:
-            sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
-            large = sizes.filter((F.col("count") > 2 * leaf_rows) & (F.col("leaf").bitwiseAND((1 << 56) - 1) < 1 << 54))
-            if stuck is not None:
-                large = large.join(stuck, "leaf", "left_anti")
-            large = settle(large)
-            if not large.head(1):
-                break
-            cut = _projected(placed, large).groupBy("leaf").agg(
-                F.percentile_approx("at", 0.5).alias("cut"), F.percentile_approx("at", F.array(F.lit(0.1), F.lit(0.9))).alias("q")
-            )
-            # a leaf whose vectors lie within the spill is one dense cluster: it stays, and is compared in tiles
-            cut = settle(cut.withColumn("splits", F.col("q")[1] - F.col("q")[0] > 2 * spill))
-            now = cut.filter(~F.col("splits")).select("leaf")
-            stuck = now if stuck is None else stuck.unionByName(now)
-            placed = settle(_split_on(placed, cut.filter("splits").select("leaf", "cut"), spill))
+    # vectors of one id have keys of their own in the forest
+    classes = settle(good.groupBy("v").agg(F.min("id").alias("vec"), F.count(F.lit(1)).alias("size")).withColumn("id", F.monotonically_increasing_id()))
+    # lengths with many vectors have a forest each; all others are one leaf a length, and one job
+    dims = {r[0]: r[1] for r in classes.groupBy(F.size("v")).count().filter(F.col("count") > 2 * leaf_rows).collect()}
+    few = classes.filter(~F.size("v").isin(*dims)) if dims else classes
+    few = few.select("id", "size", "v", F.array(F.size("v").cast("long")).alias("leaves"))
+    parts = [(few, few.select(F.col("leaves")[0].alias("leaf")).groupBy("leaf").count())]
+    for dim, n in sorted(dims.items()):
+        parts.append(_forest(classes.filter(F.size("v") == dim).select("id", "size", "v"), n, dim, trees, leaf_rows, margin_of(threshold, dim, spill)))
+    links = None
+    for placed, sizes in parts:
         tiles = sizes.select("leaf", F.ceil(F.col("count") / (2 * leaf_rows)).alias("tiles"))
         spread = placed.withColumn("leaf", F.explode("leaves")).join(tiles, "leaf")
         spread = spread.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        spread = spread.select("leaf", F.least("tile", "with").alias("t1"), F.greatest("tile", "with").alias("t2"), "id", "size", "tile", "v", "leaves")
-        found.append(spread.groupBy("leaf", "t1", "t2").applyInArrow(_compare(threshold), "id long, n long, other long"))
-    if not found:
-        found = [rows.sparkSession.createDataFrame([], "id long, n long, other long")]
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+        spread = spread.select("leaf", F.size("v").alias("dim"), F.least("tile", "with").alias("t1"), F.greatest("tile", "with").alias("t2"), "id", "size", "tile", "v", "leaves")
+        own = spread.groupBy("leaf", "dim", "t1", "t2").applyInArrow(_compare(threshold), "id long, n long, other long")
+        links = own if links is None else links.unionByName(own)
     links = settle(links)
     counts = links.filter("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
-    members = settle(good.join(classes.select("v", F.col("id").alias("rep"), "size"), "v").select("id", "rep", "size"))
-    nodes = components(links.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    members = settle(good.join(classes.select("v", F.col("id").alias("rep"), "vec", "size"), "v").select("id", "rep", "vec", "size"))
+    name = lambda c, to: classes.select(F.col("id").alias(c), F.col("vec").alias(to))
+    pairs = links.filter("other IS NOT NULL").select("id", "other").join(name("id", "a"), "id").join(name("other", "b"), "other").select("a", "b")
+    nodes = components(pairs.unionByName(members.filter("id <> vec").select(F.col("id").alias("a"), F.col("vec").alias("b"))))
     linked = members.join(counts.withColumnRenamed("id", "rep"), "rep", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     every = linked.unionByName(rows.filter(~usable).select("id", F.lit(0).cast("long").alias("n_links")))
     real = lambda c: F.when(c != NULL_ID, c)

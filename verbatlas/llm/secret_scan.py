@@ -3,11 +3,15 @@
 Three base rules find assignments, access-key ids and long hex runs.  The method
 adds candidates that are confirmed by structure before they are reported:
 
-* ``jwt``: three base64url parts, whose first decodes to a JSON object with "alg"
-* ``pem``: an armoured key block whose body decodes to a well-formed key
-* ``der``: a base64 or hex run that decodes to ASN.1 with exact nested lengths in
-  the shape of a private key
-* ``ssh``: a run that decodes to the length-prefixed fields of an SSH key
+* ``jwt``: three base64url parts, whose first decodes to a JSON object with "alg" and
+  whose second decodes to a JSON object
+* ``pem``: an armoured key block whose body decodes to a well-formed key, or is
+  encrypted as its headers say
+* ``der``: a base64 or hex run, also one wrapped over lines, that decodes to ASN.1 with
+  exact nested lengths in the shape of a key
+* ``ssh``: such a run that decodes to the length-prefixed fields of an SSH key
+
+Public keys, which are no secrets by themselves, are reported too and marked ``public``.
 
 Random or prose runs fail these checks and are not reported.  Confirmed spans come
 beside the base spans, which all stay.
@@ -37,7 +41,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)", re.ASCII)
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:\s*[A-Za-z][A-Za-z-]*: [^\n]*(?:\n[ \t]+[^\n]*)*)*)([A-Za-z0-9+/=\s]*)-----END \1-----")
+CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,}\s*$", re.MULTILINE)
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{60,76}(?:\r?\n[A-Za-z0-9+/]{1,76}={0,2})+")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}")
 STRETCHES = (re.compile(r"[A-Za-z0-9+/]{40,}"), re.compile(r"[A-Za-z0-9_-]{40,}"))
 PAD = re.compile("={0,2}")
@@ -126,6 +132,26 @@ def is_ssh_key(data: bytes | None) -> bool:
     return at == len(data) and len(seen) >= 2 and re.match(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+$", seen[0]) is not None
 
 
+def key_kind(data: bytes | None) -> str | None:
+    """"der" or "ssh" of a key, else None."""
+    return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+
+
+def is_public(data: bytes | None) -> bool:
+    """Does a key have its public half alone?"""
+    if not is_der_key(data):
+        return is_ssh_key(data) and not data.startswith(b"openssh-key-v1\0")
+    top = der_nodes(data, 0, len(data))
+    return [t for t, _, _ in der_nodes(data, top[0][1], top[0][2])] == [0x30, 0x03]
+
+
+def public_span(text: str) -> bool:
+    """Is what a confirmed span of a key holds a public key?"""
+    body = m[3] if (m := PEM.fullmatch(text)) else text
+    body = "".join(body.split())
+    return is_public(bytes.fromhex(body)) if HEXRUN.fullmatch(body) else is_public(unbase64(body))
+
+
 def _chars(n: int) -> int:
     """Characters of n bytes in base64 without padding."""
     return -(-n * 4 // 3)
@@ -165,24 +191,40 @@ def key_runs(text: str) -> Iterator[tuple[int, int, str]]:
                 whole = end == run.end() or text[min(end, len(text) - 1)] in "+/-_"
                 if end - start < 40 or end > run.end() or not whole or not any(x.fullmatch(text, start, end) for x in STRETCHES):
                     continue
-                data = unbase64(text[start:end])
-                kind = "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+                kind = key_kind(unbase64(text[start:end]))
                 if kind:
                     done = end
                     yield start, PAD.match(text, end).end(), kind
                     break
 
 
-def is_token_header(part: str) -> bool:
-    """Does a signed token's first part decode to a JSON object with an "alg" string?"""
+def wrapped_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the keys in base64 that is wrapped into lines of one width, the last of them shorter."""
+    for m in WRAPPED.finditer(text):
+        lines = list(re.finditer(r"[^\r\n]+", m[0]))
+        full = next((k for k, x in enumerate(lines) if len(x[0]) != len(lines[0][0])), len(lines))
+        for n in (full + 1, full):
+            own = lines[:n]
+            if len(own) == n > 1 and len(own[-1][0]) <= len(lines[0][0]) and (kind := key_kind(unbase64("".join(x[0] for x in own)))):
+                yield m.start(), m.start() + own[-1].end(), kind
+                break
+
+
+def json_object(part: str) -> dict | None:
+    """The JSON object that a base64 part decodes to, or None."""
     data = unbase64(part)
     if not data or not data.lstrip().startswith(b"{"):
-        return False
+        return None
     try:
-        head = json.loads(data)
+        found = json.loads(data)
     except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def is_token_header(part: str) -> bool:
+    """Does a signed token's first part decode to a JSON object with an "alg" string?"""
+    return isinstance((json_object(part) or {}).get("alg"), str)
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -197,26 +239,27 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def confirmed_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """The method's own spans; every one has passed its structural check."""
     found: dict[str, list[tuple[int, int]]] = {}
+    armoured: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = unbase64("".join(m[2].split()))
-            if is_der_key(data) or is_ssh_key(data):
+            data = unbase64("".join(m[3].split()))
+            kind = key_kind(data) or ("der" if data and len(data) % 8 == 0 and CIPHER.search(m[2]) else None)
+            if kind:
+                armoured.append(m.span())
                 found.setdefault("pem", []).append(m.span())
-    if "eyJ" in text or "ey" in text:
+    if "ey" in text:
         at, found["jwt"] = 0, []
         while m := JWT.search(text, at):
-            good = unbase64(m[2]) is not None and is_token_header(m[1])
+            good = is_token_header(m[1]) and json_object(m[2]) is not None
             if good:
                 found["jwt"].append(m.span())
             at = m.end() if good else m.start(2)  # a token may begin at the second part
-    for start, end, kind in key_runs(text):
-        found.setdefault(kind, []).append((start, end))
-    for m in HEXRUN.finditer(text):
-        data = bytes.fromhex(m[0])
-        if is_der_key(data):
-            found.setdefault("der", []).append(m.span())
-        elif is_ssh_key(data):
-            found.setdefault("ssh", []).append(m.span())
+    runs = list(key_runs(text))
+    runs += wrapped_runs(text)
+    runs += [(*m.span(), kind) for m in HEXRUN.finditer(text) if (kind := key_kind(bytes.fromhex(m[0])))]
+    for start, end, kind in runs:
+        if not any(a <= start and end <= b for a, b in armoured):
+            found.setdefault(kind, []).append((start, end))
     return found
 
 
@@ -227,20 +270,20 @@ def listed(spans: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, secrets) with secrets an array of (kind, start, end, confirmed) in listed order."""
+    """(doc_id, secrets) with secrets an array of (kind, start, end, confirmed, public) in listed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("confirmed", pa.bool_())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("confirmed", pa.bool_()), ("public", pa.bool_())]))
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 base, own = base_spans(text), confirmed_spans(text)
-                rows.append([{"kind": k, "start": s, "end": e, "confirmed": k in own and (s, e) in own[k]} for s, e, k in listed({**base, **own})])
+                rows.append([{"kind": k, "start": s, "end": e, "confirmed": k in own, "public": k in ("pem", "der", "ssh") and public_span(text[s:e])} for s, e, k in listed({**base, **own})])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "secrets"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, secrets array<struct<kind: string, start: long, end: long, confirmed: boolean>>"
+        run, "doc_id long, secrets array<struct<kind: string, start: long, end: long, confirmed: boolean, public: boolean>>"
     )
 
 
@@ -257,4 +300,5 @@ def digest(docs: DataFrame) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
         F.size(F.filter("secrets", lambda x: x["confirmed"])).cast("long").alias("n_confirmed"),
+        F.size(F.filter("secrets", lambda x: x["public"])).cast("long").alias("n_public"),
     )

@@ -78,12 +78,15 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, shard_tokens: int = 2_000_000, pad: int = 0, resume: bool = False) -> DataFrame:
-    """Packed rows: shard, row, n_tokens, ids and positions (little-endian, of ``width`` bytes), cu_seqlens, doc_ids, parts."""
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, shard_tokens: int = 2_000_000, pad: int | None = None, resume: bool = False) -> DataFrame:
+    """Packed rows: shard, row, n_tokens, ids and positions (little-endian, of ``width`` bytes), cu_seqlens, doc_ids, parts.
+
+    ``pad`` fills the rows up; if none is named, it is the first number that is no id of the vocabulary."""
     if not 1 <= capacity <= 1 << 20:
         raise ValueError("capacity must be between 1 and 2**20")
     shared = share_ranks(docs.sparkSession, path)
-    width = 2 if max(shared.value.values(), default=0) < 1 << 16 and capacity <= 1 << 16 and not resume else 4
+    pad = max(shared.value.values(), default=-1) + 1 if pad is None else pad
+    width = 2 if max(pad, *shared.value.values()) < 1 << 16 and capacity <= 1 << 16 and not resume else 4
     kind = np.dtype(f"<u{width}")
 
     def rows_of(shard: str, parts: list[tuple[int | None, int, np.ndarray]]) -> pa.RecordBatch:

@@ -24,9 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verbatlas.llm.common import settle, trim
 
@@ -176,11 +178,16 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 1e-3) -> Discri
     return Discriminant(center, scale, means, factors, offsets, share)
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of the labels that are learnt from."""
+    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
+    return known.filter(~held_out(F.col("doc_id")))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Discriminant, DataFrame]:
     """The discriminant learnt from labels that are not held out, and the settled statistics of all documents."""
     stats = settle(with_statistics(docs))
-    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
-    return fit(stats.join(known.filter(~held_out(F.col("doc_id"))), "doc_id")), stats
+    return fit(stats.join(known_labels(labels), "doc_id")), stats
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -197,14 +204,27 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns; texts are not shuffled."""
-    model, _ = train(docs, labels)
-    at = docs.columns.index("text")
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns; texts are not shuffled.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Statistics are taken once and written beside the rows."""
+    names = docs.columns
+    at = names.index("text")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(batch.num_rows, len(STATISTICS))
-            yield batch.filter(pa.array(model.scores(x) >= threshold))
+            flat = pa.array(np.concatenate([statistics(t.as_py()) for t in batch.column(at)]) if batch.num_rows else np.zeros(0))
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, names=names), pa.ListArray.from_arrays(offsets, flat)], names=["row", "x"])
         trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    texts = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if k == at else F.col(f"`{c}`") for k, c in enumerate(docs.columns)])
+    measured = settle(texts.mapInArrow(measure, schema))
+    stats = measured.select(F.col("row.doc_id").cast("long").alias("doc_id"), "x")
+    model = fit(stats.join(known_labels(labels), "doc_id"))
+
+    def judge(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.stack(x.to_list()))) if len(x) else pd.Series([], dtype=float)
+
+    good = measured.filter(F.pandas_udf(judge, "double")("x") >= threshold)
+    return good.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -27,10 +29,29 @@ def tokens(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Text as fields compare it: quotes unified, white space runs one blank, trimmed, lower case."""
-    plain = F.translate(text, "‘’‛ʼ“”", "''''\"\"")
+    plain = F.translate(text, QUOTES, PLAIN_QUOTES)
     return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
 
+#: Quotes that fold unifies, and what to.
+QUOTES, PLAIN_QUOTES = "‘’‛ʼ“”", "''''\"\""
+
+
+def fold_text(text: str) -> str:
+    """``fold`` of a value of the driver, after NFC."""
+    text = unicodedata.normalize("NFC", text).translate(str.maketrans(QUOTES, PLAIN_QUOTES))
+    return " ".join(text.split()).lower()
+
+
+def fold_exact(text: Column) -> Column:
+    """``fold`` after NFC, for text that is not known to be NFC; Spark has no function for it, so it comes in Arrow batches."""
+
+    def nfc(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return fold(F.pandas_udf(nfc, "string")(text))
+
+
 def year_of(date: Column) -> Column:
     """First four characters of a date text if they are digits."""
     head = F.substring(F.trim(date), 1, 4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.functions.stats import log_dice, log_likelihood, mutual_information, pct_diff, per_million, round3
@@ -24,72 +24,141 @@ def window_of(width: int) -> Column:
     return F.concat(left, F.slice("toks", F.col("i") + F.col("n") + 1, width))
 
 
-def kwic(rows: DataFrame, phrase: list[str], near: str | None = None, width: int = 5, limit: int | None = None) -> DataFrame:
-    """Concordance rows with sort keys l1 and r1; in the order r1, l1, place."""
+def sort_keys(side: str, first: int, upto: int = 9) -> list[Column]:
+    """Columns of an order outwards from place ``first`` of a side ("L" or "R"); places beyond the passage sort first."""
+    at = (lambda k: F.col("i") - k + 1) if side == "L" else (lambda k: F.col("i") + F.col("n") + k)
+    return [F.coalesce(F.when(at(k) > 0, F.try_element_at("toks", F.greatest(at(k), F.lit(1)))), F.lit("")) for k in range(first, upto + 1)]
+
+
+def kwic(rows: DataFrame, phrase: list[str], near: str | None = None, width: int = 5, limit: int | None = None, sort: str = "R1", extra: list[str] = ()) -> DataFrame:
+    """Concordance rows with the tokens l1 and r1 beside the node.
+
+    ``sort``: L1 to L9 or R1 to R9 (that place and the ones further out), or a column, whose missing values come last;
+    ties go by r1, l1 and place.  ``extra`` names columns of the passages that stay."""
     found = occurrences(rows, phrase)
     if near is not None:
         found = found.filter(F.array_contains(window_of(width), near))
-    key = lambda at: F.coalesce(F.when(at > 0, F.try_element_at("toks", F.greatest(at, F.lit(1)))), F.lit(""))
-    out = found.select("doc_id", "line_start", "i", key(F.col("i")).alias("l1"), key(F.col("i") + F.col("n") + 1).alias("r1"))
-    out = out.orderBy("r1", "l1", "doc_id", "line_start", "i")
-    return out if limit is None else out.limit(limit)
+    found = found.withColumn("l1", sort_keys("L", 1, 1)[0]).withColumn("r1", sort_keys("R", 1, 1)[0])
+    if sort[:1] in ("L", "R") and sort[1:].isdigit():
+        order = sort_keys(sort[0], int(sort[1:])) if sort != "R1" else []
+    else:
+        order = [F.asc_nulls_last(sort)]
+    found = found.orderBy(*order, "r1", "l1", "doc_id", "line_start", "i")
+    if limit is not None:
+        found = found.limit(limit)
+    return found.select("doc_id", "line_start", "i", "l1", "r1", *extra)
+
+
+def kwic_totals(rows: DataFrame, phrase: list[str], near: str | None = None, width: int = 5) -> DataFrame:
+    """Before any limit: total occurrences, pieces (documents) that have one, and tokens of all rows: one row."""
+    found = occurrences(rows, phrase)
+    if near is not None:
+        found = found.filter(F.array_contains(window_of(width), near))
+    return found.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("doc_id").alias("pieces")).crossJoin(rows.agg(F.coalesce(F.sum("n_tok"), F.lit(0)).alias("tokens")))
+
 
+def kwic_lines_text(found: DataFrame, width: int = 8) -> DataFrame:
+    """Left context, node and right context as shown, from the passage's own text.
 
-def distribution(rows: DataFrame, phrase: list[str], by: str) -> DataFrame:
-    """Hits, pieces, tokens and frequency per million of each bucket, those without hits too."""
-    hits = occurrences(rows, phrase).groupBy(by).agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("pieces"))
-    total = rows.groupBy(by).agg(F.sum("n_tok").alias("tokens"))
+    ``found``: rows of a concordance with line, i and n.  Tokens are found again in the text, so the parts are
+    cut out of it unchanged; punctuation next to the outer tokens stays with them.  Only shown rows come here."""
+    from verbatlas.functions.text import TOKEN
+
+    pieces = F.split(F.regexp_replace(F.col("line"), "(?i)(" + TOKEN + ")", "\u0001$1\u0001"), "\u0001")  # text, token, text, token, ..., text
+    cut = lambda a, b: F.array_join(F.slice(pieces, F.greatest(a, F.lit(1)), F.greatest(b - F.greatest(a, F.lit(1)) + 1, F.lit(0))), "")
+    first, last = 2 * F.col("i") + 2, 2 * (F.col("i") + F.col("n"))  # pieces of the node's first and last token, counted from 1
+    left = cut(first - 2 * width, first - 1)
+    right = cut(last + 1, F.least(last + 2 * width + 1, F.size(pieces)))
+    return found.withColumn("left", F.ltrim(left)).withColumn("node", cut(first, last)).withColumn("right", F.rtrim(right))
+
+
+def distribution(rows: DataFrame, phrase: list[str], by: str, missing: str | None = None, in_order: bool = False) -> DataFrame:
+    """Hits, pieces, tokens and frequency per million of each bucket, those without hits too; most hits first, or in the buckets' order.
+
+    ``missing`` names the bucket of rows without a value, which comes last in order."""
+    bucket = F.col(by) if missing is None else F.coalesce(F.col(by).cast("string"), F.lit(missing)).alias(by)
+    hits = occurrences(rows, phrase).groupBy(bucket).agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("pieces"))
+    total = rows.groupBy(bucket).agg(F.sum("n_tok").alias("tokens"))
     joined = total.join(hits, by, "left").fillna(0, ["hits", "pieces"])
-    return joined.select(by, "hits", "pieces", "tokens", per_million(F.col("hits"), F.col("tokens")).alias("per_million")).orderBy(F.desc("hits"), by)
+    out = joined.select(by, "hits", "pieces", "tokens", per_million(F.col("hits"), F.col("tokens")).alias("per_million"))
+    if in_order:
+        return out.orderBy(F.col(by).eqNullSafe(missing), by)
+    return out.orderBy(F.desc("hits"), by)
 
 
 def word_list(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("pieces"))
 
 
-def _runs(n: int) -> Column:
-    """All runs of n tokens of a passage."""
-    return F.transform(F.sequence(F.lit(1), F.size("toks") - n + 1), lambda i: F.slice("toks", i, n))
-
-
 def ngrams(rows: DataFrame, sizes: tuple[int, ...], top: int, strict: bool = False, containing: list[str] | None = None) -> DataFrame:
     """The most frequent n-grams inside passages: n, gram, count, pieces; ties by gram.
 
-    Grams of stopwords only are dropped; ``strict`` drops those with max(n - 1, 1) or more.
-    Ranking reads counts alone; pieces are counted for the winners only."""
+    Grams of stopwords only are dropped; ``strict`` drops those with max(n - 1, 1) or more.  All sizes are counted
+    in one pass, by 128-bit hashes that add up before the exchange.  Texts are made, and counted exactly with their
+    pieces, for the hashes only that can be among the first ``top``: those that reach the count of that rank.  They
+    are known from 4 * top collected rows, unless more than that share the last count; then they are joined."""
     stop = F.array(*map(F.lit, STOPWORDS))
-    all_grams = None
-    for n in sizes:
-        grams = rows.filter(F.size("toks") >= n).select("doc_id", F.explode(_runs(n)).alias("g"))
-        most = max(n - 1, 1) if strict else n
-        grams = grams.filter(F.size(F.filter("g", lambda t: F.array_contains(stop, t))) < most)
+    marked = rows.select("doc_id", "toks", F.transform("toks", lambda t: F.array_contains(stop, t).cast("int")).alias("stops"), F.transform("toks", lambda t: F.xxhash64(t)).alias("h"))
+    # a generator, below which nothing moves: marks and hashes are made once
+    marked = marked.select(F.inline(F.array(F.struct("doc_id", "toks", "stops", "h"))))
+
+    placed = marked.filter(F.size("toks") > 0).select("doc_id", "toks", "stops", "h", F.explode(F.sequence(F.lit(0), F.size("toks") - 1)).alias("i"))
+
+    def run(n: int) -> Column:
+        """The gram of n tokens at i; plain expressions, so they are compiled together with the counting."""
+        own = [F.get("h", F.col("i") + k) for k in range(n)]
+        stopped = sum((F.get("stops", F.col("i") + k) for k in range(1, n)), F.get("stops", F.col("i")))
+        ok = (F.col("i") + n <= F.size("toks")) & (stopped < (max(n - 1, 1) if strict else n))
         if containing:
-            grams = grams.filter(F.concat(F.lit(" "), F.array_join("g", " "), F.lit(" ")).contains(" " + " ".join(containing) + " "))
-        grams = grams.select(F.lit(n).cast("long").alias("n"), F.array_join("g", " ").alias("gram"), "doc_id")
-        all_grams = grams if all_grams is None else all_grams.unionByName(grams)
-    counts = all_grams.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("count"))
-    best = counts.orderBy(F.desc("count"), "gram").limit(top)
-    pieces = all_grams.join(F.broadcast(best.select("n", "gram")), ["n", "gram"]).groupBy("n", "gram").agg(F.countDistinct("doc_id").alias("pieces"))
-    return best.join(pieces, ["n", "gram"]).select("n", "gram", "count", "pieces")
-
-
-def row_distribution(rows: DataFrame, phrase: list[str], top: int = 10) -> DataFrame:
-    """Hits by document: the ``top`` documents, and all others together as "other"."""
-    hits = occurrences(rows, phrase).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    best = hits.orderBy(F.desc("hits"), "doc_id").limit(top).select("doc_id", F.lit(True).alias("kept"))
-    named = hits.join(F.broadcast(best), "doc_id", "left").select(F.when(F.col("kept"), F.col("doc_id").cast("string")).otherwise("other").alias("bucket"), "hits")
+            text = F.concat(F.lit(" "), F.array_join(F.slice("toks", F.col("i") + 1, n), " "), F.lit(" "))
+            ok &= F.contains(text, F.lit(" " + " ".join(containing) + " "))
+        return F.struct(F.lit(n).alias("n"), F.xxhash64(*own).alias("a"), F.xxhash64(*own, F.lit(1)).alias("b"), ok.alias("ok"))
+
+    grams = placed.select("doc_id", "toks", "i", F.inline(F.array(*map(run, sizes)))).filter("ok")
+    counts = grams.groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("count"))
+    best = counts.orderBy(F.desc("count")).limit(4 * top).collect()
+    if len(best) < 4 * top or best[-1]["count"] < best[top - 1]["count"]:
+        reach = [r for r in best if len(best) < top or r["count"] >= best[top - 1]["count"]]
+        reach = rows.sparkSession.createDataFrame([(r.n, r.a, r.b) for r in reach], "n int, a long, b long")
+        found = grams.join(F.broadcast(reach), ["n", "a", "b"])
+    else:
+        found = grams.join(counts.filter(F.col("count") >= best[-1]["count"]).select("n", "a", "b"), ["n", "a", "b"])
+    named = found.select(F.col("n").cast("long").alias("n"), F.array_join(F.slice("toks", F.col("i") + 1, F.col("n")), " ").alias("gram"), "doc_id")
+    counted = named.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("doc_id").alias("pieces"))
+    return counted.orderBy(F.desc("count"), "gram").limit(top).select("n", "gram", "count", "pieces")
+
+
+def gram_years(rows: DataFrame, gram: list[str], year: str) -> DataFrame:
+    """Occurrences of one n-gram by year; passages without a year are left out."""
+    return occurrences(rows.filter(F.col(year).isNotNull()), gram).groupBy(year).agg(F.count(F.lit(1)).alias("count")).orderBy(year)
+
+
+def row_distribution(rows: DataFrame, phrase: list[str], by: str = "doc_id", top: int = 10) -> DataFrame:
+    """Hits of a row's phrase by document, year or corpus: the ``top`` documents, and all others together as "other"; corpora without hits as 0."""
+    hits = occurrences(rows, phrase).groupBy(by).agg(F.count(F.lit(1)).alias("hits"))
+    if by != "doc_id":
+        every = rows.select(by).distinct().join(hits, by, "left")
+        return every.select(F.coalesce(F.col(by).cast("string"), F.lit("unknown")).alias("bucket"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    best = hits.orderBy(F.desc("hits"), by).limit(top).select(by, F.lit(True).alias("kept"))
+    named = hits.join(F.broadcast(best), by, "left").select(F.when(F.col("kept"), F.col(by).cast("string")).otherwise("other").alias("bucket"), "hits")
     return named.groupBy("bucket").agg(F.sum("hits").alias("hits"))
 
 
-def collocates(rows: DataFrame, node: str, width: int = 4, least: int = 3, keep_stopwords: bool = False) -> DataFrame:
-    """Words near the node: count (occurrences with the word in the window), corpus frequency, logDice and MI."""
+def collocates(rows: DataFrame, node: str, width: int = 4, least: int = 3, keep_stopwords: bool = False, index=None) -> DataFrame:
+    """Words near the node: count (occurrences with the word in the window), corpus frequency, logDice and MI.
+
+    Where ``rows`` are all passages of a stored ``index``, frequencies and totals are its own."""
     found = occurrences(rows, [node])
     near = found.select(F.explode(F.array_distinct(window_of(width))).alias("word"))
     if not keep_stopwords:
         near = near.filter(~F.col("word").isin(*STOPWORDS))
     near = near.groupBy("word").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least)
-    freq = rows.select(F.explode("toks").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    totals = rows.agg(F.sum("n_tok").alias("size"), F.sum(F.size(F.filter("toks", lambda t: t == node))).alias("node_freq"))
+    if index is None:
+        freq = rows.select(F.explode("toks").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+        totals = rows.agg(F.sum("n_tok").alias("size"), F.sum(F.size(F.filter("toks", lambda t: t == node))).alias("node_freq"))
+    else:
+        freq = index.words.select("word", F.col("n").alias("freq"))
+        totals = index.totals.select(F.col("tokens").alias("size")).crossJoin(index.words.filter(F.col("word") == node).select(F.col("n").alias("node_freq")))
     joined = near.join(freq, "word").crossJoin(F.broadcast(totals))  # totals: one row
     return joined.select(
         "word", "count", "freq",
@@ -99,31 +168,72 @@ def collocates(rows: DataFrame, node: str, width: int = 4, least: int = 3, keep_
 
 
 def compare(a: DataFrame, b: DataFrame, node: str, width: int = 4, least: int = 3) -> DataFrame:
-    """Collocates of one node in two slices: words that reach ``least`` in either, with both sides' counts and scores."""
-    side = lambda rows, s: collocates(rows, node, width, 1, True).select("word", F.col("count").alias(f"count_{s}"), F.col("log_dice").alias(f"score_{s}"))
+    """Collocates of one node in two slices: words that reach ``least`` in either, with both sides' counts, scores and rates.
+
+    ``ratio`` is side a's share of occurrences with the word over side b's, null without b; best score first, then most
+    occurrences, then the word: the mirror of the slices the other way round."""
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        n = F.broadcast(rows.agg(F.sum(F.size(F.filter("toks", lambda t: t == node))).alias(f"node_{s}")))  # one row
+        return collocates(rows, node, width, 1, True).select("word", F.col("count").alias(f"count_{s}"), F.col("log_dice").alias(f"score_{s}")).crossJoin(n)
+
     both = side(a, "a").join(side(b, "b"), "word", "full")
-    kept = both.filter((F.coalesce("count_a", F.lit(0)) >= least) | (F.coalesce("count_b", F.lit(0)) >= least))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    kept = both.filter((zero("count_a") >= least) | (zero("count_b") >= least))
     diff = round3(F.coalesce("score_a", F.lit(0.0)) - F.coalesce("score_b", F.lit(0.0)))
-    return kept.select("word", F.coalesce("count_a", F.lit(0)).alias("count_a"), F.coalesce("count_b", F.lit(0)).alias("count_b"), diff.alias("score_diff"))
+    ratio = round3((F.col("count_a") / F.col("node_a")) / (F.col("count_b") / F.col("node_b")))
+    best = F.greatest("score_a", "score_b")
+    kept = kept.orderBy(F.desc(best), F.desc(zero("count_a") + zero("count_b")), "word")
+    return kept.select("word", zero("count_a").alias("count_a"), zero("count_b").alias("count_b"), diff.alias("score_diff"), ratio.alias("ratio"))
 
 
-def keyness(a: DataFrame, b: DataFrame, least: int = 3, critical: float = 3.84) -> DataFrame:
-    """Words that are over-represented in slice a against b, by G2."""
+def keyness(a: DataFrame, b: DataFrame, least: int = 3, critical: float = 3.84, both_sides: bool = False) -> DataFrame:
+    """Words that are over-represented in slice a against b, by G2; with ``both_sides`` those of b too, marked by ``key`` ("a", "b")."""
     side = lambda rows, s: rows.select(F.explode("toks").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias(s))
     sizes = a.agg(F.sum("n_tok").alias("c")).crossJoin(b.agg(F.sum("n_tok").alias("d")))  # one row each
     both = side(a, "a").join(side(b, "b"), "word", "full").fillna(0, ["a", "b"]).crossJoin(F.broadcast(sizes))
     f = [F.col(x).cast("double") for x in "abcd"]
-    scored = both.select("word", "a", "b", log_likelihood(*f).alias("g2"), pct_diff(*f).alias("pct_diff"), (f[0] / f[2] > f[1] / f[3]).alias("over"))
-    return scored.filter(F.col("over") & (F.col("a") >= least) & (F.col("g2") >= critical)).drop("over")
+    over = F.when(f[0] / f[2] > f[1] / f[3], "a").when(f[0] / f[2] < f[1] / f[3], "b")
+    scored = both.select("word", "a", "b", log_likelihood(*f).alias("g2"), pct_diff(*f).alias("pct_diff"), over.alias("key"))
+    enough = F.when(F.col("key") == "a", F.col("a")).otherwise(F.col("b")) >= least
+    kept = scored.filter(F.col("key").isNotNull() & enough & (F.col("g2") >= critical))
+    return kept if both_sides else kept.filter("key = 'a'").drop("key")
 
 
-def profile(rows: DataFrame, word: str) -> DataFrame:
+def profile(rows: DataFrame, word: str, least: int = 3) -> DataFrame:
     """Per document with three hits or more: hits and frequency per million, best first; first use by doc, line, place."""
     hits = occurrences(rows, [word]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("line_start", "i")).alias("first"))
     total = rows.groupBy("doc_id").agg(F.sum("n_tok").alias("tokens"))
-    out = hits.filter("hits >= 3").join(total, "doc_id")
+    out = hits.filter(F.col("hits") >= least).join(total, "doc_id")
     return out.select("doc_id", "hits", per_million(F.col("hits"), F.col("tokens")).alias("per_million"), F.col("first.line_start").alias("first_line"), F.col("first.i").alias("first_i"))
 
 
-def top_per(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
+def profile_summary(rows: DataFrame, word: str, date: str) -> DataFrame:
+    """One row: frequency, per million, pieces, and the first dated use (date, doc, line, place)."""
+    found = occurrences(rows, [word])
+    when = F.when(F.col(date).isNotNull(), F.struct(F.col(date).alias("date"), "doc_id", "line_start", "i"))
+    counts = found.agg(F.count(F.lit(1)).alias("frequency"), F.count_distinct("doc_id").alias("pieces"), F.min(when).alias("first"))
+    out = counts.crossJoin(rows.agg(F.sum("n_tok").alias("tokens")))
+    return out.select("frequency", per_million(F.col("frequency"), F.col("tokens")).alias("per_million"), "pieces", F.col("first.date").cast("string").alias("first_date"), F.col("first.doc_id").alias("first_doc"), F.col("first.line_start").alias("first_line"))
+
+
+def profile_full(rows: DataFrame, word: str, date: str, year: str) -> dict[str, DataFrame]:
+    """All sections of a word's profile: summary, by_year, documents (best first), collocates (15), and 3- to 5-grams that hold it (10)."""
+    return {
+        "summary": profile_summary(rows, word, date),
+        "by_year": distribution(rows, [word], year, missing="unknown", in_order=True),
+        "documents": profile(rows, word).orderBy(F.desc("per_million"), "doc_id"),
+        "collocates": collocates(rows, word).orderBy(F.desc("log_dice"), F.desc("count"), "word").limit(15),
+        "ngrams": ngrams(rows, (3, 4, 5), 10, containing=[word]),
+    }
+
+
+def shell_word(text: str) -> str:
+    """A word as a shell reads it back; quotes only where they are needed."""
+    return text if text and all(c.isalnum() or c in "-_./:" for c in text) else "'" + text.replace("'", "'\\''") + "'"
+
+
+def kwic_command(node: str, collocate: str, width: int, scope: dict[str, str] | None = None) -> str:
+    """The command that lists a collocate's concordance, with the flags of the scope."""
+    flags = "".join(f" --{k} {shell_word(v)}" for k, v in sorted((scope or {}).items()))
+    return f"kwic {shell_word(node)} --near {shell_word(collocate)} --window {width}{flags}"

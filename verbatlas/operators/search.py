@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions.stats import round6
 from verbatlas.functions.text import STOPWORDS, TOKEN, fold
 from verbatlas.plans.grammar import Query, parse
+from verbatlas.sources.store import similarity_weights
 
 K1, B = 1.2, 0.75
 
@@ -37,10 +39,36 @@ def term_counts(rows: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     return found.filter("tf > 0")
 
 
+def posted(index, terms: list[tuple[str, str]]) -> DataFrame:
+    """``term_counts`` read from a stored index: words and prefixes from the postings' row groups that hold them, phrases
+    from the passages that the postings of their first word name."""
+    parts = []
+    for k, (kind, value) in enumerate(terms):
+        own = F.lit(k).alias("term")
+        if kind == "phrase":
+            first = value.split()[0]
+            at = index.postings.filter(F.col("word") == first).select("doc_id", "line_start")
+            rows = index.passages.filter(F.array_contains("toks", first)).join(at, ["doc_id", "line_start"], "left_semi")
+            parts.append(rows.select("doc_id", "line_start", "n_tok", own, _held(kind, value).cast("long").alias("tf")).filter("tf > 0"))
+        elif kind == "prefix":
+            hit = index.postings.filter(F.startswith("word", F.lit(value)) & (F.col("word") >= value))
+            parts.append(hit.groupBy("doc_id", "line_start", "n_tok").agg(F.sum("tf").alias("tf")).select("doc_id", "line_start", "n_tok", own, "tf"))
+        else:
+            parts.append(index.postings.filter(F.col("word") == value).select("doc_id", "line_start", "n_tok", own, "tf"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def bm25(rows: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
-    """Score and number of terms held of each passage: doc_id, line_start, score, held."""
-    hits = term_counts(rows, terms)
-    stats = rows.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tok").alias("avgdl"))
+    """Score and number of terms held of each passage: doc_id, line_start, score, held.
+
+    ``rows`` are passages, or a stored index, whose postings are looked up then."""
+    if isinstance(rows, DataFrame):
+        hits, stats = term_counts(rows, terms), rows.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tok").alias("avgdl"))
+    else:  # a stored index
+        hits, stats = posted(rows, terms), rows.totals.select(F.col("passages").alias("N"), (F.col("tokens") / F.col("passages")).alias("avgdl"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
     idf = F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = df.crossJoin(stats).select("term", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
@@ -53,7 +81,10 @@ def search(rows: DataFrame, terms: list[tuple[str, str]], without: list[str] = (
     """Documents by their best passage: cover (share of terms held) first, then score, then line."""
     hits = bm25(rows, terms)
     if without:
-        out = rows.filter(F.arrays_overlap("toks", F.array(*map(F.lit, without)))).select("doc_id", "line_start")
+        if isinstance(rows, DataFrame):
+            out = rows.filter(F.arrays_overlap("toks", F.array(*map(F.lit, without)))).select("doc_id", "line_start")
+        else:
+            out = rows.postings.filter(F.col("word").isin(*without)).select("doc_id", "line_start")
         hits = hits.join(out, ["doc_id", "line_start"], "left_anti")
     hits = hits.withColumn("cover", F.col("held") / len(terms))
     best = hits.groupBy("doc_id").agg(F.max(F.struct("cover", "score", (-F.col("line_start")).alias("up"))).alias("b"), F.count(F.lit(1)).alias("passages"))
@@ -61,6 +92,109 @@ def search(rows: DataFrame, terms: list[tuple[str, str]], without: list[str] = (
     return out.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
+def search_hits(index, terms: list[tuple[str, str]], titles: DataFrame | None = None, limit: int = 20, hits_per_doc: int = 3, order: str = "score", dates: DataFrame | None = None) -> DataFrame:
+    """Passages of the best documents: rank of the document (from 1), doc_id, score, line_start, cover, passage.
+
+    A document's score is its best passage's score times cover, plus its title's own BM25 score.  Passages come by cover, then
+    score, then line, ``hits_per_doc`` of them.  ``order``: score, newest or oldest (by ``dates``: doc_id, date; undated last both ways).
+    titles: doc_id, toks, n_tok."""
+    hits = bm25(index, terms).withColumn("cover", F.col("held") / len(terms))
+    key = F.struct((-F.col("cover")).alias("c"), (-F.col("score")).alias("s"), "line_start")
+    best = hits.groupBy("doc_id").agg(F.min(key).alias("b")).select("doc_id", round6(F.col("b.c") * F.col("b.s")).alias("own"))
+    if titles is not None:
+        named = bm25(titles.withColumn("line_start", F.lit(0).cast("long")), terms).select("doc_id", F.col("score").alias("title"))
+        best = best.join(named, "doc_id", "left").withColumn("own", round6(F.col("own") + F.coalesce("title", F.lit(0.0)))).drop("title")
+    by = [F.desc("own"), F.asc("doc_id")]
+    if order != "score":
+        best = best.join(dates, "doc_id", "left")
+        by = [F.desc_nulls_last("date") if order == "newest" else F.asc_nulls_last("date"), F.asc("doc_id")]
+    top = best.orderBy(*by).limit(limit)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*by))).select("rank", "doc_id", F.col("own").alias("doc_score"))  # ``limit`` rows
+    inside = Window.partitionBy("doc_id").orderBy(F.desc("cover"), F.desc("score"), "line_start")
+    shown = hits.join(F.broadcast(top), "doc_id").withColumn("passage", F.row_number().over(inside)).filter(F.col("passage") <= hits_per_doc)
+    return shown.select("rank", "doc_id", "doc_score", "line_start", "cover", "passage").orderBy("rank", "passage")
+
+
+def semantic_documents(vectors: DataFrame, seed: int, doc: str, limit: int = 20, keep=None) -> DataFrame:
+    """Documents by their best passage's cosine with one vector: doc, vec_id (ties: the smallest), score.  ``keep`` filters passages first."""
+    rows = vectors if keep is None else vectors.filter(keep | (F.col("vec_id") == seed))
+    q = vectors.filter(F.col("vec_id") == seed).select(F.col("embedding").alias("q"))  # one row
+    scored = rows.crossJoin(F.broadcast(q)).select(F.col(doc).alias("doc"), "vec_id", round6(_cosine("embedding", "q")).alias("score"))
+    best = scored.groupBy("doc").agg(F.min(F.struct((-F.col("score")).alias("less"), "vec_id")).alias("b"))
+    return best.select("doc", F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score")).orderBy(F.desc("score"), "doc").limit(limit)
+
+
+def hybrid(text: DataFrame, meaning: DataFrame, key: str, corpus: str | None = None, pool: int = 100, limit: int = 20) -> DataFrame:
+    """Full-text and semantic rankings (key, score) by reciprocal ranks.
+
+    Without ``corpus`` ranks are positions.  With it scores of full text compare only inside a corpus, so each votes by its
+    competition rank there, and meaning by its rank over all; equal scores share a rank."""
+    if corpus is None:
+        return fuse(text, meaning, key, pool).orderBy(F.desc("score"), key).limit(limit)
+    top = lambda df, w: df.withColumn("r", F.rank().over(w)).filter(F.col("r") <= pool)
+    votes = top(text, Window.partitionBy(corpus).orderBy(F.desc("score"))).select(corpus, key, (1.0 / (60 + F.col("r"))).alias("v1"))
+    near = meaning.orderBy(F.desc("score"), key).limit(pool)
+    near = near.withColumn("r", F.rank().over(Window.orderBy(F.desc("score")))).select(corpus, key, (1.0 / (60 + F.col("r"))).alias("v2"))  # ``pool`` rows
+    both = votes.join(near, [corpus, key], "full").select(corpus, key, round6(F.coalesce("v1", F.lit(0.0)) + F.coalesce("v2", F.lit(0.0))).alias("score"))
+    return both.orderBy(F.desc("score"), corpus, key).limit(limit)
+
+
+def mode_of(wanted: str, words: bool, freshness: str) -> str:
+    """The search mode of one corpus: what is wanted, where its vectors and the query's words allow it; auto takes the most that they do."""
+    if wanted not in ("auto", "fts", "semantic", "hybrid"):
+        raise ValueError(f"no mode {wanted}")
+    current = freshness == "current"
+    if wanted in ("semantic", "hybrid") and not current:
+        raise ValueError(f"vectors are {freshness}")
+    if wanted == "auto":
+        return "hybrid" if current and words else "fts"
+    return wanted
+
+
+def vector_freshness(meta: dict | None, model: str, generation: int, scheme: str) -> str:
+    """missing, stale or current: stored vectors count only for the same model, scheme and content."""
+    if meta is None:
+        return "missing"
+    return "current" if (meta.get("model"), meta.get("generation"), meta.get("scheme")) == (model, generation, scheme) else "stale"
+
+
+def query_text(query: Query) -> str:
+    """The words of a query as one text for an embedder; stopwords stay."""
+    return " ".join(t.text for group in query.any_of for t in group)
+
+
+def hash_embedding(toks: Column, dim: int = 64) -> Column:
+    """A unit vector of ``dim`` buckets: each token adds 1 or -1, by its hash, to one bucket; null without tokens.
+
+    Two 64-bit hashes pick bucket and sign, so this needs no Python."""
+    place = F.transform(toks, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(7)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    sums = F.aggregate(place, zero, lambda s, p: F.transform(s, lambda x, i: F.when(i == p["at"], x + p["v"]).otherwise(x)))
+    length = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(sums, lambda x: x / length))
+
+
+def vectors_to_make(passages: DataFrame, stored: DataFrame, least: int = 5) -> DataFrame:
+    """What a vector build does: id, hash, action (keep, move, embed), from; passages under ``least`` tokens have no vector; stored ids that go are "remove".
+
+    passages: id, hash, n_tok; stored: id, hash.  The same id and text keep their vector, and the same text elsewhere lends its own."""
+    wanted = passages.filter(F.col("n_tok") >= least).select("id", "hash")
+    same = stored.select("id", "hash", F.lit(True).alias("same"))
+    texts = stored.groupBy("hash").agg(F.min("id").alias("from"))
+    made = wanted.join(same, ["id", "hash"], "left").join(texts, "hash", "left")
+    action = F.when(F.col("same"), "keep").when(F.col("from").isNotNull(), "move").otherwise("embed")
+    made = made.select("id", "hash", action.alias("action"), F.when(~F.coalesce("same", F.lit(False)), F.col("from")).alias("from"))
+    gone = stored.join(wanted, "id", "left_anti").select("id", "hash", F.lit("remove").alias("action"), F.lit(None).cast(stored.schema["id"].dataType).alias("from"))
+    return made.unionByName(gone)
+
+
+def locate(sentences: Column, terms: list[str]) -> Column:
+    """Number (from 0) of the sentence, an array of token arrays, that holds most different terms; the earliest of those."""
+    wanted = F.array(*map(F.lit, terms))
+    held = F.transform(sentences, lambda s: F.size(F.array_intersect(wanted, s)))
+    return F.array_position(held, F.array_max(held)) - 1
+
+
 def query_terms(query: Query) -> tuple[list[list[tuple[str, str]]], list[tuple[str, str]]]:
     """The AND groups and the excluded terms of a parsed query, as terms over index tokens.
 
@@ -130,31 +264,55 @@ def search_text(rows: DataFrame, text: str, columns: dict[str, str], titles: Dat
 
 
 def merge_ranks(results: DataFrame, by: str) -> DataFrame:
-    """Scores of several corpora made comparable: each by its corpus's best."""
-    return results.withColumn("rank", round6(F.col("score") / F.max("score").over(Window.partitionBy(by))))
-
-
-def similar(rows: DataFrame, doc_id: int, line_start: int, limit: int = 20) -> DataFrame:
-    """Passages like a seed passage: cosine of tf-idf vectors, at least two shared terms."""
-    term = F.explode("toks").alias("word")
-    tf = rows.select("doc_id", "line_start", term).filter(~F.col("word").isin(*STOPWORDS) & F.col("word").rlike(r"\p{L}")).groupBy("doc_id", "line_start", "word").agg(F.count(F.lit(1)).alias("tf"))
-    n = rows.agg(F.count(F.lit(1)).alias("N"))
-    idf = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("word", (F.ln((1.0 + F.col("N")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, "word").select("doc_id", "line_start", "word", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-    norm = w.groupBy("doc_id", "line_start").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    seed = w.filter((F.col("doc_id") == doc_id) & (F.col("line_start") == line_start)).select("word", F.col("w").alias("sw"))  # one passage
-    size = seed.agg(F.sqrt(F.sum(F.col("sw") * F.col("sw"))).alias("snorm"))
-    dots = w.join(F.broadcast(seed), "word").filter((F.col("doc_id") != doc_id) | (F.col("line_start") != line_start)).groupBy("doc_id", "line_start").agg(F.sum(F.col("w") * F.col("sw")).alias("dot"), F.count(F.lit(1)).alias("shared"))
-    out = dots.filter("shared >= 2").join(norm, ["doc_id", "line_start"]).crossJoin(F.broadcast(size))
-    return out.select("doc_id", "line_start", "shared", round6(F.col("dot") / (F.col("norm") * F.col("snorm"))).alias("score")).orderBy(F.desc("score"), "doc_id", "line_start").limit(limit)
+    """Scores of several corpora made comparable: each by its corpus's best, a row a corpus."""
+    best = results.groupBy(by).agg(F.max("score").alias("_best"))
+    return results.join(F.broadcast(best), by).withColumn("rank", round6(F.col("score") / F.col("_best"))).drop("_best")
+
+
+def similar(index, seeds: list[tuple[int, int]], limit: int = 20, explain: int = 0) -> DataFrame:
+    """Passages like one to ten seed passages (doc_id, line_start): cosine of tf-idf vectors with the seeds' mean, two shared terms at least.
+
+    The seeds' words are looked up in the postings; lengths of vectors are stored.  With ``explain`` the terms that
+    add most, so many, and the closest seed are given too."""
+    if not 1 <= len(seeds) <= 10:
+        raise ValueError("one to ten seeds")
+    spark = index.postings.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(k, d, n) for k, (d, n) in enumerate(seeds)], "seed int, doc_id long, line_start long"))
+    n = index.totals.select(F.col("passages").alias("N"))
+    weigh = lambda postings, words: similarity_weights(postings, words, n)
+    own = index.passages.join(wanted, ["doc_id", "line_start"]).select("seed", "doc_id", "line_start", "norm", F.explode("toks").alias("word")).groupBy("seed", "doc_id", "line_start", "norm", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # ten passages' words at most, with their idf: collected, so that the postings are pruned by them
+    vector = weigh(own, index.words).select("seed", "word", "norm", "w").collect()
+    centre: dict[str, float] = {}
+    for r in vector:
+        centre[r.word] = centre.get(r.word, 0.0) + r.w / r.norm / len(seeds)
+    length = math.sqrt(sum(v * v for v in centre.values()))
+    terms = F.broadcast(spark.createDataFrame(sorted(centre.items()) or [("", 0.0)], "word string, cw double"))
+    hits = weigh(index.postings.filter(F.col("word").isin(*centre)), index.words.filter(F.col("word").isin(*centre))).join(terms, "word")
+    hits = hits.join(wanted, ["doc_id", "line_start"], "left_anti")
+    dots = hits.groupBy("doc_id", "line_start").agg(F.sum(F.col("w") * F.col("cw")).alias("dot"), F.count(F.lit(1)).alias("shared")).filter("shared >= 2")
+    scored = dots.join(index.passages.select("doc_id", "line_start", "norm"), ["doc_id", "line_start"])
+    out = scored.select("doc_id", "line_start", "shared", round6(F.col("dot") / (F.col("norm") * length)).alias("score")).orderBy(F.desc("score"), "doc_id", "line_start").limit(limit)
+    if not explain:
+        return out
+    top = hits.join(F.broadcast(out.select("doc_id", "line_start")), ["doc_id", "line_start"])
+    best = top.groupBy("doc_id", "line_start").agg(F.array_sort(F.collect_list(F.struct((-F.col("w") * F.col("cw")).alias("less"), "word"))).alias("t"))
+    each = F.broadcast(spark.createDataFrame([(r.seed, r.word, r.w / r.norm) for r in vector], "seed int, word string, sw double"))
+    close = top.select("doc_id", "line_start", "word", "w").join(each, "word").groupBy("doc_id", "line_start", "seed").agg(F.sum(F.col("w") * F.col("sw")).alias("d"))
+    close = close.groupBy("doc_id", "line_start").agg(F.min_by("seed", F.struct((-F.round(F.col("d"), 9)).alias("less"), "seed")).alias("closest"))
+    named = best.select("doc_id", "line_start", F.array_join(F.transform(F.slice("t", 1, explain), lambda x: x["word"]), " ").alias("terms"))
+    return out.join(named, ["doc_id", "line_start"]).join(close, ["doc_id", "line_start"]).orderBy(F.desc("score"), "doc_id", "line_start")
+
+
+def _cosine(a: str, b: str) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
 def nearest(vectors: DataFrame, vec_id: int, limit: int = 20) -> DataFrame:
     """Exact cosine ranking of all vectors against one; ties by id."""
     seed = vectors.filter(F.col("vec_id") == vec_id).select(F.col("embedding").alias("q"))  # one row
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cos = dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q"))
-    return vectors.crossJoin(F.broadcast(seed)).select("vec_id", "label", round6(cos).alias("score")).orderBy(F.desc("score"), "vec_id").limit(limit)
+    return vectors.crossJoin(F.broadcast(seed)).select("vec_id", "label", round6(_cosine("embedding", "q")).alias("score")).orderBy(F.desc("score"), "vec_id").limit(limit)
 
 
 def fuse(first: DataFrame, second: DataFrame, key: str, pool: int = 100, k: int = 60, shared: bool = False) -> DataFrame:

@@ -47,31 +47,6 @@ def undone(log: DataFrame) -> DataFrame:
     return own.join(gone, ["id", "key"], "left_anti")
 
 
-def fold_patches(base: DataFrame, patches: DataFrame) -> DataFrame:
-    """Sets with add and remove lines applied in order. base: key, items; patches: key, line, op, value."""
-    ordered = patches.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "op", "value"))).alias("ops"))
-    joined = base.join(ordered, "key", "left")
-    step = lambda acc, p: F.when(p["op"] == "remove", F.array_remove(acc, p["value"])).when(F.array_contains(acc, p["value"]), acc).otherwise(F.concat(acc, F.array(p["value"])))
-    return joined.select("key", F.when(F.col("ops").isNull(), F.col("items")).otherwise(F.aggregate("ops", F.col("items"), step)).alias("items"))
-
-
-def resolve_chain(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root): where each id's ``into`` chain ends, by pointer doubling; members of a cycle keep themselves."""
-    ids = {r[0] for r in links.select("id").limit(100_001).collect()}
-    if len(ids) > 100_000:
-        raise ValueError("the alias table is bounded at 100,000 ids")
-    into = {r.id: r.into for r in links.select("id", "into").collect()}
-    out = []
-    for i in sorted(into):
-        seen, at = {i}, i
-        while (to := into.get(at)) is not None and to in into and to not in seen:
-            seen.add(to)
-            at = to
-        cyclic = into.get(at) is not None and into.get(at) in seen
-        out.append((i, i if cyclic else at))
-    return links.sparkSession.createDataFrame(out, "id long, root long")
-
-
 def key_then_path(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows joined to documents by key, else by path; a match by key is never displaced. rows: row_id, key, path; docs: doc, key, path."""
     by_key = rows.filter("key IS NOT NULL").join(docs.select("doc", "key"), "key").select("row_id", "doc", F.lit("key").alias("matched"))

@@ -9,7 +9,8 @@ from verbatlas.functions import dates, ids
 from verbatlas.functions.stats import round6
 from verbatlas.functions.text import STOPWORDS, date_floor, fold, normalise_url, record_id, strip_html, year_of
 from verbatlas.operators import concord, search, topics
-from verbatlas.sources.corpus import passages, table, words
+from verbatlas.sources.corpus import table, words
+from verbatlas.sources.store import open_index
 
 FLAGSHIP = "collocates_logdice"
 
@@ -30,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def _p(spark: SparkSession, d: str) -> DataFrame:
-    return passages(table(spark, d, "documents"))
+    return open_index(spark, d).passages.select("doc_id", "lang", "source", "line_start", "line", "toks", "n_tok")
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
@@ -50,7 +51,7 @@ def passages_split(spark, d):
 
 @query(", x AS (SELECT 1) SELECT word, count(*) AS n, count(DISTINCT doc_id) AS pieces FROM t GROUP BY word")
 def word_list(spark, d):
-    return concord.word_list(words(_p(spark, d)))
+    return open_index(spark, d).words.select("word", "n", "pieces")
 
 
 def _dist(by: str) -> str:
@@ -112,6 +113,52 @@ def ngrams_containing(spark, d):
     return concord.ngrams(_p(spark, d), (3,), 50, containing=["of", "the"])
 
 
+_YEAR = "CASE WHEN doc_id % 21 = 0 THEN NULL ELSE 2000 + doc_id % 20 END"
+
+
+def _years(spark, d):
+    """Passages with a year made from the document's id, for documents have no date."""
+    return _p(spark, d).withColumn("year", F.when(F.col("doc_id") % 21 != 0, (F.col("doc_id") % 20 + 2000).cast("int")))
+
+
+@query(f""", y AS (SELECT *, coalesce(CAST({_YEAR} AS VARCHAR), 'unknown') AS year FROM t), h AS (SELECT year, count(*) AS hits, count(DISTINCT doc_id) AS pieces FROM y WHERE word = 'disgusting' GROUP BY year), n AS (SELECT year, count(*) AS tokens FROM y GROUP BY year)
+SELECT n.year, coalesce(hits, 0) AS hits, coalesce(pieces, 0) AS pieces, tokens, round(coalesce(hits, 0) * 1e6 / tokens * 1000) / 1000 AS per_million FROM n LEFT JOIN h ON n.year = h.year""")
+def dist_years_unknown(spark, d):
+    return concord.distribution(_years(spark, d), ["disgusting"], "year", missing="unknown", in_order=True)
+
+
+@query(f""", y AS (SELECT *, {_YEAR} AS year FROM t) SELECT year::INT AS year, count(*) AS count FROM y WHERE word = 'of' AND toks[i + 2] = 'the' AND year IS NOT NULL GROUP BY year""")
+def ngrams_by_year(spark, d):
+    return concord.gram_years(_years(spark, d), ["of", "the"], "year")
+
+
+@query(""", h AS (SELECT source, count(*) AS hits FROM t WHERE word = 'disgusting' GROUP BY source) SELECT s.source AS bucket, coalesce(hits, 0) AS hits FROM (SELECT DISTINCT source FROM t) s LEFT JOIN h ON s.source = h.source""")
+def row_dist_corpus_zero(spark, d):
+    return concord.row_distribution(_p(spark, d), ["disgusting"], by="source")
+
+
+@query(""", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 2], '') AS r1, list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda j: CASE WHEN i - 1 - j > 0 THEN toks[i - 1 - j] ELSE '' END) AS key FROM t WHERE word = 'and')
+SELECT doc_id, line_start, i, l1, r1 FROM k ORDER BY key, r1, l1, doc_id, line_start, i LIMIT 100""")
+def kwic_sort_l2(spark, d):
+    return concord.kwic(_p(spark, d), ["and"], limit=100, sort="L2")
+
+
+@query(""", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 2], '') AS r1, source FROM t WHERE word = 'and') SELECT * FROM k ORDER BY source NULLS LAST, r1, l1, doc_id, line_start, i LIMIT 100""")
+def kwic_sort_source(spark, d):
+    return concord.kwic(_p(spark, d), ["and"], limit=100, sort="source", extra=["source"])
+
+
+@query(", k AS (SELECT * FROM t WHERE word = 'the' AND (list_contains(toks[greatest(i - 4, 1):i], 'and') AND i > 0 OR list_contains(toks[i + 2:i + 6], 'and'))) SELECT count(*) AS total, count(DISTINCT doc_id) AS pieces, (SELECT count(*) FROM t) AS tokens FROM k")
+def kwic_totals(spark, d):
+    return concord.kwic_totals(_p(spark, d), ["the"], near="and", width=5)
+
+
+@query(f""", y AS (SELECT *, {_YEAR} AS year FROM t WHERE word = 'disgusting'), f AS (SELECT min({{'d': year, 'doc': doc_id, 'l': line_start, 'i': i}}) AS m FROM y WHERE year IS NOT NULL)
+SELECT count(*) AS frequency, round(count(*) * 1e6 / (SELECT count(*) FROM t) * 1000) / 1000 AS per_million, count(DISTINCT doc_id) AS pieces, CAST((SELECT m.d FROM f) AS VARCHAR) AS first_date, (SELECT m.doc FROM f) AS first_doc, (SELECT m.l FROM f) AS first_line FROM y""")
+def profile_summary(spark, d):
+    return concord.profile_summary(_years(spark, d), "disgusting", "year")
+
+
 @query(""", h AS (SELECT doc_id, count(*) AS hits FROM t WHERE word = 'the' GROUP BY doc_id), r AS (SELECT *, row_number() OVER (ORDER BY hits DESC, doc_id) AS r FROM h)
 SELECT CASE WHEN r <= 10 THEN CAST(doc_id AS VARCHAR) ELSE 'other' END AS bucket, sum(hits)::BIGINT AS hits FROM r GROUP BY 1""")
 def row_dist_doc_top10_other(spark, d):
@@ -127,7 +174,7 @@ FROM c JOIN f ON c.word = f.word, tot"""
 
 @query(_COLL)
 def collocates_logdice(spark, d):
-    out = concord.collocates(_p(spark, d), "and")
+    out = concord.collocates(_p(spark, d), "and", index=open_index(spark, d))
     return out.orderBy(F.desc("log_dice"), F.desc("count"), "word")
 
 
@@ -142,7 +189,8 @@ c{s} AS (SELECT w.word, count(*) AS n, round((14 + log2(2.0 * count(*) / ((SELEC
 
 
 @query(f""", {_side('a', 'fr')}, {_side('b', 'es')}
-SELECT coalesce(a.word, b.word) AS word, coalesce(a.n, 0) AS count_a, coalesce(b.n, 0) AS count_b, round((coalesce(a.score, 0) - coalesce(b.score, 0)) * 1000) / 1000 AS score_diff
+SELECT coalesce(a.word, b.word) AS word, coalesce(a.n, 0) AS count_a, coalesce(b.n, 0) AS count_b, round((coalesce(a.score, 0) - coalesce(b.score, 0)) * 1000) / 1000 AS score_diff,
+round((a.n / (SELECT freq FROM fa WHERE word = 'de')) / (b.n / (SELECT freq FROM fb WHERE word = 'de')) * 1000) / 1000 AS ratio
 FROM ca a FULL JOIN cb b ON a.word = b.word WHERE coalesce(a.n, 0) >= 3 OR coalesce(b.n, 0) >= 3""")
 def collocates_compare(spark, d):
     p = _p(spark, d)
@@ -166,6 +214,11 @@ def keyness_g2(spark, d):
     return concord.keyness(*_slices(spark, d)).orderBy(F.desc("g2"), "word")
 
 
+@query(_KEY + ", k AS (SELECT *, CASE WHEN a / c > b / d THEN 'a' WHEN a / c < b / d THEN 'b' END AS key FROM g) SELECT word, a, b, g2, CASE WHEN b > 0 THEN round((a / c - b / d) * 100 / (b / d) * 1000) / 1000 END AS pct_diff, key FROM k WHERE g2 >= 3.84 AND (key = 'a' AND a >= 3 OR key = 'b' AND b >= 3)")
+def keyness_both_lists(spark, d):
+    return concord.keyness(*_slices(spark, d), both_sides=True)
+
+
 @query("SELECT count(*) AS shared FROM (SELECT source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 0 INTERSECT SELECT source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1)")
 def keyness_overlap(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
@@ -196,7 +249,7 @@ b AS (SELECT doc_id, line_start, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.
 
 @query(_bm25([("word", "disgusting")], "SELECT * FROM b"))
 def bm25_term(spark, d):
-    return search.bm25(_p(spark, d), [("word", "disgusting")])
+    return search.bm25(open_index(spark, d), [("word", "disgusting")])
 
 
 _DOCS = """, c AS (SELECT *, held / {n} AS cover FROM b {where}), best AS (SELECT doc_id, max({{'cover': cover, 'score': score, 'up': -line_start}}) AS m, count(*) AS passages FROM c GROUP BY doc_id)
@@ -205,12 +258,29 @@ SELECT doc_id, -m.up AS line_start, m.cover AS cover, round(m.score * m.cover *
 
 @query(_bm25([("word", "disgusting"), ("prefix", "thereb"), ("phrase", "of the")], _DOCS.format(n=3, where="")))
 def search_coverage_docs(spark, d):
-    return search.search(_p(spark, d), [("word", "disgusting"), ("prefix", "thereb"), ("phrase", "of the")])
+    return search.search(open_index(spark, d), [("word", "disgusting"), ("prefix", "thereb"), ("phrase", "of the")])
 
 
 @query(_bm25([("word", "disgusting"), ("word", "trash")], _DOCS.format(n=2, where="WHERE (doc_id, line_start) NOT IN (SELECT doc_id, line_start FROM t WHERE word = 'stupid')")))
 def search_not(spark, d):
-    return search.search(_p(spark, d), [("word", "disgusting"), ("word", "trash")], without=["stupid"])
+    return search.search(open_index(spark, d), [("word", "disgusting"), ("word", "trash")], without=["stupid"])
+
+
+_HITS = """, c AS (SELECT *, held / 2 AS cover FROM b), best AS (SELECT doc_id, min({'c': -cover, 's': -score, 'l': line_start}) AS m FROM c GROUP BY doc_id), own AS (SELECT doc_id, round(m.c * m.s * 1e6) / 1e6 AS doc_score FROM best),
+top AS (SELECT *, row_number() OVER (ORDER BY ORDERED) AS rank FROM own ORDER BY rank LIMIT 20), r AS (SELECT rank, c.doc_id, doc_score, line_start, cover, row_number() OVER (PARTITION BY c.doc_id ORDER BY cover DESC, score DESC, line_start) AS passage FROM c JOIN top ON c.doc_id = top.doc_id)
+SELECT rank::INT AS rank, doc_id, doc_score, line_start, cover, passage::INT AS passage FROM r WHERE passage <= 3"""
+_TWO = [("word", "disgusting"), ("word", "trash")]
+
+
+@query(_bm25(_TWO, _HITS.replace("ORDERED", "doc_score DESC, doc_id")))
+def search_hits_per_doc(spark, d):
+    return search.search_hits(open_index(spark, d), _TWO)
+
+
+@query(_bm25(_TWO, _HITS.replace("ORDERED", "CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 END DESC NULLS LAST, doc_id")))
+def search_newest_first(spark, d):
+    dates = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 7).alias("date"))
+    return search.search_hits(open_index(spark, d), _TWO, order="newest", dates=dates)
 
 
 _TEXT = """, f AS (SELECT doc_id, line_start, bool_or(term = 0) AND bool_or(term = 1) AS g0, bool_or(term = 2) AS g1 FROM h GROUP BY ALL),
@@ -249,7 +319,7 @@ def links_encoded(spark, d):
 @query(_bm25([("word", "disgusting"), ("word", "trash")], "SELECT b.doc_id, b.line_start, lang, score, round(score / max(score) OVER (PARTITION BY lang) * 1e6) / 1e6 AS rank FROM b JOIN p ON b.doc_id = p.doc_id AND b.line_start = p.line_start"))
 def search_merge_rank(spark, d):
     p = _p(spark, d)
-    hits = search.bm25(p, [("word", "disgusting"), ("word", "trash")]).join(p.select("doc_id", "line_start", "lang"), ["doc_id", "line_start"])
+    hits = search.bm25(open_index(spark, d), [("word", "disgusting"), ("word", "trash")]).join(p.select("doc_id", "line_start", "lang"), ["doc_id", "line_start"])
     return search.merge_ranks(hits, "lang").select("doc_id", "line_start", "lang", "score", "rank")
 
 
@@ -270,7 +340,7 @@ ORDER BY score DESC, d.doc_id, d.line_start LIMIT 20""")
 def similar_tfidf(spark, d):
     p = _p(spark, d)
     seed = p.filter("lang = 'en' AND n_tok >= 20").agg(F.min(F.struct("doc_id", "line_start")).alias("s")).first().s
-    return search.similar(p, seed.doc_id, seed.line_start)
+    return search.similar(open_index(spark, d), [(seed.doc_id, seed.line_start)])
 
 
 _COS = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * 1e6) / 1e6"
@@ -297,6 +367,52 @@ def rrf_competition_rank(spark, d):
     return search.fuse(search.nearest(e, 0, 100), search.nearest(e, 1, 100), "vec_id", shared=True)
 
 
+@query(f"""WITH s AS (SELECT e.label AS doc, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, vec_id) AS r FROM s) SELECT doc, vec_id, score FROM r WHERE r = 1 ORDER BY score DESC, doc LIMIT 20""")
+def semantic_doc_best_passage(spark, d):
+    return search.semantic_documents(table(spark, d, "embeddings"), 0, "label")
+
+
+def _hybrid(spark, d):
+    """BM25 of documents by language beside vectors of the same ids."""
+    found = search.search(open_index(spark, d), _TWO, limit=1000).select("doc_id", "score").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    vectors = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id")
+    near = search.nearest(vectors, 0, 100).select(F.col("vec_id").alias("doc_id"), "score").join(vectors.select(F.col("vec_id").alias("doc_id"), "lang"), "doc_id")
+    return found, near
+
+
+_FOUND = """, c AS (SELECT *, held / 2 AS cover FROM b), best AS (SELECT doc_id, max({'cover': cover, 'score': score, 'up': -line_start}) AS m FROM c GROUP BY doc_id), found AS (SELECT f.doc_id, round(m.score * m.cover * 1e6) / 1e6 AS score, x.lang FROM best f JOIN documents x ON f.doc_id = x.doc_id ORDER BY 2 DESC, 1 LIMIT 1000),
+near AS (SELECT e.vec_id AS doc_id, COS AS score, x.lang FROM embeddings e JOIN documents x ON x.doc_id = e.vec_id, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, 1 LIMIT 100)""".replace("COS", _COS)
+
+
+@query(_bm25(_TWO, _FOUND + """, x AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS v FROM (SELECT * FROM found ORDER BY score DESC, doc_id LIMIT 100)), y AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS v FROM near)
+SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, round((coalesce(x.v, 0) + coalesce(y.v, 0)) * 1e6) / 1e6 AS score FROM x FULL JOIN y ON x.doc_id = y.doc_id ORDER BY 2 DESC, 1 LIMIT 20"""))
+def hybrid_text_and_meaning(spark, d):
+    found, near = _hybrid(spark, d)
+    return search.hybrid(found, near, "doc_id")
+
+
+@query(_bm25(_TWO, _FOUND + """, x AS (SELECT lang, doc_id, rank() OVER (PARTITION BY lang ORDER BY score DESC) AS r FROM found), y AS (SELECT lang, doc_id, rank() OVER (ORDER BY score DESC) AS r FROM near)
+SELECT coalesce(x.lang, y.lang) AS lang, coalesce(x.doc_id, y.doc_id) AS doc_id, round((coalesce(1.0 / (60 + x.r), 0) + coalesce(1.0 / (60 + y.r), 0)) * 1e6) / 1e6 AS score FROM (SELECT * FROM x WHERE r <= 100) x FULL JOIN y ON x.doc_id = y.doc_id ORDER BY 3 DESC, 1, 2 LIMIT 20"""))
+def hybrid_across_corpora(spark, d):
+    found, near = _hybrid(spark, d)
+    return search.hybrid(found, near, "doc_id", corpus="lang")
+
+
+@query("""WITH p AS (SELECT doc_id AS id, sha1(coalesce(text, '')) AS hash, n_chars AS n_tok FROM documents), s AS (SELECT CASE WHEN lang = 'fr' THEN id + 100000000 ELSE id END AS id, CASE WHEN lang = 'es' THEN sha1(hash) ELSE hash END AS hash FROM p JOIN documents x ON p.id = x.doc_id WHERE x.lang IS NOT NULL),
+w AS (SELECT id, hash FROM p WHERE n_tok >= 500), t AS (SELECT hash, min(id) AS f FROM s GROUP BY hash)
+SELECT w.id, w.hash, CASE WHEN s.id IS NOT NULL THEN 'keep' WHEN f IS NOT NULL THEN 'move' ELSE 'embed' END AS action, CASE WHEN s.id IS NULL THEN f END AS "from" FROM w LEFT JOIN s ON w.id = s.id AND w.hash = s.hash LEFT JOIN t ON w.hash = t.hash
+UNION ALL SELECT id, hash, 'remove', NULL FROM s WHERE id NOT IN (SELECT id FROM w)""")
+def vector_build_plan(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"), F.col("n_chars").alias("n_tok"))
+    stored = docs.filter("lang IS NOT NULL").select(F.when(F.col("lang") == "fr", F.col("id") + 100000000).otherwise(F.col("id")).alias("id"), F.when(F.col("lang") == "es", F.sha1(F.col("hash").cast("binary"))).otherwise(F.col("hash")).alias("hash"))
+    return search.vectors_to_make(docs, stored, least=500)
+
+
+@query()
+def hash_embed(spark, d):
+    return open_index(spark, d).passages.select("doc_id", "line_start", search.hash_embedding(F.col("toks")).alias("vector"))
+
+
 @query("SELECT item_id, doc_id, instr(d.text, b.text) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)".replace("AS at", 'AS "at"'))
 def verify_quote(spark, d):
     return search.verify_quotes(table(spark, d, "documents"), table(spark, d, "benchmark"), first=True)
@@ -420,24 +536,4 @@ def incremental_diff(spark, d):
     return snapshot_diff(before, after)
 
 
-@query("""WITH p AS (SELECT n_nationkey AS id, n_nationkey AS doc, n_name AS name FROM nation) SELECT r_regionkey AS row_id, doc, 'key' AS matched FROM region JOIN p ON r_regionkey = doc WHERE r_regionkey % 2 = 0
-UNION ALL SELECT r_regionkey, doc, 'path' FROM region JOIN p ON (r_regionkey + 1) = doc WHERE r_regionkey % 2 = 1 AND doc NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 0)""")
-def topic_join_key_then_path(spark, d):
-    rows = table(spark, d, "region").select(F.col("r_regionkey").alias("row_id"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_regionkey")).alias("key"), (F.col("r_regionkey") + 1).alias("path"))
-    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc"), F.col("n_nationkey").alias("key"), F.col("n_nationkey").alias("path"))
-    return topics.key_then_path(rows, docs)
-
-
-@query("""WITH RECURSIVE l AS (SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey > n_regionkey THEN n_regionkey::BIGINT END AS into_ FROM nation), walk AS (SELECT id, id AS at_, into_ AS next FROM l UNION ALL SELECT w.id, l.id, l.into_ FROM walk w JOIN l ON w.next = l.id)
-SELECT id, at_ AS root FROM walk WHERE next IS NULL""")
-def alias_chain_resolution(spark, d):
-    n = table(spark, d, "nation")
-    return topics.resolve_chain(n.select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") > F.col("n_regionkey"), F.col("n_regionkey").cast("long")).alias("into")))
-
-
-@query()
-def corrections_patch_fold(spark, d):
-    e = table(spark, d, "events")
-    base = e.select(F.col("user_id").alias("key")).distinct().select("key", F.array(F.lit("view")).alias("items"))
-    ops = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("line"), F.when(F.col("event_id") % 4 == 0, "remove").otherwise("add").alias("op"), F.col("event_type").alias("value"))
-    return topics.fold_patches(base, ops)
+from verbatlas.plans import layers as _layers, stages as _stages  # noqa: E402,F401  register their queries

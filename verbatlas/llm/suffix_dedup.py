@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.common import NULL_ID, id_key, release, settle, trim
+from verbatlas.llm.common import NULL_ID, discard, id_key, release, settle, trim
 from verbatlas.llm.shingles import mix
 
 #: Bytes of the threshold, of an anchor, and anchors' neighbours: SIZE = GRAM + SPAN - 1.
@@ -41,7 +41,7 @@ SIZE, GRAM, SPAN = 50, 32, 19
 #: Most ids that are broadcast to leave out rows; beyond it the choice is a shuffled join.
 SENT_IDS = 1_000_000
 #: Bytes of text for one bucket of ranks and for one bucket of strings, and of text that a task works on at a time.
-RANK_BYTES, STRING_BYTES, PIECE_BYTES = 8 << 20, 2 << 20, 12 << 20
+RANK_BYTES, STRING_BYTES, PIECE_BYTES = 8 << 20, 4 << 20, 12 << 20
 
 _FIRST = mix(np.arange(1, 257, dtype=np.uint64))
 _OTHER = mix(np.arange(1001, 1257, dtype=np.uint64))
@@ -56,7 +56,7 @@ def doubled(first: np.ndarray, offsets: tuple[int, ...] = (1, 2, 4, 8, 16)) -> n
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's strings of SIZE bytes: their anchors (position, 32-byte rank) and the first and last start of each one's strings.
+    """Of a text's strings of SIZE bytes: their anchors (position, scrambled 32-byte rank) and the first and last start of each one's strings.
 
     A string's anchor is the first least rank among its SPAN positions; it moves only forwards as the string does."""
     if len(data) < SIZE:
@@ -69,7 +69,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         at = np.where(rank[left] <= rank[right], left, right)
         h += step
     new = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[new], rank[at[new]], new, np.append(new[1:], len(at)) - 1
+    # least ranks crowd at the low end: scrambled once more, they fall into all buckets alike
+    return at[new], mix(rank[at[new]] ^ _STEP), new, np.append(new[1:], len(at)) - 1
 
 
 def _blocks(buckets: int, key: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
@@ -183,7 +184,7 @@ def _strings(texts: DataFrame, buckets: int, ranked: int) -> DataFrame:
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Of one bucket's blocks: (id, h, first, last) runs of starts of strings that a smaller id has too."""
+    """Of one bucket's blocks: (id, k, first, last) runs of starts of strings that a smaller id has too."""
     ids, places, near, around = [], [], [], []
     for r in table.select(["docs", "places", "near", "around", "ids"]).to_pylist():
         table_ids = np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
@@ -214,7 +215,7 @@ def _later(table: pa.Table) -> pa.Table:
     _, last = np.nonzero(edges == -1)
     base = places[who] - (SPAN - 1)
     trim()
-    return pa.table({"id": ids[who, 0], "h": ids[who, 1], "first": base + first, "last": base + last - 1})
+    return pa.table({"id": ids[who, 0], "k": ids[who, 1], "first": base + first, "last": base + last - 1})
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,21 +244,25 @@ def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) per row of ``docs``; kept has the bytes that stay."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(id_key().alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
+    # k tells apart the texts of one id; it is the text's hash where ids repeat, and else nothing, which takes no room in the blocks
+    repeated = bool(docs.groupBy(id_key().alias("id")).count().filter("count > 1").head(1))
+    k = F.xxhash64(text) if repeated else F.lit(0).cast("long")
+    rows = docs.select(id_key().alias("id"), k.alias("k"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
     least = rows.groupBy("h", "h2", F.octet_length("text").alias("n")).agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    copies = settle(rows.select("id", "h", "h2").join(least.filter("least < most").select("h", "h2", "least"), ["h", "h2"]).filter("id > least").select("id", "h").distinct())
+    copies = settle(rows.select("id", "k", "h", "h2").join(least.filter("least < most").select("h", "h2", "least"), ["h", "h2"]).filter("id > least").select("id", "k").distinct())
     few = copies.count() <= SENT_IDS
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     of = lambda size: 1 << max(4, (total // size).bit_length())
-    own = rows.filter(F.octet_length("text") >= SIZE).select("id", "h", "text").join(F.broadcast(copies) if few else copies, ["id", "h"], "left_anti")
+    own = rows.filter(F.octet_length("text") >= SIZE).select("id", "k", "text").join(F.broadcast(copies) if few else copies, ["id", "k"], "left_anti")
     left = settle(_ranked(own, of(RANK_BYTES)).groupBy("bucket").applyInArrow(_repeated, "id long, rank long"))
     release(spark)
     wanted = left.groupBy("id").agg(F.collect_set("rank").alias("wanted"))
-    strings = _strings(own.join(wanted, "id").select("id", "h", "text", "wanted"), of(STRING_BYTES), of(RANK_BYTES))
-    runs = settle(strings.groupBy("bucket").applyInArrow(_later, "id long, h long, first long, last long"))
+    strings = _strings(own.join(wanted, "id").select("id", "k", "text", "wanted"), of(STRING_BYTES), of(RANK_BYTES))
+    runs = settle(strings.groupBy("bucket").applyInArrow(_later, "id long, k long, first long, last long"))
+    discard(left)
     release(spark)
-    marks = runs.groupBy("id", "h").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    every = rows.select("id", "h", "text").join(copies.withColumn("whole", F.lit(True)), ["id", "h"], "left").join(marks, ["id", "h"], "left")
+    marks = runs.groupBy("id", "k").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    every = rows.select("id", "k", "text").join(copies.withColumn("whole", F.lit(True)), ["id", "k"], "left").join(marks, ["id", "k"], "left")
     done = every.select("id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "firsts", "lasts").mapInArrow(_finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumn("doc_id", F.when(F.col("id") != NULL_ID, F.col("id"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 

@@ -14,7 +14,8 @@ distance is a lower bound of it.
   (empty ones above all), by a bound on their shingle count alone, so the blocks
   that agree are never all left out: no linked pair is lost.
 * Groups: sets that share a block key form a group.  First every member is paired
-  with the group's least id and verified, and components are taken.  Only groups
+  with the group's least id and verified, and components are taken.  The least id is
+  found batch by batch first, so a key that many sets have sends a row a batch.  Only groups
   that still hold several components have their other pairs tested, in tiles of
   bounded size, and only pairs of different components whose bit sketches stay
   below the bound go on to verification.
@@ -35,7 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.llm.common import NULL_ID, id_key, settle, trim
@@ -143,6 +145,34 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, least, ident)], names=["key", "lo", "id"])
 
 
+def _in_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of (id, keys): key, least id of the key in this batch, id, in order of key and id."""
+    lists = batch.column(1)
+    ident = np.repeat(np.array(batch.column(0)), np.array(pc.fill_null(pc.list_value_length(lists), 0)))
+    key = np.array(lists.flatten())
+    order = np.lexsort((ident, key))
+    key, ident = key[order], ident[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key, np.repeat(ident[starts], np.diff(np.append(starts, len(key)))), ident
+
+
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key's least id of a batch: all that goes through the exchange, so a common key sends a row a batch."""
+    for batch in batches:
+        key, least, ident = _in_batch(batch)
+        keep = least == ident
+        keep[1:] &= (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ident[keep])], names=["key", "id"])
+
+
+def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other members of a key in a batch, each beside the batch's least id."""
+    for batch in batches:
+        key, least, ident = _in_batch(batch)
+        keep = least != ident
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, least, ident)], names=["key", "lo", "id"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of ids whose texts' sets reach the similarity, by a count over both whole texts."""
     ids = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
@@ -222,9 +252,13 @@ def _linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     rows = settle(sketched(docs, words, num, den))
     classes = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     idmap = settle(rows.filter("n > 0").select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("id", "rep"))
-    keyed = rows.select(F.explode("keys").alias("key"), "id")
-    keyed = keyed.repartition("key").sortWithinPartitions("key", "id")
-    stars = settle(keyed.mapInArrow(_stars, "key long, lo long, id long"))
+    keyed = rows.select("id", "keys")
+    leaders = keyed.mapInArrow(_leaders, "key long, id long").repartition("key").sortWithinPartitions("key", "id")
+    led = settle(leaders.mapInArrow(_stars, "key long, lo long, id long"))
+    # a batch's other members go beside the least id of the whole group too; few share a key and a leader
+    top = led.select("key", F.col("id").alias("lo"), F.col("lo").alias("top"))
+    followers = keyed.mapInArrow(_followers, "key long, lo long, id long").join(top, ["key", "lo"], "left").select("key", F.coalesce("top", "lo").alias("lo"), "id")
+    stars = settle(led.unionByName(followers))
     reps = idmap.distinct()
     to_rep = lambda df, column: df.join(reps.select(F.col("id").alias(column), F.col("rep").alias(f"{column}_rep")), column).drop(column).withColumnRenamed(f"{column}_rep", column)
     first = to_rep(to_rep(stars.select("lo", "id").distinct(), "lo"), "id").filter("lo <> id")
@@ -236,11 +270,13 @@ def _linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     large = stars.groupBy("key").count().filter("count > 1").select("key")
     members = stars.select("key", "id").unionByName(stars.select("key", F.col("lo").alias("id"))).join(large, "key", "left_semi").distinct()
     members = to_rep(members, "id").distinct().join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = members.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("c1 < c2 AND size > 2")
-    one = split.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size")  # equal groups once
+    split = members.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size"), *[F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"who{k}") for k in (1, 2)]).filter("c1 < c2 AND size > 2")
+    # two sums of 64-bit hashes: that different groups of one size agree in both has odds of 2**-128 a pair
+    one = split.groupBy("size", "who1", "who2").agg(F.min("key").alias("key")).select("key", "size")  # equal groups once
     left = settle(members.join(one, "key"))
-    numbered = left.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / TILE)).withColumn("tiles", F.floor((F.col("size") - 1) / TILE) + 1)
-    tile = numbered.join(info, "id").select("key", "tile", "tiles", F.struct("id", "component", "n", "sketch").alias("m"))
+    # dealt out by hash, so tiles have about TILE members and no task sees a whole group
+    dealt = left.withColumn("tiles", F.floor((F.col("size") - 1) / TILE) + 1).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    tile = dealt.join(info, "id").select("key", "tile", "tiles", F.struct("id", "component", "n", "sketch").alias("m"))
     spread = tile.select("key", "tile", "m", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     packed = spread.groupBy("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2")).agg(
         F.collect_list(F.when(F.col("tile") <= F.col("other"), F.col("m"))).alias("x"), F.collect_list(F.when(F.col("tile") >= F.col("other"), F.col("m"))).alias("y")
@@ -285,19 +321,19 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     Every row is linked and kept by itself, also where ids are null or repeated: of several texts under one id only
     those go that are linked.  Of rows of one id in a group, that of the least text hash stays.  Texts without words
     link with nothing; only rows that repeat id and text of such a one go."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key().alias("id"), F.col("text").cast("string").alias("text"))
     if _repeats(docs):
-        keyed = settle(docs.withColumn("_key", F.monotonically_increasing_id()))
-        found = _linked(keyed.select(F.col("_key").alias("doc_id"), "text"), words, num, den)
-        rows = found.select(F.col("doc_id").alias("_key"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
-        text = F.col("text").cast("string")
-        rows = settle(rows.join(keyed.select("_key", id_key().alias("_id"), F.sha2(text, 256).alias("_hash")), "_key"))
-        copies = F.when(F.col("_group").isNull(), F.struct("_id", "_hash"))
-        stay = rows.groupBy("_group", copies.alias("_copies")).agg(F.min(F.struct("_id", "_hash", "_key")).alias("k")).select("k._key")
-        gone = settle(rows.select("_key").join(stay, "_key", "left_anti"))
+        keyed = settle(rows.withColumn("key", F.monotonically_increasing_id()))
+        found = _linked(keyed.select(F.col("key").alias("doc_id"), "text"), words, num, den)
+        group = found.select(F.col("doc_id").alias("key"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+        hashed = settle(group.join(keyed.select("key", "id", F.sha2("text", 256).alias("hash")), "key"))
+        copies = F.when(F.col("group").isNull(), F.struct("id", "hash"))
+        stay = hashed.groupBy("group", copies.alias("copies")).agg(F.min(F.struct("id", "hash", "key")).alias("k")).select("k.key")
+        gone = settle(hashed.select("key").join(stay, "key", "left_anti"))
     else:
-        keyed = docs.withColumn("_key", id_key())
-        found = _linked(docs, words, num, den).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"), F.coalesce("component_id", F.lit(NULL_ID)).alias("_group"))
-        gone = settle(found.filter("_key <> _group").select("_key"))
+        keyed = rows.withColumn("key", F.col("id"))
+        found = _linked(docs, words, num, den).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.coalesce("component_id", F.lit(NULL_ID)).alias("group"))
+        gone = settle(found.filter("key <> group").select("key"))
     few = gone.count() <= SENT_IDS
-    kept = keyed.join(F.broadcast(gone) if few else gone, "_key", "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = keyed.join(F.broadcast(gone) if few else gone, "key", "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

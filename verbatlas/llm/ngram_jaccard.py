@@ -107,9 +107,12 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Per row: id, n (set size), f1 and f2 (set fingerprint), sketch, keys."""
+    """Per row: id, n (set size), f1 and f2 (set fingerprint), sketch, keys.
+
+    A set that its task has met before has no keys again: its first row has the same, and copies are one class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int, int]] = set()
         for batch in batches:
             n, f1, f2, sketch, keys, ends = [], [], [], [], [], [0]
             for text in batch.column(1):
@@ -118,7 +121,9 @@ def sketched(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 f1.append(int(mix(s).sum().astype(np.int64)))
                 f2.append(int(mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum().astype(np.int64)))
                 sketch.append(bit_sketch(s))
-                keys.append(block_keys(s, num, den).view(np.int64))
+                this = n[-1], f1[-1], f2[-1]
+                keys.append(np.zeros(0, np.int64) if this in met else block_keys(s, num, den).view(np.int64))
+                met.add(this)
                 ends.append(ends[-1] + len(keys[-1]))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]

@@ -83,13 +83,20 @@ def majority(rows: DataFrame, group: str, theme: str, top: int = 5) -> DataFrame
 
 
 def name_pairs(names: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs of names with a Jaccard share of words of at least ``least``; joined on shared words. names: id, name."""
-    words = names.select("id", F.explode(F.array_distinct(F.split(fold(F.col("name")), " "))).alias("w"))
-    size = words.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    both = words.join(words.select(F.col("id").alias("id2"), "w"), "w").filter("id < id2").groupBy("id", "id2").agg(F.count(F.lit(1)).alias("c"))
-    scored = both.join(size, "id").join(size.select(F.col("id").alias("id2"), F.col("n").alias("n2")), "id2")
-    share = F.col("c") / (F.col("n") + F.col("n2") - F.col("c"))
-    return scored.filter(share >= least).select("id", "id2", round3(share).alias("jaccard"), round3(2 * F.col("c") / (F.col("n") + F.col("n2"))).alias("dice"))
+    """Pairs of names with a Jaccard share of words of at least ``least``.  names: id, name.
+
+    Two such names share one of the rarest n - ceil(least * n) + 1 words of each, so only those are joined on, and a
+    word that very many names hold brings no pairs."""
+    words = names.select("id", F.explode(F.array_distinct(F.split(fold(F.col("name")), " "))).alias("w")).distinct()
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    listed = words.join(often, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    listed = listed.select("id", F.transform("ws", lambda x: x["w"]).alias("ws"))
+    rare = listed.select("id", F.explode(F.slice("ws", 1, F.size("ws") - F.ceil(F.size("ws") * F.lit(least)).cast("int") + 1)).alias("w"))
+    pairs = rare.join(rare.select(F.col("id").alias("id2"), "w"), "w").filter("id < id2").select("id", "id2").distinct()
+    both = pairs.join(listed, "id").join(listed.select(F.col("id").alias("id2"), F.col("ws").alias("ws2")), "id2").withColumn("c", F.size(F.array_intersect("ws", "ws2")))
+    n, n2 = F.size("ws"), F.size("ws2")
+    share = F.col("c") / (n + n2 - F.col("c"))
+    return both.filter(share >= least).select("id", "id2", round3(share).alias("jaccard"), round3(2 * F.col("c") / (n + n2)).alias("dice"))
 
 
 def coverage_order(records: DataFrame, terms: list[str], limit: int) -> DataFrame:

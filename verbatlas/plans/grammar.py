@@ -21,19 +21,19 @@ OPENING = '"“„'
 
 #: Spellings of each field.
 FIELDS = {
-    "author": "author au", "title": "title ti", "type": "type ty", "tag": "tag", "date": "date d year y", "after": "after since from",
-    "before": "before until to", "color": "color colour co", "i": "i", "zo": "zo", "source": "source", "in": "in", "lang": "lang",
-    "genre": "genre", "theme": "theme", "entity": "entity", "event": "event", "ai": "ai", "month": "month",
+    "author": ("author", "au"), "title": ("title", "ti"), "type": ("type", "ty"), "tag": ("tag",), "date": ("date", "d", "year", "y"), "after": ("after", "since", "from"),
+    "before": ("before", "until", "to"), "color": ("color", "colour", "co"), "i": ("i",), "zo": ("zo",), "source": ("source",), "in": ("in",), "lang": ("lang",),
+    "genre": ("genre",), "theme": ("theme",), "entity": ("entity",), "event": ("event",), "ai": ("ai",), "month": ("month",),
 }
 #: Words that stand for a type; their value is searched as text.
 TYPES = {
-    "articles": "art article articles", "books": "bo boo book books", "tweets": "tw tweet tweets", "pdfs": "pdf pdfs",
-    "podcasts": "pod podcast podcasts", "supplementals": "sup supplemental supplementals",
+    "articles": ("art", "article", "articles"), "books": ("bo", "boo", "book", "books"), "tweets": ("tw", "tweet", "tweets"), "pdfs": ("pdf", "pdfs"),
+    "podcasts": ("pod", "podcast", "podcasts"), "supplementals": ("sup", "supplemental", "supplementals"),
 }
 REPEATED = ("theme", "entity", "event", "month")
 
-_FIELD = {spelling: name for name, all_ in FIELDS.items() for spelling in all_.split()}
-_TYPE = {spelling: name for name, all_ in TYPES.items() for spelling in all_.split()}
+_FIELD = {spelling: name for name, all_ in FIELDS.items() for spelling in all_}
+_TYPE = {spelling: name for name, all_ in TYPES.items() for spelling in all_}
 _QUOTED = rf"[{OPENING}]((?:\\[\\{CLOSING}]|[^{CLOSING}])*+)[{CLOSING}]"
 _PHRASE = regex.compile(rf"(-?){_QUOTED}")
 _PATTERN = regex.compile(rf"/((?:\\.|[^/\\])++)/([a-z]*)(?=[{BLANKS}]|\Z)", regex.S)

@@ -111,6 +111,30 @@ reach(doc_id, r) AS (
 ), least AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON least.doc_id = d.doc_id
+""",
+    "op7_suffix_dedup": """
+WITH texts AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+  SELECT doc_id, pos, b[pos:pos + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS pos FROM texts)
+), firsts AS (
+  SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50, true) AS opens FROM windows JOIN firsts USING (s) WHERE doc_id > first
+), numbered AS (
+  SELECT doc_id, pos, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM hits
+), runs AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + 49 AS z FROM numbered GROUP BY doc_id, run
+), edges AS (
+  SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next_a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS nth FROM runs
+), kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed,
+    string_agg(CASE WHEN nth = 1 THEN hex(b[1:a - 1]) ELSE '' END || hex(b[z + 1:coalesce(next_a - 1, octet_length(b))]), '' ORDER BY a) AS left_over
+  FROM edges JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT t.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN left_over IS NULL THEN b ELSE unhex(left_over) END) AS kept_sha256
+FROM texts t LEFT JOIN kept USING (doc_id)
 """,
     "op9_chat_tree": r"""
 WITH rows AS (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.engine import Engine
 from verbatlas.functions import normalise as N
+from verbatlas.functions.text import fnv1a
 from verbatlas.operators import concord, editors, filters, search, tagger
 from verbatlas.plans.fixtures import LIBRARY, RECORDS
 from verbatlas.sources import files, store
@@ -180,8 +181,9 @@ def test_search_rules(spark):
     assert [search.vector_freshness(x, "m", 3, "s") for x in (None, meta, meta | {"generation": 2})] == ["missing", "current", "stale"]
     df = spark.createDataFrame([([["a", "b"], ["b", "c", "b"], ["c", "b"]],)], "s array<array<string>>")
     assert df.select(search.locate(F.col("s"), ["b", "c"])).first()[0] == 1
-    v = spark.createDataFrame([(["a", "b"],), ([],)], "toks array<string>").select(search.hash_embedding(F.col("toks"), 8)).collect()
-    assert abs(sum(x * x for x in v[0][0]) - 1) < 1e-9 and v[1][0] is None
+    assert [int(h) for h in fnv1a(["foobar", "", "a"])] == [0x85944171F73967E8, 0xCBF29CE484222325, 0xAF63DC4C8601EC8C]
+    v = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "toks array<string>").select(search.hash_embedding(F.col("toks"), 8)).collect()
+    assert abs(sum(x * x for x in v[0][0]) - 1) < 1e-9 and v[1][0] == [0.0] * 8 and v[2][0] is None
     assert concord.kwic_command("a", "it's", 5, {"lang": "en"}) == "kwic a --near 'it'\\''s' --window 5 --lang en"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -104,3 +105,24 @@ def unicode_tokens(text: Column) -> Column:
         return batch.map(unicode_words)
 
     return F.pandas_udf(of, "array<string>")(text)
+
+
+#: Fixed values of the 64-bit FNV-1a hash.
+_FNV_START, _FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
+
+
+def fnv1a(words: list[str]) -> np.ndarray:
+    """64-bit FNV-1a hashes of the words' UTF-8 bytes, one byte of all words at a time."""
+    data = [w.encode() for w in words]
+    sizes = np.array([len(b) for b in data], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    text = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+    starts, longest = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    found = np.full(len(words), _FNV_START, np.uint64)
+    left = len(words)
+    for i in range(int(longest[0]) if len(words) else 0):
+        left = int(np.searchsorted(-longest[:left], -i, side="left"))
+        found[:left] = (found[:left] ^ text[starts[:left] + i]) * _FNV_PRIME
+    out = np.empty_like(found)
+    out[order] = found
+    return out

@@ -6,13 +6,14 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.stats import round6
-from verbatlas.functions.text import STOPWORDS, TOKEN, fold
+from verbatlas.functions.text import STOPWORDS, TOKEN, fnv1a, fold
 from verbatlas.plans.grammar import Query, parse
 from verbatlas.sources.store import similarity_weights
 
@@ -164,14 +165,22 @@ def query_text(query: Query) -> str:
 
 
 def hash_embedding(toks: Column, dim: int = 64) -> Column:
-    """A unit vector of ``dim`` buckets: each token adds 1 or -1, by its hash, to one bucket; null without tokens.
-
-    Two 64-bit hashes pick bucket and sign, so this needs no Python."""
-    place = F.transform(toks, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(7)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    sums = F.aggregate(place, zero, lambda s, p: F.transform(s, lambda x, i: F.when(i == p["at"], x + p["v"]).otherwise(x)))
-    length = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(sums, lambda x: x / length))
+    """A unit vector of ``dim`` buckets: each token adds 1, or -1 if its hash's top bit is set, to the bucket of its FNV-1a hash.
+
+    Arrow batches, as Spark has no wrapping product.  Tokens that cancel out, and no tokens, give zeros; null stays null."""
+
+    def of(batch: pd.Series) -> pd.Series:
+        rows = [() if t is None else t for t in batch]
+        number, words = pd.factorize(np.array([w for t in rows for w in t], dtype=object))
+        hashes = fnv1a(list(words))
+        cell = np.repeat(np.arange(len(rows), dtype=np.int64) * dim, [len(t) for t in rows]) + (hashes % np.uint64(dim)).astype(np.int64)[number]
+        sign = np.where(hashes >> np.uint64(63), -1.0, 1.0)[number]
+        sums = np.bincount(cell, sign, len(rows) * dim).reshape(len(rows), dim)
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        made = sums / np.where(length > 0, length, 1.0)
+        return pd.Series([None if t is None else v for t, v in zip(batch, made, strict=True)], dtype=object)
+
+    return F.pandas_udf(of, "array<double>")(toks)
 
 
 def vectors_to_make(passages: DataFrame, stored: DataFrame, least: int = 5) -> DataFrame:

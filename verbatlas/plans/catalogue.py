@@ -408,9 +408,22 @@ def vector_build_plan(spark, d):
     return search.vectors_to_make(docs, stored, least=500)
 
 
-@query()
+@query(r""", w AS (
+  SELECT DISTINCT word, hex(encode(word)) AS code FROM t
+), b AS (
+  SELECT word, list_transform(range(1, len(code), 2), lambda i: (instr('0123456789ABCDEF', code[i]) - 1) * 16 + instr('0123456789ABCDEF', code[i + 1]) - 1) AS codes FROM w
+), h AS (
+  SELECT word, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(codes, lambda c: c::HUGEINT)), lambda x, y: (xor(x, y) * 1099511628211) % 18446744073709551616) AS hash FROM b
+), s AS (
+  SELECT doc_id, line_start, hash % 64 AS bucket, sum(CASE WHEN hash >= 9223372036854775808 THEN -1 ELSE 1 END)::DOUBLE AS v FROM t JOIN h USING (word) GROUP BY 1, 2, 3
+)
+SELECT doc_id, line_start, string_agg(bucket || ':' || CAST(round(v / nullif(n, 0) * 1e6) AS BIGINT), ',' ORDER BY bucket) FILTER (WHERE v <> 0) AS cells
+FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc_id, line_start)) AS n FROM s) GROUP BY doc_id, line_start""")
 def hash_embed(spark, d):
-    return open_index(spark, d).passages.select("doc_id", "line_start", search.hash_embedding(F.col("toks")).alias("vector"))
+    """Vectors as their cells that are not zero, bucket:millionths; null if none."""
+    made = open_index(spark, d).passages.select("doc_id", "line_start", search.hash_embedding(F.col("toks")).alias("v"))
+    cells = F.array_compact(F.transform("v", lambda x, i: F.when(x != 0, F.concat_ws(":", i, F.round(x * 1e6).cast("long")))))
+    return made.select("doc_id", "line_start", F.nullif(F.array_join(cells, ","), F.lit("")).alias("cells"))
 
 
 @query("SELECT item_id, doc_id, instr(d.text, b.text) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)".replace("AS at", 'AS "at"'))

@@ -1,11 +1,14 @@
 """The search language, partial dates, ids and word borders against worked-out values."""
 
+import sqlite3
+
 import pytest
 from pyspark.sql import functions as F
 
-from verbatlas.functions import dates, ids
+from verbatlas.functions import dates, ids, strings
+from verbatlas.functions.stem import stems_of
 from verbatlas.functions.text import STOPWORDS, unicode_tokens, unicode_words
-from verbatlas.operators import search
+from verbatlas.operators import index2, search
 from verbatlas.plans.grammar import BLANKS, Term, date_range, only_corpus, parse, quote, scan
 from verbatlas.sources.corpus import passages
 
@@ -81,3 +84,30 @@ def test_ids(spark):
 def test_unicode_words(spark):
     assert unicode_words("Well-known a:b _x_ don't 3.14 ... it’s") == ["well", "known", "a:b", "x", "don't", "3.14", "it’s"]
     assert unicode_words(None) == [] and shown(spark, unicode_tokens, "A b", None) == [["a", "b"], []]
+
+
+def test_stems_as_sqlite_has_them():
+    texts = ["Running runners ran; relational conditionally", "žluťoučký kůň, café naïve", "generalizations oscillators' agreed hopping filing", "sky enjoys cries ties as is", "x" * 70 + "ing"]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(t, tokenize='porter unicode61')")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, 'instance')")
+    db.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", enumerate(texts))
+    found = [[t for (t,) in db.execute("SELECT term FROM v WHERE doc = ? ORDER BY offset", (k,))] for k in range(len(texts))]
+    assert [stems_of(t) for t in texts] == found and stems_of(None) == stems_of("") == []
+
+
+def test_fulltext_by_stems(spark):
+    rows = spark.createDataFrame([(1, "Weaving looms", None), (2, "the loom", "weaves"), (3, None, None), (4, "loom of weavers", "x")], "id int, text string, note string")
+    held = lambda *groups: [r.id for r in index2.matching(rows, list(groups), ("text", "note")).orderBy("id").collect()]
+    assert held([("word", "weave")]) == [1, 2] and held([("prefix", "weav")]) == [1, 2, 4]
+    assert held([("word", "weave")], [("word", "THE"), ("word", "x")]) == [2]
+    assert held([("phrase", "loom weaves")]) == [] and held([("phrase", "weave loom")]) == [1]
+    assert held([("word", "...")]) == [1, 2, 3, 4] and held([("word", "none")]) == []
+
+
+def test_texts_on_their_way_out(spark):
+    assert shown(spark, strings.terminal, "a\x1b[0m\nb\tc\u200d\u202e", None) == ["a\ufffd[0m\ufffdb\tc\u200d\ufffd", None]
+    assert shown(spark, strings.terminal_lines, "a\nb\r") == ["a\nb\ufffd"] and shown(spark, strings.quoted, 'a"\\b') == ['"a\\"\\\\b"']
+    assert shown(spark, strings.one_line, " a \n\u3000b ", "") == ["a b", ""] and shown(spark, strings.body_text, " a\r\nb\rc\u2028d\x00\ufeff\te \n") == ["a\r\nb\nc\nd\te"]
+    assert shown(spark, strings.yaml_value, "a", 'a: "b"') == ["a", '"a: \\"b\\""'] and shown(spark, strings.like_escaped, "5%_\\") == ["5\\%\\_\\\\"]
+    assert shown(spark, lambda v: strings.cut(v, 3), "ab😀c", "abcd", None) == ["ab", "abc", ""] and shown(spark, lambda v: strings.clip(v, 4), "ab😀c", "abcd", "a😀bc") == ["ab…", "abcd", "a😀…"]

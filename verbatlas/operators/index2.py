@@ -7,6 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatlas.functions.stem import stemmed, stems_of
+
+#: Columns of ``hits`` that full text reads.
+FULLTEXT = ("text", "note", "title", "author", "tags", "ocr_text")
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keeps: list[str] = ()) -> DataFrame:
     """``old`` with the rows of ``new``; where both have a key, the new row counts but for the columns that keep their old value."""
@@ -71,15 +75,32 @@ def where(f: Filters) -> Column:
     return out
 
 
-def search(records: DataFrame, works: DataFrame, words: list[str], filters: Filters | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Records by words held (text, note, title, author), then author hits before title hits before others, then the newest; ties by id."""
+def matching(rows: DataFrame, groups: list[list[tuple[str, str]]], columns: tuple[str, ...] = FULLTEXT) -> DataFrame:
+    """Rows with a term of every group, by Porter stems and without marks and case.
+
+    A term is ("word", w), ("phrase", "w1 w2 ...") or ("prefix", "w"): stems in a row inside one column, the last one open for a
+    prefix.  Terms without letters and digits are left out, and groups without terms; null columns hold nothing."""
+    held = stemmed(F.array(*[F.col(c).cast("string") for c in columns]))
+    for group in groups:
+        terms = [f" {' '.join(stems)}{'' if kind == 'prefix' else ' '}" for kind, text in group if (stems := stems_of(text))]
+        if terms:
+            # one Arrow call a row: Spark takes equal calls of a filter once
+            rows = rows.filter(F.greatest(F.lit(False), *[F.contains(held, F.lit(t)) for t in terms]))
+    return rows
+
+
+def search(records: DataFrame, works: DataFrame, words: list[str], filters: Filters | None = None, limit: int = 20, offset: int = 0, groups: list[list[tuple[str, str]]] | None = None) -> DataFrame:
+    """Records by words held (text, note, title, author), then author hits before title hits before others, then the newest; ties by id.
+
+    With ``groups`` the records are those of ``matching``, and the words only order them."""
     rows = hits(records, works).filter(where(filters or Filters()))
+    rows = rows if groups is None else matching(rows, groups)
     every = F.lower(F.concat_ws(" ", "text", "note", "title", "author"))
     held = sum((F.contains(every, F.lit(w.lower())).cast("long") for w in words), F.lit(0).cast("long"))
     in_any = lambda c: F.coalesce(F.greatest(F.lit(False), *[F.contains(F.lower(c), F.lit(w.lower())) for w in words]), F.lit(False)) if words else F.lit(False)
     rank = F.when(in_any("author"), 0).when(in_any("title"), 1).otherwise(2)
     rows = rows.withColumn("held", held).withColumn("class", rank)
-    rows = rows.filter("held > 0") if words else rows
+    rows = rows.filter("held > 0") if words and groups is None else rows
     return rows.orderBy(F.desc("held"), "class", F.desc(F.coalesce("highlighted_at", F.lit(""))), "id").select("id", "slug", "held", "class").offset(offset).limit(limit)
 
 

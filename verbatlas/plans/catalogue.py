@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.functions import dates, ids
+from verbatlas.functions import dates, ids, strings
 from verbatlas.functions.stats import round6
 from verbatlas.functions.text import STOPWORDS, date_floor, fold, normalise_url, record_id, strip_html, year_of
 from verbatlas.operators import concord, search, topics
@@ -408,6 +408,17 @@ def vector_build_plan(spark, d):
     return search.vectors_to_make(docs, stored, least=500)
 
 
+_ODD = "text || chr(27) || '[2J' || chr(8238) || chr(9) || chr(127) || chr(65279)"
+
+
+@query(rf"""SELECT doc_id, sha1(regexp_replace({_ODD}, '{strings.ACTS}', chr(65533), 'g')) AS line, sha1(regexp_replace({_ODD}, '{strings.ACTS_IN_LINES}', chr(65533), 'g')) AS lines,
+sha1(array_to_string(regexp_extract_all(text, '[^\s]+'), ' ')) AS single, CASE WHEN len(text) > 40 THEN left(text, 39) || '…' ELSE text END AS clipped FROM documents""")
+def texts_shown(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat("text", F.lit("\x1b[2J\u202e\t\x7f\ufeff")).alias("odd"))
+    hashed = lambda c: F.sha1(c.cast("binary"))
+    return docs.select("doc_id", hashed(strings.terminal("odd")).alias("line"), hashed(strings.terminal_lines("odd")).alias("lines"), hashed(strings.one_line("text")).alias("single"), F.when(F.col("text").isNotNull(), strings.clip(F.col("text"), 40)).alias("clipped"))
+
+
 @query(r""", w AS (
   SELECT DISTINCT word, hex(encode(word)) AS code FROM t
 ), b AS (

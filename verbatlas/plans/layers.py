@@ -354,6 +354,19 @@ def index2_search(spark, d):
     return index2.search(rows, WORKS.df(spark), ["engine", "Loom"], limit=3, offset=1)
 
 
+@query(r"""WITH d AS (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents) SELECT doc_id FROM d
+WHERE regexp_matches(t, '(^|[^\p{L}\p{N}])rewh(e|s|es|ed|eds|ing|ings)?([^\p{L}\p{N}]|$)') AND regexp_matches(t, '(^|[^\p{L}\p{N}])(hehe|of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$))')""")
+def index2_fulltext(spark, d):
+    """Stems of whole texts: a word in any of its forms, and a prefix or a phrase."""
+    return index2.matching(table(spark, d, "documents"), [[("word", "Rewhing")], [("prefix", "hehe"), ("phrase", "of the")]], ("text",)).select("doc_id")
+
+
+@query(f"SELECT id, slug, contains(lower(concat_ws(' ', text, note, title, author)), 'engines')::BIGINT AS held, 2 AS class FROM {_HITS} WHERE id IN (10, 11, 12, 13, 14, 15)")
+def index2_stemmed_search(spark, d):
+    """"engines" finds engine; the order still counts the word as it was written."""
+    return index2.search(HIGHLIGHTS.df(spark), WORKS.df(spark), ["engines"], groups=[[("word", "engines")]])
+
+
 @query("""SELECT t.conv_id, t.turn, l.n AS turns FROM conversations t JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) l ON t.conv_id = l.conv_id WHERE contains(lower(t.text), 'the') AND NOT contains(lower(t.text), 'que')""")
 def index2_three_way(spark, d):
     """Records that match, joined to their records and containers, over whole tables."""

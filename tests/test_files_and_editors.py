@@ -135,6 +135,19 @@ def test_event_editor():
     assert e.records["2019-01-dabel-fair-2"].merged_into is None and e.apply_proposals(pairs, {}, apply=True) == dry and e.records["2019-01-dabel-fair-2"].merged_into
 
 
+def test_unmerge_is_refused_where_two_would_claim_a_member():
+    of = lambda ident, *members, into=None: editors.Record(ident, ident, members=members, merged_into=into)
+    e = editors.EventEditor({r.id: r for r in (of("a", "2016-06/E01", "A"), of("b", "2016-06/e01", "2016-07/E02"), of("c", "2016-07/E02", into="a"), of("d", "x"))})
+    line = e.merge("a", "b")
+    assert e.unmerge_faults("a") == ["2016-06/e01 would be claimed by a and b", "2016-07/e02 would be claimed by a and b"]
+    with pytest.raises(editors.Refused):
+        e.unmerge(line["id"])
+    assert e.in_effect(line) and e.unmerge_faults("d") == []
+    e.records["a"], e.records["c"] = editors.Record("a", "a", merged_into="b"), editors.Record("c", "c", merged_into="a")
+    e.unmerge(line["id"])
+    assert e.records["a"].merged_into is None and e.root("c") == "a"
+
+
 def test_corrections_log_registry_capture(tmp_path):
     c = editors.CorrectionEditor({"a": ["Work"], "b": []})
     assert c.change("a", "add", "Play")["id"] == "c000001" and c.state()["a"] == ["Work", "Play"]

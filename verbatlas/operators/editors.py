@@ -169,12 +169,28 @@ class EventEditor:
         self.records[a] = replace(x, merged_into=b)
         return line
 
+    def unmerge_faults(self, ident: str) -> list[str]:
+        """Members that two events would claim if the record were merged into nothing, and that one claims now; only its group's members are looked at."""
+        split = EventEditor(self.records | {ident: replace(self._known(ident), merged_into=None)})
+        group = {r for r in self.records if split.root(r) == ident}
+        records = {fold_text(r) for r in self.records}
+        members = {fold_text(m) for r in group for m in self.records[r].members} - records - {""}
+        now: dict[str, set[str]] = {m: set() for m in members}
+        then: dict[str, set[str]] = {m: set() for m in members}
+        for r in self.records.values():
+            for m in members.intersection(map(fold_text, r.members)):
+                now[m].add(self.root(r.id))
+                then[m].add(split.root(r.id))
+        return [f"{m} would be claimed by {' and '.join(sorted(then[m]))}" for m in sorted(members) if len(then[m]) > 1 >= len(now[m])]
+
     def unmerge(self, ident: str) -> None:
-        """Undo a merge line; one that was never applied is withdrawn."""
+        """Undo a merge line, unless two events would then claim a member; one that was never applied is withdrawn."""
         line = next((m for m in self.merges if m["id"] == ident), None)
         if line is None or ident in {u["merge"] for u in self.undone}:
             raise Refused("no such line to undo")
         if self.in_effect(line):
+            if faults := self.unmerge_faults(line["a"]):
+                raise Refused("; ".join(faults))
             self.records[line["a"]] = replace(self.records[line["a"]], merged_into=None)
         elif self._known(line["a"]).merged_into is not None:
             raise Refused("the record is merged into another one now")

@@ -7,14 +7,16 @@ adds candidates that are confirmed by structure before they are reported:
   whose second decodes to a JSON object
 * ``pem``: an armoured key block whose body decodes to a well-formed key, or is
   encrypted as its headers say
-* ``der``: a base64 or hex run, also one wrapped over lines, that decodes to ASN.1 with
+* ``der``: a base64 or hex run, also one wrapped over lines of any one width, that decodes to ASN.1 with
   exact nested lengths in the shape of a key
 * ``ssh``: such a run that decodes to the length-prefixed fields of an SSH key
 
+Line ends may be written as in JSON (a backslash and n), and lines may be indented.
 Public keys, which are no secrets by themselves, are reported too and marked ``public``.
 
 Random or prose runs fail these checks and are not reported.  Confirmed spans come
-beside the base spans, which all stay.
+beside the base spans, which all stay.  The time for a text is in proportion to its length: a run is decoded
+once for each of its four alignments, and a candidate's check reads a bounded number of length fields.
 
 Defined results: a null text is an empty one (no spans, the digest of nothing);
 offsets count code points and the end is exclusive; texts of any length are
@@ -28,6 +30,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,15 +44,30 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)", re.ASCII)
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:\s*[A-Za-z][A-Za-z-]*: [^\n]*(?:\n[ \t]+[^\n]*)*)*)([A-Za-z0-9+/=\s]*)-----END \1-----")
-CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,}\s*$", re.MULTILINE)
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{60,76}(?:\r?\n[A-Za-z0-9+/]{1,76}={0,2})+")
+#: Where a token's header may begin inside a run, and what its first bytes look like.
+INNER_TOKEN = re.compile(r"(?<=[_-])e[w-z0-9_-]")
+OBJECT = re.compile(rb"\s*\{\s*\"[\w.#:-]{1,32}\"\s*:")
+BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,8}(?:PRIVATE|PUBLIC) KEY)-----")
+#: A line's end, also as JSON writes it.
+BREAK = re.compile(r"\r?\n|\\+r\\+n|\\+[nr]|\r")
+HEADER = re.compile(r"[A-Za-z][A-Za-z-]*: ")
+CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,}$")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}")
-STRETCHES = (re.compile(r"[A-Za-z0-9+/]{40,}"), re.compile(r"[A-Za-z0-9_-]{40,}"))
 PAD = re.compile("={0,2}")
 #: First characters of a DER sequence, a key blob and an OpenSSH private key, after the run's start or a sign that is no letter or digit.
-FIRST = re.compile(r"(?<![A-Za-z0-9])(?:M|AAAA|b3BlbnNzaC1rZXktdjE)")
-HEXRUN = re.compile(r"(?:[0-9a-f]{2}){20,}|(?:[0-9A-F]{2}){20,}")
+FIRST = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)")
+#: The first line of wrapped base64 that may be a key.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])(?:M[A-P]|AAAA|b3Bl)[A-Za-z0-9+/]{12,}+[ \t]*+(?:\r?\n|\\+[nr])")
+LINE = re.compile(r"[ \t]*+([A-Za-z0-9+/]++)(={0,2})[ \t]*+(?=(\r?\n|\\+r\\+n|\\+[nr])?)")
+HEXRUN = re.compile(r"[0-9a-f]{40,}|[0-9A-F]{40,}")
+#: The same first bytes in hex, wherever they stand.
+HEXFIRST = re.compile(r"(?=30[0-9a-fA-F]{2}|000000[0-9a-fA-F]{2}(?:737368|656364|736b2d)|6[fF]70656[eE]7373682[dD]6[bB]6579)")
+#: Most elements of a DER key and fields of an SSH key that are read.
+MOST_NODES, MOST_FIELDS = 256, 32
+#: Most characters of a token's header that begins inside a run.
+INNER_HEADER = 4096
+
+TO_STANDARD = str.maketrans("-_", "+/")
 
 
 def unbase64(run: str) -> bytes | None:
@@ -63,11 +81,13 @@ def unbase64(run: str) -> bytes | None:
         return None
 
 
-def der_nodes(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the elements that fill data[start:end] exactly, or None; definite lengths only."""
+def der_nodes(data: bytes, start: int, end: int, depth: int = 0, left: list[int] | None = None) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the elements that fill data[start:end] exactly, or None; definite lengths only, MOST_NODES at most."""
     found, at = [], start
+    left = [MOST_NODES] if left is None else left
     while at < end:
-        if end - at < 2 or data[at] & 0x1F == 0x1F:
+        left[0] -= 1
+        if left[0] < 0 or end - at < 2 or data[at] & 0x1F == 0x1F:
             return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size >= 0x80:
@@ -79,7 +99,7 @@ def der_nodes(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[i
                 return None
         if at + size > end:
             return None
-        if tag & 0x20 and (depth > 8 or der_nodes(data, at, at + size, depth + 1) is None):
+        if tag & 0x20 and (depth > 8 or der_nodes(data, at, at + size, depth + 1, left) is None):
             return None
         found.append((tag, at, at + size))
         at += size
@@ -120,7 +140,7 @@ def is_ssh_key(data: bytes | None) -> bool:
     at, fields = (len(magic), 3) if data.startswith(magic) else (0, 99)
     seen: list[bytes] = []
     while at < len(data) and len(seen) < fields:
-        if at + 4 > len(data):
+        if at + 4 > len(data) or len(seen) > MOST_FIELDS:
             return False
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
@@ -147,9 +167,36 @@ def is_public(data: bytes | None) -> bool:
 
 def public_span(text: str) -> bool:
     """Is what a confirmed span of a key holds a public key?"""
-    body = m[3] if (m := PEM.fullmatch(text)) else text
-    body = "".join(body.split())
-    return is_public(bytes.fromhex(body)) if HEXRUN.fullmatch(body) else is_public(unbase64(body))
+    if text.startswith("-----BEGIN "):
+        return any(is_public(data) for _, _, data, _ in armoured_blocks(text))
+    body = "".join(x.strip(" \t") for x in BREAK.split(text))
+    return is_public(bytes.fromhex(body)) if re.fullmatch("(?:[0-9a-fA-F]{2})+", body) else is_public(unbase64(body))
+
+
+def armoured_blocks(text: str) -> Iterator[tuple[int, int, bytes | None, list[str]]]:
+    """(start, end, decoded body, headers) of the armoured blocks.
+
+    A block ends at the next dashes, which must be its END line, so no text is read twice.  Each line is classified once:
+    headers and their continuations, which are indented more, come before the first line of base64, and after it there is nothing else."""
+    for m in BEGIN.finditer(text):
+        end = text.find("-----", m.end())
+        last = f"-----END {m[1]}-----"
+        if end < 0 or not text.startswith(last, end):
+            continue
+        headers, body, depth = [], [], 0
+        for line in BREAK.split(re.sub(r"\\+(?=/)", "", text[m.end() : end])):
+            bare = "".join(line.split())
+            if not bare:
+                continue
+            inside = len(line) - len(line.lstrip())
+            if not body and HEADER.match(line, inside):
+                headers.append(line.strip())
+                depth = inside
+            elif not body and headers and inside > depth:
+                headers[-1] += " " + line.strip()
+            else:
+                body.append(bare)
+        yield m.start(), end + len(last), unbase64("".join(body)), headers
 
 
 def _chars(n: int) -> int:
@@ -157,57 +204,126 @@ def _chars(n: int) -> int:
     return -(-n * 4 // 3)
 
 
-def key_ends(text: str, start: int, end: int) -> Iterator[int]:
-    """Where a key that begins at start, in a run up to end, can end: by its own lengths, or with the stretch of one alphabet."""
-    head = unbase64(text[start : min(start + 12, end)]) or b""
-    if head[:1] == b"\x30":
+class Aligned:
+    """A run of base64 decoded from each of its first four characters on, when it is asked for."""
+
+    def __init__(self, run: str):
+        self.run, self.made = run.translate(TO_STANDARD), {}
+
+    def bytes_at(self, start: int) -> tuple[bytes, int]:
+        """Decoded bytes, and where in them the character ``start`` begins."""
+        shift = start % 4
+        if shift not in self.made:
+            body = self.run[shift:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            self.made[shift] = base64.b64decode(body + "=" * (-len(body) % 4))
+        return self.made[shift], start // 4 * 3
+
+
+def key_sizes(data: bytes, at: int) -> Iterator[int]:
+    """How many bytes a key that begins at ``at`` may have, by its own lengths; -1: as many as there are (an OpenSSH private key)."""
+    head = data[at : at + 8]
+    if head[:1] == b"\x30" and len(head) > 1:
         n = head[1] & 0x7F if head[1] >= 0x80 else 0
         if n <= 4:
-            yield start + _chars(2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]))
-        return
-    blob = head[:3] == b"\0\0\0"
-    if blob and not head[4:].startswith((b"ssh-", b"ecdsa", b"sk-ss", b"sk-ec")):
-        return
-    for alphabet in STRETCHES:
-        if m := alphabet.match(text, start, end):
-            yield m.end()
-            if blob:  # it has no length of the whole: after the last field that ends well
-                data = unbase64(m[0][: len(m[0]) - (len(m[0]) % 4 == 1)]) or b""
-                at, found = 0, []
-                while at + 4 <= len(data) and (at := at + 4 + int.from_bytes(data[at : at + 4], "big")) <= len(data):
-                    found.append(start + _chars(at))
-                yield from found[1:]
+            yield 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    elif head.startswith(b"openssh"):
+        yield -1
+    elif head[:3] == b"\0\0\0" and head[4:].startswith((b"ssh-", b"ecds", b"sk-s", b"sk-e")):
+        here, ends = at, []
+        while here + 4 <= len(data) and len(ends) <= MOST_FIELDS and (here := here + 4 + int.from_bytes(data[here : here + 4], "big")) <= len(data):
+            ends.append(here - at)
+        yield from reversed(ends[1:])
+
+
+def keys_in(run: str, starts: Iterator[int], whole) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the keys in a run of base64 without padding that begin at ``starts``; ``whole(start, end)``: can one end there?
+
+    Both alphabets are read, but one key has only one of them."""
+    aligned, done = Aligned(run), 0
+    signs = [[m.start() for m in re.finditer(x, run)] for x in ("[-_]", "[+/]")]
+
+    def stretch(start: int) -> list[int]:
+        """Where the text stops to be in each of the alphabets."""
+        return [s[k] if (k := bisect_left(s, start)) < len(s) else len(run) for s in signs]
+
+    for start in starts:
+        if start < done:
+            continue
+        data, at = aligned.bytes_at(start)
+        for size in key_sizes(data, at):
+            one = stretch(start)
+            ends = sorted(set(one), reverse=True) if size < 0 else [start + _chars(size)]
+            found = False
+            for end in ends:
+                if end - start < 40 or end > max(one) or not whole(start, end):
+                    continue
+                own = data[at : at + (size if size >= 0 else (end - start) * 3 // 4)]
+                if kind := key_kind(own):
+                    done, found = end, True
+                    yield start, end, kind
+                    break
+            if found:
+                break
 
 
 def key_runs(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of the base64 keys: each run is tried, in both alphabets, from its start and after every sign in it."""
-    for run in RUN.finditer(text):
-        done = run.start()
-        for first in FIRST.finditer(text, run.start(), run.end()):
-            start = first.start()
-            if start < done:
-                continue
-            for end in sorted(set(key_ends(text, start, run.end())), reverse=True):
-                whole = end == run.end() or text[min(end, len(text) - 1)] in "+/-_"
-                if end - start < 40 or end > run.end() or not whole or not any(x.fullmatch(text, start, end) for x in STRETCHES):
-                    continue
-                kind = key_kind(unbase64(text[start:end]))
-                if kind:
-                    done = end
-                    yield start, PAD.match(text, end).end(), kind
-                    break
+    """(start, end, kind) of the base64 keys: each run is tried from its start and after every sign in it."""
+    for m in RUN.finditer(text):
+        first = FIRST.search(text, m.start(), m.end())
+        if first is None:
+            continue
+        run, base = m[0], m.start()
+        starts = (x.start() - base for x in FIRST.finditer(text, first.start(), m.end()))
+        for start, end, kind in keys_in(run, starts, lambda start, end, run=run: end == len(run) or run[end] in "+/-_"):
+            yield base + start, PAD.match(text, base + end).end(), kind
 
 
 def wrapped_runs(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of the keys in base64 that is wrapped into lines of one width, the last of them shorter."""
+    """(start, end, kind) of the keys in base64 that is wrapped into lines of one width, the last of them shorter; lines may be indented."""
+    done = 0
     for m in WRAPPED.finditer(text):
-        lines = list(re.finditer(r"[^\r\n]+", m[0]))
-        full = next((k for k, x in enumerate(lines) if len(x[0]) != len(lines[0][0])), len(lines))
-        for n in (full + 1, full):
-            own = lines[:n]
-            if len(own) == n > 1 and len(own[-1][0]) <= len(lines[0][0]) and (kind := key_kind(unbase64("".join(x[0] for x in own)))):
-                yield m.start(), m.start() + own[-1].end(), kind
+        if m.start() < done:
+            continue
+        lines, at = [], m.start()
+        while line := LINE.match(text, at):
+            if lines and (len(line[1]) > len(lines[0][1]) or lines[-1][2]):
+                break
+            lines.append(line)
+            if len(line[1]) < len(lines[0][1]) or line[3] is None:
                 break
+            at = line.end() + len(line[3])
+        done = lines[-1].end()
+        ends = [0]
+        for line in lines:
+            ends.append(ends[-1] + len(line[1]))
+        run = "".join(line[1] for line in lines)
+        starts = (e for e, line in zip(ends, lines, strict=False) if FIRST.match(line[1]))
+        last = set(ends)
+        for start, end, kind in keys_in(run, starts, lambda start, end, last=last: end in last):
+            a, b = bisect_left(ends, start), bisect_left(ends, end) - 1
+            if b > a:  # one line is no wrapped run
+                yield lines[a].start(1), lines[b].end(2), kind
+
+
+def hex_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the keys in hex, at either alignment of a run."""
+    for m in HEXRUN.finditer(text):
+        run, made, done = m[0], {}, 0
+        for first in HEXFIRST.finditer(run):
+            start = first.start()
+            if start < done:
+                continue
+            shift = start % 2
+            if shift not in made:
+                made[shift] = bytes.fromhex(run[shift : len(run) - (len(run) - shift) % 2])
+            data, at = made[shift], start // 2
+            for size in key_sizes(data, at):
+                own = data[at : at + size] if size >= 0 else data[at:]
+                if len(own) >= 20 and (size < 0 or len(own) == size) and (kind := key_kind(own)):
+                    done = start + 2 * len(own)
+                    yield m.start() + start, m.start() + done, kind
+                    break
 
 
 def json_object(part: str) -> dict | None:
@@ -241,24 +357,26 @@ def confirmed_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = {}
     armoured: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = unbase64("".join(m[3].split()))
-            kind = key_kind(data) or ("der" if data and len(data) % 8 == 0 and CIPHER.search(m[2]) else None)
-            if kind:
-                armoured.append(m.span())
-                found.setdefault("pem", []).append(m.span())
-    if "ey" in text:
+        for start, end, data, headers in armoured_blocks(text):
+            if key_kind(data) or data and len(data) % 8 == 0 and any(CIPHER.match(h) for h in headers):
+                armoured.append((start, end))
+        if armoured:
+            found["pem"] = list(armoured)
+    if "ey" in text or "ew" in text:
         at, found["jwt"] = 0, []
         while m := JWT.search(text, at):
-            good = is_token_header(m[1]) and json_object(m[2]) is not None
+            starts = [m.start(1)] + [x.start() for x in INNER_TOKEN.finditer(text, max(m.start(1), m.end(1) - INNER_HEADER), m.end(1))]
+            starts = [x for x in starts if text[x] == "e" and OBJECT.match(unbase64(text[x : min(x + 64, m.end(1) - (m.end(1) - x) % 4)]) or b"")]
+            first = next((x for x in starts if is_token_header(text[x : m.end(1)])), None)
+            good = first is not None and json_object(m[2]) is not None
             if good:
-                found["jwt"].append(m.span())
+                found["jwt"].append((first, m.end()))
             at = m.end() if good else m.start(2)  # a token may begin at the second part
-    runs = list(key_runs(text))
-    runs += wrapped_runs(text)
-    runs += [(*m.span(), kind) for m in HEXRUN.finditer(text) if (kind := key_kind(bytes.fromhex(m[0])))]
+    runs = [*key_runs(text), *wrapped_runs(text), *hex_runs(text)]
+    begins = [a for a, _ in armoured]
     for start, end, kind in runs:
-        if not any(a <= start and end <= b for a, b in armoured):
+        k = bisect_right(begins, start) - 1
+        if k < 0 or armoured[k][1] < end:
             found.setdefault(kind, []).append((start, end))
     return found
 

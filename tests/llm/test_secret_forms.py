@@ -62,13 +62,14 @@ def forms(r):
         for indent, end in (("", "\n"), ("    ", "\n"), ("\t", "\r\n"), ("", "\\n")):
             lines = wrap(big, width, indent, end)
             yield f"data:{end}{indent}{lines}{end}next", "der", len(f"data:{end}{indent}"), len(f"data:{end}{indent}{lines}")
+    yield f"x\\n{code}\\n", "der", 3, 3 + len(code)
     blob = base64.b64encode(ssh(r)).decode()
     yield "x = " + wrap(blob, 48), "ssh", 4, 4 + len(wrap(blob, 48))
     for before in ("", "a", "0f3", "7 "):
         yield f"{before}{key.hex()} z", "der", len(before), len(before) + 2 * len(key)
         yield f"{before.upper()}{key.hex().upper()}A", "der", len(before), len(before) + 2 * len(key)
     jwt = token(r)
-    for before in ("", "token_", "id-", "a_b-", "Bearer "):
+    for before in ("", "token_", "id-", "a_b-", "Bearer ", "a\\n"):
         yield f"{before}{jwt} z", "jwt", len(before), len(before) + len(jwt)
 
 

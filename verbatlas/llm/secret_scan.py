@@ -45,7 +45,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)", re.ASCII)
 #: Where a token's header may begin inside a run, and what its first bytes look like.
-INNER_TOKEN = re.compile(r"(?<=[_-])e[w-z0-9_-]")
+INNER_TOKEN = re.compile(r"(?:(?<=[_-])|(?<=\\[nrt]))e[w-z0-9_-]")
 OBJECT = re.compile(rb"\s*\{\s*\"[\w.#:-]{1,32}\"\s*:")
 BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,8}(?:PRIVATE|PUBLIC) KEY)-----")
 #: A line's end, also as JSON writes it.
@@ -54,10 +54,10 @@ HEADER = re.compile(r"[A-Za-z][A-Za-z-]*: ")
 CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,}$")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}")
 PAD = re.compile("={0,2}")
-#: First characters of a DER sequence, a key blob and an OpenSSH private key, after the run's start or a sign that is no letter or digit.
-FIRST = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)")
+#: First characters of a DER sequence, a key blob and an OpenSSH private key, after a sign that is no letter or digit, or an escape of JSON.
+FIRST = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)")
 #: The first line of wrapped base64 that may be a key.
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])(?:M[A-P]|AAAA|b3Bl)[A-Za-z0-9+/]{12,}+[ \t]*+(?:\r?\n|\\+[nr])")
+WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/=])|(?<=\\[nrt]))(?:M[A-P]|AAAA|b3Bl)[A-Za-z0-9+/]{12,}+[ \t]*+(?:\r?\n|\\+[nr])")
 LINE = re.compile(r"[ \t]*+([A-Za-z0-9+/]++)(={0,2})[ \t]*+(?=(\r?\n|\\+r\\+n|\\+[nr])?)")
 HEXRUN = re.compile(r"[0-9a-f]{40,}|[0-9A-F]{40,}")
 #: The same first bytes in hex, wherever they stand.

@@ -204,9 +204,10 @@ def test_engine_and_index(spark, tmp_path):
     rows = [(1, "The cat, and the dog.\nAnd the end!", "en", "s1"), (2, "a cat\nThe THE dog cat", "en", "s2"), (3, "le chat", "fr", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.conf.set("verbatlas.index.dir", str(tmp_path / "index"))
+    spark.conf.set("spark.verbatlas.index.dir", str(tmp_path / "index"))
     try:
-        e = Engine(spark, str(tmp_path))
+        names = {"corpus": "lang", "title": "CASE doc_id WHEN 1 THEN 'First piece' WHEN 2 THEN 'Second' ELSE 'Third piece' END", "date": "concat(2000 + doc_id * 3, '-02')"}
+        e = Engine(spark, str(tmp_path), names)
         lines = e.kwic(["the"]).collect()
         assert len(lines) == 5 and e.kwic_totals(["the"]).first().total == 5
         assert {(x.left, x.node, x.right) for x in lines if x.doc_id == 1} == {("", "The", " cat, and the dog."), ("The cat, and ", "the", " dog."), ("And ", "the", " end!")}
@@ -217,18 +218,33 @@ def test_engine_and_index(spark, tmp_path):
             e.search(" ")
         assert e.cite(1, 1, ["dog"])["sentence"] == "The cat, and the dog." and e.cite(9, 9) is None
         assert [(r.doc_id, r.line_start, r.terms, r.closest) for r in e.similar([(1, 1)]).collect()] == [(2, 2, "dog cat", 0)]
-        assert json.loads(e.to_json(e.facets("cat", {"langs": "lang"})["langs"])) == [{"value": "en", "count": 2}]
-        # an incremental build equals a whole one
-        later = spark.createDataFrame([(1, "new text here", "en", "s1"), (3, "le chat", "fr", "s1"), (4, "added one", "en", "s3")], docs.schema)
-        changed, removed = spark.createDataFrame([(1,), (4,)], "doc_id long"), spark.createDataFrame([(2,)], "doc_id long")
-        old = passages(docs)
-        key = lambda df: sorted(map(str, df.collect()))
-        assert key(store.update(old, later, changed, removed)) == key(passages(later))
-        assert store.fingerprint(spark, f"{tmp_path}/documents.parquet") == store.fingerprint(spark, f"{tmp_path}/documents.parquet")
+        assert json.loads(e.to_json(e.facets("cat", {"langs": "lang"}))) == [{"facet": "langs", "value": "en", "count": 2}]
+        # sort, filters, fields and modes
+        ids = lambda *a, **b: [r.doc_id for r in e.search(*a, **b).filter("passage = 1").collect()]
+        assert ids("cat", sort="newest") == [2, 1] and ids("cat", sort="oldest") == [1, 2] and ids("cat after:2005") == [2] and ids("cat source:S1") == [1]
+        assert ids("end title:first") == [1] and ids("cat AND first") == [1] and ids("/^a cat/") == [2] and sorted(ids("dog -end")) == [1, 2]
+        assert e.search("cat in:fr").count() == 0 and e.search("chat in:fr").first().title == "Third piece"
+        for wrong in ("cat nothing:1 after:x", "tag:x cat"):
+            with pytest.raises(ValueError):
+                e.search(wrong)
+        for how in ({"mode": "semantic"}, {"mode": "hybrid"}, {"sort": "newest", "mode": "semantic"}, {"sort": "best"}):
+            with pytest.raises(ValueError):
+                e.search("cat", **how)
+        assert e.build_vectors() == 1 and e.build_vectors() == 0
+        assert e.search("the cat and the dog", mode="semantic").first().doc_id in (1, 2)
+        assert {r.doc_id for r in e.search("dog").collect()} == {1, 2} and e.search("dog lang:fr", mode="hybrid").count() == 0
+        assert e.cite(3, 1)["citation"] and e.cite(3, 1)["path"] == "3"
+        with pytest.raises(ValueError):
+            e.to_json(e.index.passages, most=2)
+        # what changes is indexed, and vectors of the rest stay
+        later = spark.createDataFrame([(1, "new text here and now again", "en", "s1"), (3, "le chat", "fr", "s1"), (4, "added one", "en", "s3")], docs.schema)
         later.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         e.rebuild()
         assert e.status().first().docs == 3 and e.kwic(["the"]).count() == 0
-        fields = store.field_rows(LIBRARY.df(spark).withColumnRenamed("doc", "doc_id"), "title", "themes")
+        with pytest.raises(ValueError):
+            e.search("cat", mode="semantic")
+        assert e.build_vectors() == 1 and e.search("again", mode="semantic").first().doc_id == 1
+        fields = store.field_rows(LIBRARY.df(spark).withColumnsRenamed({"doc": "doc_id", "themes": "topics"}).withColumn("summary", F.lit(None).cast("string")))
         assert fields.filter("field = 'topic'").count() == 8
     finally:
-        spark.conf.unset("verbatlas.index.dir")
+        spark.conf.unset("spark.verbatlas.index.dir")

@@ -1,4 +1,8 @@
-"""Occurrences, concordances, distributions, n-grams, collocates, keyness and profiles over one token stream."""
+"""Occurrences, concordances, distributions, n-grams, collocates, keyness and profiles over one token stream.
+
+``rows`` are passages (doc_id, line_start, toks, n_tok, ...) or a stored index.  Of an index the places of words are read
+from its positional postings, and passages only where surroundings are asked for.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,63 @@ def occurrences(rows: DataFrame, phrase: list[str]) -> DataFrame:
     return some.withColumn("i", F.explode(starts)).withColumn("n", F.lit(n))
 
 
+def shifted(places: str, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def postings_of(index, phrase: list[str]) -> DataFrame:
+    """Passages of an index that hold a phrase: doc_id, line_start, lang, source, n_tok, n and starts, an array of (i, l1, r1).
+
+    Position lists of the phrase's words are shifted and intersected; the words beside it come with the postings of its ends."""
+    n = len(phrase)
+    keys = ["doc_id", "line_start"]
+    out = index.postings.filter(F.col("word") == phrase[0]).select(*keys, "lang", "source", "n_tok", F.lit(n).alias("n"), "at", "left", F.col("at").alias("starts"), F.col("at").alias("at_last"), "right")
+    for k, word in enumerate(phrase[1:], 1):
+        more = index.postings.filter(F.col("word") == word).select(*keys, F.col("at").alias("at2"), F.col("right").alias("right2"))
+        out = out.drop("at_last", "right").join(more, keys).withColumnsRenamed({"at2": "at_last", "right2": "right"})
+        out = out.withColumn("starts", F.array_intersect("starts", shifted("at_last", k))).filter(F.size("starts") > 0)
+    if n == 1:
+        starts = F.arrays_zip(F.col("at").alias("i"), F.col("left").alias("l1"), F.col("right").alias("r1"))
+    else:
+        found = lambda x, at: F.array_position(at, x).cast("int") - 1
+        starts = F.transform("starts", lambda x: F.struct(x.alias("i"), F.get("left", found(x, F.col("at"))).alias("l1"), F.get("right", found(x + (n - 1), F.col("at_last"))).alias("r1")))
+    return out.select(*keys, "lang", "source", "n_tok", "n", starts.alias("starts"))
+
+
+def hits_of(index, phrase: list[str], near: str | None = None, width: int = 5) -> DataFrame:
+    """``occurrences`` of an index without its tokens: doc_id, line_start, lang, source, n_tok, n, i, l1, r1; ``near`` in the window, by its own places."""
+    found = postings_of(index, phrase)
+    if near is not None:
+        other = index.postings.filter(F.col("word") == near).select("doc_id", "line_start", F.col("at").alias("near"))
+        n = len(phrase)
+        beside = lambda x, i: ((x < i) & (x >= i - width)) | ((x >= i + n) & (x < i + n + width))
+        found = found.join(other, ["doc_id", "line_start"]).withColumn("starts", F.filter("starts", lambda s: F.exists("near", lambda x: beside(x, s["i"])))).drop("near")
+    return found.select("doc_id", "line_start", "lang", "source", "n_tok", "n", F.inline("starts"))
+
+
+def contexts(rows, phrase: list[str], near: str | None = None, width: int = 5) -> DataFrame:
+    """``occurrences`` with toks and line.  Of an index the passages that hold the phrase are joined, or, for common words, which a good part of them hold, found in one scan."""
+    if not isinstance(rows, DataFrame) and not rows.is_common(phrase):
+        return hits_of(rows, phrase, near, width).drop("l1", "r1", "lang", "source", "n_tok").join(rows.passages, ["doc_id", "line_start"])
+    found = occurrences(rows if isinstance(rows, DataFrame) else rows.passages, phrase)
+    return found if near is None else found.filter(F.array_contains(window_of(width), near))
+
+
+def places(rows, phrase: list[str], near: str | None = None, width: int = 5) -> DataFrame:
+    """Occurrences for counting: of an index from its postings alone."""
+    return contexts(rows, phrase, near, width) if isinstance(rows, DataFrame) else hits_of(rows, phrase, near, width)
+
+
+def _sized(rows) -> DataFrame:
+    """Rows whose n_tok add up to all tokens: passages, or the documents of an index that have any."""
+    return rows if isinstance(rows, DataFrame) else rows.docs.filter("n_pass > 0")
+
+
+def _with(found: DataFrame, rows, by: str) -> DataFrame:
+    """Occurrences with a column of their document."""
+    return found if by in found.columns else found.join(rows.docs.select("doc_id", by), "doc_id")
+
+
 def window_of(width: int) -> Column:
     """Tokens up to ``width`` places left and right of an occurrence, without the node."""
     left = F.slice("toks", F.greatest(F.col("i") - width, F.lit(0)) + 1, F.least(F.col("i"), F.lit(width)))
@@ -30,31 +91,38 @@ def sort_keys(side: str, first: int, upto: int = 9) -> list[Column]:
     return [F.coalesce(F.when(at(k) > 0, F.try_element_at("toks", F.greatest(at(k), F.lit(1)))), F.lit("")) for k in range(first, upto + 1)]
 
 
-def kwic(rows: DataFrame, phrase: list[str], near: str | None = None, width: int = 5, limit: int | None = None, sort: str = "R1", extra: list[str] = ()) -> DataFrame:
+def kwic(rows, phrase: list[str], near: str | None = None, width: int = 5, limit: int | None = None, sort: str = "R1", extra: list[str] = ()) -> DataFrame:
     """Concordance rows with the tokens l1 and r1 beside the node.
 
     ``sort``: L1 to L9 or R1 to R9 (that place and the ones further out), or a column, whose missing values come last;
     ties go by r1, l1 and place.  ``extra`` names columns of the passages that stay."""
-    found = occurrences(rows, phrase)
-    if near is not None:
-        found = found.filter(F.array_contains(window_of(width), near))
-    found = found.withColumn("l1", sort_keys("L", 1, 1)[0]).withColumn("r1", sort_keys("R", 1, 1)[0])
-    if sort[:1] in ("L", "R") and sort[1:].isdigit():
-        order = sort_keys(sort[0], int(sort[1:])) if sort != "R1" else []
+    indexed = not isinstance(rows, DataFrame)
+    outward = sort[:1] in ("L", "R") and sort[1:].isdigit() and sort != "R1"
+    if indexed and not outward and sort != "line":
+        found = hits_of(rows, phrase, near, width)
+        if sort != "R1":
+            found = _with(found, rows, sort)
     else:
-        order = [F.asc_nulls_last(sort)]
-    found = found.orderBy(*order, "r1", "l1", "doc_id", "line_start", "i")
+        found = contexts(rows, phrase, near, width)
+        found = found.withColumn("l1", sort_keys("L", 1, 1)[0]).withColumn("r1", sort_keys("R", 1, 1)[0])
+    order = sort_keys(sort[0], int(sort[1:])) if outward else [] if sort == "R1" else [F.asc_nulls_last(sort)]
+    last = ["r1", "l1", "doc_id", "line_start", "i"]
+    found = found.orderBy(*order, *last)
     if limit is not None:
         found = found.limit(limit)
+    missing = [c for c in extra if c not in found.columns]
+    if missing:  # of the rows that are shown
+        shown = found.select("doc_id", "line_start", "i", "l1", "r1", *[c for c in extra if c not in missing], *([sort] if not outward and sort != "R1" and sort not in extra else []))
+        ids = [r.doc_id for r in shown.select("doc_id").distinct().collect()] if limit is not None else None
+        own = rows.passages if ids is None else rows.passages.filter(F.col("doc_id").isin(*ids))
+        found = shown.join(own.select("doc_id", "line_start", *missing), ["doc_id", "line_start"]).orderBy(*order, *last)
     return found.select("doc_id", "line_start", "i", "l1", "r1", *extra)
 
 
-def kwic_totals(rows: DataFrame, phrase: list[str], near: str | None = None, width: int = 5) -> DataFrame:
+def kwic_totals(rows, phrase: list[str], near: str | None = None, width: int = 5) -> DataFrame:
     """Before any limit: total occurrences, pieces (documents) that have one, and tokens of all rows: one row."""
-    found = occurrences(rows, phrase)
-    if near is not None:
-        found = found.filter(F.array_contains(window_of(width), near))
-    return found.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("doc_id").alias("pieces")).crossJoin(rows.agg(F.coalesce(F.sum("n_tok"), F.lit(0)).alias("tokens")))
+    found = places(rows, phrase, near, width)
+    return found.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("doc_id").alias("pieces")).crossJoin(_sized(rows).agg(F.coalesce(F.sum("n_tok"), F.lit(0)).alias("tokens")))
 
 
 def kwic_lines_text(found: DataFrame, width: int = 8) -> DataFrame:
@@ -72,13 +140,14 @@ def kwic_lines_text(found: DataFrame, width: int = 8) -> DataFrame:
     return found.withColumn("left", F.ltrim(left)).withColumn("node", cut(first, last)).withColumn("right", F.rtrim(right))
 
 
-def distribution(rows: DataFrame, phrase: list[str], by: str, missing: str | None = None, in_order: bool = False) -> DataFrame:
+def distribution(rows, phrase: list[str], by: str, missing: str | None = None, in_order: bool = False) -> DataFrame:
     """Hits, pieces, tokens and frequency per million of each bucket, those without hits too; most hits first, or in the buckets' order.
 
     ``missing`` names the bucket of rows without a value, which comes last in order."""
     bucket = F.col(by) if missing is None else F.coalesce(F.col(by).cast("string"), F.lit(missing)).alias(by)
-    hits = occurrences(rows, phrase).groupBy(bucket).agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("pieces"))
-    total = rows.groupBy(bucket).agg(F.sum("n_tok").alias("tokens"))
+    found = places(rows, phrase)
+    hits = _with(found, rows, by).groupBy(bucket).agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("pieces"))
+    total = _sized(rows).groupBy(bucket).agg(F.sum("n_tok").alias("tokens"))
     joined = total.join(hits, by, "left").fillna(0, ["hits", "pieces"])
     out = joined.select(by, "hits", "pieces", "tokens", per_million(F.col("hits"), F.col("tokens")).alias("per_million"))
     if in_order:
@@ -128,27 +197,28 @@ def ngrams(rows: DataFrame, sizes: tuple[int, ...], top: int, strict: bool = Fal
     return counted.orderBy(F.desc("count"), "gram").limit(top).select("n", "gram", "count", "pieces")
 
 
-def gram_years(rows: DataFrame, gram: list[str], year: str) -> DataFrame:
+def gram_years(rows, gram: list[str], year: str) -> DataFrame:
     """Occurrences of one n-gram by year; passages without a year are left out."""
-    return occurrences(rows.filter(F.col(year).isNotNull()), gram).groupBy(year).agg(F.count(F.lit(1)).alias("count")).orderBy(year)
+    return _with(places(rows, gram), rows, year).filter(F.col(year).isNotNull()).groupBy(year).agg(F.count(F.lit(1)).alias("count")).orderBy(year)
 
 
-def row_distribution(rows: DataFrame, phrase: list[str], by: str = "doc_id", top: int = 10) -> DataFrame:
+def row_distribution(rows, phrase: list[str], by: str = "doc_id", top: int = 10) -> DataFrame:
     """Hits of a row's phrase by document, year or corpus: the ``top`` documents, and all others together as "other"; corpora without hits as 0."""
-    hits = occurrences(rows, phrase).groupBy(by).agg(F.count(F.lit(1)).alias("hits"))
+    hits = _with(places(rows, phrase), rows, by).groupBy(by).agg(F.count(F.lit(1)).alias("hits"))
     if by != "doc_id":
-        every = rows.select(by).distinct().join(hits, by, "left")
+        every = _sized(rows).select(by).distinct().join(hits, by, "left")
         return every.select(F.coalesce(F.col(by).cast("string"), F.lit("unknown")).alias("bucket"), F.coalesce("hits", F.lit(0)).alias("hits"))
     best = hits.orderBy(F.desc("hits"), by).limit(top).select(by, F.lit(True).alias("kept"))
     named = hits.join(F.broadcast(best), by, "left").select(F.when(F.col("kept"), F.col(by).cast("string")).otherwise("other").alias("bucket"), "hits")
     return named.groupBy("bucket").agg(F.sum("hits").alias("hits"))
 
 
-def collocates(rows: DataFrame, node: str, width: int = 4, least: int = 3, keep_stopwords: bool = False, index=None) -> DataFrame:
+def collocates(rows, node: str, width: int = 4, least: int = 3, keep_stopwords: bool = False, index=None) -> DataFrame:
     """Words near the node: count (occurrences with the word in the window), corpus frequency, logDice and MI.
 
     Where ``rows`` are all passages of a stored ``index``, frequencies and totals are its own."""
-    found = occurrences(rows, [node])
+    index = rows if index is None and not isinstance(rows, DataFrame) else index
+    found = contexts(rows, [node])
     near = found.select(F.explode(F.array_distinct(window_of(width))).alias("word"))
     if not keep_stopwords:
         near = near.filter(~F.col("word").isin(*STOPWORDS))
@@ -200,20 +270,20 @@ def keyness(a: DataFrame, b: DataFrame, least: int = 3, critical: float = 3.84,
     return kept if both_sides else kept.filter("key = 'a'").drop("key")
 
 
-def profile(rows: DataFrame, word: str, least: int = 3) -> DataFrame:
+def profile(rows, word: str, least: int = 3) -> DataFrame:
     """Per document with three hits or more: hits and frequency per million, best first; first use by doc, line, place."""
-    hits = occurrences(rows, [word]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("line_start", "i")).alias("first"))
-    total = rows.groupBy("doc_id").agg(F.sum("n_tok").alias("tokens"))
+    hits = places(rows, [word]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("line_start", "i")).alias("first"))
+    total = _sized(rows).groupBy("doc_id").agg(F.sum("n_tok").alias("tokens"))
     out = hits.filter(F.col("hits") >= least).join(total, "doc_id")
     return out.select("doc_id", "hits", per_million(F.col("hits"), F.col("tokens")).alias("per_million"), F.col("first.line_start").alias("first_line"), F.col("first.i").alias("first_i"))
 
 
-def profile_summary(rows: DataFrame, word: str, date: str) -> DataFrame:
+def profile_summary(rows, word: str, date: str) -> DataFrame:
     """One row: frequency, per million, pieces, and the first dated use (date, doc, line, place)."""
-    found = occurrences(rows, [word])
+    found = _with(places(rows, [word]), rows, date)
     when = F.when(F.col(date).isNotNull(), F.struct(F.col(date).alias("date"), "doc_id", "line_start", "i"))
     counts = found.agg(F.count(F.lit(1)).alias("frequency"), F.count_distinct("doc_id").alias("pieces"), F.min(when).alias("first"))
-    out = counts.crossJoin(rows.agg(F.sum("n_tok").alias("tokens")))
+    out = counts.crossJoin(_sized(rows).agg(F.sum("n_tok").alias("tokens")))
     return out.select("frequency", per_million(F.col("frequency"), F.col("tokens")).alias("per_million"), "pieces", F.col("first.date").cast("string").alias("first_date"), F.col("first.doc_id").alias("first_doc"), F.col("first.line_start").alias("first_line"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.stats import round6
-from verbatlas.functions.text import STOPWORDS, TOKEN, fnv1a, fold
+from verbatlas.functions.text import STOPWORDS, TOKEN, date_floor, fnv1a, fold
 from verbatlas.plans.grammar import Query, parse
 from verbatlas.sources.store import similarity_weights
 
@@ -40,41 +41,71 @@ def term_counts(rows: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     return found.filter("tf > 0")
 
 
-def posted(index, terms: list[tuple[str, str]]) -> DataFrame:
-    """``term_counts`` read from a stored index: words and prefixes from the postings' row groups that hold them, phrases
-    from the passages that the postings of their first word name."""
-    parts = []
+def posted(index, terms: list[tuple[str, str]], table: str = "postings", keys: tuple[str, ...] = ("doc_id", "line_start")) -> DataFrame:
+    """``term_counts`` read from the postings of a stored index: the row groups of the terms' words, phrases by their places."""
+    from verbatlas.operators.concord import postings_of, shifted
+
+    parts, every = [], getattr(index, table)
     for k, (kind, value) in enumerate(terms):
         own = F.lit(k).alias("term")
-        if kind == "phrase":
-            first = value.split()[0]
-            at = index.postings.filter(F.col("word") == first).select("doc_id", "line_start")
-            rows = index.passages.filter(F.array_contains("toks", first)).join(at, ["doc_id", "line_start"], "left_semi")
-            parts.append(rows.select("doc_id", "line_start", "n_tok", own, _held(kind, value).cast("long").alias("tf")).filter("tf > 0"))
+        if kind == "phrase" and table == "postings":
+            parts.append(postings_of(index, value.split()).select(*keys, "n_tok", own, F.size("starts").cast("long").alias("tf")))
+        elif kind == "phrase":
+            words = value.split()
+            at = every.filter(F.col("word") == words[0]).select(*keys, "n_tok", "at")
+            for j, word in enumerate(words[1:], 1):
+                more = every.filter(F.col("word") == word).select(*keys, shifted("at", j).alias("at2"))
+                at = at.join(more, [*keys]).withColumn("at", F.array_intersect("at", "at2")).drop("at2").filter(F.size("at") > 0)
+            parts.append(at.select(*keys, "n_tok", own, F.size("at").cast("long").alias("tf")))
         elif kind == "prefix":
-            hit = index.postings.filter(F.startswith("word", F.lit(value)) & (F.col("word") >= value))
-            parts.append(hit.groupBy("doc_id", "line_start", "n_tok").agg(F.sum("tf").alias("tf")).select("doc_id", "line_start", "n_tok", own, "tf"))
+            hit = every.filter(F.startswith("word", F.lit(value)) & (F.col("word") >= value))
+            parts.append(hit.groupBy(*keys, "n_tok").agg(F.sum("tf").alias("tf")).select(*keys, "n_tok", own, "tf"))
         else:
-            parts.append(index.postings.filter(F.col("word") == value).select("doc_id", "line_start", "n_tok", own, "tf"))
+            parts.append(every.filter(F.col("word") == value).select(*keys, "n_tok", own, "tf"))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _idf(n: Column, df: Column) -> Column:
+    idf = F.ln((n - df + 0.5) / (df + 0.5))
+    return F.when(idf > 0, idf).otherwise(1e-6)
+
+
+def weighed(index, terms: list[tuple[str, str]], table: str = "postings", keys: tuple[str, ...] = ("doc_id", "line_start"), stats: DataFrame | None = None) -> DataFrame:
+    """keys, score (BM25, not rounded), mask (bit k: holds term k) and held of what holds a term.
+
+    Each term's postings are read once: they meet in one exchange, on which the document frequencies and the scores rest.
+    ``stats``: one row with N and avgdl."""
+    tf = lambda k: F.max(F.when(F.col("term") == k, F.col("tf")))
+    met = posted(index, terms, table, keys).groupBy(*keys).agg(F.max("n_tok").alias("n_tok"), F.array(*[tf(k) for k in range(len(terms))]).alias("tf"))
+    if stats is None:
+        stats = index.totals.select(F.col("passages").alias("N"), (F.col("tokens") / F.col("passages")).alias("avgdl"))
+    df = met.agg(F.array(*[F.count(F.get("tf", F.lit(k))) for k in range(len(terms))]).alias("df")).crossJoin(stats)  # one row
+
+    def weight(k: int) -> Column:
+        n = F.get("tf", F.lit(k))
+        return F.coalesce(_idf(F.col("N"), F.get("df", F.lit(k))) * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("n_tok") / F.col("avgdl"))), F.lit(0.0))
+
+    bits = [F.when(F.get("tf", F.lit(k)).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(len(terms))]
+    mask = bits[0]
+    for bit in bits[1:]:
+        mask = mask.bitwiseOR(bit)
+    return met.crossJoin(F.broadcast(df)).select(*keys, sum((weight(k) for k in range(1, len(terms))), weight(0)).alias("score"), mask.alias("mask"), F.bit_count(mask).cast("long").alias("held"))
+
+
 def bm25(rows: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     """Score and number of terms held of each passage: doc_id, line_start, score, held.
 
     ``rows`` are passages, or a stored index, whose postings are looked up then."""
-    if isinstance(rows, DataFrame):
-        hits, stats = term_counts(rows, terms), rows.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tok").alias("avgdl"))
-    else:  # a stored index
-        hits, stats = posted(rows, terms), rows.totals.select(F.col("passages").alias("N"), (F.col("tokens") / F.col("passages")).alias("avgdl"))
+    if not isinstance(rows, DataFrame):
+        return weighed(rows, terms).select("doc_id", "line_start", round6(F.col("score")).alias("score"), "held")
+    hits, stats = term_counts(rows, terms), rows.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tok").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
-    idf = F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = df.crossJoin(stats).select("term", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+    known = df.crossJoin(stats).select("term", "avgdl", _idf(F.col("N"), F.col("df")).alias("idf"))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tok") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(weighed), "term").groupBy("doc_id", "line_start").agg(F.sum(F.col("idf") * tf).alias("s"), F.count(F.lit(1)).alias("held"))
+    scored = hits.join(F.broadcast(known), "term").groupBy("doc_id", "line_start").agg(F.sum(F.col("idf") * tf).alias("s"), F.count(F.lit(1)).alias("held"))
     return scored.select("doc_id", "line_start", round6(F.col("s")).alias("score"), "held")
 
 
@@ -272,6 +303,156 @@ def search_text(rows: DataFrame, text: str, columns: dict[str, str], titles: Dat
     return out.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
+def _masks(groups: list[list]) -> list[tuple[int, int]]:
+    """(bits, size) of each AND group, whose terms are numbered one after the other."""
+    out, at = [], 0
+    for g in groups:
+        out.append((((1 << len(g)) - 1) << at, len(g)))
+        at += len(g)
+    return out
+
+
+def compiled(text: str, corpora: list[str] | None = None):
+    """A query text as (query, AND groups, excluded terms, document filter, corpora); unknown document fields are refused."""
+    from verbatlas.operators.filters import from_query
+
+    query = parse(text)
+    groups, without = query_terms(query)
+    if sum(map(len, groups)) > 62:
+        raise ValueError("more than 62 terms")
+    named = {**query.fields, **query.repeated}
+    inside = named.pop("in", None)
+    return query, groups, without, from_query(named), [inside] if inside else corpora
+
+
+def in_scope(index, scope, corpora: list[str] | None = None) -> DataFrame | None:
+    """Documents (doc_id) that a filter takes, in some corpora; null if that is all of them."""
+    from verbatlas.operators.filters import DocFilter, predicate
+
+    if not corpora and scope == DocFilter():
+        return None
+    docs = index.docs.filter(predicate(scope))
+    if corpora:
+        docs = docs.filter(fold(F.col("corpus")).isin(*[c.strip().lower() for c in corpora]))
+    return docs.select("doc_id")
+
+
+def matching(index, text: str, corpora: list[str] | None = None, scope=None) -> DataFrame:
+    """Every passage that a query in the search language takes: doc_id, line_start, cover, score, without any order.
+
+    A passage counts if it holds a term of an AND group, and it or its document's fields (title, topics, summary) hold the
+    others; its cover is the best share that it holds itself.  A query of patterns alone takes the passages that they match.
+    All comes from postings; texts are read for patterns only.  Statistics are those of all documents.  ``scope``: a document
+    filter in place of the query's own."""
+    query, groups, without, own, corpora = compiled(text, corpora)
+    scope = own if scope is None else scope
+    if not groups and not query.patterns:
+        raise ValueError("the query has no positive term")
+    keys = ["doc_id", "line_start"]
+    kept = in_scope(index, scope, corpora)
+    if groups:
+        terms = [t for g in groups for t in g]
+        hits = weighed(index, terms)
+        if kept is not None:
+            hits = hits.join(kept, "doc_id", "left_semi")
+        if len(terms) > len(groups):  # some group has several terms, of which fields may hold some
+            fields = posted(index, terms, "fields", ("doc_id", "field", "nth"))
+            named = fields.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), term)")).alias("named"))
+            hits = hits.join(named, "doc_id", "left").withColumn("named", F.coalesce("named", F.lit(0).cast("long")))
+        else:
+            hits = hits.withColumn("named", F.lit(0).cast("long"))
+        shares = []
+        for bits, size in _masks(groups):
+            m = F.lit(bits).cast("long")
+            own = F.bit_count(F.col("mask").bitwiseAND(m))
+            shares.append(F.when((own > 0) & (F.col("mask").bitwiseOR(F.col("named")).bitwiseAND(m) == m), own / size))
+        cover = shares[0] if len(shares) == 1 else F.greatest(*shares)
+        hits = hits.select(*keys, cover.alias("cover"), round6(F.col("score")).alias("score")).filter("cover IS NOT NULL")
+    if query.patterns:
+        rows = index.passages if kept is None else index.passages.join(kept, "doc_id", "left_semi")
+        for source, flags in query.patterns:
+            rows = rows.filter(F.col("line").rlike("".join(f"(?{f})" for f in "ims" if f in flags) + source))
+        hits = hits.join(rows.select(*keys), keys, "left_semi") if groups else rows.select(*keys, F.lit(1.0).alias("cover"), F.lit(0.0).alias("score"))
+    return hits.join(posted(index, without).select(*keys), keys, "left_anti") if without else hits
+
+
+def title_scores(index, text: str) -> DataFrame | None:
+    """(doc_id, title): BM25 of the titles that hold a positive term of a query; null if it has none."""
+    terms = [t for g in compiled(text)[1] for t in g]
+    if not terms:
+        return None
+    n, size = index.state.total("titles"), index.state.total("title_tokens")
+    stats = index.spark.range(1).select(F.lit(n).alias("N"), F.lit(size / max(1, n)).alias("avgdl"))
+    titles = _Table(index.fields.filter("field = 'title'"))
+    return weighed(titles, terms, "fields", ("doc_id",), stats).select("doc_id", round6(F.col("score")).alias("title"))
+
+
+@dataclass
+class _Table:
+    fields: DataFrame
+
+
+def ranked(index, text: str, limit: int = 20, sort: str = "score", corpora: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best documents (rank, doc_id, doc_score) and all passages that match.
+
+    A document's score is its best passage's score times cover, and its title's own.  ``sort``: score, newest or oldest
+    (undated last); ties go by path, then id."""
+    hits = matching(index, text, corpora)
+    key = F.struct((-F.col("cover")).alias("c"), (-F.col("score")).alias("s"), "line_start")
+    best = hits.groupBy("doc_id").agg(F.min(key).alias("b"), F.count(F.lit(1)).alias("passages")).select("doc_id", "passages", (F.col("b.c") * F.col("b.s")).alias("own"))
+    if (titles := title_scores(index, text)) is not None:
+        best = best.join(titles, "doc_id", "left").withColumn("own", F.col("own") + F.coalesce("title", F.lit(0.0))).drop("title")
+    best = best.withColumn("own", round6(F.col("own"))).join(index.docs.select("doc_id", "path", "date"), "doc_id")
+    last = [F.asc_nulls_last("path"), F.asc("doc_id")]
+    by = [F.desc("own") if sort == "score" else F.desc_nulls_last(date_floor(F.col("date"))) if sort == "newest" else F.asc_nulls_last(date_floor(F.col("date"))), *last]
+    top = best.orderBy(*by).limit(limit)
+    return top.select(F.row_number().over(Window.orderBy(*by)).alias("rank"), "doc_id", F.col("own").alias("doc_score"), "passages"), hits  # ``limit`` rows
+
+
+def search_index(index, text: str, limit: int = 20, hits_per_doc: int = 3, sort: str = "score", corpora: list[str] | None = None) -> DataFrame:
+    """``ranked`` documents with their best passages: rank, doc_id, corpus, path, title, date, doc_score, passages, passage (from 1), line_start, cover, score."""
+    top, hits = ranked(index, text, limit, sort, corpora)
+    inside = Window.partitionBy("doc_id").orderBy(F.desc("cover"), F.desc("score"), "line_start")
+    shown = hits.join(F.broadcast(top), "doc_id").withColumn("passage", F.row_number().over(inside)).filter(F.col("passage") <= hits_per_doc)
+    meta = index.docs.select("doc_id", "corpus", "path", "title", "date")
+    return shown.join(meta, "doc_id").select("rank", "doc_id", "corpus", "path", "title", "date", "doc_score", "passages", "passage", "line_start", "cover", "score").orderBy("rank", "passage")
+
+
+def facets(index, text: str | None, values: dict[str, Column], top: int = 20, corpora: list[str] | None = None) -> DataFrame:
+    """Facet values of the documents that a query finds, or of all: facet, value, count; the ``top`` of each facet.
+
+    The facet "months" disregards the query's months, and "ai" its ai, so that a choice does not hide the others.  A document is
+    marked once with the variants of the query that it passes, and all facets come from one aggregate over one reading.
+    Values that are the same under fold are one, in the spelling of most documents.  ``values``: array columns of docs."""
+    from verbatlas.operators.filters import DocFilter, predicate
+
+    scope = compiled(text)[3] if text else DocFilter()
+    docs = index.docs
+    if text and (query := compiled(text, corpora)):
+        if query[1] or query[0].patterns:
+            docs = docs.join(matching(index, text, corpora, replace(scope, months=[], ai=None)).select("doc_id").distinct(), "doc_id", "left_semi")
+        corpora = query[4]
+    if corpora:
+        docs = docs.filter(fold(F.col("corpus")).isin(*[c.strip().lower() for c in corpora]))
+    passes = {"months": predicate(replace(scope, months=[])), "ai": predicate(replace(scope, ai=None))}
+    whole = predicate(scope)
+    each = [_named(name, v, passes.get(name, whole)) for name, v in values.items()]
+    rows = docs.select("doc_id", F.inline(F.concat(*each))).withColumn("v", fold(F.col("spelling"))).filter("v <> ''")
+    one = rows.groupBy("facet", "v", "doc_id").agg(F.min(F.trim("spelling")).alias("spelling"))
+    forms = one.groupBy("facet", "v", "spelling").agg(F.count(F.lit(1)).alias("n"))
+    best = forms.groupBy("facet", "v").agg(F.sum("n").alias("count"), F.min(F.struct((-F.col("n")).alias("less"), "spelling")).alias("b"))
+    best = best.select("facet", F.col("b.spelling").alias("value"), "count")
+    order = Window.partitionBy("facet").orderBy(F.desc("count"), "value")
+    return best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
+
+
+def _named(name: str, values: Column, passes: Column) -> Column:
+    """Values as (facet, spelling), none where the document does not pass."""
+    kind = "array<struct<facet:string,spelling:string>>"
+    made = F.transform(values, lambda x: F.struct(F.lit(name).alias("facet"), x.cast("string").alias("spelling"))).cast(kind)
+    return F.when(passes & values.isNotNull(), made).otherwise(F.array().cast(kind))
+
+
 def merge_ranks(results: DataFrame, by: str) -> DataFrame:
     """Scores of several corpora made comparable: each by its corpus's best, a row a corpus."""
     best = results.groupBy(by).agg(F.max("score").alias("_best"))
@@ -289,7 +470,9 @@ def similar(index, seeds: list[tuple[int, int]], limit: int = 20, explain: int =
     wanted = F.broadcast(spark.createDataFrame([(k, d, n) for k, (d, n) in enumerate(seeds)], "seed int, doc_id long, line_start long"))
     n = index.totals.select(F.col("passages").alias("N"))
     weigh = lambda postings, words: similarity_weights(postings, words, n)
-    own = index.passages.join(wanted, ["doc_id", "line_start"]).select("seed", "doc_id", "line_start", "norm", F.explode("toks").alias("word")).groupBy("seed", "doc_id", "line_start", "norm", "word").agg(F.count(F.lit(1)).alias("tf"))
+    ids = sorted({d for d, _ in seeds})
+    own = index.passages.filter(F.col("doc_id").isin(*ids)).join(wanted, ["doc_id", "line_start"]).join(index.norms.filter(F.col("doc_id").isin(*ids)), ["doc_id", "line_start"])
+    own = own.select("seed", "doc_id", "line_start", "norm", F.explode("toks").alias("word")).groupBy("seed", "doc_id", "line_start", "norm", "word").agg(F.count(F.lit(1)).alias("tf"))
     # ten passages' words at most, with their idf: collected, so that the postings are pruned by them
     vector = weigh(own, index.words).select("seed", "word", "norm", "w").collect()
     centre: dict[str, float] = {}
@@ -300,7 +483,7 @@ def similar(index, seeds: list[tuple[int, int]], limit: int = 20, explain: int =
     hits = weigh(index.postings.filter(F.col("word").isin(*centre)), index.words.filter(F.col("word").isin(*centre))).join(terms, "word")
     hits = hits.join(wanted, ["doc_id", "line_start"], "left_anti")
     dots = hits.groupBy("doc_id", "line_start").agg(F.sum(F.col("w") * F.col("cw")).alias("dot"), F.count(F.lit(1)).alias("shared")).filter("shared >= 2")
-    scored = dots.join(index.passages.select("doc_id", "line_start", "norm"), ["doc_id", "line_start"])
+    scored = dots.join(index.norms, ["doc_id", "line_start"])
     out = scored.select("doc_id", "line_start", "shared", round6(F.col("dot") / (F.col("norm") * length)).alias("score")).orderBy(F.desc("score"), "doc_id", "line_start").limit(limit)
     if not explain:
         return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from verbatlas.functions.stats import round6
 from verbatlas.functions.text import STOPWORDS, date_floor, fold, normalise_url, record_id, strip_html, year_of
 from verbatlas.operators import concord, search, topics
 from verbatlas.sources.corpus import table, words
-from verbatlas.sources.store import open_index
+from verbatlas.sources.store import Index, index_folder, open_index
 
 FLAGSHIP = "collocates_logdice"
 
@@ -30,8 +32,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: The documents have no titles, dates or paths; the index makes them from what they have.
+MAPPING = {
+    "corpus": "lang", "path": "concat(source, '/', doc_id, '.md')", "title": "substring(substring_index(text, '\\n', 1), 1, 60)", "genre": "source",
+    "date": "CASE WHEN doc_id % 21 <> 0 THEN concat(2000 + doc_id % 20, '-', lpad(1 + doc_id % 12, 2, '0')) END", "ai": "doc_id % 3 = 0",
+    "month": "CASE WHEN doc_id % 21 <> 0 THEN concat(2000 + doc_id % 20, '-', lpad(1 + doc_id % 12, 2, '0')) END", "themes": "array(source, upper(source), concat('in ', lang))",
+}
+
+
+def _i(spark: SparkSession, d: str) -> Index:
+    return open_index(spark, d, mapping=MAPPING)
+
+
 def _p(spark: SparkSession, d: str) -> DataFrame:
-    return open_index(spark, d).passages.select("doc_id", "lang", "source", "line_start", "line", "toks", "n_tok")
+    return _i(spark, d).passages.select("doc_id", "lang", "source", "line_start", "line", "toks", "n_tok")
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
@@ -51,7 +65,19 @@ def passages_split(spark, d):
 
 @query(", x AS (SELECT 1) SELECT word, count(*) AS n, count(DISTINCT doc_id) AS pieces FROM t GROUP BY word")
 def word_list(spark, d):
-    return open_index(spark, d).words.select("word", "n", "pieces")
+    return _i(spark, d).words.select("word", "n", "pieces")
+
+
+@query(", x AS (SELECT 1) SELECT word, count(*) AS n, count(DISTINCT doc_id) AS pieces, count(DISTINCT (doc_id, line_start)) AS df FROM t GROUP BY word")
+def index_incremental(spark, d):
+    """Word counts of an index that began with an earlier state of the documents, in which French ones were not there yet and Spanish ones
+    were longer; only these languages' files are written anew, and only their documents indexed again."""
+    docs, place = table(spark, d, "documents"), f"{index_folder(spark)}/trial-{hashlib.sha1(d.encode()).hexdigest()}"
+    early = docs.filter(F.coalesce(F.col("lang") != "fr", F.lit(True))).withColumn("text", F.when(F.col("lang") == "es", F.concat("text", F.lit("\nan earlier line"))).otherwise(F.col("text")))
+    early.write.mode("overwrite").partitionBy("lang").parquet(f"{place}/documents.parquet")
+    open_index(spark, place)
+    docs.filter(F.col("lang").isin("es", "fr")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").parquet(f"{place}/documents.parquet")
+    return open_index(spark, place).words
 
 
 def _dist(by: str) -> str:
@@ -62,12 +88,12 @@ SELECT n.{by}, coalesce(hits, 0) AS hits, coalesce(pieces, 0) AS pieces, tokens,
 
 @query(_dist("lang"))
 def dist_by_lang(spark, d):
-    return concord.distribution(_p(spark, d), ["the"], "lang")
+    return concord.distribution(_i(spark, d), ["the"], "lang")
 
 
 @query(_dist("source"))
 def dist_by_source(spark, d):
-    return concord.distribution(_p(spark, d), ["the"], "source")
+    return concord.distribution(_i(spark, d), ["the"], "source")
 
 
 @query("SELECT CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS INT) AS year, count(*) AS n, sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END)::BIGINT AS hits FROM orders GROUP BY 1")
@@ -79,17 +105,17 @@ def dist_by_year(spark, d):
 @query(""", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 2], '') AS r1 FROM t WHERE word = 'and')
 SELECT * FROM k ORDER BY r1, l1, doc_id, line_start, i LIMIT 200""")
 def kwic_lines(spark, d):
-    return concord.kwic(_p(spark, d), ["and"], limit=200)
+    return concord.kwic(_i(spark, d), ["and"], limit=200)
 
 
 @query(", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 3], '') AS r1 FROM t WHERE word = 'of' AND toks[i + 2] = 'the') SELECT * FROM k")
 def kwic_phrase(spark, d):
-    return concord.kwic(_p(spark, d), ["of", "the"])
+    return concord.kwic(_i(spark, d), ["of", "the"])
 
 
 @query(", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 2], '') AS r1 FROM t WHERE word = 'the' AND (list_contains(toks[greatest(i - 4, 1):i], 'and') AND i > 0 OR list_contains(toks[i + 2:i + 6], 'and'))) SELECT * FROM k")
 def kwic_near(spark, d):
-    return concord.kwic(_p(spark, d), ["the"], near="and", width=5)
+    return concord.kwic(_i(spark, d), ["the"], near="and", width=5)
 
 
 def _grams(sizes, top: int, most: str, more: str = "") -> str:
@@ -116,9 +142,8 @@ def ngrams_containing(spark, d):
 _YEAR = "CASE WHEN doc_id % 21 = 0 THEN NULL ELSE 2000 + doc_id % 20 END"
 
 
-def _years(spark, d):
-    """Passages with a year made from the document's id, for documents have no date."""
-    return _p(spark, d).withColumn("year", F.when(F.col("doc_id") % 21 != 0, (F.col("doc_id") % 20 + 2000).cast("int")))
+def _years(spark, d) -> Index:
+    return _i(spark, d).derive(year=year_of(F.col("date")))
 
 
 @query(f""", y AS (SELECT *, coalesce(CAST({_YEAR} AS VARCHAR), 'unknown') AS year FROM t), h AS (SELECT year, count(*) AS hits, count(DISTINCT doc_id) AS pieces FROM y WHERE word = 'disgusting' GROUP BY year), n AS (SELECT year, count(*) AS tokens FROM y GROUP BY year)
@@ -134,23 +159,23 @@ def ngrams_by_year(spark, d):
 
 @query(""", h AS (SELECT source, count(*) AS hits FROM t WHERE word = 'disgusting' GROUP BY source) SELECT s.source AS bucket, coalesce(hits, 0) AS hits FROM (SELECT DISTINCT source FROM t) s LEFT JOIN h ON s.source = h.source""")
 def row_dist_corpus_zero(spark, d):
-    return concord.row_distribution(_p(spark, d), ["disgusting"], by="source")
+    return concord.row_distribution(_i(spark, d), ["disgusting"], by="source")
 
 
 @query(""", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 2], '') AS r1, list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda j: CASE WHEN i - 1 - j > 0 THEN toks[i - 1 - j] ELSE '' END) AS key FROM t WHERE word = 'and')
 SELECT doc_id, line_start, i, l1, r1 FROM k ORDER BY key, r1, l1, doc_id, line_start, i LIMIT 100""")
 def kwic_sort_l2(spark, d):
-    return concord.kwic(_p(spark, d), ["and"], limit=100, sort="L2")
+    return concord.kwic(_i(spark, d), ["and"], limit=100, sort="L2")
 
 
 @query(""", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 2], '') AS r1, source FROM t WHERE word = 'and') SELECT * FROM k ORDER BY source NULLS LAST, r1, l1, doc_id, line_start, i LIMIT 100""")
 def kwic_sort_source(spark, d):
-    return concord.kwic(_p(spark, d), ["and"], limit=100, sort="source", extra=["source"])
+    return concord.kwic(_i(spark, d), ["and"], limit=100, sort="source", extra=["source"])
 
 
 @query(", k AS (SELECT * FROM t WHERE word = 'the' AND (list_contains(toks[greatest(i - 4, 1):i], 'and') AND i > 0 OR list_contains(toks[i + 2:i + 6], 'and'))) SELECT count(*) AS total, count(DISTINCT doc_id) AS pieces, (SELECT count(*) FROM t) AS tokens FROM k")
 def kwic_totals(spark, d):
-    return concord.kwic_totals(_p(spark, d), ["the"], near="and", width=5)
+    return concord.kwic_totals(_i(spark, d), ["the"], near="and", width=5)
 
 
 @query(f""", y AS (SELECT *, {_YEAR} AS year FROM t WHERE word = 'disgusting'), f AS (SELECT min({{'d': year, 'doc': doc_id, 'l': line_start, 'i': i}}) AS m FROM y WHERE year IS NOT NULL)
@@ -162,7 +187,7 @@ def profile_summary(spark, d):
 @query(""", h AS (SELECT doc_id, count(*) AS hits FROM t WHERE word = 'the' GROUP BY doc_id), r AS (SELECT *, row_number() OVER (ORDER BY hits DESC, doc_id) AS r FROM h)
 SELECT CASE WHEN r <= 10 THEN CAST(doc_id AS VARCHAR) ELSE 'other' END AS bucket, sum(hits)::BIGINT AS hits FROM r GROUP BY 1""")
 def row_dist_doc_top10_other(spark, d):
-    return concord.row_distribution(_p(spark, d), ["the"])
+    return concord.row_distribution(_i(spark, d), ["the"])
 
 
 _COLL = f""", f AS (SELECT word, count(*) AS freq FROM t GROUP BY word), tot AS (SELECT count(*) AS size, count(*) FILTER (WHERE word = 'and') AS nf FROM t),
@@ -174,13 +199,13 @@ FROM c JOIN f ON c.word = f.word, tot"""
 
 @query(_COLL)
 def collocates_logdice(spark, d):
-    out = concord.collocates(_p(spark, d), "and", index=open_index(spark, d))
+    out = concord.collocates(_i(spark, d), "and")
     return out.orderBy(F.desc("log_dice"), F.desc("count"), "word")
 
 
 @query(_COLL + " WHERE round(log2(count * size / (nf * freq * 8.0)) * 1000) / 1000 >= 1")
 def collocates_mi(spark, d):
-    return concord.collocates(_p(spark, d), "and").filter("mi >= 1").orderBy(F.desc("mi"), F.desc("count"), "word")
+    return concord.collocates(_i(spark, d), "and").filter("mi >= 1").orderBy(F.desc("mi"), F.desc("count"), "word")
 
 
 def _side(s: str, lang: str) -> str:
@@ -228,7 +253,7 @@ def keyness_overlap(spark, d):
 @query(""", h AS (SELECT doc_id, count(*) AS hits, min({'l': line_start, 'i': i}) AS f FROM t WHERE word = 'the' GROUP BY doc_id HAVING count(*) >= 3), n AS (SELECT doc_id, count(*) AS tokens FROM t GROUP BY doc_id)
 SELECT h.doc_id, hits, round(hits * 1e6 / tokens * 1000) / 1000 AS per_million, f.l AS first_line, f.i::INT AS first_i FROM h JOIN n ON h.doc_id = n.doc_id""")
 def profile_documents(spark, d):
-    return concord.profile(_p(spark, d), "the")
+    return concord.profile(_i(spark, d), "the")
 
 
 def _bm25(terms, final: str) -> str:
@@ -249,7 +274,7 @@ b AS (SELECT doc_id, line_start, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.
 
 @query(_bm25([("word", "disgusting")], "SELECT * FROM b"))
 def bm25_term(spark, d):
-    return search.bm25(open_index(spark, d), [("word", "disgusting")])
+    return search.bm25(_i(spark, d), [("word", "disgusting")])
 
 
 _DOCS = """, c AS (SELECT *, held / {n} AS cover FROM b {where}), best AS (SELECT doc_id, max({{'cover': cover, 'score': score, 'up': -line_start}}) AS m, count(*) AS passages FROM c GROUP BY doc_id)
@@ -258,12 +283,12 @@ SELECT doc_id, -m.up AS line_start, m.cover AS cover, round(m.score * m.cover *
 
 @query(_bm25([("word", "disgusting"), ("prefix", "thereb"), ("phrase", "of the")], _DOCS.format(n=3, where="")))
 def search_coverage_docs(spark, d):
-    return search.search(open_index(spark, d), [("word", "disgusting"), ("prefix", "thereb"), ("phrase", "of the")])
+    return search.search(_i(spark, d), [("word", "disgusting"), ("prefix", "thereb"), ("phrase", "of the")])
 
 
 @query(_bm25([("word", "disgusting"), ("word", "trash")], _DOCS.format(n=2, where="WHERE (doc_id, line_start) NOT IN (SELECT doc_id, line_start FROM t WHERE word = 'stupid')")))
 def search_not(spark, d):
-    return search.search(open_index(spark, d), [("word", "disgusting"), ("word", "trash")], without=["stupid"])
+    return search.search(_i(spark, d), [("word", "disgusting"), ("word", "trash")], without=["stupid"])
 
 
 _HITS = """, c AS (SELECT *, held / 2 AS cover FROM b), best AS (SELECT doc_id, min({'c': -cover, 's': -score, 'l': line_start}) AS m FROM c GROUP BY doc_id), own AS (SELECT doc_id, round(m.c * m.s * 1e6) / 1e6 AS doc_score FROM best),
@@ -274,13 +299,13 @@ _TWO = [("word", "disgusting"), ("word", "trash")]
 
 @query(_bm25(_TWO, _HITS.replace("ORDERED", "doc_score DESC, doc_id")))
 def search_hits_per_doc(spark, d):
-    return search.search_hits(open_index(spark, d), _TWO)
+    return search.search_hits(_i(spark, d), _TWO)
 
 
 @query(_bm25(_TWO, _HITS.replace("ORDERED", "CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 END DESC NULLS LAST, doc_id")))
 def search_newest_first(spark, d):
     dates = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 7).alias("date"))
-    return search.search_hits(open_index(spark, d), _TWO, order="newest", dates=dates)
+    return search.search_hits(_i(spark, d), _TWO, order="newest", dates=dates)
 
 
 _TEXT = """, f AS (SELECT doc_id, line_start, bool_or(term = 0) AND bool_or(term = 1) AS g0, bool_or(term = 2) AS g1 FROM h GROUP BY ALL),
@@ -295,6 +320,66 @@ def search_query_text(spark, d):
     return search.search_text(_p(spark, d), 'disgust* trash OR "of the" -stupid lang:en', {"lang": "lang", "genre": "source"})
 
 
+@query(_bm25([("prefix", "disgust"), ("prefix", "trash"), ("phrase", "of the")], _TEXT.replace("bool_or(term = 0) AND", "bool_or(term = 0) OR").split("SELECT doc_id, -m.up")[0] + "SELECT c.doc_id, c.line_start, cover, score FROM c"))
+def search_all_matches(spark, d):
+    """Alternatives from postings: every passage, without an order."""
+    return search.matching(_i(spark, d), 'disgust* OR trash OR "of the" -stupid lang:en')
+
+
+def _titled(order: str, docs: str = "true", cover: str = "held / 2", where: str = "") -> str:
+    """Two prefixes, one of which a title may hold, with the titles' own scores; documents by an order."""
+    prefixes = [("prefix", "disgust"), ("prefix", "ther")]
+    hold = lambda k, v, on: f"len(list_filter({on}, lambda w: starts_with(w, '{v}')))"
+    union = " UNION ALL ".join(f"SELECT doc_id, len(ti) AS dl, {k} AS term, {hold(k, v, 'ti')} AS tf FROM m WHERE len(ti) > 0" for k, (_, v) in enumerate(prefixes))
+    return _bm25(prefixes, f""", m AS (
+  SELECT doc_id, source || '/' || doc_id || '.md' AS path, lang, source, left(split_part(text, chr(10), 1), 60) AS title, CASE WHEN doc_id % 21 <> 0 THEN (2000 + doc_id % 20) || '-' || lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0') END AS date,
+    regexp_extract_all(lower(left(split_part(text, chr(10), 1), 60)), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*') AS ti FROM documents
+), th AS (SELECT * FROM ({union}) WHERE tf > 0), ts AS (SELECT count(*) AS nn, avg(len(ti)) AS av FROM m WHERE len(ti) > 0), td AS (SELECT term, count(*) AS df FROM th GROUP BY term),
+tb AS (SELECT doc_id, round(sum(CASE WHEN ln((nn - df + 0.5) / (df + 0.5)) > 0 THEN ln((nn - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) * 1e6) / 1e6 AS title_score, bool_or(th.term = 0) AS t0, bool_or(th.term = 1) AS t1
+  FROM th JOIN td ON th.term = td.term, ts GROUP BY doc_id),
+mask AS (SELECT doc_id, line_start, bool_or(term = 0) AS b0, bool_or(term = 1) AS b1 FROM h GROUP BY ALL),
+c AS (SELECT b.doc_id, b.line_start, b.score, {cover} AS cover FROM b JOIN mask k ON b.doc_id = k.doc_id AND b.line_start = k.line_start JOIN m ON m.doc_id = b.doc_id LEFT JOIN tb ON tb.doc_id = b.doc_id
+  WHERE (b0 OR coalesce(t0, false)) AND (b1 OR coalesce(t1, false)) AND {docs} {where}),
+best AS (SELECT doc_id, min({{'c': -cover, 's': -score, 'l': line_start}}) AS x, count(*) AS passages FROM c GROUP BY doc_id),
+own AS (SELECT m.*, passages, round((x.c * x.s + coalesce(title_score, 0)) * 1e6) / 1e6 AS doc_score FROM best JOIN m ON m.doc_id = best.doc_id LEFT JOIN tb ON tb.doc_id = best.doc_id),
+top AS (SELECT *, row_number() OVER (ORDER BY {order}, path, doc_id) AS rank FROM own QUALIFY rank <= 20),
+r AS (SELECT rank::INT AS rank, c.doc_id, lang AS corpus, path, title, date, doc_score, passages, row_number() OVER (PARTITION BY c.doc_id ORDER BY cover DESC, score DESC, line_start)::INT AS passage, line_start, cover, score FROM c JOIN top ON c.doc_id = top.doc_id)
+SELECT * FROM r WHERE passage <= 3""")
+
+
+@query(_titled("doc_score DESC"))
+def search_titles(spark, d):
+    """A title may hold what a passage lacks, and adds its own score."""
+    return search.search_index(_i(spark, d), "disgust* AND ther*")
+
+
+@query(_titled("date DESC NULLS LAST", "lang = 'en' AND date >= '2004-03' AND date < '2016'"))
+def search_filters_dates(spark, d):
+    return search.search_index(_i(spark, d), "disgust* ther* lang:en after:2004-03 before:2016", sort="newest")
+
+
+@query(_titled("date ASC NULLS LAST", "contains(lower(title), 'a') AND lang IN ('en', 'fr')", where="AND (c0.doc_id, c0.line_start) NOT IN (SELECT doc_id, line_start FROM t WHERE starts_with(word, 'trash'))".replace("c0.", "b.")))
+def search_corpora_oldest(spark, d):
+    return search.search_index(_i(spark, d), "disgust* ther* -trash title:a", sort="oldest", corpora=["en", "fr"])
+
+
+@query(_bm25([("prefix", "ther")], """, m AS (
+  SELECT doc_id, lang, CASE WHEN doc_id % 21 <> 0 THEN (2000 + doc_id % 20) || '-' || lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0') END AS month, doc_id % 3 = 0 AS ai,
+    list_filter([source, upper(source), 'in ' || lang], lambda x: x IS NOT NULL) AS themes FROM documents WHERE doc_id IN (SELECT doc_id FROM b)
+), f AS (
+  SELECT 'themes' AS facet, unnest(themes) AS v, doc_id FROM m WHERE ai AND starts_with(month, '2004')
+  UNION ALL SELECT 'langs', lang, doc_id FROM m WHERE ai AND starts_with(month, '2004')
+  UNION ALL SELECT 'months', month, doc_id FROM m WHERE ai
+  UNION ALL SELECT 'ai', CAST(ai AS VARCHAR), doc_id FROM m WHERE starts_with(month, '2004')
+), n AS (SELECT facet, lower(v) AS v, doc_id, min(v) AS spelling FROM f WHERE v IS NOT NULL GROUP BY facet, lower(v), doc_id),
+g AS (SELECT facet, v, spelling, count(*) AS n FROM n GROUP BY ALL), s AS (SELECT facet, min({'n': -n, 's': spelling}).s AS value, sum(n)::BIGINT AS count FROM g GROUP BY facet, v)
+SELECT facet, value, count FROM s QUALIFY row_number() OVER (PARTITION BY facet ORDER BY count DESC, value) <= 20"""))
+def facets_variants(spark, d):
+    """Facets of one query; months and ai disregard the query's own choice."""
+    values = {"themes": F.col("themes"), "langs": F.array("lang"), "months": F.array("month"), "ai": F.array("ai")}
+    return search.facets(_i(spark, d), "ther* month:2004 ai:true", values)
+
+
 @query("""SELECT o_orderkey, strftime(day, '%-d %B %Y') AS shown, strftime(day, '%B %Y') AS shown_month, strftime(day, '%Y-%m') AS month, CAST(date_trunc('quarter', day) AS VARCHAR)[:10] AS first_day,
 CAST(date_trunc('quarter', day) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS VARCHAR)[:10] AS last_day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)""")
 def dates_shown(spark, d):
@@ -319,7 +404,7 @@ def links_encoded(spark, d):
 @query(_bm25([("word", "disgusting"), ("word", "trash")], "SELECT b.doc_id, b.line_start, lang, score, round(score / max(score) OVER (PARTITION BY lang) * 1e6) / 1e6 AS rank FROM b JOIN p ON b.doc_id = p.doc_id AND b.line_start = p.line_start"))
 def search_merge_rank(spark, d):
     p = _p(spark, d)
-    hits = search.bm25(open_index(spark, d), [("word", "disgusting"), ("word", "trash")]).join(p.select("doc_id", "line_start", "lang"), ["doc_id", "line_start"])
+    hits = search.bm25(_i(spark, d), [("word", "disgusting"), ("word", "trash")]).join(p.select("doc_id", "line_start", "lang"), ["doc_id", "line_start"])
     return search.merge_ranks(hits, "lang").select("doc_id", "line_start", "lang", "score", "rank")
 
 
@@ -340,7 +425,7 @@ ORDER BY score DESC, d.doc_id, d.line_start LIMIT 20""")
 def similar_tfidf(spark, d):
     p = _p(spark, d)
     seed = p.filter("lang = 'en' AND n_tok >= 20").agg(F.min(F.struct("doc_id", "line_start")).alias("s")).first().s
-    return search.similar(open_index(spark, d), [(seed.doc_id, seed.line_start)])
+    return search.similar(_i(spark, d), [(seed.doc_id, seed.line_start)])
 
 
 _COS = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * 1e6) / 1e6"
@@ -374,7 +459,7 @@ def semantic_doc_best_passage(spark, d):
 
 def _hybrid(spark, d):
     """BM25 of documents by language beside vectors of the same ids."""
-    found = search.search(open_index(spark, d), _TWO, limit=1000).select("doc_id", "score").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    found = search.search(_i(spark, d), _TWO, limit=1000).select("doc_id", "score").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     vectors = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id")
     near = search.nearest(vectors, 0, 100).select(F.col("vec_id").alias("doc_id"), "score").join(vectors.select(F.col("vec_id").alias("doc_id"), "lang"), "doc_id")
     return found, near
@@ -432,7 +517,7 @@ SELECT doc_id, line_start, string_agg(bucket || ':' || CAST(round(v / nullif(n,
 FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc_id, line_start)) AS n FROM s) GROUP BY doc_id, line_start""")
 def hash_embed(spark, d):
     """Vectors as their cells that are not zero, bucket:millionths; null if none."""
-    made = open_index(spark, d).passages.select("doc_id", "line_start", search.hash_embedding(F.col("toks")).alias("v"))
+    made = _i(spark, d).passages.select("doc_id", "line_start", search.hash_embedding(F.col("toks")).alias("v"))
     cells = F.array_compact(F.transform("v", lambda x, i: F.when(x != 0, F.concat_ws(":", i, F.round(x * 1e6).cast("long")))))
     return made.select("doc_id", "line_start", F.nullif(F.array_join(cells, ","), F.lit("")).alias("cells"))
 

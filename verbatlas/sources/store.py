@@ -1,85 +1,215 @@
-"""The stored index: passages with tokens, postings by word, word counts and totals, as Parquet.
+"""The stored index: documents, passages, positional postings, field postings and word counts, in segments of Parquet.
 
-An index belongs to one state of its source files.  ``open_index`` names it by the files' paths, sizes and
-times, so a changed source gets a new one and an unchanged source is never read again.  Postings are sorted
-by word, so a look-up reads the row groups that hold it; every view reads these tables.
+A source is a table of documents in files.  ``open_index`` compares the files' sizes and times with those of the last
+generation: the same files are not read again, and of new or changed ones only documents with another content are
+indexed, as a new segment.  What is gone or changed is listed as such and left out by every view, until segments
+are merged.  A generation is one manifest file, written under another name and renamed, so readers see a whole state;
+two builders cannot both make the same generation.  States before the last two are deleted.
+
+Postings are sorted by word, document and line, and dealt out by ranges of word and document, so a look-up reads the
+row groups that hold its words, and a word that very many documents hold is spread over many files.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import tempfile
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from verbatlas.functions.text import STOPWORDS
+from verbatlas.functions.text import STOPWORDS, tokens
 from verbatlas.sources.corpus import passages
 
 #: Changes when the tables' layout or the tokeniser does.
-ENGINE = "3"
+ENGINE = "5"
 
+#: Columns of a document beside doc_id, text, lang and source; a source that lacks one has nulls there.
+META = {
+    "corpus": "string", "path": "string", "title": "string", "date": "string", "genre": "string", "kind": "string", "author": "string", "url": "string", "summary": "string", "topics": "array<string>",
+    "themes": "array<string>", "entities": "array<string>", "event": "string", "month": "string", "ai": "boolean",
+}
 
-@dataclass
-class Index:
-    """The tables of one stored index."""
+#: Most segments before some are merged, and share of documents that may be gone before all are.
+MOST_SEGMENTS, MOST_GONE = 8, 0.2
 
-    passages: DataFrame  #: doc_id, lang, source, line_start, line, toks, n_tok, norm
-    postings: DataFrame  #: word, doc_id, line_start, lang, tf, n_tok
-    words: DataFrame  #: word, n, pieces, df
-    totals: DataFrame  #: one row: docs, passages, tokens
+#: Most gone documents whose list is sent to every task.
+SENT_GONE = 200_000
+
+#: A word that so large a share of the passages holds is common: views that need its surroundings scan the passages.
+COMMON = 0.01
 
 
 def index_folder(spark: SparkSession) -> str:
     """Where indexes lie: in the folder that driver and executors share; on one machine a temporary one will do."""
-    named = spark.conf.get("verbatlas.index.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.verbatlas.index.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/verbatlas-index"
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set verbatlas.index.dir or spark.checkpoint.dir to a folder that the driver and all executors share")
+        raise ValueError("set spark.verbatlas.index.dir or spark.checkpoint.dir to a folder that the driver and all executors share")
     return os.path.join(tempfile.gettempdir(), "verbatlas-index")
 
 
+# --- files and manifests ---
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def fingerprint(spark: SparkSession, path: str) -> str:
-    """A hash of the engine's version and of path, size and time of every file of a source."""
-    fs, at = _file_system(spark, path)
-    found = [ENGINE]
-    todo = [fs.getFileStatus(at)]
+def _plain(uri: str) -> str:
+    return re.sub("^file:/+", "file:/", uri)
+
+
+def listing(spark: SparkSession, source: str) -> dict[str, list]:
+    """[size, time] of every data file of a source, by its address."""
+    fs, at = _file_system(spark, source)
+    found, todo = {}, [fs.getFileStatus(at)]
     while todo:
         status = todo.pop()
+        name = status.getPath().getName()
         if status.isDirectory():
             todo += list(fs.listStatus(status.getPath()))
-        else:
-            found.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
-    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
-
-
-def build(docs: DataFrame, folder: str) -> None:
-    """Write the tables of ``docs`` (doc_id, text, lang, source) below ``folder``, replacing what is there."""
-    spark = docs.sparkSession
-    docs.transform(passages).write.mode("overwrite").parquet(f"{folder}/plain")
-    rows = spark.read.parquet(f"{folder}/plain")
-    terms = rows.select("doc_id", "line_start", "lang", "n_tok", F.explode("toks").alias("word")).groupBy("word", "doc_id", "line_start", "lang", "n_tok").agg(F.count(F.lit(1)).alias("tf"))
-    terms.repartitionByRange("word").sortWithinPartitions("word", "doc_id", "line_start").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
-    counted = postings.groupBy("word").agg(F.sum("tf").alias("n"), F.count_distinct("doc_id").alias("pieces"), F.count(F.lit(1)).alias("df"))
-    counted.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{folder}/words")
-    docs.select(F.lit(0).alias("k")).groupBy().agg(F.count(F.lit(1)).alias("docs")).crossJoin(rows.agg(F.count(F.lit(1)).alias("passages"), F.coalesce(F.sum("n_tok"), F.lit(0)).alias("tokens"))).write.mode("overwrite").parquet(f"{folder}/totals")
-    # lengths of the tf-idf vectors, which similar passages divide by
-    n = spark.read.parquet(f"{folder}/totals").select(F.col("passages").alias("N"))
-    weighed = similarity_weights(postings, spark.read.parquet(f"{folder}/words"), n)
-    norm = weighed.groupBy("doc_id", "line_start").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    rows.join(norm, ["doc_id", "line_start"], "left").write.mode("overwrite").parquet(f"{folder}/passages")
-    fs, at = _file_system(spark, f"{folder}/plain")
-    fs.delete(at, True)
+        elif not name.startswith(("_", ".")):
+            found[_plain(status.getPath().toUri().toString())] = [status.getLen(), status.getModificationTime()]
+    return found
+
+
+@dataclass
+class State:
+    """What one generation consists of: segments with their numbers of documents, passages and tokens, and lists of documents that are gone from them."""
+
+    generation: int = 0
+    segments: list[dict] = field(default_factory=list)
+    gone: list[dict] = field(default_factory=list)
+    files: dict[str, list] = field(default_factory=dict)  #: address: size, time, name of the list of its documents
+    schemas: dict[str, str] = field(default_factory=dict)
+    common: list[str] = field(default_factory=list)
+
+    def used(self) -> set[str]:
+        return {x["name"] for x in self.segments + self.gone} | {f[2] for f in self.files.values()} | {f"norms-{self.generation}"}
+
+    def total(self, name: str) -> int:
+        live = {str(s["seg"]) for s in self.segments}
+        return sum(s[name] for s in self.segments) - sum(n[name] for g in self.gone for seg, n in g["by_seg"].items() if seg in live)
+
+
+def last_state(spark: SparkSession, folder: str) -> State | None:
+    fs, at = _file_system(spark, folder)
+    if not fs.exists(at):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    numbers = [int(m[1]) for n in names if (m := re.fullmatch(r"generation-(\d+)\.json", n))]
+    if not numbers:
+        return None
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/generation-{max(numbers)}.json")
+    stream = fs.open(at)
+    try:
+        return State(**json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()))
+    finally:
+        stream.close()
+
+
+def commit(spark: SparkSession, folder: str, state: State) -> None:
+    """Make ``state`` the last generation, unless another builder has made one of its number; drop what the last two do not use."""
+    fs, at = _file_system(spark, folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    written, final = path(f"{folder}/.{uuid.uuid4().hex}"), path(f"{folder}/generation-{state.generation}.json")
+    stream = fs.create(written, False)
+    stream.write(bytearray(json.dumps(state.__dict__).encode()))
+    stream.close()
+    if fs.exists(final) or not fs.rename(written, final):
+        fs.delete(written, False)
+        raise RuntimeError(f"another builder has made generation {state.generation} of {folder}")
+    before = path(f"{folder}/generation-{state.generation - 1}.json")
+    kept = state.used()
+    if fs.exists(before):
+        stream = fs.open(before)
+        kept |= State(**json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())).used()
+        stream.close()
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        old = (m := re.fullmatch(r"generation-(\d+)\.json", name)) and int(m[1]) < state.generation - 1
+        # folders of builders at work have a later number than this generation's
+        stale = (m := re.fullmatch(r"(?:segment|gone|rows|norms)-(\d+)(?:-.*)?", name)) and name not in kept and int(m[1]) < state.generation
+        if old or stale:
+            fs.delete(status.getPath(), True)
+
+
+# --- documents and tables of a segment ---
+
+
+def documents(source: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """doc_id, text, lang, source and every column of META, by a mapping's SQL expression, else by name, else null; file and hash of the content."""
+    of = lambda c, kind: (F.expr(mapping[c]) if c in mapping else F.col(c) if c in source.columns else F.lit(None)).cast(kind).alias(c)
+    rows = source.select("doc_id", of("text", "string"), of("lang", "string"), of("source", "string"), *(of(c, k) for c, k in META.items()), F.col("_metadata.file_path").alias("file"))
+    rows = rows.withColumns({"corpus": F.coalesce("corpus", F.lit("documents")), "path": F.coalesce("path", F.col("doc_id").cast("string"))})
+    content = F.to_json(F.struct("text", "lang", "source", *META))
+    return rows.withColumns({"file": F.regexp_replace("file", "^file:/+", "file:/"), "hash": F.unhex(F.sha1(content.cast("binary")))})
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
+
+
+def placed_words(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, word, tf, n_tok, and its places from 0 with the words left and right of each, sorted by word and keys."""
+    beside = lambda k: F.coalesce(F.get("toks", F.col("i") + k), F.lit(""))
+    each = rows.select(*keys, "n_tok", "toks", F.posexplode("toks").alias("i", "word"))
+    each = each.select("word", *keys, "n_tok", F.struct("i", beside(-1).alias("l"), beside(1).alias("r")).alias("x"))
+    order = ["word", "doc_id", *(k for k in keys if k in ("line_start", "field"))]
+    dealt = each.repartitionByRange("word", "doc_id")  # the places of a passage's word stay together
+    met = dealt.groupBy("word", *keys, "n_tok").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    part = lambda c: F.transform("x", lambda x: x[c]).alias
+    return met.select("word", *keys, F.size("x").cast("long").alias("tf"), "n_tok", part("i")("at"), part("l")("left"), part("r")("right")).sortWithinPartitions(*order)
+
+
+def field_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, field, nth, text): title, summary and each topic as rows of their own, so that no phrase spans two of them."""
+    one = lambda c: F.array(F.struct(F.lit(c).alias("field"), F.lit(0).alias("nth"), F.col(c).alias("text")))
+    topics = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t, i: F.struct(F.lit("topic").alias("field"), i.alias("nth"), t.alias("text")))
+    return docs.select("doc_id", F.inline(F.concat(one("title"), topics, one("summary")))).filter(F.trim("text") != "")
+
+
+def _sums() -> list[Column]:
+    """What the manifest knows of documents."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return [F.count(F.lit(1)).alias("docs"), total("n_pass", "passages"), total("n_tok", "tokens"), F.count_if(F.col("n_title") > 0).alias("titles"), total("n_title", "title_tokens")]
+
+
+def _counted(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("word").agg(F.sum("tf").alias("n"), F.count_distinct("doc_id").alias("pieces"), F.count(F.lit(1)).alias("df"))
+
+
+def write_segment(spark: SparkSession, docs: DataFrame, folder: str, seg: int, name: str) -> dict:
+    """The tables of a new segment of ``docs``, and its entry in the manifest."""
+    path = f"{folder}/{name}"
+    _write(passages(docs).withColumn("seg", F.lit(seg)), f"{path}/passages")
+    rows = spark.read.parquet(f"{path}/passages")
+    sums = rows.groupBy("doc_id").agg(F.sum("n_tok").alias("n_tok"), F.count(F.lit(1)).alias("n_pass"))
+    kept = docs.select("doc_id", "lang", "source", *META).join(sums, "doc_id", "left").fillna(0, ["n_tok", "n_pass"])
+    kept = kept.withColumns({"n_title": F.coalesce(F.size(tokens(F.col("title"))), F.lit(0)).cast("long"), "seg": F.lit(seg)})
+    _write(kept.sortWithinPartitions("doc_id"), f"{path}/docs")
+    fields = field_rows(docs).withColumn("toks", tokens(F.col("text"))).withColumn("n_tok", F.size("toks").cast("long"))
+    return _finish(spark, path, seg, name, placed_words(rows, ["doc_id", "line_start", "lang", "source"]), placed_words(fields, ["doc_id", "field", "nth"]))
+
+
+def _finish(spark: SparkSession, path: str, seg: int, name: str, postings: DataFrame, fields: DataFrame) -> dict:
+    _write(postings.withColumn("seg", F.lit(seg)), f"{path}/postings")
+    _write(fields.withColumn("seg", F.lit(seg)), f"{path}/fields")
+    _write(_counted(spark.read.parquet(f"{path}/postings")).repartitionByRange("word").sortWithinPartitions("word").withColumn("seg", F.lit(seg)), f"{path}/words")
+    return {"seg": seg, "name": name, **spark.read.parquet(f"{path}/docs").agg(*_sums()).first().asDict()}
+
+
+TABLES = ("docs", "passages", "postings", "fields", "words")
 
 
 def similarity_weights(postings: DataFrame, words: DataFrame, n: DataFrame) -> DataFrame:
@@ -88,18 +218,198 @@ def similarity_weights(postings: DataFrame, words: DataFrame, n: DataFrame) -> D
     return content.join(words.select("word", "df"), "word").crossJoin(F.broadcast(n)).withColumn("w", (1 + F.ln("tf")) * (F.ln((1.0 + F.col("N")) / (1.0 + F.col("df"))) + 1))
 
 
-def read(spark: SparkSession, folder: str) -> Index:
-    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("passages", "postings", "words", "totals")))
+@dataclass
+class Index:
+    """The live rows of one generation.  ``kept``: if given, only documents (doc_id) listed there are seen in docs, passages and postings."""
+
+    spark: SparkSession
+    folder: str
+    state: State
+    kept: DataFrame | None = None
+    derived: dict[str, Column] = field(default_factory=dict)  #: more columns of docs
+
+    def derive(self, **columns: Column) -> Index:
+        return replace(self, derived={**self.derived, **columns})
+
+    def within(self, kept: DataFrame | None) -> Index:
+        """This index with some of its documents; word counts and totals stay those of all."""
+        return self if kept is None else replace(self, kept=kept.select("doc_id"))
+
+    def _read(self, table: str) -> DataFrame:
+        paths = [f"{self.folder}/{s['name']}/{table}" for s in self.state.segments]
+        schema = StructType.fromJson(json.loads(self.state.schemas[table]))
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _live(self, table: str) -> DataFrame:
+        return self.live(self._read(table))
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Rows (doc_id, seg) of segments without those of documents that are gone, or not kept."""
+        if self.state.gone:
+            gone = self.spark.read.schema("doc_id long, upto int").parquet(*[f"{self.folder}/{g['name']}/docs" for g in self.state.gone])
+            gone = gone.groupBy("doc_id").agg(F.max("upto").alias("upto")).select(F.col("doc_id").alias("_doc"), "upto")
+            if sum(n["docs"] for g in self.state.gone for n in g["by_seg"].values()) <= SENT_GONE:
+                gone = F.broadcast(gone)
+            rows = rows.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("seg") <= F.col("upto")), "left_anti")
+        return rows if self.kept is None else rows.join(self.kept, "doc_id", "left_semi")
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        """doc_id, lang, source, the columns of META, n_tok, n_pass, n_title."""
+        return self._live("docs").withColumns(self.derived)
+
+    @cached_property
+    def passages(self) -> DataFrame:
+        """doc_id, lang, source, line_start, line, toks, n_tok."""
+        return self._live("passages")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """word, doc_id, line_start, lang, source, tf, n_tok, at, left, right."""
+        return self._live("postings")
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        """The same of titles, topics and summaries, with field and nth in place of a line."""
+        return self._live("fields")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """word, n, pieces, df."""
+        rows = self._read("words").select("word", "n", "pieces", "df")
+        if len(self.state.segments) < 2 and not self.state.gone:
+            return rows
+        if self.state.gone:
+            live = [s["seg"] for s in self.state.segments]
+            less = self.spark.read.schema("word string, n long, pieces long, df long, seg int").parquet(*[f"{self.folder}/{g['name']}/words" for g in self.state.gone])
+            rows = rows.unionByName(less.filter(F.col("seg").isin(*live)).select("word", *((-F.col(c)).alias(c) for c in ("n", "pieces", "df"))))
+        return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "pieces", "df"))).filter("df > 0")
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """One row: docs, passages, tokens."""
+        return self.spark.range(1).select(*(F.lit(self.state.total(c)).cast("long").alias(c) for c in ("docs", "passages", "tokens")))
 
+    @cached_property
+    def norms(self) -> DataFrame:
+        """doc_id, line_start, norm: lengths of the tf-idf vectors, which depend on all documents; made once a generation, when they are first asked for."""
+        path = f"{self.folder}/norms-{self.state.generation}"
+        fs, done = _file_system(self.spark, f"{path}/_SUCCESS")
+        if not fs.exists(done):
+            whole = replace(self, kept=None)
+            weighed = similarity_weights(whole.postings, whole.words, whole.totals.select(F.col("passages").alias("N")))
+            _write(weighed.groupBy("doc_id", "line_start").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), path)
+        return self.spark.read.schema("doc_id long, line_start long, norm double").parquet(path)
 
-def open_index(spark: SparkSession, sf_dir: str, name: str = "documents") -> Index:
-    """The index of a table of documents; built if its present state has none."""
-    source = f"{sf_dir}/{name}.parquet"
-    folder = f"{index_folder(spark)}/{fingerprint(spark, source)}"
-    fs, done = _file_system(spark, f"{folder}/passages/_SUCCESS")
-    if not fs.exists(done):
-        build(spark.read.parquet(source), folder)
-    return read(spark, folder)
+    def is_common(self, words: list[str]) -> bool:
+        """Are all of these words common?"""
+        return set(words) <= set(self.state.common)
+
+
+# --- building ---
+
+
+def _gone(index: Index, dead: DataFrame, name: str, upto: int) -> dict | None:
+    """Lists the documents ``dead`` (doc_id) of an index as gone, with what they had in each segment."""
+    path = f"{index.folder}/{name}"
+    _write(dead.select("doc_id", F.lit(upto).alias("upto")), f"{path}/docs")
+    dead = index.spark.read.parquet(f"{path}/docs").select("doc_id")
+    had = index.docs.join(dead, "doc_id", "left_semi").groupBy("seg").agg(*_sums()).collect()  # a row a segment
+    if not had:
+        return None
+    each = index.passages.join(dead, "doc_id", "left_semi").select("seg", "doc_id", "line_start", F.explode("toks").alias("word"))
+    each = each.groupBy("seg", "word", "doc_id", "line_start").agg(F.count(F.lit(1)).alias("tf")).groupBy("word", "seg")
+    _write(each.agg(F.sum("tf").alias("n"), F.count_distinct("doc_id").alias("pieces"), F.count(F.lit(1)).alias("df")).select("word", "n", "pieces", "df", "seg"), f"{path}/words")
+    return {"name": name, "upto": upto, "by_seg": {str(r.seg): {k: v for k, v in r.asDict().items() if k != "seg"} for r in had}}
+
+
+def _merge(index: Index, chosen: list[dict], seg: int, name: str) -> dict:
+    """One segment of the live rows of several."""
+    of = replace(index, state=replace(index.state, segments=chosen))
+    path = f"{index.folder}/{name}"
+    for table in ("passages", "docs"):
+        _write(of._live(table).withColumn("seg", F.lit(seg)).repartitionByRange("doc_id").sortWithinPartitions("doc_id", *(["line_start"] if table == "passages" else [])), f"{path}/{table}")
+    fs, at = _file_system(index.spark, f"{index.folder}/{chosen[0]['name']}")
+    for model in (n for x in fs.listStatus(at) if (n := x.getPath().getName()).startswith("vectors-")):  # those that all have stay
+        sets = [f"{index.folder}/{s['name']}/{model}" for s in chosen]
+        if all(fs.exists(_file_system(index.spark, f"{x}/_SUCCESS")[1]) for x in sets):
+            _write(of.live(index.spark.read.parquet(*sets)).withColumn("seg", F.lit(seg)), f"{path}/{model}")
+    sort = lambda t, *more: of._live(t).drop("seg").repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id", *more)
+    return _finish(index.spark, path, seg, name, sort("postings", "line_start"), sort("fields", "field"))
+
+
+def due(state: State) -> list[dict]:
+    """Segments to merge: all if many documents are gone; with too many segments the newest, back to one larger than what is merged."""
+    lost = sum(n["docs"] for g in state.gone for n in g["by_seg"].values())
+    if lost > MOST_GONE * max(1, state.total("docs") + lost):
+        return state.segments
+    if len(state.segments) <= MOST_SEGMENTS:
+        return []
+    chosen = state.segments[-2:]
+    while len(chosen) < len(state.segments) and state.segments[-len(chosen) - 1]["docs"] <= 2 * sum(s["docs"] for s in chosen):
+        chosen = state.segments[-len(chosen) - 1 :]
+    return chosen
+
+
+def refresh(spark: SparkSession, source: str, folder: str, mapping: dict[str, str], state: State | None, files: dict[str, list]) -> State:
+    """The next generation: what changed between the files of ``state`` and ``files`` is indexed, and the rest is left as it is."""
+    old = state or State()
+    new = State(old.generation + 1, list(old.segments), list(old.gone), {}, dict(old.schemas), list(old.common))
+    tag, next_seg = uuid.uuid4().hex[:8], max((s["seg"] for s in old.segments), default=-1) + 1
+    changed = [f for f in files if old.files.get(f, [])[:2] != files[f]]
+    left = [f for f in old.files if files.get(f) != old.files[f][:2]]
+    rows = f"rows-{new.generation}-{tag}"
+    new.files = {f: [*files[f], rows if f in set(changed) else old.files[f][2]] for f in files}
+    fresh = 0
+    if changed:
+        fs, at = _file_system(spark, source)
+        base = {"basePath": source} if fs.getFileStatus(at).isDirectory() else {}  # folders of values stay columns
+        docs = documents(spark.read.options(**base).parquet(*changed) if state else spark.read.parquet(source), mapping)
+        _write(docs.select("file", "doc_id", "hash"), f"{folder}/{rows}")
+        now = spark.read.parquet(f"{folder}/{rows}")
+    else:
+        now = spark.createDataFrame([], "file string, doc_id long, hash binary")
+    if left:
+        lists = sorted({old.files[f][2] for f in left})
+        before = spark.read.parquet(*[f"{folder}/{x}" for x in lists]).filter(F.col("file").isin(*left)).select("doc_id", "hash")
+        entry = _gone(Index(spark, folder, old), before.join(now, ["doc_id", "hash"], "left_anti").select("doc_id").distinct(), f"gone-{new.generation}-{tag}", next_seg - 1)
+        if entry:
+            new.gone.append(entry)
+        now = now.join(before, ["doc_id", "hash"], "left_anti")
+        docs = docs.join(now.select("doc_id"), "doc_id", "left_semi") if changed else None
+        fresh = now.count()
+    if changed and (fresh or not left):
+        entry = write_segment(spark, docs, folder, next_seg, f"segment-{new.generation}-{tag}")
+        new.segments.append(entry)
+        new.schemas = {t: json.dumps(spark.read.parquet(f"{folder}/{entry['name']}/{t}").schema.jsonValue()) for t in TABLES}
+        next_seg += 1
+    chosen = due(new)
+    if chosen:
+        merged = _merge(Index(spark, folder, new), chosen, next_seg, f"segment-{new.generation}-{tag}-m")
+        gone = {s["seg"] for s in chosen}
+        new.segments = [s for s in new.segments if s["seg"] not in gone] + [merged]
+        live = {str(s["seg"]) for s in new.segments}
+        new.gone = [g for g in new.gone if live & set(g["by_seg"])]
+    if chosen or not state:
+        least = max(1, int(COMMON * new.total("passages")))
+        # at most 1 / COMMON times the mean number of different words of a passage
+        new.common = [r.word for r in Index(spark, folder, new).words.filter(F.col("df") >= least).select("word").collect()]
+    commit(spark, folder, new)
+    return new
+
+
+def open_index(spark: SparkSession, sf_dir: str, name: str = "documents", mapping: dict[str, str] | None = None) -> Index:
+    """The index of a table of documents in its present state; what has changed since the last generation is indexed first.
+
+    ``mapping`` gives columns of META, and lang, source or text, by SQL expressions over the table's own; ids are unique."""
+    source, mapping = f"{sf_dir}/{name}.parquet", mapping or {}
+    fs, at = _file_system(spark, source)
+    address = _plain(fs.makeQualified(at).toUri().toString())
+    folder = f"{index_folder(spark)}/{hashlib.sha1(json.dumps([ENGINE, address, sorted(mapping.items())]).encode()).hexdigest()}"
+    state, files = last_state(spark, folder), listing(spark, source)
+    if state is None or {f: x[:2] for f, x in state.files.items()} != files:
+        state = refresh(spark, source, folder, mapping, state, files)
+    return Index(spark, folder, state)
 
 
 def status(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -108,22 +418,3 @@ def status(before: DataFrame, after: DataFrame) -> DataFrame:
 
     of = lambda c: F.count_if(F.col("change") == c).alias(c)
     return snapshot_diff(before, after).agg(of("added"), of("changed"), of("removed"), of("unchanged"))
-
-
-def update(rows: DataFrame, docs: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
-    """Passages after an incremental build: those of changed and removed documents (doc_id) go, those of ``changed`` are made anew."""
-    gone = changed.select("doc_id").unionByName(removed.select("doc_id")).distinct()
-    new = passages(docs.join(changed.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return rows.join(gone, "doc_id", "left_anti").select(*new.columns).unionByName(new)
-
-
-def field_rows(docs: DataFrame, title: str | None, topics: str | None = None, summary: str | None = None) -> DataFrame:
-    """(doc_id, field, text): title, each topic and summary as rows of their own, so that no phrase spans two of them."""
-    parts = []
-    if title:
-        parts.append(F.array(F.struct(F.lit("title").alias("field"), F.col(title).alias("text"))))
-    if topics:
-        parts.append(F.transform(F.coalesce(F.col(topics), F.array().cast("array<string>")), lambda t: F.struct(F.lit("topic").alias("field"), t.alias("text"))))
-    if summary:
-        parts.append(F.array(F.struct(F.lit("summary").alias("field"), F.col(summary).alias("text"))))
-    return docs.select("doc_id", F.inline(F.concat(*parts))).filter(F.trim("text") != "")

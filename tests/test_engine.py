@@ -94,7 +94,7 @@ def test_quotes_at_every_place(spark):
             at = -len(quote)
             while quote and (at := whole.find(quote, at + len(quote) if at >= 0 else 0)) >= 0:
                 want.add((item, doc, at + 1))
-    assert {tuple(x) for x in search.verify_quotes(docs, frame).collect()} == want
+    assert {tuple(x)[:3] for x in search.verify_quotes(docs, frame).collect()} == want
     assert len(want) == 29
     least = {}
     for item, doc, at in want:

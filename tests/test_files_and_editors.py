@@ -181,7 +181,6 @@ def test_tagger_rules(spark):
     assert tagger.run_cost(300_000, 1000, 2.0, 10.0, 200_000, 2.0, batch=True) == pytest.approx(0.61)
     assert tagger.structural_problem(100, 3, 0) and tagger.structural_problem(100, 1, 20) and not tagger.structural_problem(100, 2, 15)
     assert tagger.extension_problems(["A", "B"], ["A", "B", "C"]) == [] and tagger.extension_problems(["A", "B"], ["B", "A", "a"]) == ["the order of old names changed", "repeated: a"]
-    assert tagger.capped_pairs([("a", "b", 3), ("a", "c", 2), ("b", "c", 1)], most=1) == [("a", "b", 3)]
     assert tagger.gist_length(spark.createDataFrame([("x" * 200,)] * 10, "gist string"), 650) == 60
     assert tagger.qa_sample([f"k{i}" for i in range(300)], ["k1", "zz"], most=101)[-1] in ("k1", "zz")
 
@@ -200,6 +199,32 @@ def test_search_rules(spark):
     assert concord.kwic_command("a", "it's", 5, {"lang": "en"}) == "kwic a --near 'it'\\''s' --window 5 --lang en"
 
 
+def test_pairs_are_capped_as_a_greedy_pass_does(spark):
+    import random
+
+    r = random.Random(2)
+    for most in (1, 3, 6):
+        pairs = [(a, b, r.randrange(4)) for a in range(40) for b in range(a + 1, 40) if r.random() < 0.4]
+        used, want = dict.fromkeys(range(40), 0), []
+        for a, b, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+            if used[a] < most and used[b] < most:
+                want.append((a, b, score))
+                used[a], used[b] = used[a] + 1, used[b] + 1
+        df = spark.createDataFrame(pairs, "a long, b long, score int")
+        assert sorted(map(tuple, tagger.capped_pairs(df, [F.desc("score")], most).collect())) == sorted(want)
+    assert tagger.capped_pairs(df.limit(0), [F.desc("score")]).count() == 0
+
+
+def test_quotes_in_every_form_of_marks(spark):
+    docs = spark.createDataFrame([(1, 'He said\n“don’t panic”, don\'t, ok.\nV’s point'), (2, 'say "don\'t panic"'), (3, None)], "doc_id long, text string")
+    quotes = spark.createDataFrame([("a", "don't panic"), ("b", ' "don‘t panic" '), ("c", "don’t"), ("d", "dont"), ("e", " "), ("f", None), ("g", "V's point"), ("h", "don’t panic”, don't, ok.\nV's")], "item_id string, text string")
+    found = sorted(tuple(x) for x in search.verify_quotes(docs, quotes).collect())
+    assert found == [
+        ("a", 1, 10, 2, "don’t panic"), ("a", 2, 6, 1, "don't panic"), ("b", 1, 9, 2, "“don’t panic”"), ("b", 2, 5, 1, '"don\'t panic"'), ("c", 1, 10, 2, "don’t"), ("c", 1, 24, 2, "don't"), ("c", 2, 6, 1, "don't"),
+        ("g", 1, 35, 3, "V’s point"), ("h", 1, 10, 2, "don’t panic”, don't, ok.\nV’s"),
+    ]
+
+
 def test_engine_and_index(spark, tmp_path):
     rows = [(1, "The cat, and the dog.\nAnd the end!", "en", "s1"), (2, "a cat\nThe THE dog cat", "en", "s2"), (3, "le chat", "fr", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.stats import round6
-from verbatlas.functions.text import STOPWORDS, TOKEN, date_floor, fnv1a, fold
+from verbatlas.functions.text import PLAIN_QUOTES, QUOTES, STOPWORDS, TOKEN, date_floor, fnv1a, fold
 from verbatlas.plans.grammar import Query, parse
 from verbatlas.sources.store import similarity_weights
 
@@ -520,11 +521,11 @@ def fuse(first: DataFrame, second: DataFrame, key: str, pool: int = 100, k: int
     return both.select(key, round6(F.coalesce("v1", F.lit(0.0)) + F.coalesce("v2", F.lit(0.0))).alias("score"))
 
 
-#: Characters of the piece of a quote that texts are looked through for; shorter quotes are looked for as they are.
+#: Characters of the piece of a quote that texts are looked through for; shorter quotes go into an automaton as they are.
 GRAM = 12
 
-#: Pieces (8 bytes each) that are sent to the tasks of one pass over the texts; more quotes take more passes.
-SENT_PIECES = 1_000_000
+#: Pieces (8 bytes each) and short quotes that are sent to the tasks of one pass over the texts; more quotes take more passes.
+SENT_PIECES, SENT_SHORT = 1_000_000, 100_000
 
 
 def gram_hashes(text: str) -> np.ndarray:
@@ -539,55 +540,86 @@ def gram_hashes(text: str) -> np.ndarray:
 
 
 def verify_quotes(docs: DataFrame, quotes: DataFrame, first: bool = False) -> DataFrame:
-    """(item_id, doc_id, at) of every place, or only the first in each text, where a text holds a quote character for character.
+    """(item_id, doc_id, at, line, original) of every place, or only the first in each text, where a text holds a quote.
 
-    ``quotes``: item_id and text; null and empty ones are nowhere.  Places are counted in characters from 1 and do not
-    overlap.  A quote is looked for by the piece of it that has the least hash, wherever words begin, and texts that
-    hold such a piece are compared in full; quotes too short for a piece are compared with every text."""
+    Quotation marks and apostrophes of all forms are the same on both sides; else it is character for character.  ``original``
+    is what the text has there, ``line`` its line.  ``quotes``: item_id and text, without blanks around; null and empty ones are
+    nowhere.  Places are counted in characters from 1 and do not overlap.
+
+    In one pass over the texts, long quotes are looked for by the piece of theirs that has the least hash, wherever words
+    begin, and short ones by one automaton of all; the texts that hold such a piece are compared in full."""
     doc, item = docs.schema["doc_id"].dataType.simpleString(), quotes.schema["item_id"].dataType.simpleString()
+    table = str.maketrans(QUOTES, PLAIN_QUOTES)
+
+    def key_of(quote: str) -> int:
+        h = gram_hashes(quote)
+        return int(h.min()) if len(h) else int.from_bytes(hashlib.blake2b(quote.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = [int(h.min()) if len(h := gram_hashes(x.as_py())) else None for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], names=["item_id", "quote", "k"])
+            texts = [x.as_py() for x in batch.column(1)]
+            short = [x if len(x) < GRAM else None for x in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([key_of(x) for x in texts], pa.int64()), pa.array(short, pa.string())], names=["item_id", "quote", "k", "short"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, at = [], []
+            row, at, line, original = [], [], [], []
             for i, (text, quote) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                text, quote, here = text.as_py(), quote.as_py(), 0
-                while (here := text.find(quote, here)) >= 0:
+                text, quote, here, counted, lines = text.as_py(), quote.as_py(), 0, 0, 1
+                plain = text.translate(table)  # character for character, so places are the original's
+                while (here := plain.find(quote, here)) >= 0:
+                    lines += text.count("\n", counted, here)
+                    counted = here
                     row.append(i)
                     at.append(here + 1)
+                    line.append(lines)
+                    original.append(text[here : here + len(quote)])
                     if first:
                         break
                     here += len(quote)
             ids = [batch.column(c).take(pa.array(row, pa.int64())) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int64())], names=["item_id", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int64()), pa.array(line, pa.int64()), pa.array(original, pa.string())], names=["item_id", "doc_id", "at", "line", "original"])
 
-    def holding(keys: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def holding(keys: np.ndarray, short: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for quote in short:
+                automaton.add_word(quote, key_of(quote))
+            if short:
+                automaton.make_automaton()
             for batch in batches:
                 row, held = [], []
                 for i, text in enumerate(batch.column(1)):
-                    h = gram_hashes(text.as_py())
-                    k = np.unique(h[keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h])
-                    if len(k):
+                    plain = text.as_py().translate(table)
+                    found: set[int] = set()
+                    if len(keys):
+                        h = gram_hashes(plain)
+                        found.update(np.unique(h[keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h]).tolist())
+                    if short:
+                        found.update(k for _, k in automaton.iter(plain))
+                    if found:
                         row.append(i)
-                        held.append(k.tolist())
+                        held.append(sorted(found))
                 out = [c.take(pa.array(row, pa.int64())) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(held, pa.list_(pa.int64()))], names=["doc_id", "text", "ks"])
 
         return run
 
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
-    q = quotes.filter(F.length("text") > 0).select("item_id", F.col("text").alias("quote")).mapInArrow(keyed, f"item_id {item}, quote string, k long")
-    both = texts.join(F.broadcast(q.filter("k IS NULL")), F.expr("contains(text, quote)")).select("item_id", "doc_id", "text", "quote")
-    pieces = q.filter("k IS NOT NULL").select("k").distinct()
-    passes = -(-pieces.count() // SENT_PIECES)
+    plain = F.translate(F.regexp_replace("text", r"^\s+|\s+$", ""), QUOTES, PLAIN_QUOTES)
+    q = quotes.select("item_id", plain.alias("quote")).filter("quote <> ''").mapInArrow(keyed, f"item_id {item}, quote string, k long, short string")
+    pieces = q.select("k", "short").distinct()
+    many = pieces.agg(F.count(F.lit(1)), F.count("short")).first()
+    passes = max(-(-many[0] // SENT_PIECES), -(-many[1] // SENT_SHORT))
+    both = None
     for i in range(passes):
-        keys = np.array(sorted(x.k for x in pieces.filter(F.pmod("k", F.lit(passes)) == i).toLocalIterator()), np.int64)
-        if len(keys):
-            held = texts.mapInArrow(holding(keys), f"doc_id {doc}, text string, ks array<long>").select("doc_id", "text", F.explode("ks").alias("k"))
-            both = both.unionByName(held.join(q, "k").filter(F.expr("contains(text, quote)")).select("item_id", "doc_id", "text", "quote"))
-    return both.mapInArrow(places, f"item_id {item}, doc_id {doc}, at long")
+        own = list(pieces.filter(F.pmod("k", F.lit(passes)) == i).toLocalIterator())
+        keys, short = np.array(sorted(x.k for x in own if x.short is None), np.int64), sorted(x.short for x in own if x.short is not None)
+        if own:
+            held = texts.mapInArrow(holding(keys, short), f"doc_id {doc}, text string, ks array<long>").select("doc_id", "text", F.explode("ks").alias("k"))
+            met = held.join(q, "k").filter(F.contains(F.translate("text", QUOTES, PLAIN_QUOTES), F.col("quote"))).select("item_id", "doc_id", "text", "quote")
+            both = met if both is None else both.unionByName(met)
+    kinds = f"item_id {item}, doc_id {doc}, at long, line long, original string"
+    return docs.sparkSession.createDataFrame([], kinds) if both is None else both.mapInArrow(places, kinds)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import fold
+from verbatlas.sources.scratch import dropped, written
 
 # --- choosing and numbering works ---
 
@@ -170,8 +171,8 @@ def merge_candidates(events: DataFrame, gap: int = 45, most: int = 6) -> DataFra
     """Pairs of events (a < b) at most ``gap`` days apart that share an entity or a word of their names: a, b, gap_days, shared.
 
     Events lie in bins of ``gap`` days, and pairs meet on a shared signal in the same or a neighbouring bin; a signal's own bins
-    part a common one.  Of each event its ``most`` best pairs are given, by shared signals, then gap, then ids, where either end
-    may hold the pair.  events: id, start, end, signals array."""
+    part a common one.  Of these, the best are kept by shared signals, then gap, then ids, ``most`` partners an event (see
+    ``capped_pairs``).  events: id, start, end, signals array."""
     day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
     e = events.select("id", day("start").alias("s"), day("end").alias("e"), F.explode(F.array_distinct("signals")).alias("signal"))
     bins = F.sequence(F.floor(F.col("s") / gap), F.floor(F.col("e") / gap))
@@ -182,21 +183,30 @@ def merge_candidates(events: DataFrame, gap: int = 45, most: int = 6) -> DataFra
     away = F.greatest(F.lit(0), F.greatest(F.col("x.s"), F.col("y.s")) - F.least(F.col("x.e"), F.col("y.e")))
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), away.alias("gap_days"), F.col("x.signal").alias("signal")).filter(F.col("gap_days") <= gap)
     scored = pairs.groupBy("a", "b", "gap_days").agg(F.count_distinct("signal").alias("shared"))
-    order = [F.desc("shared"), "gap_days", "a", "b"]
-    ends = scored.select("a", "b", "gap_days", "shared", F.explode(F.array("a", "b")).alias("of"))
-    ranked = ends.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(*order))).filter(F.col("r") <= most)
-    return ranked.select("a", "b", "gap_days", "shared").distinct()
-
-
-def capped_pairs(pairs: list[tuple], most: int = 6) -> list[tuple]:
-    """Pairs (a, b, score) greedily from the best: one counts if neither end has ``most`` partners yet.  The order decides, so this runs on the driver."""
-    partners: dict = {}
-    kept = []
-    for a, b, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if partners.get(a, 0) < most and partners.get(b, 0) < most:
-            kept.append((a, b, score))
-            partners[a], partners[b] = partners.get(a, 0) + 1, partners.get(b, 0) + 1
-    return kept
+    return capped_pairs(scored, [F.desc("shared"), F.asc("gap_days")], most)
+
+
+def capped_pairs(pairs: DataFrame, order: list[Column], most: int = 6) -> DataFrame:
+    """Pairs (a, b, ...) that a greedy pass keeps which goes from the best by ``order``, then a and b, and drops a pair if either end has ``most`` partners.
+
+    By rounds, without a pass over all in order: a pair is kept if at both ends it is among as many of the best undecided
+    pairs as the end has places left, for then nothing better can take its place; pairs with a full end are dropped.
+    The best undecided pair of all is kept in every round, so it ends, mostly after a few.  No more than ``most``
+    pairs of an end leave a task."""
+    best = Window.partitionBy("of").orderBy(*order, "a", "b")
+    columns, kept = pairs.columns, None
+    left = written(pairs.withColumns({"place_a": F.lit(most), "place_b": F.lit(most)}))
+    while left.head(1):
+        ends = left.select(*left.columns, F.inline(F.array(F.struct(F.col("a").alias("of"), F.col("place_a").alias("place")), F.struct(F.col("b").alias("of"), F.col("place_b").alias("place")))))
+        near = ends.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).filter("r <= place")
+        now = written(near.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(*columns))
+        taken = now.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("n"))
+        end = lambda c: taken.select(F.col("of").alias(c), F.col("n").alias(f"n_{c}"))
+        rest = left.join(now.select("a", "b"), ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left").fillna(0, ["n_a", "n_b"])
+        rest = written(rest.withColumns({f"place_{c}": (F.col(f"place_{c}") - F.col(f"n_{c}")).cast("int") for c in "ab"}).filter("place_a > 0 AND place_b > 0").drop("n_a", "n_b"))
+        dropped(left)
+        kept, left = now if kept is None else kept.unionByName(now), rest
+    return pairs.limit(0) if kept is None else kept
 
 
 # --- batches, months, costs ---

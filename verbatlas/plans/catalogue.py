@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions import dates, ids, strings
 from verbatlas.functions.stats import round6
-from verbatlas.functions.text import STOPWORDS, date_floor, fold, normalise_url, record_id, strip_html, year_of
+from verbatlas.functions.text import PLAIN_QUOTES, QUOTES, STOPWORDS, date_floor, fold, normalise_url, record_id, strip_html, year_of
 from verbatlas.operators import concord, search, topics
 from verbatlas.sources.corpus import table, words
 from verbatlas.sources.store import Index, index_folder, open_index
@@ -522,9 +522,21 @@ def hash_embed(spark, d):
     return made.select("doc_id", "line_start", F.nullif(F.array_join(cells, ","), F.lit("")).alias("cells"))
 
 
-@query("SELECT item_id, doc_id, instr(d.text, b.text) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)".replace("AS at", 'AS "at"'))
+_MARKS = "'\""
+
+
+@query(f"""WITH u AS (SELECT doc_id, text, translate(text, '{QUOTES}', '{PLAIN_QUOTES.replace("'", "''")}') AS plain FROM documents WHERE text IS NOT NULL),
+q AS (SELECT item_id, trim(text) AS quote FROM benchmark UNION ALL SELECT item_id + 1000000, trim(substr(text, 5, 9)) FROM benchmark WHERE item_id % 5 = 0),
+w AS (SELECT item_id, translate(quote, '{QUOTES}', '{PLAIN_QUOTES.replace("'", "''")}') AS quote FROM q WHERE quote <> ''),
+m AS (SELECT item_id, doc_id, text, quote, string_split(plain, quote) AS parts FROM w JOIN u ON contains(plain, quote)),
+n AS (SELECT *, unnest(range(1, len(parts))) AS k FROM m), o AS (SELECT *, list_sum(list_transform(parts[1:k], lambda x: len(x))) + (k - 1) * len(quote) AS before FROM n)
+SELECT item_id, doc_id, (before + 1)::BIGINT AS "at", (len(string_split(left(text, before::BIGINT), chr(10))))::BIGINT AS line, substr(text, before::BIGINT + 1, len(quote)) AS original FROM o""")
 def verify_quote(spark, d):
-    return search.verify_quotes(table(spark, d, "documents"), table(spark, d, "benchmark"), first=True)
+    """Passages of the benchmark, with curly marks in place of straight ones, and short pieces of some, at every place."""
+    items = table(spark, d, "benchmark")
+    curly = F.translate("text", _MARKS, "’“")
+    short = items.filter("item_id % 5 = 0").select((F.col("item_id") + 1000000).alias("item_id"), F.substring("text", 5, 9).alias("text"))
+    return search.verify_quotes(table(spark, d, "documents"), items.select("item_id", curly.alias("text")).unionByName(short))
 
 
 @query("SELECT event_type AS value, count(DISTINCT event_id) AS count FROM events GROUP BY event_type")

@@ -95,8 +95,11 @@ def tagger_entity_map(spark, d):
 _SIG = "(SELECT user_id AS id, min(CAST(ts AS DATE)) AS s, max(CAST(ts AS DATE)) AS e, list_distinct(list(event_type || (event_id % 11))) AS signals FROM events GROUP BY user_id)"
 
 
-@query(f"""WITH e AS {_SIG}, x AS (SELECT id, s, e, unnest(signals) AS signal FROM e), p AS (SELECT a.id AS a, b.id AS b, greatest(0, date_diff('day', least(a.e, b.e), greatest(a.s, b.s)))::INT AS gap_days, count(DISTINCT a.signal) AS shared FROM x a JOIN x b ON a.signal = b.signal AND a.id < b.id GROUP BY ALL HAVING gap_days <= 5),
-o AS (SELECT a, b, gap_days, shared, unnest([a, b]) AS of_ FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY of_ ORDER BY shared DESC, gap_days, a, b) AS r FROM o) SELECT DISTINCT a, b, gap_days, shared FROM r WHERE r <= 6""")
+@query(f"""WITH RECURSIVE e AS {_SIG}, x AS (SELECT id, s, e, unnest(signals) AS signal FROM e), p AS (SELECT a.id AS a, b.id AS b, greatest(0, date_diff('day', least(a.e, b.e), greatest(a.s, b.s)))::INT AS gap_days, count(DISTINCT a.signal) AS shared FROM x a JOIN x b ON a.signal = b.signal AND a.id < b.id GROUP BY ALL HAVING gap_days <= 5),
+i AS (SELECT id, row_number() OVER (ORDER BY id) AS at FROM e), o AS (SELECT p.*, x.at AS ia, y.at AS ib, row_number() OVER (ORDER BY shared DESC, gap_days, a, b) AS k FROM p JOIN i x ON x.id = a JOIN i y ON y.id = b),
+g AS (SELECT 0::BIGINT AS k, list_transform(range((SELECT count(*) FROM i)), lambda z: 0) AS used, false AS kept
+  UNION ALL SELECT o.k, CASE WHEN used[ia] < 6 AND used[ib] < 6 THEN list_transform(used, lambda n, z: n + CASE WHEN z = ia OR z = ib THEN 1 ELSE 0 END) ELSE used END, used[ia] < 6 AND used[ib] < 6 FROM g JOIN o ON o.k = g.k + 1)
+SELECT a, b, gap_days, shared FROM g JOIN o ON o.k = g.k WHERE kept""")
 def tagger_merge_candidates(spark, d):
     e = table(spark, d, "events")
     events = e.groupBy(F.col("user_id").alias("id")).agg(F.min(F.to_date("ts")).alias("start"), F.max(F.to_date("ts")).alias("end"), F.collect_set(F.concat("event_type", F.col("event_id") % 11)).alias("signals"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import fold
+from verbatlas.sources.scratch import written
 
 # --- logs and corrections ---
 
@@ -150,23 +151,23 @@ def spine_of(spark, first: str, last: str, most: int = 1800) -> DataFrame:
 
 
 def resolve_chains(links: DataFrame) -> DataFrame:
-    """(id, root): the end of each id's ``into`` chain, by doubling joins, so a chain of n takes log2(n) of them.
+    """(id, root): the end of each id's ``into`` chain, by doubling joins, so a chain of n takes log2(n) of them; ids whose end is found leave.
 
     A link to an unknown id counts as none; ids on a cycle, and those that lead to one, keep themselves."""
     ids = links.select("id").distinct()
     known = links.join(ids.select(F.col("id").alias("into")), "into", "left_semi").filter("id <> into").groupBy("id").agg(F.min("into").alias("to"))
     at = ids.join(known, "id", "left").select("id", F.coalesce("to", "id").alias("to"), F.col("to").isNotNull().alias("moved"))
-    n = at.count()
-    step, stays = 1, at.filter("NOT moved").select("id")
-    jump = at.select("id", "to")
-    while step < n:
-        jump = jump.alias("x").join(jump.alias("y"), F.col("x.to") == F.col("y.id")).select(F.col("x.id").alias("id"), F.col("y.to").alias("to"))
-        step *= 2
-        if step & 0x249249:  # every third doubling the plan is cut
-            jump = jump.checkpoint() if jump.sparkSession.sparkContext.getCheckpointDir() else jump
-    ends = jump.join(stays.select(F.col("id").alias("to"), F.lit(True).alias("end")), "to", "left")
-    return ends.select("id", F.when(F.col("end"), F.col("to")).otherwise(F.col("id")).alias("root"))
-
+    n, step = at.count(), 1
+    found = written(at.filter("NOT moved").select("id", F.col("id").alias("root")))
+    left = written(at.filter("moved").select("id", "to"))
+    while left.head(1):  # each step's plan holds what was written by the ones before
+        met = left.join(found.select(F.col("id").alias("to"), "root"), "to", "left")
+        if step >= n:  # ways longer than the table are cycles
+            return found.unionByName(met.select("id", F.coalesce("root", "id").alias("root")))
+        found = found.unionByName(written(met.filter("root IS NOT NULL").select("id", "root")))
+        rest = met.filter("root IS NULL").select("id", "to")
+        left, step = written(rest.join(left.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select("id", F.col("to2").alias("to"))), 2 * step
+    return found
 
 def claims(records: DataFrame) -> DataFrame:
     """Monthly ids (member) with the first record, by id, that holds each, and the later ones that claim it as well."""

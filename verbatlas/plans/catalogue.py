@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions import dates, ids, strings
 from verbatlas.functions.stats import round6
 from verbatlas.functions.text import PLAIN_QUOTES, QUOTES, STOPWORDS, date_floor, fold, normalise_url, record_id, strip_html, year_of
-from verbatlas.operators import concord, search, topics
+from verbatlas.operators import concord, index2, search, topics
 from verbatlas.sources.corpus import table, words
 from verbatlas.sources.store import Index, index_folder, open_index
 
@@ -639,7 +639,7 @@ def record_position(spark, d):
 
 @query("SELECT lower(trim(role)) AS tag, count(*) AS n FROM conversations GROUP BY 1 HAVING lower(trim(role)) <> ''")
 def index2_tags(spark, d):
-    return table(spark, d, "conversations").groupBy(F.lower(F.trim("role")).alias("tag")).agg(F.count(F.lit(1)).alias("n")).filter("tag <> ''")
+    return index2.tags(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.to_json(F.array("role")).alias("tags")))
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN lang = 'fr' THEN 'removed' WHEN lang = 'es' THEN 'changed' ELSE 'unchanged' END AS change FROM documents

@@ -39,6 +39,52 @@ class Fixture:
         return f"(SELECT {columns} FROM (VALUES {values}) AS v({names}))"
 
 
+@dataclass(frozen=True)
+class Derived:
+    """Rows that one SELECT makes from given tables, in Spark's SQL and DuckDB's alike; LIST( ... ) is an array, {name} a table."""
+
+    select: str
+    tables: tuple[str, ...]
+
+    def df(self, spark: SparkSession, d: str) -> DataFrame:
+        return spark.sql(self.select.replace("LIST(", "array("), **{t: spark.read.parquet(f"{d}/{t}.parquet") for t in self.tables})
+
+    @property
+    def sql(self) -> str:
+        out = self.select.replace("LIST(", "list_value(")
+        for t in self.tables:
+            out = out.replace("{" + t + "}", t)
+        return f"({out})"
+
+
+#: All documents with the metadata of a library: spellings that differ, missing values, dates that are none.
+DOCUMENTS = Derived(
+    """SELECT doc_id AS doc, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN upper(lang) || ' ' ELSE lang END AS lang,
+  CASE doc_id % 4 WHEN 0 THEN 'essay' WHEN 1 THEN 'Essay' WHEN 2 THEN 'note' END AS genre, CASE WHEN doc_id % 3 = 0 THEN 'Forum' WHEN doc_id % 3 = 1 THEN 'blog' ELSE source END AS source,
+  CASE doc_id % 4 WHEN 0 THEN 'posts' WHEN 1 THEN 'Post' WHEN 2 THEN 'essays' END AS kind, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'Ada  Byron' ELSE 'Karel ' || source END AS author,
+  CASE WHEN doc_id % 6 = 0 THEN 'On “Engines” of ' || source WHEN doc_id % 6 < 5 THEN 'Re: engines' END AS title,
+  CASE WHEN doc_id % 9 = 0 THEN 'soon' WHEN doc_id % 5 = 0 THEN CAST(2000 + doc_id % 20 AS STRING) ELSE CAST(2000 + doc_id % 20 AS STRING) || '-0' || CAST(1 + doc_id % 9 AS STRING) END AS date,
+  CASE WHEN doc_id % 8 > 0 THEN LIST(source, 'Work', CASE WHEN doc_id % 2 = 0 THEN 'work ' ELSE 'Maths' END) END AS themes,
+  LIST(lang, CASE WHEN doc_id % 3 = 0 THEN 'PRAGUE' WHEN doc_id % 3 = 1 THEN 'Prague' ELSE 'Babbage' END) AS entities, CASE WHEN doc_id % 4 = 0 THEN '2016-06-fair' END AS event,
+  CASE WHEN doc_id % 9 > 0 THEN CAST(2000 + doc_id % 20 AS STRING) || '-0' || CAST(1 + doc_id % 9 AS STRING) END AS month, CASE WHEN doc_id % 3 < 2 THEN doc_id % 3 = 0 END AS ai FROM {documents}""",
+    ("documents",),
+)
+
+#: All conversations as works of the second index, and their turns as highlights.
+CONVERSATIONS = Derived(
+    """SELECT DISTINCT conv_id AS work_id, 'work-' || CAST(conv_id AS STRING) AS slug, CASE WHEN conv_id % 3 = 0 THEN 'Notes on the Engine' ELSE 'Looms' END AS title,
+  CASE conv_id % 4 WHEN 0 THEN 'Ada Byron' WHEN 1 THEN 'Joseph Engine' WHEN 2 THEN 'Karel' END AS author, CASE conv_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'book' ELSE 'tweet' END AS work_type,
+  CASE conv_id % 3 WHEN 0 THEN 'readwise' WHEN 1 THEN 'zotero' ELSE 'x' END AS source_system, 'r' || CAST(conv_id AS STRING) AS source_id, CASE WHEN conv_id % 2 = 0 THEN 'https://example.org/' || CAST(conv_id AS STRING) END AS url FROM {conversations}""",
+    ("conversations",),
+)
+TURNS = Derived(
+    """SELECT conv_id * 1000 + turn AS id, conv_id AS work_id, CASE WHEN turn % 5 = 4 THEN '![image](x.png)' WHEN turn % 5 = 3 THEN 'Pattern weaves ' || text || ' weaves' ELSE text END AS text, CASE WHEN turn = 1 THEN 'engine?' END AS note,
+  CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN '' ELSE CAST(2010 + conv_id % 10 AS STRING) || '-0' || CAST(1 + turn % 9 AS STRING) || '-01' END AS highlighted_at, '["' || role || '", "Maths ", "", "play_100%"]' AS tags,
+  CASE WHEN turn % 3 = 0 THEN 'x' ELSE CAST(turn * 7 % 10 AS STRING) END AS location, CASE conv_id % 4 WHEN 0 THEN 'yellow' WHEN 1 THEN 'blue' WHEN 2 THEN 'Blue' END AS color,
+  CASE WHEN turn % 4 = 0 THEN 'image' ELSE 'text' END AS format, CASE WHEN conv_id % 4 = 0 THEN '' END AS ocr_text FROM {conversations}""",
+    ("conversations",),
+)
+
 LIBRARY = Fixture(
     "doc long, corpus string, path string, lang string, genre string, source string, kind string, author string, title string, date string, themes array<string>, entities array<string>, event string, month string, ai boolean",
     (

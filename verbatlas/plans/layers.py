@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions.text import fold_exact
 from verbatlas.operators import filters, index2, layers, topics
 from verbatlas.plans.catalogue import query
-from verbatlas.plans.fixtures import HIGHLIGHTS, LIBRARY, RECORDS, WORKS, Fixture
+from verbatlas.plans.fixtures import CONVERSATIONS, DOCUMENTS, Derived, Fixture, RECORDS, TURNS
 from verbatlas.sources.corpus import table
 
 _FOLD = "lower(trim(regexp_replace(translate({}, '‘’‛ʼ“”', '''''''''\"\"'), '\\s+', ' ', 'g')))"
@@ -51,9 +51,9 @@ _TESTS = {
 }
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS filter, doc FROM {LIBRARY.sql} WHERE {sql}" for k, (_, sql) in _TESTS.items()))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS filter, doc FROM {DOCUMENTS.sql} WHERE {sql}" for k, (_, sql) in _TESTS.items()))
 def filter_documents(spark, d):
-    docs = LIBRARY.df(spark)
+    docs = DOCUMENTS.df(spark, d)
     # one pass: each document with the names of the filters that it passes
     return docs.select(F.explode(F.array_compact(F.array(*[F.when(filters.predicate(f), F.lit(k)) for k, (f, _) in _TESTS.items()]))).alias("filter"), "doc")
 
@@ -150,23 +150,23 @@ def mentioned_work_lookup(spark, d):
 
 
 def _facet_sql(column: str, order: str = "") -> str:
-    return f"""WITH e AS (SELECT DISTINCT doc, trim(raw) AS spelling, {_f('raw')} AS v FROM (SELECT doc, unnest({column}) AS raw FROM {LIBRARY.sql})), f AS (SELECT v, spelling, count(*) AS n FROM e WHERE v <> '' GROUP BY ALL),
+    return f"""WITH e AS (SELECT DISTINCT doc, trim(raw) AS spelling, {_f('raw')} AS v FROM (SELECT doc, unnest({column}) AS raw FROM {DOCUMENTS.sql})), f AS (SELECT v, spelling, count(*) AS n FROM e WHERE v <> '' GROUP BY ALL),
 b AS (SELECT v, first(spelling ORDER BY n DESC, spelling) AS value FROM f GROUP BY v) SELECT value, (SELECT count(DISTINCT doc) FROM e WHERE e.v = b.v) AS count FROM b"""
 
 
 @query(_facet_sql("themes"))
 def facet_themes_spelling(spark, d):
-    return layers.facet(LIBRARY.df(spark), "doc", F.col("themes"))
+    return layers.facet(DOCUMENTS.df(spark, d), "doc", F.col("themes"))
 
 
 @query(_facet_sql("entities"))
 def facet_entities_spelling(spark, d):
-    return layers.facet(LIBRARY.df(spark), "doc", F.col("entities"))
+    return layers.facet(DOCUMENTS.df(spark, d), "doc", F.col("entities"))
 
 
 @query(_facet_sql("[month]"))
 def facet_months(spark, d):
-    return layers.facet(LIBRARY.df(spark), "doc", F.array("month"), months=True)
+    return layers.facet(DOCUMENTS.df(spark, d), "doc", F.array("month"), months=True)
 
 
 @query("SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(DISTINCT event_id) DESC, event_type) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1")
@@ -196,9 +196,9 @@ def fill_event_names(spark, d):
     return layers.fill_names(_ev(spark, d))
 
 
-@query(f"SELECT count(*) FILTER (WHERE themes IS NOT NULL) AS tagged, count(*) FILTER (WHERE ai) AS ai_true, count(*) FILTER (WHERE NOT ai) AS ai_false FROM {LIBRARY.sql}")
+@query(f"SELECT count(*) FILTER (WHERE themes IS NOT NULL) AS tagged, count(*) FILTER (WHERE ai) AS ai_true, count(*) FILTER (WHERE NOT ai) AS ai_false FROM {DOCUMENTS.sql}")
 def facet_tagged_counts(spark, d):
-    return layers.tagged_counts(LIBRARY.df(spark))
+    return layers.tagged_counts(DOCUMENTS.df(spark, d))
 
 
 @query("""WITH months AS (SELECT strftime(unnest(range(DATE '1995-11-01', DATE '1997-03-01', INTERVAL 1 MONTH)), '%Y-%m') AS month), themes AS (SELECT DISTINCT o_orderpriority AS theme FROM orders),
@@ -212,14 +212,15 @@ def theme_months_totals(spark, d):
 
 # --- events ---
 
-LINKS = Fixture("id long, into long", tuple((k, k - 1 if k % 97 else None) for k in range(1, 300)) + ((1001, 1002), (1002, 1003), (1003, 1001), (1004, 1001), (1005, 9999), (1006, 1006)))
+#: Chains of up to 96 events, some of them cut by a missing one.
+LINKS = Derived("SELECT event_id AS id, CASE WHEN event_id % 97 > 0 THEN event_id - 1 WHEN event_id % 2 = 0 THEN -event_id END AS into FROM {events}", ("events",))
 
 
 @query(f"""WITH RECURSIVE l AS (SELECT x.id, CASE WHEN x.into <> x.id AND y.id IS NOT NULL THEN x.into END AS into_ FROM {LINKS.sql} x LEFT JOIN {LINKS.sql} y ON x.into = y.id),
 walk AS (SELECT id, id AS at_, into_ AS next, 0 AS n FROM l UNION ALL SELECT w.id, l.id, l.into_, n + 1 FROM walk w JOIN l ON w.next = l.id WHERE n < 400)
 SELECT l.id, coalesce((SELECT at_ FROM walk w WHERE w.id = l.id AND w.next IS NULL LIMIT 1), l.id) AS root FROM l""")
 def alias_chain_resolution(spark, d):
-    return layers.resolve_chains(LINKS.df(spark))
+    return layers.resolve_chains(LINKS.df(spark, d))
 
 
 @query(f"""WITH e AS (SELECT DISTINCT id, unnest(members) AS member FROM {RECORDS.sql}) SELECT member, min(id) AS record, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE id <> f), '') AS refused FROM (SELECT *, min(id) OVER (PARTITION BY member) AS f FROM e) GROUP BY member""")
@@ -326,7 +327,7 @@ def where_used(spark, d):
 
 # --- second index ---
 
-_HITS = f"(SELECT h.*, slug, title, author, work_type, source_system FROM {HIGHLIGHTS.sql} h JOIN {WORKS.sql} w ON h.work_id = w.work_id)"
+_HITS = f"(SELECT h.*, slug, title, author, work_type, source_system FROM {TURNS.sql} h JOIN {CONVERSATIONS.sql} w ON h.work_id = w.work_id)"
 _INDEX2 = {
     "author": (index2.Filters(author=["ENGINE", "karel"]), "contains(lower(author), 'engine') OR contains(lower(author), 'karel')"),
     "tag_percent": (index2.Filters(tag=["_100%"]), "contains(lower(tags), '_100%')"),
@@ -343,15 +344,15 @@ _INDEX2 = {
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS filter, id FROM {_HITS} WHERE {sql}" for k, (_, sql) in _INDEX2.items()))
 def index2_filters(spark, d):
-    rows = index2.hits(HIGHLIGHTS.df(spark), WORKS.df(spark))
+    rows = index2.hits(TURNS.df(spark, d), CONVERSATIONS.df(spark, d))
     return rows.select(F.explode(F.array_compact(F.array(*[F.when(index2.where(f), F.lit(k)) for k, (f, _) in _INDEX2.items()]))).alias("filter"), "id")
 
 
 @query(f"""WITH h AS (SELECT *, lower(concat_ws(' ', text, note, title, author)) AS t FROM {_HITS} WHERE color IS NULL OR color <> 'Blue'), s AS (SELECT id, slug, contains(t, 'engine')::BIGINT + contains(t, 'loom')::BIGINT AS held, CASE WHEN contains(lower(author), 'engine') OR contains(lower(author), 'loom') THEN 0 WHEN contains(lower(title), 'engine') OR contains(lower(title), 'loom') THEN 1 ELSE 2 END AS class, coalesce(highlighted_at, '') AS day FROM h)
 SELECT id, slug, held, class FROM s WHERE held > 0 ORDER BY held DESC, class, day DESC, id LIMIT 3 OFFSET 1""")
 def index2_search(spark, d):
-    rows = HIGHLIGHTS.df(spark).filter("color IS NULL OR color <> 'Blue'")
-    return index2.search(rows, WORKS.df(spark), ["engine", "Loom"], limit=3, offset=1)
+    rows = TURNS.df(spark, d).filter("color IS NULL OR color <> 'Blue'")
+    return index2.search(rows, CONVERSATIONS.df(spark, d), ["engine", "Loom"], limit=3, offset=1)
 
 
 @query(r"""WITH d AS (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents) SELECT doc_id FROM d
@@ -361,10 +362,11 @@ def index2_fulltext(spark, d):
     return index2.matching(table(spark, d, "documents"), [[("word", "Rewhing")], [("prefix", "hehe"), ("phrase", "of the")]], ("text",)).select("doc_id")
 
 
-@query(f"SELECT id, slug, contains(lower(concat_ws(' ', text, note, title, author)), 'engines')::BIGINT AS held, 2 AS class FROM {_HITS} WHERE id IN (10, 11, 12, 13, 14, 15)")
+@query(f"""SELECT id, slug, contains(t, 'engines')::BIGINT AS held, 2 AS class FROM (SELECT *, lower(concat_ws(' ', text, note, title, author)) AS t FROM {_HITS})
+WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])engines?([^\\p{{L}}\\p{{N}}]|$)') ORDER BY held DESC, coalesce(highlighted_at, '') DESC, id LIMIT 20""")
 def index2_stemmed_search(spark, d):
     """"engines" finds engine; the order still counts the word as it was written."""
-    return index2.search(HIGHLIGHTS.df(spark), WORKS.df(spark), ["engines"], groups=[[("word", "engines")]])
+    return index2.search(TURNS.df(spark, d), CONVERSATIONS.df(spark, d), ["engines"], groups=[[("word", "engines")]])
 
 
 @query("""SELECT t.conv_id, t.turn, l.n AS turns FROM conversations t JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) l ON t.conv_id = l.conv_id WHERE contains(lower(t.text), 'the') AND NOT contains(lower(t.text), 'que')""")
@@ -376,35 +378,40 @@ def index2_three_way(spark, d):
     return match.join(rows.select("conv_id", "turn"), ["conv_id", "turn"]).join(works, "conv_id")
 
 
-@query(f"""SELECT lower(trim(tag)) AS tag, count(*) AS n FROM (SELECT unnest(from_json(tags, '["VARCHAR"]')) AS tag FROM {HIGHLIGHTS.sql}) WHERE trim(tag) <> '' GROUP BY 1""")
+@query(f"""SELECT lower(trim(tag)) AS tag, count(*) AS n FROM (SELECT unnest(from_json(tags, '["VARCHAR"]')) AS tag FROM {TURNS.sql}) WHERE trim(tag) <> '' GROUP BY 1""")
 def index2_json_tags(spark, d):
-    return index2.tags(HIGHLIGHTS.df(spark))
+    return index2.tags(TURNS.df(spark, d))
 
 
-@query(f"SELECT 'source' AS facet, source_system AS value, count(*) AS n FROM {WORKS.sql} GROUP BY 2 UNION ALL SELECT 'color', color, count(*) FROM {HIGHLIGHTS.sql} WHERE color IS NOT NULL GROUP BY 2")
+@query(f"SELECT 'source' AS facet, source_system AS value, count(*) AS n FROM {CONVERSATIONS.sql} GROUP BY 2 UNION ALL SELECT 'color', color, count(*) FROM {TURNS.sql} WHERE color IS NOT NULL GROUP BY 2")
 def index2_facets(spark, d):
-    return index2.facets(HIGHLIGHTS.df(spark), WORKS.df(spark))
+    return index2.facets(TURNS.df(spark, d), CONVERSATIONS.df(spark, d))
 
 
-@query(f"SELECT id, work_id, row_number() OVER (ORDER BY work_id, TRY_CAST(location AS BIGINT) NULLS FIRST, highlighted_at NULLS FIRST, id) AS place FROM {HIGHLIGHTS.sql}")
+@query(f"SELECT id, work_id, row_number() OVER (PARTITION BY work_id ORDER BY TRY_CAST(location AS BIGINT) NULLS FIRST, highlighted_at NULLS FIRST, id) AS place FROM {TURNS.sql}")
 def index2_reading_order(spark, d):
     from pyspark.sql import Window
 
-    rows = HIGHLIGHTS.df(spark)
+    rows = TURNS.df(spark, d)
     number = F.regexp_extract(F.trim(F.coalesce("location", F.lit(""))), r"^[0-9]+", 0).try_cast("long")
-    order = Window.orderBy("work_id", F.asc_nulls_first(number), F.asc_nulls_first("highlighted_at"), "id")
+    order = Window.partitionBy("work_id").orderBy(F.asc_nulls_first(number), F.asc_nulls_first("highlighted_at"), "id")
     return rows.select("id", "work_id", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query(f"SELECT id FROM {HIGHLIGHTS.sql} WHERE ocr_text IS NULL AND (format = 'image' OR contains(text, '![image]('))")
+@query(f"SELECT id FROM {TURNS.sql} WHERE ocr_text IS NULL AND (format = 'image' OR contains(text, '![image]('))")
 def index2_ocr_pending(spark, d):
-    return index2.ocr_pending(HIGHLIGHTS.df(spark)).select("id")
+    return index2.ocr_pending(TURNS.df(spark, d)).select("id")
 
 
-NEWER = Fixture(WORKS.schema, ((2, "looms-renamed", "Looms, 2nd", "J. Engine", "pdf", "readwise", "z1", "https://example.org/2"), (4, "new", "New", None, "book", "x", "n", None)))
+#: A later import: some works again, renamed, and some new ones.
+NEWER = Derived(
+    """SELECT DISTINCT conv_id + 10 AS work_id, 'renamed-' || CAST(conv_id AS STRING) AS slug, 'A new title' AS title, CASE WHEN conv_id % 2 = 0 THEN 'J. Engine' END AS author, 'pdf' AS work_type, 'readwise' AS source_system,
+  'n' || CAST(conv_id AS STRING) AS source_id, CASE WHEN conv_id % 3 = 0 THEN 'https://example.org/new' END AS url FROM {conversations} WHERE conv_id % 2 = 0""",
+    ("conversations",),
+)
 
 
-@query(f"""SELECT work_id, slug, title, author, work_type, source_system, source_id, url FROM {WORKS.sql} WHERE work_id NOT IN (SELECT work_id FROM {NEWER.sql}) UNION ALL
-SELECT n.work_id, coalesce(o.slug, n.slug), n.title, n.author, coalesce(o.work_type, n.work_type), coalesce(o.source_system, n.source_system), n.source_id, n.url FROM {NEWER.sql} n LEFT JOIN {WORKS.sql} o ON o.work_id = n.work_id""")
+@query(f"""SELECT work_id, slug, title, author, work_type, source_system, source_id, url FROM {CONVERSATIONS.sql} WHERE work_id NOT IN (SELECT work_id FROM {NEWER.sql}) UNION ALL
+SELECT n.work_id, coalesce(o.slug, n.slug), n.title, n.author, coalesce(o.work_type, n.work_type), coalesce(o.source_system, n.source_system), n.source_id, n.url FROM {NEWER.sql} n LEFT JOIN {CONVERSATIONS.sql} o ON o.work_id = n.work_id""")
 def index2_upsert(spark, d):
-    return index2.upsert(WORKS.df(spark), NEWER.df(spark), "work_id", ["slug", "work_type", "source_system"])
+    return index2.upsert(CONVERSATIONS.df(spark, d), NEWER.df(spark, d), "work_id", ["slug", "work_type", "source_system"])

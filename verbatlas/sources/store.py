@@ -408,7 +408,12 @@ def open_index(spark: SparkSession, sf_dir: str, name: str = "documents", mappin
     folder = f"{index_folder(spark)}/{hashlib.sha1(json.dumps([ENGINE, address, sorted(mapping.items())]).encode()).hexdigest()}"
     state, files = last_state(spark, folder), listing(spark, source)
     if state is None or {f: x[:2] for f, x in state.files.items()} != files:
-        state = refresh(spark, source, folder, mapping, state, files)
+        try:
+            state = refresh(spark, source, folder, mapping, state, files)
+        except RuntimeError:  # another builder was faster; its generation will do if it is of the same files
+            state = last_state(spark, folder)
+            if {f: x[:2] for f, x in state.files.items()} != files:
+                raise
     return Index(spark, folder, state)
 
 

@@ -15,7 +15,7 @@ def fold_sets(base: DataFrame, patches: DataFrame) -> DataFrame:
     """Sets after add and remove lines: (key, value) rows.  base: key, value; patches: key, line, op, value.
 
     Of each value only its last line counts, and a value without a line is as in ``base``; so a maximum by key and
-    value, combined before the exchange, does, however long a key's log is."""
+    value, combined before the exchange, does, however long a key's log is.  Of two lines with one number, remove counts."""
     last = patches.groupBy("key", "value").agg(F.max(F.struct("line", "op")).alias("last"))
     both = base.select("key", "value", F.lit(True).alias("had")).distinct().join(last, ["key", "value"], "full")
     return both.filter(F.coalesce(F.col("last.op") == "add", F.col("had"))).select("key", "value")
@@ -157,18 +157,19 @@ def resolve_chains(links: DataFrame) -> DataFrame:
     ids = links.select("id").distinct()
     known = links.join(ids.select(F.col("id").alias("into")), "into", "left_semi").filter("id <> into").groupBy("id").agg(F.min("into").alias("to"))
     at = ids.join(known, "id", "left").select("id", F.coalesce("to", "id").alias("to"), F.col("to").isNotNull().alias("moved"))
-    n, step = at.count(), 1
     found = written(at.filter("NOT moved").select("id", F.col("id").alias("root")))
     left = written(at.filter("moved").select("id", "to"))
     while left.head(1):  # each step's plan holds what was written by the ones before
         met = left.join(found.select(F.col("id").alias("to"), "root"), "to", "left")
-        if step >= n:  # ways longer than the table are cycles
-            return found.unionByName(met.select("id", F.coalesce("root", "id").alias("root")))
-        found = found.unionByName(written(met.filter("root IS NOT NULL").select("id", "root")))
+        new = written(met.filter("root IS NOT NULL").select("id", "root"))
+        if not new.head(1):  # of ways that end, the shortest left would have ended now: all that are left lead to cycles
+            return found.unionByName(left.select("id", F.col("id").alias("root")))
+        found = found.unionByName(new)
         rest = met.filter("root IS NULL").select("id", "to")
-        left, step = written(rest.join(left.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select("id", F.col("to2").alias("to"))), 2 * step
+        left = written(rest.join(left.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select("id", F.col("to2").alias("to")))
     return found
 
+
 def claims(records: DataFrame) -> DataFrame:
     """Monthly ids (member) with the first record, by id, that holds each, and the later ones that claim it as well."""
     each = records.select("id", F.explode("members").alias("member")).distinct()
@@ -193,7 +194,8 @@ def combined(records: DataFrame) -> DataFrame:
     last = F.coalesce("end", "start")
     spans = each.groupBy("root").agg(F.min("start").alias("start"), F.max(last).alias("end"), F.array_sort(F.collect_list(F.when(F.col("id") != F.col("root"), F.col("id")))).alias("merged"))
     own = F.col("id") == F.col("root")
-    words = F.concat(F.when(own, F.array().cast("array<string>")).otherwise(F.array("name")), "aliases")
+    none = F.array().cast("array<string>")
+    words = F.concat(F.when(own, none).otherwise(F.array("name")), F.coalesce("aliases", none))
     # (own first, record, place): the first of each folded spelling stays
     spelt = each.select("root", own.alias("own"), "id", F.posexplode(words).alias("at", "alias")).filter(F.trim("alias") != "")
     first = spelt.groupBy("root", fold(F.col("alias")).alias("v")).agg(F.min(F.struct((~F.col("own")).alias("later"), "id", "at", F.trim("alias").alias("alias"))).alias("a"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions.text import fold_exact
 from verbatlas.operators import filters, index2, layers, topics
 from verbatlas.plans.catalogue import query
-from verbatlas.plans.fixtures import CONVERSATIONS, DOCUMENTS, Derived, Fixture, RECORDS, TURNS
+from verbatlas.plans.fixtures import CONVERSATIONS, DOCUMENTS, EVENT_ITEMS, EVENT_MERGES, EVENT_OPS, EVENT_RECORDS, FILE_LINES, FILE_NAMES, FOLDED, MERGES_UNDONE, ORDER_EVENTS, PAIRS_DECIDED, PROPOSED, TAG_LINES, TAG_ROWS, TURNS, Derived
 from verbatlas.sources.corpus import table
 
 _FOLD = "lower(trim(regexp_replace(translate({}, '‘’‛ʼ“”', '''''''''\"\"'), '\\s+', ' ', 'g')))"
@@ -17,12 +17,9 @@ def _f(c: str) -> str:
     return _FOLD.format(c)
 
 
-FOLDED = Fixture("id long, t string", ((1, "  Café  ‘A’ "), (2, "CAFÉ 'a'"), (3, None), (4, ""), (5, "Ďáb\n\tel"), (6, "“x”")))
-
-
 @query(f"SELECT id, {_f('nfc_normalize(t)')} AS folded FROM {FOLDED.sql}")
 def fold_nfc(spark, d):
-    return FOLDED.df(spark).select("id", fold_exact(F.col("t")).alias("folded"))
+    return FOLDED.df(spark, d).select("id", fold_exact(F.col("t")).alias("folded"))
 
 
 _DATED = "(SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders)"
@@ -44,7 +41,7 @@ _TESTS = {
     "year": (filters.DocFilter(year=2016), "substr(date, 1, 4) = '2016'"),
     "themes": (filters.DocFilter(themes=["work", "MATHS"]), f"list_contains(list_transform(themes, lambda t: {_f('t')}), 'work') AND list_contains(list_transform(themes, lambda t: {_f('t')}), 'maths')"),
     "entities": (filters.DocFilter(entities=["Prague"]), f"list_contains(list_transform(entities, lambda t: {_f('t')}), 'prague')"),
-    "event": (filters.DocFilter(events=["2016-06-fair"]), "event = '2016-06-fair'"),
+    "event": (filters.DocFilter(events=["2016-06-fair"]), "event = '{_KEPT}'"),
     "months": (filters.DocFilter(months=["2016", "2004-01"]), "month LIKE '2016%' OR month = '2004-01'"),
     "ai_false": (filters.DocFilter(ai=False), "ai = false"),
     "ai_true": (filters.DocFilter(ai=True), "ai = true"),
@@ -81,21 +78,14 @@ def corrections_patch_fold(spark, d):
     return layers.fold_sets(base, ops)
 
 
-TAGS = Fixture("key string, themes array<string>", (("a", ["Work", "Play"]), ("b", ["Maths", "work "]), ("c", []), ("d", None), ("e", ["X", "Y"])))
-CORRECTIONS = Fixture(
-    "key string, line long, replaces array<string>, op string, value string",
-    (("a", 1, None, "add", "Maths"), ("a", 2, None, "remove", "WORK"), ("a", 3, None, "add", "play"), ("b", 4, ["Only"], None, None), ("b", 2, None, "add", "lost"), ("b", 5, None, "add", "more"), ("b", 6, None, "remove", "more"), ("b", 7, None, "add", "More"), ("c", 8, None, "add", "New"), ("d", 9, None, "remove", "none"), ("zz", 10, None, "add", "nobody")),
-)
-
-
-@query(f"""WITH c AS (SELECT * FROM {CORRECTIONS.sql}), w AS (SELECT key, max(line) AS line, arg_max(replaces, line) AS replaces FROM c WHERE replaces IS NOT NULL GROUP BY key),
+@query(f"""WITH c AS (SELECT * FROM {TAG_LINES.sql}), w AS (SELECT key, max(line) AS line, arg_max(replaces, line) AS replaces FROM c WHERE replaces IS NOT NULL GROUP BY key),
 p AS (SELECT c.key, {_f('value')} AS v, arg_max(op, c.line) AS op, arg_max(value, c.line) AS value, max(c.line) AS line FROM c LEFT JOIN w ON c.key = w.key WHERE op IS NOT NULL AND (w.line IS NULL OR c.line > w.line) GROUP BY ALL),
-t AS (SELECT r.key, unnest(coalesce(w.replaces, themes)) AS shown, unnest(range(len(coalesce(w.replaces, themes)))) AS pos FROM {TAGS.sql} r LEFT JOIN w ON r.key = w.key),
+t AS (SELECT r.key, unnest(coalesce(w.replaces, themes)) AS shown, unnest(range(len(coalesce(w.replaces, themes)))) AS pos FROM {TAG_ROWS.sql} r LEFT JOIN w ON r.key = w.key),
 b AS (SELECT key, {_f('shown')} AS v, arg_min(shown, pos) AS shown, min(pos) AS pos FROM t GROUP BY ALL),
 j AS (SELECT coalesce(b.key, p.key) AS key, coalesce(shown, value) AS shown, coalesce(pos, 1000000) AS pos, coalesce(line, 0) AS line FROM b FULL JOIN p ON b.key = p.key AND b.v = p.v WHERE p.op IS NULL OR p.op = 'add')
-SELECT r.key, coalesce(string_agg(shown, '|' ORDER BY pos, line, shown) FILTER (WHERE shown IS NOT NULL), '') AS themes FROM {TAGS.sql} r LEFT JOIN j ON r.key = j.key GROUP BY r.key""")
+SELECT r.key, coalesce(string_agg(shown, '|' ORDER BY pos, line, shown) FILTER (WHERE shown IS NOT NULL), '') AS themes FROM {TAG_ROWS.sql} r LEFT JOIN j ON r.key = j.key GROUP BY r.key""")
 def corrections_replace_fold(spark, d):
-    return layers.corrected(TAGS.df(spark), CORRECTIONS.df(spark)).select("key", F.array_join("themes", "|").alias("themes"))
+    return layers.corrected(TAG_ROWS.df(spark, d), TAG_LINES.df(spark, d)).select("key", F.array_join("themes", "|").alias("themes"))
 
 
 _CLOG = "(SELECT event_id AS id, user_id % 3 AS key, CASE WHEN event_type = 'click' THEN event_id - 7 END AS undoes, CASE WHEN event_type <> 'click' THEN event_type END AS value FROM events)"
@@ -223,106 +213,95 @@ def alias_chain_resolution(spark, d):
     return layers.resolve_chains(LINKS.df(spark, d))
 
 
-@query(f"""WITH e AS (SELECT DISTINCT id, unnest(members) AS member FROM {RECORDS.sql}) SELECT member, min(id) AS record, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE id <> f), '') AS refused FROM (SELECT *, min(id) OVER (PARTITION BY member) AS f FROM e) GROUP BY member""")
+@query(f"""WITH e AS (SELECT DISTINCT id, unnest(members) AS member FROM {EVENT_RECORDS.sql}) SELECT member, min(id) AS record, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE id <> f), '') AS refused FROM (SELECT *, min(id) OVER (PARTITION BY member) AS f FROM e) GROUP BY member""")
 def member_claims(spark, d):
-    return layers.claims(RECORDS.df(spark))
+    return layers.claims(EVENT_RECORDS.df(spark, d))
+
 
+def _roots(away: str | None = None) -> str:
+    """(id, root) of every record by walking its links, none longer than 20; the record ``away`` counts as not merged."""
+    cut = f"x.id <> '{away}' AND " if away else ""
+    return f"""(WITH RECURSIVE l AS (SELECT x.id, CASE WHEN {cut}x.merged_into <> x.id AND y.id IS NOT NULL THEN x.merged_into END AS nxt FROM {EVENT_RECORDS.sql} x LEFT JOIN {EVENT_RECORDS.sql} y ON x.merged_into = y.id),
+w AS (SELECT id, id AS at_, nxt, 0 AS n FROM l UNION ALL SELECT w.id, l.id, l.nxt, n + 1 FROM w JOIN l ON w.nxt = l.id WHERE n < 20) SELECT l.id, coalesce(z.at_, l.id) AS root FROM l LEFT JOIN (SELECT id, at_ FROM w WHERE nxt IS NULL) z ON z.id = l.id)"""
 
-ROOTS = "(SELECT * FROM (VALUES ('2004-01-play', '2004-01-play'), ('2016-06-fair', '2016-06-fair'), ('2016-07-fair', '2016-06-fair'), ('2016-08-end', '2016-06-fair'), ('loop-a', 'loop-a'), ('loop-b', 'loop-b'), ('lost', 'lost'), ('gone', 'gone')) AS v(id, root))"
 
+ROOTS = _roots()
+#: A record that is merged into one of the same chain.
+_AWAY, _KEPT = "r000000000001", "r000000000000"
 
-@query(f"""WITH r AS (SELECT x.*, root FROM {RECORDS.sql} x JOIN {ROOTS} y ON x.id = y.id), s AS (SELECT root, min(start) AS start, max(coalesce("end", start)) AS "end", coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE id <> root), '') AS merged FROM r GROUP BY root),
+
+@query(f"""WITH r AS (SELECT x.*, root FROM {EVENT_RECORDS.sql} x JOIN {ROOTS} y ON x.id = y.id), s AS (SELECT root, min(start) AS start, max(coalesce("end", start)) AS "end", coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE id <> root), '') AS merged FROM r GROUP BY root),
 a AS (SELECT root, id, id <> root AS later, unnest(CASE WHEN id = root THEN aliases ELSE list_prepend(name, aliases) END) AS alias, unnest(range(len(CASE WHEN id = root THEN aliases ELSE list_prepend(name, aliases) END))) AS pos FROM r),
-f AS (SELECT root, {_f('alias')} AS v, min({{'later': later, 'id': id, 'pos': pos, 'alias': trim(alias)}}) AS m FROM a GROUP BY ALL)
-SELECT x.id, name, s.start, s."end", (SELECT string_agg(m.alias, '|' ORDER BY m) FROM f WHERE f.root = x.id AND f.v <> {_f('x.name')}) AS aliases, merged AS merged_from, removed IS NOT NULL AS removed FROM {RECORDS.sql} x JOIN s ON s.root = x.id""")
+f AS (SELECT root, {_f('alias')} AS v, min({{'later': later, 'id': id, 'pos': pos, 'alias': trim(alias)}}) AS m FROM a WHERE trim(alias) <> '' GROUP BY ALL)
+SELECT x.id, name, s.start, s."end", (SELECT string_agg(m.alias, '|' ORDER BY m) FROM f WHERE f.root = x.id AND f.v <> {_f('x.name')}) AS aliases, merged AS merged_from, removed IS NOT NULL AS removed FROM {EVENT_RECORDS.sql} x JOIN s ON s.root = x.id""")
 def events_combined(spark, d):
-    return layers.combined(RECORDS.df(spark))
+    return layers.combined(EVENT_RECORDS.df(spark, d))
 
 
-ITEMS = Fixture(
-    "doc long, event string, day string",
-    ((1, "2004-01/E01", "2004-01-05"), (2, "2016-06/E01", "2016-06-02"), (3, "2016-06/E02", "2016-06-30"), (4, "2016-07/E01", "2016-07-01"), (5, "2016-08/E01", None), (6, "2017-01/E01", "2017-01-01"), (7, "2099-01/E07", "2099-01-01"), (2, "2016-07/E01", "2016-06-02"), (8, "loop-a", "2016-01-01"), (9, "2016-08-end", "2016-08-02")),
-)
-_HELD = f"(SELECT member, min(id) AS record FROM (SELECT id, unnest(members) AS member FROM {RECORDS.sql}) GROUP BY member)"
+_HELD = f"(SELECT member, min(id) AS record FROM (SELECT id, unnest(members) AS member FROM {EVENT_RECORDS.sql}) GROUP BY member)"
 
 
-def _lasting_sql(rows: str) -> str:
-    return f"(SELECT i.*, coalesce(root, h.record, i.event) AS record FROM {rows} i LEFT JOIN {_HELD} h ON i.event = h.member LEFT JOIN {ROOTS} r ON r.id = coalesce(h.record, i.event))"
+def _lasting_sql(rows: str, roots: str = ROOTS) -> str:
+    return f"(SELECT i.*, coalesce(root, h.record, i.event) AS record FROM {rows} i LEFT JOIN {_HELD} h ON i.event = h.member LEFT JOIN {roots} r ON r.id = coalesce(h.record, i.event))"
 
 
-@query(f"SELECT doc, event, day, record FROM {_lasting_sql(ITEMS.sql)}")
+@query(f"SELECT doc, event, day, record FROM {_lasting_sql(EVENT_ITEMS.sql)}")
 def lasting_events(spark, d):
-    return layers.lasting(ITEMS.df(spark), RECORDS.df(spark)).select("doc", "event", "day", "record")
+    return layers.lasting(EVENT_ITEMS.df(spark, d), EVENT_RECORDS.df(spark, d)).select("doc", "event", "day", "record")
 
 
-@query(f"""WITH i AS {_lasting_sql(ITEMS.sql)}, c AS (SELECT record AS event, count(DISTINCT doc) AS items, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (WHERE day IS NULL) AS undated FROM i GROUP BY record),
+@query(f"""WITH i AS {_lasting_sql(EVENT_ITEMS.sql)}, c AS (SELECT record AS event, count(DISTINCT doc) AS items, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (WHERE day IS NULL) AS undated FROM i GROUP BY record),
 m AS (SELECT record AS event, string_agg(month || ':' || n, ',' ORDER BY month) AS months FROM (SELECT record, substr(day, 1, 7) AS month, count(DISTINCT doc) AS n FROM i WHERE day IS NOT NULL GROUP BY ALL) GROUP BY record)
-SELECT coalesce(c.event, x.id) AS event, name, coalesce(items, 0) AS items, months, first_day, last_day, coalesce(undated, 0) AS undated, start, "end" FROM c LEFT JOIN m ON c.event = m.event FULL JOIN {RECORDS.sql} x ON x.id = c.event WHERE merged_into IS NULL AND removed IS NULL""")
+SELECT coalesce(c.event, x.id) AS event, name, coalesce(items, 0) AS items, months, first_day, last_day, coalesce(undated, 0) AS undated, start, "end" FROM c LEFT JOIN m ON c.event = m.event FULL JOIN {EVENT_RECORDS.sql} x ON x.id = c.event WHERE merged_into IS NULL AND removed IS NULL""")
 def events_listing(spark, d):
-    records = RECORDS.df(spark)
-    items = layers.lasting(ITEMS.df(spark), records).select("doc", F.col("record").alias("event"), "day")
+    records = EVENT_RECORDS.df(spark, d)
+    items = layers.lasting(EVENT_ITEMS.df(spark, d), records).select("doc", F.col("record").alias("event"), "day")
     return layers.events_listing(items, records)
 
 
-LISTED = Fixture("doc long, events array<string>", ((1, ["2004-01/E01", "2016-06/E01"]), (2, ["2016-07/E01"]), (3, []), (4, ["2017-01/E01"])))
-EVENT_OPS = Fixture("doc long, line long, op string, event string", ((1, 1, "remove", "2016-07-fair"), (2, 2, "add", "2004-01-play"), (2, 3, "remove", "2004-01/E01"), (3, 4, "add", "2016-08-end"), (4, 5, "add", "new"), (1, 6, "add", "2016-06/E02"), (3, 7, "add", "gone")))
-
-
-@query(f"""WITH b AS (SELECT DISTINCT doc, record FROM {_lasting_sql(f"(SELECT doc, unnest(events) AS event FROM {LISTED.sql})")}), o AS (SELECT doc, record, arg_max(op, line) AS op FROM {_lasting_sql(EVENT_OPS.sql)} GROUP BY ALL)
-SELECT coalesce(b.doc, o.doc) AS doc, coalesce(b.record, o.record) AS event FROM b FULL JOIN o ON b.doc = o.doc AND b.record = o.record WHERE coalesce(op, 'add') = 'add' AND coalesce(b.record, o.record) <> 'gone'""")
+@query(f"""WITH b AS (SELECT DISTINCT doc, record FROM {_lasting_sql(f"(SELECT doc, unnest(events) AS event FROM {ORDER_EVENTS.sql})")}), o AS (SELECT doc, record, max({{'line': line, 'op': op}}).op AS op FROM {_lasting_sql(EVENT_OPS.sql)} GROUP BY ALL)
+SELECT coalesce(b.doc, o.doc) AS doc, coalesce(b.record, o.record) AS event FROM b FULL JOIN o ON b.doc = o.doc AND b.record = o.record WHERE coalesce(op, 'add') = 'add' AND coalesce(b.record, o.record) NOT IN (SELECT id FROM {EVENT_RECORDS.sql} WHERE removed IS NOT NULL)""")
 def item_events(spark, d):
-    return layers.item_events(LISTED.df(spark), EVENT_OPS.df(spark), RECORDS.df(spark))
+    return layers.item_events(ORDER_EVENTS.df(spark, d), EVENT_OPS.df(spark, d), EVENT_RECORDS.df(spark, d))
 
 
-_SPLIT = ROOTS.replace("('2016-07-fair', '2016-06-fair')", "('2016-07-fair', '2016-07-fair')").replace("('2016-08-end', '2016-06-fair')", "('2016-08-end', '2016-07-fair')")
+_SPLIT = _roots(_AWAY)
 
 
-@query(f"""WITH s AS {_lasting_sql(ITEMS.sql).replace(ROOTS, _SPLIT)}, n AS {_lasting_sql(ITEMS.sql)}, dd AS (SELECT doc, bool_or(record = '2016-07-fair') AS back, bool_or(record = '2016-06-fair') AS stay FROM s GROUP BY doc)
-SELECT count(*) FILTER (WHERE back) AS returning, count(*) FILTER (WHERE stay) AS kept, count(*) FILTER (WHERE back AND stay) AS both, (SELECT count(DISTINCT doc) FROM n WHERE record = '2016-06-fair') AS kept_now FROM dd""")
+@query(f"""WITH s AS {_lasting_sql(EVENT_ITEMS.sql, _SPLIT)}, n AS {_lasting_sql(EVENT_ITEMS.sql)}, dd AS (SELECT doc, bool_or(record = '{_AWAY}') AS back, bool_or(record = '{_KEPT}') AS stay FROM s GROUP BY doc)
+SELECT count(*) FILTER (WHERE back) AS returning, count(*) FILTER (WHERE stay) AS kept, count(*) FILTER (WHERE back AND stay) AS both, (SELECT count(DISTINCT doc) FROM n WHERE record = '{_KEPT}') AS kept_now FROM dd""")
 def unmerge_preview(spark, d):
-    return layers.unmerge_preview(ITEMS.df(spark), RECORDS.df(spark), "2016-07-fair")
+    return layers.unmerge_preview(EVENT_ITEMS.df(spark, d), EVENT_RECORDS.df(spark, d), _AWAY)
 
 
-@query(f"""SELECT i.event, arg_min(name, doc) AS name, min(day) AS start, max(day) AS "end", count(DISTINCT doc) AS items FROM (SELECT *, 'Item ' || doc AS name FROM {ITEMS.sql}) i WHERE event NOT IN (SELECT member FROM {_HELD}) GROUP BY i.event""")
+@query(f"""SELECT i.event, arg_min(name, doc) AS name, min(day) AS start, max(day) AS "end", count(DISTINCT doc) AS items FROM (SELECT *, 'Item ' || doc AS name FROM {EVENT_ITEMS.sql}) i WHERE event NOT IN (SELECT member FROM {_HELD}) GROUP BY i.event""")
 def event_seed_plan(spark, d):
-    items = ITEMS.df(spark).withColumn("name", F.concat(F.lit("Item "), "doc"))
-    return layers.seed_plan(items, RECORDS.df(spark))
-
-
-MERGES = Fixture("id string, a string, b string", (("m000001", "2016-07-fair", "2016-06-fair"), ("m000002", "2016-08-end", "2016-06-fair"), ("m000003", "2016-08-end", "2016-07-fair"), ("m000004", "gone", "2004-01-play"), ("m000005", "lost", "gone")))
-UNDONE = Fixture("merge string", (("m000002",),))
+    items = EVENT_ITEMS.df(spark, d).withColumn("name", F.concat(F.lit("Item "), "doc"))
+    return layers.seed_plan(items, EVENT_RECORDS.df(spark, d))
 
 
 @query(f"""SELECT m.id, a, b, CASE WHEN u.merge IS NOT NULL THEN 'undone' WHEN merged_into = b THEN 'in effect' WHEN merged_into IS NULL THEN 'not applied' ELSE 'other' END AS state,
 u.merge IS NULL AND coalesce(merged_into = b, false) AND m.id = max(m.id) OVER (PARTITION BY a) AS undoable,
 CASE WHEN u.merge IS NOT NULL THEN 'undone' WHEN merged_into IS NULL THEN 'not applied' WHEN merged_into <> b THEN 'other' WHEN m.id <> max(m.id) OVER (PARTITION BY a) THEN 'a later line' END AS why_not
-FROM {MERGES.sql} m LEFT JOIN {UNDONE.sql} u ON u.merge = m.id LEFT JOIN {RECORDS.sql} r ON r.id = a""")
+FROM {EVENT_MERGES.sql} m LEFT JOIN {MERGES_UNDONE.sql} u ON u.merge = m.id LEFT JOIN {EVENT_RECORDS.sql} r ON r.id = a""")
 def event_merge_states(spark, d):
-    return layers.merge_states(MERGES.df(spark), UNDONE.df(spark), RECORDS.df(spark))
+    return layers.merge_states(EVENT_MERGES.df(spark, d), MERGES_UNDONE.df(spark, d), EVENT_RECORDS.df(spark, d))
 
 
-@query(f"SELECT id AS a, merged_into AS b FROM {RECORDS.sql} r WHERE merged_into IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {MERGES.sql} m WHERE m.a = r.id AND m.b = r.merged_into)")
+@query(f"SELECT id AS a, merged_into AS b FROM {EVENT_RECORDS.sql} r WHERE merged_into IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {EVENT_MERGES.sql} m WHERE m.a = r.id AND m.b = r.merged_into)")
 def event_unlogged_merges(spark, d):
-    return layers.unlogged_merges(MERGES.df(spark), RECORDS.df(spark))
+    return layers.unlogged_merges(EVENT_MERGES.df(spark, d), EVENT_RECORDS.df(spark, d))
 
 
-PROPOSALS = Fixture("a string, b string, verdict string, confidence string", (("2004-01-play", "2016-06-fair", "same", "doubtful"), ("2016-07-fair", "2016-06-fair", "same", "doubtful"), ("lost", "gone", "same", "doubtful"), ("lost", "2004-01-play", "same", "confident"), ("unknown", "gone", "same", "doubtful"), ("loop-a", "gone", "different", "doubtful")))
-DECIDED = Fixture("a string, b string", (("lost", "gone"),))
-
-
-@query(f"SELECT p.* FROM {PROPOSALS.sql} p JOIN {ROOTS} x ON p.a = x.id JOIN {ROOTS} y ON p.b = y.id WHERE verdict = 'same' AND confidence = 'doubtful' AND x.root <> y.root AND NOT EXISTS (SELECT 1 FROM {DECIDED.sql} d WHERE d.a = p.a AND d.b = p.b)")
+@query(f"SELECT p.* FROM {PROPOSED.sql} p JOIN {ROOTS} x ON p.a = x.id JOIN {ROOTS} y ON p.b = y.id WHERE verdict = 'same' AND confidence = 'doubtful' AND x.root <> y.root AND NOT EXISTS (SELECT 1 FROM {PAIRS_DECIDED.sql} d WHERE d.a = p.a AND d.b = p.b)")
 def event_waiting_proposals(spark, d):
-    return layers.waiting_proposals(PROPOSALS.df(spark), DECIDED.df(spark), RECORDS.df(spark))
-
-
-LINES = Fixture("path string, n long, line string", (("a.md", 1, "see [it](../research/looms.md) and `engines.md`"), ("a.md", 2, "[x](looms.md#part) [y](looms.md)"), ("b.md", 9, "no `thing` here"), ("b.md", 10, "`notes/engines.md` [z](https://example.org/looms.md)")))
-NAMES = Fixture("name string", (("looms.md",), ("engines.md",), ("other.md",)))
+    return layers.waiting_proposals(PROPOSED.df(spark, d), PAIRS_DECIDED.df(spark, d), EVENT_RECORDS.df(spark, d))
 
 
-@query(f"""WITH m AS (SELECT path, n, unnest(list_transform(regexp_extract_all(line, '\\]\\(([^)\\s#]+)', 1), lambda t: {{'name': string_split(t, '/')[-1], 'how': 'link'}}) || list_transform(regexp_extract_all(line, '`([^`]+)`', 1), lambda t: {{'name': string_split(t, '/')[-1], 'how': 'mention'}})) AS x FROM {LINES.sql})
-SELECT DISTINCT x.name AS name, path, n, x.how AS how FROM m WHERE x.name IN (SELECT name FROM {NAMES.sql})""")
+@query(f"""WITH m AS (SELECT path, n, unnest(list_transform(regexp_extract_all(line, '\\]\\(([^)\\s#]+)', 1), lambda t: {{'name': string_split(t, '/')[-1], 'how': 'link'}}) || list_transform(regexp_extract_all(line, '`([^`]+)`', 1), lambda t: {{'name': string_split(t, '/')[-1], 'how': 'mention'}})) AS x FROM {FILE_LINES.sql})
+SELECT DISTINCT x.name AS name, path, n, x.how AS how FROM m WHERE x.name IN (SELECT name FROM {FILE_NAMES.sql})""")
 def where_used(spark, d):
-    return layers.mention_lines(LINES.df(spark), NAMES.df(spark))
+    return layers.mention_lines(FILE_LINES.df(spark, d), FILE_NAMES.df(spark, d))
 
 
 # --- second index ---

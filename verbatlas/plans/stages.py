@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.operators import tagger
 from verbatlas.plans.catalogue import query
-from verbatlas.plans.fixtures import Fixture
+from verbatlas.plans.fixtures import ANSWERED, NAMED, OWN_NAMES, SPELLINGS, SPELT_AS, TAGGED_WORKS, THEME_ALIASES, THEMES, VETOES
 from verbatlas.sources.corpus import table
 
 
@@ -37,28 +37,18 @@ def tagger_enrichment(spark, d):
     return tagger.enrich(e, tagger.latest_snapshot(lines), archive)
 
 
-ENTITIES = Fixture("name string", (("Ada Byron",), ("ada  BYRON",), ("Byron",), ("On Looms",), ("Nobody Here",)))
-TITLES = Fixture("key string, author string, title string, highlights long, date string", tuple((f"w{k}", "Ada Byron" if k % 2 else "Karel", "On looms" if k % 3 == 0 else f"T {k}", k % 4, f"2016-0{1 + k % 5}") for k in range(14)))
-
-
-@query(f"""WITH e AS (SELECT DISTINCT name, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS v FROM {ENTITIES.sql}), w AS (SELECT lower(author) AS v, key, highlights, date FROM {TITLES.sql} UNION SELECT lower(title), key, highlights, date FROM {TITLES.sql}),
+@query(f"""WITH e AS (SELECT DISTINCT name, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS v FROM {NAMED.sql}), w AS (SELECT lower(author) AS v, key, highlights, date FROM {TAGGED_WORKS.sql} UNION SELECT lower(title), key, highlights, date FROM {TAGGED_WORKS.sql}),
 r AS (SELECT name, key, row_number() OVER (PARTITION BY name ORDER BY highlights DESC, date DESC, key) AS rank FROM e JOIN w ON e.v = w.v WHERE contains(e.v, ' ')) SELECT name, key, rank::INT AS rank FROM r WHERE rank <= 5""")
 def tagger_entity_works(spark, d):
-    return tagger.entity_works(ENTITIES.df(spark), TITLES.df(spark))
-
+    return tagger.entity_works(NAMED.df(spark, d), TAGGED_WORKS.df(spark, d))
 
-ANSWERS = Fixture("key string, themes array<string>, entities array<string>", (("a", ["work", "Labour", "Play", "none", "maths", "Work"], ["Ada Byron", "Prague", "prague ", ""]), ("b", ["x"], []), ("c", [], ["Karel", "R1", "R2", "R3", "R4", "R5", "R6", "R7", "R8", "R9"])))
-THEMES = Fixture("name string", (("Work",), ("Play",), ("Maths",), ("Rest",)))
-ALIASES = Fixture("alias string, theme string", (("labour", "Work"), ("games", "Play"), ("lost", "Nothing")))
-OWN = Fixture("key string, name string", (("a", "ada byron"), ("c", "KAREL"), ("b", "x")))
 
-
-@query(f"""WITH k AS (SELECT lower(name) AS v, name FROM {THEMES.sql} UNION ALL SELECT lower(alias), name FROM {ALIASES.sql} JOIN {THEMES.sql} ON theme = name),
-t AS (SELECT key, unnest(themes) AS raw, unnest(range(len(themes))) AS pos FROM {ANSWERS.sql}), tt AS (SELECT key, name, min(pos) AS pos FROM t JOIN k ON lower(trim(raw)) = v GROUP BY ALL), tr AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS r FROM tt),
-e AS (SELECT key, unnest(entities) AS raw, unnest(range(len(entities))) AS pos FROM {ANSWERS.sql}), ee AS (SELECT key, lower(trim(raw)) AS v, min(pos) AS pos, arg_min(trim(raw), pos) AS shown FROM e x WHERE trim(raw) <> '' AND NOT EXISTS (SELECT 1 FROM {OWN.sql} o WHERE o.key = x.key AND lower(o.name) = lower(trim(raw))) GROUP BY ALL), er AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS r FROM ee)
-SELECT a.key, coalesce((SELECT string_agg(name, '|' ORDER BY pos) FROM tr WHERE tr.key = a.key AND r <= 3), '') AS themes, coalesce((SELECT string_agg(shown, '|' ORDER BY pos) FROM er WHERE er.key = a.key AND r <= 8), '') AS entities FROM {ANSWERS.sql} a""")
+@query(f"""WITH k AS (SELECT lower(name) AS v, name FROM {THEMES.sql} UNION ALL SELECT lower(alias), name FROM {THEME_ALIASES.sql} JOIN {THEMES.sql} ON theme = name),
+t AS (SELECT key, unnest(themes) AS raw, unnest(range(len(themes))) AS pos FROM {ANSWERED.sql}), tt AS (SELECT key, name, min(pos) AS pos FROM t JOIN k ON lower(trim(raw)) = v GROUP BY ALL), tr AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS r FROM tt),
+e AS (SELECT key, unnest(entities) AS raw, unnest(range(len(entities))) AS pos FROM {ANSWERED.sql}), ee AS (SELECT key, lower(trim(raw)) AS v, min(pos) AS pos, arg_min(trim(raw), pos) AS shown FROM e x WHERE trim(raw) <> '' AND NOT EXISTS (SELECT 1 FROM {OWN_NAMES.sql} o WHERE o.key = x.key AND lower(o.name) = lower(trim(raw))) GROUP BY ALL), er AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS r FROM ee)
+SELECT a.key, coalesce((SELECT string_agg(name, '|' ORDER BY pos) FROM tr WHERE tr.key = a.key AND r <= 3), '') AS themes, coalesce((SELECT string_agg(shown, '|' ORDER BY pos) FROM er WHERE er.key = a.key AND r <= 8), '') AS entities FROM {ANSWERED.sql} a""")
 def tagger_validate_tags(spark, d):
-    out = tagger.validate_tags(ANSWERS.df(spark), THEMES.df(spark), ALIASES.df(spark), OWN.df(spark))
+    out = tagger.validate_tags(ANSWERED.df(spark, d), THEMES.df(spark, d), THEME_ALIASES.df(spark, d), OWN_NAMES.df(spark, d))
     return out.select("key", F.array_join("themes", "|").alias("themes"), F.array_join("entities", "|").alias("entities"))
 
 
@@ -80,16 +70,11 @@ def tagger_entity_counts(spark, d):
     return tagger.entity_counts(table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("user_id").alias("name"), F.col("event_type").alias("type")))
 
 
-COUNTED = Fixture("name string, n long, type string", (("Ada Byron", 9, "person"), ("ADA-BYRON", 2, "person"), ("Byron", 3, "person"), ("Karel", 4, "person"), ("Jan Karel", 1, "person"), ("Petr Karel", 1, "person"), ("Prague", 5, "place"), ("Praha", 2, "place"), ("New Prague", 1, "place")))
-SPELT = Fixture("alias string, name string", (("Praha", "Prague"), ("Lost", "Prague")))
-VETOES = Fixture("a string, b string", (("Prague", "New Prague"),))
-
-
-@query(f"""WITH c AS (SELECT *, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS v FROM {COUNTED.sql}), s AS (SELECT name, first_value(name) OVER (PARTITION BY v, type ORDER BY n DESC, name) AS into_, 1 AS rule FROM c),
-a AS (SELECT alias, s.name, 2 FROM {SPELT.sql} s JOIN c ON c.name = s.alias), l AS (SELECT x.name, min(y.name) AS into_, 3 FROM c x JOIN c y ON x.type = y.type AND x.name <> y.name AND ends_with(lower(y.name), ' ' || lower(x.name)) GROUP BY x.name HAVING count(DISTINCT y.name) = 1),
+@query(f"""WITH c AS (SELECT *, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS v FROM {SPELLINGS.sql}), s AS (SELECT name, first_value(name) OVER (PARTITION BY v, type ORDER BY n DESC, name) AS into_, 1 AS rule FROM c),
+a AS (SELECT alias, s.name, 2 FROM {SPELT_AS.sql} s JOIN c ON c.name = s.alias), l AS (SELECT x.name, min(y.name) AS into_, 3 FROM c x JOIN c y ON x.type = y.type AND x.name <> y.name AND ends_with(lower(y.name), ' ' || lower(x.name)) GROUP BY x.name HAVING count(DISTINCT y.name) = 1),
 u AS (SELECT * FROM s UNION ALL SELECT * FROM a UNION ALL SELECT * FROM l) SELECT name, arg_min(into_, rule) AS "into" FROM u WHERE name <> into_ AND NOT EXISTS (SELECT 1 FROM {VETOES.sql} v WHERE v.a = u.name AND v.b = into_) GROUP BY name""")
 def tagger_entity_map(spark, d):
-    return tagger.spelling_map(COUNTED.df(spark), SPELT.df(spark), VETOES.df(spark))
+    return tagger.spelling_map(SPELLINGS.df(spark, d), SPELT_AS.df(spark, d), VETOES.df(spark, d))
 
 
 _SIG = "(SELECT user_id AS id, min(CAST(ts AS DATE)) AS s, max(CAST(ts AS DATE)) AS e, list_distinct(list(event_type || (event_id % 11))) AS signals FROM events GROUP BY user_id)"

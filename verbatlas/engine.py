@@ -20,11 +20,12 @@ class Engine:
     """``Engine(spark, folder)`` opens the stored index of ``documents`` there, and indexes first what has changed.
 
     ``mapping`` gives the documents' metadata by SQL expressions (see ``open_index``); ``embed`` makes unit vectors from arrays of
-    tokens and is named by ``model``."""
+    tokens and is named by ``model``.  ``exact``
+    indexes blocks of normalised text by Unicode words (see ``open_index``); concordances then show the original."""
 
-    def __init__(self, spark: SparkSession, folder: str, mapping: dict[str, str] | None = None, model: str = "hash64", embed: Callable[[Column], Column] = search.hash_embedding):
-        self.spark, self.folder, self.mapping, self.model, self.embed = spark, folder, mapping, model, embed
-        self.index: Index = open_index(spark, folder, mapping=mapping)
+    def __init__(self, spark: SparkSession, folder: str, mapping: dict[str, str] | None = None, model: str = "hash64", embed: Callable[[Column], Column] = search.hash_embedding, exact: bool = False):
+        self.spark, self.folder, self.mapping, self.model, self.embed, self.exact = spark, folder, mapping, model, embed, exact
+        self.index: Index = open_index(spark, folder, mapping=mapping, exact=exact)
 
     def documents(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/documents.parquet")
@@ -71,7 +72,11 @@ class Engine:
         return vectors.build(self.index, self.model, self.embed)
 
     def kwic(self, phrase: list[str], near: str | None = None, width: int = 8, sort: str = "R1", limit: int = 200, scope: filters.DocFilter | None = None) -> DataFrame:
-        """Concordance lines with left context, node and right context."""
+        """Concordance lines with left context, node and right context; of an exact index cut out of the original, with the node's start and end in its block."""
+        if self.exact:
+            rows = concord.kwic(self.scoped(scope), phrase, near, width, limit, sort, extra=["line", "starts", "ends", "source"])
+            shown = concord.kwic_original(rows.withColumn("n", F.lit(len(phrase))), width)
+            return shown.select("doc_id", "line_start", "i", "left", "node", "right", "source", "start", "end")
         rows = concord.kwic(self.scoped(scope), phrase, near, width, limit, sort, extra=["line", "source"])
         shown = concord.kwic_lines_text(rows.withColumn("n", F.lit(len(phrase))), width)
         return shown.select("doc_id", "line_start", "i", "left", "node", "right", "source")
@@ -126,7 +131,7 @@ class Engine:
 
     def rebuild(self) -> None:
         """Open the index of the source as it is now; what has changed is indexed."""
-        self.index = open_index(self.spark, self.folder, mapping=self.mapping)
+        self.index = open_index(self.spark, self.folder, mapping=self.mapping, exact=self.exact)
 
     def clean_report(self, boilerplate: tuple[str, ...] = ()) -> DataFrame:
         return cleaning(self.index.passages, boilerplate=boilerplate)

@@ -1,7 +1,7 @@
 """Exact normalisation of a passage for counting, with a map back to the original; sentences and citations.
 
 Stages, in order: boilerplate lines, entities, tags, emphasis inside words, links and addresses, quotes, NFC.  Text is
-held as characters beside the place (start, end) that each came from, so every later offset leads back.
+held beside runs that say where its parts came from, so every later offset leads back.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from verbatlas.functions.text import PLAIN_QUOTES, QUOTES, unicode_words
+from verbatlas.functions.text import PLAIN_QUOTES, QUOTES, unicode_spans, unicode_words
+from verbatlas.sources.markdown import blocks, file_lines
 
 #: Stages by name, in order, and tags that leave nothing behind.
 STAGES = ("boilerplate", "entities", "tags", "emphasis", "links", "quotes", "nfc")
@@ -28,32 +30,65 @@ _URL = re.compile(r"(?:https?://|www\.)\S+")
 
 
 class Mapped:
-    """Characters, and for each the start and end of what it stands for."""
+    """A text with a map back to what it was made from, in runs: (place in the text, start, end) of each.
+
+    A run without an end was copied, so its characters stand for one original character each; those of a run with an
+    end all stand for that whole range."""
 
     def __init__(self, text: str):
         self.text = text
-        self.at = [(i, i + 1) for i in range(len(text))]
+        self.runs: list[tuple[int, int, int | None]] = [(0, 0, None)] if text else []
+        self.begins = [r[0] for r in self.runs]
+
+    def place(self, i: int) -> tuple[int, int]:
+        """Start and end of what character i stands for."""
+        at, start, end = self.runs[bisect_right(self.begins, i) - 1]
+        return (start + i - at, start + i - at + 1) if end is None else (start, end)
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """Start and end of what the characters from a up to b stand for."""
+        return self.place(a)[0], self.place(b - 1)[1]
+
+    @property
+    def at(self) -> list[tuple[int, int]]:
+        """Every character's place."""
+        return [self.place(i) for i in range(len(self.text))]
 
     def replace(self, pattern: re.Pattern, by) -> bool:
         """Put ``by(match)`` for each match: a text, whose characters all stand for the whole match, or a (start, end) that is kept as it is."""
-        out, places, last = [], [], 0
+        out: list[str] = []
+        runs: list[tuple[int, int, int | None]] = []
+        size = last = 0
+
+        def keep(a: int, b: int) -> None:
+            nonlocal size
+            out.append(self.text[a:b])
+            k = bisect_right(self.begins, a) - 1
+            while a < b:
+                at, start, end = self.runs[k]
+                upto = min(b, self.begins[k + 1]) if k + 1 < len(self.begins) else b
+                start += a - at if end is None else 0
+                before = runs[-1] if runs else None
+                if end is not None or before is None or before[2] is not None or before[1] + size - before[0] != start:
+                    runs.append((size, start, end))
+                size, a, k = size + upto - a, upto, k + 1
+
         for m in pattern.finditer(self.text):
             new = by(m)
             if new is None:
                 continue
-            out.append(self.text[last : m.start()])
-            places += self.at[last : m.start()]
+            keep(last, m.start())
             if isinstance(new, tuple):
-                out.append(self.text[new[0] : new[1]])
-                places += self.at[new[0] : new[1]]
-            else:
-                whole = (self.at[m.start()][0], self.at[m.end() - 1][1])
+                keep(*new)
+            elif new:
                 out.append(new)
-                places += [whole] * len(new)
+                runs.append((size, *self.span(*m.span())))
+                size += len(new)
             last = m.end()
         if not last:
             return False
-        self.text, self.at = "".join([*out, self.text[last:]]), places + self.at[last:]
+        keep(last, len(self.text))
+        self.text, self.runs, self.begins = "".join(out), runs, [r[0] for r in runs]
         return True
 
 
@@ -93,20 +128,44 @@ def exact_tokens(text: str | None, boilerplate: tuple[str, ...] = ()) -> list[st
     return unicode_words(normalise(text or "", boilerplate).text)
 
 
+def located_tokens(text: str | None, boilerplate: tuple[str, ...] = ()) -> tuple[list[str], list[int], list[int]]:
+    """Tokens of the normalised text, and where each starts and ends in the text itself, in characters."""
+    m = normalise(text or "", boilerplate)
+    found = [(w, *m.span(a, b)) for w, a, b in unicode_spans(m.text)]
+    return [w for w, _, _ in found], [a for _, a, _ in found], [b for _, _, b in found]
+
+
 def exact_passages(rows: DataFrame, column: str = "line", boilerplate: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with toks and n_tok of the exact tokeniser; rows without tokens go."""
-    rest = [c for c in rows.columns if c not in ("toks", "n_tok")]
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest] + ["toks array<string>", "n_tok long"])
+    """``rows`` with toks and n_tok of the exact tokeniser, and starts and ends, the tokens' places in the text; rows without tokens go."""
+    made = ["toks", "n_tok", "starts", "ends"]
+    rest = [c for c in rows.columns if c not in made]
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest] + ["toks array<string>", "n_tok long", "starts array<int>", "ends array<int>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            toks = [exact_tokens(t, boilerplate) for t in batch[column]]
-            out = batch[rest].assign(toks=toks, n_tok=[len(t) for t in toks])
+            found = [located_tokens(t, boilerplate) for t in batch[column]]
+            out = batch[rest].assign(toks=[f[0] for f in found], n_tok=[len(f[0]) for f in found], starts=[f[1] for f in found], ends=[f[2] for f in found])
             yield out[out["n_tok"] > 0]
 
     return rows.mapInPandas(run, schema)
 
 
+def block_passages(docs: DataFrame, boilerplate: tuple[str, ...] = ()) -> DataFrame:
+    """Exact passages of whole documents by Markdown blocks: doc_id, lang, source, line_start, line_end, line (the block as it stands), toks, n_tok, starts, ends.
+
+    Null and empty texts have none.  A block that has no token goes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, lang, source, text in zip(batch["doc_id"], batch["lang"], batch["source"], batch["text"], strict=True):
+                found = blocks(file_lines(text))  # one document's at a time, so that long ones do not meet in one table
+                if found:
+                    yield pd.DataFrame({"doc_id": doc, "lang": lang, "source": source, "line_start": [b[0] for b in found], "line_end": [b[1] for b in found], "line": [b[2] for b in found]})
+
+    split = docs.select("doc_id", "lang", "source", "text").mapInPandas(run, "doc_id long, lang string, source string, line_start long, line_end long, line string")
+    return exact_passages(split, boilerplate=boilerplate)
+
+
 def cleaning(rows: DataFrame, column: str = "line", boilerplate: tuple[str, ...] = ()) -> DataFrame:
     """What each stage changes: stage, passages changed, passages whose tokens it changes, and the most frequent token difference with its count and first sample.
 

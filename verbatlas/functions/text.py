@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,10 +93,20 @@ def record_id(*parts: Column) -> Column:
 _BORDER = regex.compile(r"(?V1)(?w)\b")
 
 
+def unicode_spans(text: str | None) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the words by the Unicode word borders, lower case, underscores around them cut, those without letter or digit dropped."""
+    at = 0
+    for piece in _BORDER.split(text or ""):
+        word = piece.strip("_")
+        if any(map(str.isalnum, word)):
+            start = at + len(piece) - len(piece.lstrip("_"))
+            yield word.lower(), start, start + len(word)
+        at += len(piece)
+
+
 def unicode_words(text: str | None) -> list[str]:
-    """Lower-case words by the Unicode word borders, underscores around them cut, those without letter or digit dropped."""
-    words = (w.strip("_") for w in _BORDER.split(text or ""))
-    return [w.lower() for w in words if any(map(str.isalnum, w))]
+    """The words of ``unicode_spans``."""
+    return [w for w, _, _ in unicode_spans(text)]
 
 
 def unicode_tokens(text: Column) -> Column:

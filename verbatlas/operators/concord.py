@@ -140,6 +140,19 @@ def kwic_lines_text(found: DataFrame, width: int = 8) -> DataFrame:
     return found.withColumn("left", F.ltrim(left)).withColumn("node", cut(first, last)).withColumn("right", F.rtrim(right))
 
 
+def kwic_original(found: DataFrame, width: int = 8) -> DataFrame:
+    """Left context, node and right context as the original has them, cut out by the tokens' own places.
+
+    ``found``: rows of a concordance with line, starts, ends, i and n.  Marks and codes between the shown tokens stay."""
+    at = lambda c, k: F.get(c, k)
+    first, last = F.col("i"), F.col("i") + F.col("n") - 1
+    cut = lambda a, b: F.substring("line", a + 1, F.greatest(b - a, F.lit(0)))
+    start, end = at("starts", first), at("ends", last)
+    left = cut(at("starts", F.greatest(first - width, F.lit(0))), start)
+    right = cut(end, at("ends", F.least(last + width, F.size("ends") - 1)))
+    return found.withColumns({"left": F.rtrim(left), "node": cut(start, end), "right": F.ltrim(right), "start": start, "end": end})
+
+
 def distribution(rows, phrase: list[str], by: str, missing: str | None = None, in_order: bool = False) -> DataFrame:
     """Hits, pieces, tokens and frequency per million of each bucket, those without hits too; most hits first, or in the buckets' order.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.functions import dates, ids, strings
+from verbatlas.functions.normalise import block_passages
 from verbatlas.functions.stats import round6
 from verbatlas.functions.text import PLAIN_QUOTES, QUOTES, STOPWORDS, date_floor, fold, normalise_url, record_id, strip_html, year_of
 from verbatlas.operators import concord, index2, search, topics
@@ -108,6 +109,31 @@ def kwic_lines(spark, d):
     return concord.kwic(_i(spark, d), ["and"], limit=200)
 
 
+#: SQL for block passages: lines in groups, links and addresses out, marks unified, words by the borders that these texts have.
+_BLOCKS = r"""WITH n AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^\x{FEFF}', ''), chr(10)) AS ls FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM n), b AS (SELECT *, regexp_replace(line, '\s+', '', 'g') AS bare FROM l),
+f AS (SELECT *, bare = '' OR regexp_full_match(bare, '==+|--+|[*_]{3,}') AS out, regexp_matches(line, '^\s*#{1,6}( |$)') AS head, regexp_matches(line, '^\s*([-*+] |[0-9]{1,9}[.)] )') AS item FROM b),
+g AS (SELECT *, out OR head OR item OR coalesce(lag(out OR head) OVER (PARTITION BY doc_id ORDER BY no), true) AS fresh FROM f),
+h AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY no) AS k FROM g),
+p AS (SELECT doc_id, min(no) AS line_start, max(no) AS line_end, string_agg(line, chr(10) ORDER BY no) AS line FROM h WHERE NOT out GROUP BY doc_id, k),
+t AS (SELECT doc_id, line_start, line_end, list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(translate(line, '‘’‛ʼ“”', '''''''''""'), '!?\[([^\]]*)\]\(([^)\s]*)\)', '\1', 'g'), '(https?://|www\.)\S+', ' ', 'g'),
+  '(?:_|\p{L}\p{M}*(?:[''.:]\p{L}\p{M}*)*|\p{N}(?:[.,'';]\p{N})*)+'), lambda x: lower(trim(x, '_'))), lambda x: x <> '') AS toks FROM p)
+"""
+
+
+@query(_BLOCKS + "SELECT doc_id, line_start, line_end, len(toks) AS n_tok, sha256(array_to_string(toks, ' ')) AS toks_sha256 FROM t WHERE len(toks) > 0")
+def exact_passages(spark, d):
+    rows = block_passages(table(spark, d, "documents"))
+    return rows.select("doc_id", "line_start", "line_end", "n_tok", F.sha2(F.array_join("toks", " "), 256).alias("toks_sha256"))
+
+
+@query(_BLOCKS + ", k AS (SELECT doc_id, line_start, unnest(toks) AS word, unnest(range(len(toks))) AS i FROM t) SELECT doc_id, line_start, i, 'and' AS node FROM k WHERE word = 'and'")
+def exact_kwic_nodes(spark, d):
+    """Every place of a word in an exact index, its node read back from the original by the token's place."""
+    found = concord.kwic(open_index(spark, d, mapping=MAPPING, exact=True), ["and"], extra=["line", "starts", "ends"])
+    return concord.kwic_original(found.withColumn("n", F.lit(1)), 1).select("doc_id", "line_start", "i", F.lower("node").alias("node"))
+
+
 @query(", k AS (SELECT doc_id, line_start, i, CASE WHEN i > 0 THEN toks[i] ELSE '' END AS l1, coalesce(toks[i + 3], '') AS r1 FROM t WHERE word = 'of' AND toks[i + 2] = 'the') SELECT * FROM k")
 def kwic_phrase(spark, d):
     return concord.kwic(_i(spark, d), ["of", "the"])

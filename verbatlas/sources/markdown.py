@@ -54,7 +54,8 @@ def posts(lines: list[str]) -> list[tuple[str, str, str | None, list[tuple[int,
     return [(at, id_, kind, blocks([t for _, t in body], body[0][0]) if body else []) for at, id_, kind, body in found]
 
 
-def _lines(text: str | None) -> list[str]:
+def file_lines(text: str | None) -> list[str]:
+    """Lines of a file, without a mark of its byte order."""
     return regex.split(r"\r?\n", (text or "").removeprefix("﻿"))
 
 
@@ -63,7 +64,7 @@ def split_passages(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, k, *b) for p, body in zip(batch["path"], batch["body"], strict=True) for k, b in enumerate(blocks(_lines(body)))]
+            rows = [(p, k, *b) for p, body in zip(batch["path"], batch["body"], strict=True) for k, b in enumerate(blocks(file_lines(body)))]
             yield pd.DataFrame(rows, columns=["path", "ord", "line_start", "line_end", "original"])
 
     return files.select("path", "body").mapInPandas(run, "path string, ord int, line_start int, line_end int, original string")
@@ -77,7 +78,7 @@ def split_posts(files: DataFrame) -> DataFrame:
             rows = [
                 (f"{p}#{id_}", id_, at, kind or "tweet", k, *b)
                 for p, body in zip(batch["path"], batch["body"], strict=True)
-                for at, id_, kind, found in posts(_lines(body))
+                for at, id_, kind, found in posts(file_lines(body))
                 for k, b in enumerate(found or [(None, None, None)])
             ]
             out = pd.DataFrame(rows, columns=["key", "post_id", "at", "kind", "ord", "line_start", "line_end", "original"])

@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from verbatlas.functions.text import STOPWORDS, tokens
+from verbatlas.functions.normalise import block_passages
+from verbatlas.functions.text import STOPWORDS, tokens, unicode_tokens
 from verbatlas.sources.corpus import passages
 
 #: Changes when the tables' layout or the tokeniser does.
@@ -189,16 +190,16 @@ def _counted(postings: DataFrame) -> DataFrame:
     return postings.groupBy("word").agg(F.sum("tf").alias("n"), F.count_distinct("doc_id").alias("pieces"), F.count(F.lit(1)).alias("df"))
 
 
-def write_segment(spark: SparkSession, docs: DataFrame, folder: str, seg: int, name: str) -> dict:
-    """The tables of a new segment of ``docs``, and its entry in the manifest."""
-    path = f"{folder}/{name}"
-    _write(passages(docs).withColumn("seg", F.lit(seg)), f"{path}/passages")
+def write_segment(spark: SparkSession, docs: DataFrame, folder: str, seg: int, name: str, exact: bool = False) -> dict:
+    """The tables of a new segment of ``docs``, and its entry in the manifest; ``exact`` cuts blocks and exact tokens, else lines and simple ones."""
+    path, words_of = f"{folder}/{name}", unicode_tokens if exact else tokens
+    _write((block_passages(docs) if exact else passages(docs)).withColumn("seg", F.lit(seg)), f"{path}/passages")
     rows = spark.read.parquet(f"{path}/passages")
     sums = rows.groupBy("doc_id").agg(F.sum("n_tok").alias("n_tok"), F.count(F.lit(1)).alias("n_pass"))
     kept = docs.select("doc_id", "lang", "source", *META).join(sums, "doc_id", "left").fillna(0, ["n_tok", "n_pass"])
-    kept = kept.withColumns({"n_title": F.coalesce(F.size(tokens(F.col("title"))), F.lit(0)).cast("long"), "seg": F.lit(seg)})
+    kept = kept.withColumns({"n_title": F.coalesce(F.size(words_of(F.col("title"))), F.lit(0)).cast("long"), "seg": F.lit(seg)})
     _write(kept.sortWithinPartitions("doc_id"), f"{path}/docs")
-    fields = field_rows(docs).withColumn("toks", tokens(F.col("text"))).withColumn("n_tok", F.size("toks").cast("long"))
+    fields = field_rows(docs).withColumn("toks", words_of(F.col("text"))).withColumn("n_tok", F.size("toks").cast("long"))
     return _finish(spark, path, seg, name, placed_words(rows, ["doc_id", "line_start", "lang", "source"]), placed_words(fields, ["doc_id", "field", "nth"]))
 
 
@@ -260,7 +261,7 @@ class Index:
 
     @cached_property
     def passages(self) -> DataFrame:
-        """doc_id, lang, source, line_start, line, toks, n_tok."""
+        """doc_id, lang, source, line_start, line, toks, n_tok; of an exact index also line_end and the tokens' starts and ends in line."""
         return self._live("passages")
 
     @cached_property
@@ -351,7 +352,7 @@ def due(state: State) -> list[dict]:
     return chosen
 
 
-def refresh(spark: SparkSession, source: str, folder: str, mapping: dict[str, str], state: State | None, files: dict[str, list]) -> State:
+def refresh(spark: SparkSession, source: str, folder: str, mapping: dict[str, str], state: State | None, files: dict[str, list], exact: bool = False) -> State:
     """The next generation: what changed between the files of ``state`` and ``files`` is indexed, and the rest is left as it is."""
     old = state or State()
     new = State(old.generation + 1, list(old.segments), list(old.gone), {}, dict(old.schemas), list(old.common))
@@ -379,7 +380,7 @@ def refresh(spark: SparkSession, source: str, folder: str, mapping: dict[str, st
         docs = docs.join(now.select("doc_id"), "doc_id", "left_semi") if changed else None
         fresh = now.count()
     if changed and (fresh or not left):
-        entry = write_segment(spark, docs, folder, next_seg, f"segment-{new.generation}-{tag}")
+        entry = write_segment(spark, docs, folder, next_seg, f"segment-{new.generation}-{tag}", exact)
         new.segments.append(entry)
         new.schemas = {t: json.dumps(spark.read.parquet(f"{folder}/{entry['name']}/{t}").schema.jsonValue()) for t in TABLES}
         next_seg += 1
@@ -398,18 +399,19 @@ def refresh(spark: SparkSession, source: str, folder: str, mapping: dict[str, st
     return new
 
 
-def open_index(spark: SparkSession, sf_dir: str, name: str = "documents", mapping: dict[str, str] | None = None) -> Index:
+def open_index(spark: SparkSession, sf_dir: str, name: str = "documents", mapping: dict[str, str] | None = None, exact: bool = False) -> Index:
     """The index of a table of documents in its present state; what has changed since the last generation is indexed first.
 
-    ``mapping`` gives columns of META, and lang, source or text, by SQL expressions over the table's own; ids are unique."""
+    ``mapping`` gives columns of META, and lang, source or text, by SQL expressions over the table's own; ids are unique.
+    ``exact``: passages are blocks of normalised text with tokens by Unicode word borders, each with its place in the original."""
     source, mapping = f"{sf_dir}/{name}.parquet", mapping or {}
     fs, at = _file_system(spark, source)
     address = _plain(fs.makeQualified(at).toUri().toString())
-    folder = f"{index_folder(spark)}/{hashlib.sha1(json.dumps([ENGINE, address, sorted(mapping.items())]).encode()).hexdigest()}"
+    folder = f"{index_folder(spark)}/{hashlib.sha1(json.dumps([ENGINE, address, sorted(mapping.items()), *(["exact"] if exact else [])]).encode()).hexdigest()}"
     state, files = last_state(spark, folder), listing(spark, source)
     if state is None or {f: x[:2] for f, x in state.files.items()} != files:
         try:
-            state = refresh(spark, source, folder, mapping, state, files)
+            state = refresh(spark, source, folder, mapping, state, files, exact)
         except RuntimeError:  # another builder was faster; its generation will do if it is of the same files
             state = last_state(spark, folder)
             if {f: x[:2] for f, x in state.files.items()} != files:

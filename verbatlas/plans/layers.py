@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import fold_exact
 from verbatlas.operators import filters, index2, layers, topics
 from verbatlas.plans.catalogue import query
 from verbatlas.plans.fixtures import CONVERSATIONS, DOCUMENTS, EVENT_ITEMS, EVENT_MERGES, EVENT_OPS, EVENT_RECORDS, FILE_LINES, FILE_NAMES, FOLDED, MERGES_UNDONE, ORDER_EVENTS, PAIRS_DECIDED, PROPOSED, TAG_LINES, TAG_ROWS, TURNS, Derived
+from verbatlas.sources import layer_store
 from verbatlas.sources.corpus import table
+from verbatlas.sources.store import index_folder
 
 _FOLD = "lower(trim(regexp_replace(translate({}, '‘’‛ʼ“”', '''''''''\"\"'), '\\s+', ' ', 'g')))"
 
@@ -200,6 +204,30 @@ def theme_months_totals(spark, d):
     return layers.theme_months(rows, "1995-11", "1997-02")
 
 
+# --- the stored layer ---
+
+
+def _refreshed(spark, d):
+    """The folder of a layer that began with other texts for Spanish documents, no French ones, more English ones and other tags for some, and its last refresh."""
+    docs, rows = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "lang", "source", "n_chars"), table(spark, d, "labels").withColumnRenamed("doc_id", "key")
+    folder = f"{index_folder(spark)}/trial-layer-{uuid.uuid4().hex}"
+    other = docs.filter(F.coalesce(F.col("lang") != "fr", F.lit(True))).withColumn("n_chars", F.when(F.col("lang") == "es", F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    more, tagged = docs.filter("lang = 'en'").withColumn("key", -1 - F.col("key")), rows.withColumn("toxic", F.when(F.col("key") % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    layer_store.refresh(other.unionByName(more), tagged.unionByName(rows.withColumn("key", -1 - F.col("key"))), folder)
+    return folder, layer_store.refresh(docs, rows, folder)
+
+
+@query("""WITH j AS (SELECT d.doc_id AS key, lang, d.doc_id % 5 = 0 AND toxic IS NOT NULL AS tags, lang = 'es' AND n_chars IS NOT NULL AS doc FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT key, CASE WHEN lang = 'fr' THEN 'added' WHEN doc AND tags THEN 'both' WHEN doc THEN 'document' ELSE 'tags' END AS change FROM j WHERE lang = 'fr' OR doc OR tags UNION ALL SELECT -1 - key, 'removed' FROM j WHERE lang = 'en'""")
+def layer_refresh_changes(spark, d):
+    return _refreshed(spark, d)[1]
+
+
+@query("SELECT d.doc_id AS key, lang, source, n_chars, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def layer_refresh_state(spark, d):
+    return layer_store.current(spark, _refreshed(spark, d)[0]).select("key", "doc.*", "row.*")
+
+
 # --- events ---
 
 #: Chains of up to 96 events, some of them cut by a missing one.

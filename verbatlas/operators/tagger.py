@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import fold
+from verbatlas.operators.layers import resolve_chains
 from verbatlas.sources.scratch import dropped, written
 
 # --- choosing and numbering works ---
@@ -164,6 +165,12 @@ def spelling_map(counts: DataFrame, aliases: DataFrame, vetoes: DataFrame) -> Da
     return free.groupBy("name").agg(F.min(F.struct("rule", "into")).alias("m")).select("name", F.col("m.into").alias("into"))
 
 
+def resolved_map(spelling: DataFrame) -> DataFrame:
+    """(name, into) of a spelling map with every chain followed to its end; names on a cycle stay as they are and are left out."""
+    links = spelling.select(F.col("name").alias("id"), "into").unionByName(spelling.select(F.col("into").alias("id"), F.lit(None).cast("string").alias("into")))
+    return resolve_chains(links).filter("id <> root").select(F.col("id").alias("name"), F.col("root").alias("into"))
+
+
 # --- candidates for merging ---
 
 

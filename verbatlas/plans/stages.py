@@ -70,13 +70,21 @@ def tagger_entity_counts(spark, d):
     return tagger.entity_counts(table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("user_id").alias("name"), F.col("event_type").alias("type")))
 
 
-@query(f"""WITH c AS (SELECT *, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS v FROM {SPELLINGS.sql}), s AS (SELECT name, first_value(name) OVER (PARTITION BY v, type ORDER BY n DESC, name) AS into_, 1 AS rule FROM c),
+_MAP = f"""WITH c AS (SELECT *, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS v FROM {SPELLINGS.sql}), s AS (SELECT name, first_value(name) OVER (PARTITION BY v, type ORDER BY n DESC, name) AS into_, 1 AS rule FROM c),
 a AS (SELECT alias, s.name, 2 FROM {SPELT_AS.sql} s JOIN c ON c.name = s.alias), l AS (SELECT x.name, min(y.name) AS into_, 3 FROM c x JOIN c y ON x.type = y.type AND x.name <> y.name AND ends_with(lower(y.name), ' ' || lower(x.name)) GROUP BY x.name HAVING count(DISTINCT y.name) = 1),
-u AS (SELECT * FROM s UNION ALL SELECT * FROM a UNION ALL SELECT * FROM l) SELECT name, arg_min(into_, rule) AS "into" FROM u WHERE name <> into_ AND NOT EXISTS (SELECT 1 FROM {VETOES.sql} v WHERE v.a = u.name AND v.b = into_) GROUP BY name""")
+u AS (SELECT * FROM s UNION ALL SELECT * FROM a UNION ALL SELECT * FROM l) SELECT name, arg_min(into_, rule) AS "into" FROM u WHERE name <> into_ AND NOT EXISTS (SELECT 1 FROM {VETOES.sql} v WHERE v.a = u.name AND v.b = into_) GROUP BY name"""
+
+
+@query(_MAP)
 def tagger_entity_map(spark, d):
     return tagger.spelling_map(SPELLINGS.df(spark, d), SPELT_AS.df(spark, d), VETOES.df(spark, d))
 
 
+@query(f"""WITH RECURSIVE m AS ({_MAP}), w AS (SELECT name, "into" AS at_, 1 AS n FROM m UNION ALL SELECT w.name, m."into", n + 1 FROM w JOIN m ON m.name = w.at_ WHERE n < 20) SELECT name, at_ AS "into" FROM w WHERE at_ NOT IN (SELECT name FROM m)""")
+def tagger_entity_roots(spark, d):
+    return tagger.resolved_map(tagger.spelling_map(SPELLINGS.df(spark, d), SPELT_AS.df(spark, d), VETOES.df(spark, d)))
+
+
 _SIG = "(SELECT user_id AS id, min(CAST(ts AS DATE)) AS s, max(CAST(ts AS DATE)) AS e, list_distinct(list(event_type || (event_id % 11))) AS signals FROM events GROUP BY user_id)"
 
 

@@ -171,25 +171,3 @@ RECORDS = Fixture(
         ("gone", "Gone", [], "2017-01-01", "2017-01-02", ["2017-01/E01"], None, "2018-01-01"),
     ),
 )
-
-#: Works and highlights of the second index.
-WORKS = Fixture(
-    "work_id long, slug string, title string, author string, work_type string, source_system string, source_id string, url string",
-    (
-        (1, "engines", "Notes on the Engine", "Ada Byron", "article", "readwise", "r1", "https://example.org/1"),
-        (2, "looms", "Looms", "Joseph Engine", "book", "zotero", "z1", None),
-        (3, "posts", "Posts", "Karel", "tweet", "x", "x1", "https://example.org/3"),
-    ),
-)
-HIGHLIGHTS = Fixture(
-    "id long, work_id long, text string, note string, highlighted_at string, tags string, location string, color string, format string, ocr_text string",
-    (
-        (10, 1, "The engine weaves patterns", None, "2016-06-23", '["Maths", "work "]', "12", "yellow", "text", None),
-        (11, 1, "as the loom weaves leaves", "engine?", "2016-06-24", '["work"]', "3", "blue", "text", None),
-        (12, 1, "![image](x.png)", None, None, "[]", None, "yellow", "image", None),
-        (13, 2, "Cards drive the loom", None, "2017-01-01", '["", "Maths"]', "x", None, "text", None),
-        (14, 2, "Patterns of the engine and of the loom", "old note", "", None, "7", "yellow", "text", ""),
-        (15, 3, "Weaves! ENGINE weaves", None, "2015-01-01", '["play_100%"]', "1", "blue", "text", None),
-        (16, 3, "nothing here", None, "2015-01-02", '["play"]', "2", "Blue", "image", "scanned"),
-    ),
-)

@@ -43,6 +43,15 @@ def _put(df: DataFrame, folder: str, name: str) -> None:
         raise RuntimeError(f"another refresh has made {name} of {folder}")
 
 
+def _drop_before(spark: SparkSession, folder: str, generation: int) -> None:
+    """Delete what is older than a generation: the state before the last base stays for those that still read it."""
+    fs, at = _file_system(spark, folder)
+    for status in fs.listStatus(at):
+        m = re.fullmatch(r"(?:base|delta)-(\d+)", status.getPath().getName())
+        if m and int(m[1]) < generation:
+            fs.delete(status.getPath(), True)
+
+
 def _last(rows: DataFrame, columns: list[str]) -> DataFrame:
     each = rows.groupBy("key").agg(F.max_by(F.struct("change", *columns), "generation").alias("m"))
     return each.select("key", "m.*").filter("change <> 'removed'").drop("change")
@@ -87,4 +96,5 @@ def refresh(docs: DataFrame, rows: DataFrame, folder: str, key: str = "key") ->
     if len(tables) >= MOST_DELTAS:
         whole = _last(_stored(spark, folder), ["doc_hash", "row_hash", "doc", "row"])
         _put(whole.withColumns({"change": F.lit("kept"), "generation": F.lit(generation + 1)}).select(out.columns), folder, f"base-{generation + 1}")
+        _drop_before(spark, folder, tables[0][0])
     return spark.read.parquet(f"{folder}/delta-{generation}").select("key", "change")

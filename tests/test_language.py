@@ -111,3 +111,11 @@ def test_texts_on_their_way_out(spark):
     assert shown(spark, strings.one_line, " a \n\u3000b ", "") == ["a b", ""] and shown(spark, strings.body_text, " a\r\nb\rc\u2028d\x00\ufeff\te \n") == ["a\r\nb\nc\nd\te"]
     assert shown(spark, strings.yaml_value, "a", 'a: "b"') == ["a", '"a: \\"b\\""'] and shown(spark, strings.like_escaped, "5%_\\") == ["5\\%\\_\\\\"]
     assert shown(spark, lambda v: strings.cut(v, 3), "ab😀c", "abcd", None) == ["ab", "abc", ""] and shown(spark, lambda v: strings.clip(v, 4), "ab😀c", "abcd", "a😀bc") == ["ab…", "abcd", "a😀…"]
+
+
+def test_exact_terms_are_words_not_stems(spark):
+    rows = spark.createDataFrame([(1, "of thes"), (2, "Of  thé x"), (3, "of\nthe"), (4, "off the")], "id long, text string")
+    held = lambda *terms: [r.id for r in index2.matching(rows, [list(terms)], ("text",)).orderBy("id").collect()]
+    assert held(("exact", "of the")) == [2, 3]
+    assert held(("phrase", "of the")) == [1, 2, 3]
+    assert held(("exact", "of the"), ("word", "offs")) == [2, 3, 4]

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.functions.stem import stemmed, stems_of
+from verbatlas.functions.stem import stemmed, stems_of, words_of
 
 #: Columns of ``hits`` that full text reads.
 FULLTEXT = ("text", "note", "title", "author", "tags", "ocr_text")
@@ -79,13 +79,14 @@ def matching(rows: DataFrame, groups: list[list[tuple[str, str]]], columns: tupl
     """Rows with a term of every group, by Porter stems and without marks and case.
 
     A term is ("word", w), ("phrase", "w1 w2 ...") or ("prefix", "w"): stems in a row inside one column, the last one open for a
-    prefix.  Terms without letters and digits are left out, and groups without terms; null columns hold nothing."""
-    held = stemmed(F.array(*[F.col(c).cast("string") for c in columns]))
+    prefix; or ("exact", "w1 w2 ..."): words in a row as they are, not by stems.  Terms without letters and digits are left out, and groups without terms; null columns hold nothing."""
+    texts = F.array(*[F.col(c).cast("string") for c in columns])
+    held = {exact: stemmed(texts, exact) for exact in (False, True)}
     for group in groups:
-        terms = [f" {' '.join(stems)}{'' if kind == 'prefix' else ' '}" for kind, text in group if (stems := stems_of(text))]
+        terms = [(kind == "exact", f" {' '.join(cut)}{'' if kind == 'prefix' else ' '}") for kind, text in group if (cut := (words_of if kind == "exact" else stems_of)(text))]
         if terms:
-            # one Arrow call a row: Spark takes equal calls of a filter once
-            rows = rows.filter(F.greatest(F.lit(False), *[F.contains(held, F.lit(t)) for t in terms]))
+            # one Arrow call a row and form: Spark takes equal calls of a filter once
+            rows = rows.filter(F.greatest(F.lit(False), *[F.contains(held[exact], F.lit(t)) for exact, t in terms]))
     return rows
 
 

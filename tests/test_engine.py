@@ -100,3 +100,11 @@ def test_quotes_at_every_place(spark):
     for item, doc, at in want:
         least[item, doc] = min(at, least.get((item, doc), at))
     assert {(x.item_id, x.doc_id): x["at"] for x in search.verify_quotes(docs, frame, first=True).collect()} == least
+
+
+def test_what_is_blank_around_a_quote(spark):
+    docs = spark.createDataFrame([(1, "an end.\nand"), (2, "an end. and")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(7, " end.\n"), (8, " an end of this place\n "), (9, "end.\n\n")], "item_id long, text string")
+    found = lambda **how: sorted((r.item_id, r.doc_id, r.original) for r in search.verify_quotes(docs, quotes, **how).collect())
+    assert found(blank=r"\p{Zs}") == [(7, 1, "end.\n")]
+    assert found() == [(7, 1, "end."), (7, 2, "end."), (9, 1, "end."), (9, 2, "end.")]

@@ -539,12 +539,12 @@ def gram_hashes(text: str) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def verify_quotes(docs: DataFrame, quotes: DataFrame, first: bool = False) -> DataFrame:
+def verify_quotes(docs: DataFrame, quotes: DataFrame, first: bool = False, blank: str = r"\s") -> DataFrame:
     """(item_id, doc_id, at, line, original) of every place, or only the first in each text, where a text holds a quote.
 
     Quotation marks and apostrophes of all forms are the same on both sides; else it is character for character.  ``original``
-    is what the text has there, ``line`` its line.  ``quotes``: item_id and text, without blanks around; null and empty ones are
-    nowhere.  Places are counted in characters from 1 and do not overlap.
+    is what the text has there, ``line`` its line.  ``quotes``: item_id and text; what ``blank`` matches around them is no part of them, and
+    null and empty ones are nowhere.  Places are counted in characters from 1 and do not overlap.
 
     In one pass over the texts, long quotes are looked for by the piece of theirs that has the least hash, wherever words
     begin, and short ones by one automaton of all; the texts that hold such a piece are compared in full."""
@@ -608,7 +608,7 @@ def verify_quotes(docs: DataFrame, quotes: DataFrame, first: bool = False) -> Da
         return run
 
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
-    plain = F.translate(F.regexp_replace("text", r"^\s+|\s+$", ""), QUOTES, PLAIN_QUOTES)
+    plain = F.translate(F.regexp_replace("text", rf"\A{blank}+|{blank}+\z", ""), QUOTES, PLAIN_QUOTES)
     q = quotes.select("item_id", plain.alias("quote")).filter("quote <> ''").mapInArrow(keyed, f"item_id {item}, quote string, k long, short string")
     pieces = q.select("k", "short").distinct()
     many = pieces.agg(F.count(F.lit(1)), F.count("short")).first()

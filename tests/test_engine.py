@@ -108,3 +108,13 @@ def test_what_is_blank_around_a_quote(spark):
     found = lambda **how: sorted((r.item_id, r.doc_id, r.original) for r in search.verify_quotes(docs, quotes, **how).collect())
     assert found(blank=r"\p{Zs}") == [(7, 1, "end.\n")]
     assert found() == [(7, 1, "end."), (7, 2, "end."), (9, 1, "end."), (9, 2, "end.")]
+
+
+def test_names_are_compared_as_classes(spark):
+    names = ["red bolt", "Bolt  red", "red ring", "red", "blue ring", "x", None, "red bolt"]
+    found = topics.name_pairs(spark.createDataFrame(list(enumerate(names)), "id long, name string"))
+    own = {i: set(n.lower().split()) for i, n in enumerate(names) if n}
+    share = {(i, j): len(a & b) / len(a | b) for i, a in own.items() for j, b in own.items() if i < j}
+    assert {(r.id, r.id2): r.jaccard for r in found.collect()} == {p: round(s, 3) for p, s in share.items() if s >= 0.5}
+    compared = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "array_intersect" in x]
+    assert compared and not any("id2#" in x or "id#" in x for x in compared)

@@ -85,18 +85,27 @@ def majority(rows: DataFrame, group: str, theme: str, top: int = 5) -> DataFrame
 def name_pairs(names: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of names with a Jaccard share of words of at least ``least``.  names: id, name.
 
-    Two such names share one of the rarest n - ceil(least * n) + 1 words of each, so only those are joined on, and a
-    word that very many names hold brings no pairs."""
-    words = names.select("id", F.explode(F.array_distinct(F.split(fold(F.col("name")), " "))).alias("w")).distinct()
-    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    listed = words.join(often, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-    listed = listed.select("id", F.transform("ws", lambda x: x["w"]).alias("ws"))
-    rare = listed.select("id", F.explode(F.slice("ws", 1, F.size("ws") - F.ceil(F.size("ws") * F.lit(least)).cast("int") + 1)).alias("w"))
-    pairs = rare.join(rare.select(F.col("id").alias("id2"), "w"), "w").filter("id < id2").select("id", "id2").distinct()
-    both = pairs.join(listed, "id").join(listed.select(F.col("id").alias("id2"), F.col("ws").alias("ws2")), "id2").withColumn("c", F.size(F.array_intersect("ws", "ws2")))
+    Names with the same words are one class, and classes are compared: two that are close share one of the rarest
+    n - ceil(least * n) + 1 words of each, so only those are joined on, and a word that very many names hold brings no
+    pairs.  Members are joined to the pairs of classes at the end; all of a class are pairs among themselves."""
+    words = names.select("id", F.array_sort(F.array_distinct(F.split(fold(F.col("name")), " "))).alias("ws")).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("ws"))
+    member = words.select("id", F.sha2(F.to_json(F.struct("ws")), 256).alias("k"), "ws")
+    classes = member.groupBy("k").agg(F.first("ws").alias("ws"))  # equal in all of a class
+    each = classes.select("k", F.explode("ws").alias("w"))
+    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    listed = each.join(often, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    listed = listed.select("k", F.transform("ws", lambda x: x["w"]).alias("ws"))
+    rare = listed.select("k", F.explode(F.slice("ws", 1, F.size("ws") - F.ceil(F.size("ws") * F.lit(least)).cast("int") + 1)).alias("w"))
+    met = rare.join(rare.select(F.col("k").alias("k2"), "w"), "w").filter("k < k2").select("k", "k2").distinct()
+    both = met.join(listed, "k").join(listed.select(F.col("k").alias("k2"), F.col("ws").alias("ws2")), "k2").withColumn("c", F.size(F.array_intersect("ws", "ws2")))
     n, n2 = F.size("ws"), F.size("ws2")
     share = F.col("c") / (n + n2 - F.col("c"))
-    return both.filter(share >= least).select("id", "id2", round3(share).alias("jaccard"), round3(2 * F.col("c") / (n + n2)).alias("dice"))
+    close = both.filter(share >= least).select("k", "k2", round3(share).alias("jaccard"), round3(2 * F.col("c") / (n + n2)).alias("dice"))
+    close = close.unionByName(close.select(F.col("k2").alias("k"), F.col("k").alias("k2"), "jaccard", "dice"))
+    if least <= 1:
+        close = close.unionByName(classes.select("k", F.col("k").alias("k2"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("dice")))
+    ids = member.select("id", "k")
+    return ids.join(close, "k").join(ids.select(F.col("id").alias("id2"), F.col("k").alias("k2")), "k2").filter("id < id2").select("id", "id2", "jaccard", "dice")
 
 
 def coverage_order(records: DataFrame, terms: list[str], limit: int) -> DataFrame:

@@ -137,3 +137,14 @@ def test_ngrams_of_frequent_words_are_all(spark, monkeypatch, frequent, named):
         for top in (1, 3, 40):
             best = sorted(((n, g, len(ks), len(set(ks))) for (n, g), ks in every.items()), key=lambda r: (-r[2], r[1]))[:top]
             assert [tuple(r) for r in concord.ngrams(rows, sizes, top, strict).collect()] == best
+
+
+def test_events_meet_once_a_shared_signal(spark):
+    from verbatlas.operators import tagger
+
+    spans = [(1, 1, 9, "ab"), (2, 3, 4, "abc"), (3, 9, 20, "b"), (4, 14, 14, "a"), (5, 15, 16, "abc"), (6, 1, 30, "c")]
+    day = lambda k: f"2024-01-{k:02}"
+    events = spark.createDataFrame([(i, day(s), day(e), list(w)) for i, s, e, w in spans], "id long, start string, end string, signals array<string>")
+    expected = {(i, j): (max(0, max(s, s2) - min(e, e2)), len(set(w) & set(w2))) for i, s, e, w in spans for j, s2, e2, w2 in spans if i < j and set(w) & set(w2) and max(s, s2) - min(e, e2) <= 5}
+    found = tagger.merge_candidates(events, gap=5)
+    assert {(r.a, r.b): (r.gap_days, r.shared) for r in found.collect()} == expected

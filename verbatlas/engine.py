@@ -113,7 +113,7 @@ class Engine:
 
     def cite(self, doc_id: int, line_start: int, terms: list[str] = (), kind: str = "writing") -> dict | None:
         """A passage with its citation and the sentence that holds most of the terms; null if there is none."""
-        row = self.index.passages.filter((F.col("doc_id") == doc_id) & (F.col("line_start") == line_start)).select("line").first()
+        row = self.index.lines.filter((F.col("doc_id") == doc_id) & (F.col("line_start") == line_start)).select("line").first()
         if row is None:
             return None
         doc = self.index.docs.filter(F.col("doc_id") == doc_id).select("author", "title", "date", "url", "path").first()

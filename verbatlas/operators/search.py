@@ -370,7 +370,7 @@ def matching(index, text: str, corpora: list[str] | None = None, scope=None) ->
         cover = shares[0] if len(shares) == 1 else F.greatest(*shares)
         hits = hits.select(*keys, cover.alias("cover"), round6(F.col("score")).alias("score")).filter("cover IS NOT NULL")
     if query.patterns:
-        rows = index.passages if kept is None else index.passages.join(kept, "doc_id", "left_semi")
+        rows = index.lines if kept is None else index.lines.join(kept, "doc_id", "left_semi")
         for source, flags in query.patterns:
             rows = rows.filter(F.col("line").rlike("".join(f"(?{f})" for f in "ims" if f in flags) + source))
         hits = hits.join(rows.select(*keys), keys, "left_semi") if groups else rows.select(*keys, F.lit(1.0).alias("cover"), F.lit(0.0).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.functions.stats import round6
-from verbatlas.sources.store import Index, _file_system, _write
+from verbatlas.sources.store import Index, _file_system, _write, tokenised
 
 SCHEMA = "doc_id long, line_start long, v array<double>, seg int"
 
@@ -33,7 +33,7 @@ def build(index: Index, model: str, embed: Callable[[Column], Column], least: in
     made = 0
     for s, there in zip(index.state.segments, _there(index, model), strict=True):
         if not there:
-            rows = index.spark.read.parquet(f"{index.folder}/{s['name']}/passages").filter(F.col("n_tok") >= least)
+            rows = tokenised(index.spark.read.parquet(f"{index.folder}/{s['name']}/passages").filter(F.col("n_tok") >= least))
             _write(rows.select("doc_id", "line_start", embed(F.col("toks")).alias("v"), "seg"), f"{index.folder}/{s['name']}/vectors-{model}")
             made += 1
     return made

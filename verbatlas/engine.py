@@ -100,7 +100,7 @@ class Engine:
         return concord.distribution(self.scoped(scope), phrase, by)
 
     def ngrams(self, sizes: tuple[int, ...] = (3, 4, 5), top: int = 50, strict: bool = False, containing: list[str] | None = None, scope: filters.DocFilter | None = None) -> DataFrame:
-        return concord.ngrams(self.passages(scope), sizes, top, strict, containing)
+        return concord.ngrams(self.passages(scope), sizes, top, strict, containing, self.index if scope is None else None)
 
     def profile(self, word: str, least: int = 3, scope: filters.DocFilter | None = None) -> DataFrame:
         return concord.profile(self.scoped(scope), word, least).orderBy(F.desc("per_million"), "doc_id")

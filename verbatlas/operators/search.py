@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions.stats import round6
 from verbatlas.functions.text import PLAIN_QUOTES, QUOTES, STOPWORDS, TOKEN, date_floor, fnv1a, fold
 from verbatlas.plans.grammar import Query, parse
-from verbatlas.sources.store import similarity_weights
+from verbatlas.sources.store import similarity_weights, swept
 
 K1, B = 1.2, 0.75
 
@@ -475,7 +475,8 @@ def similar(index, seeds: list[tuple[int, int]], limit: int = 20, explain: int =
     own = index.passages.filter(F.col("doc_id").isin(*ids)).join(wanted, ["doc_id", "line_start"]).join(index.norms.filter(F.col("doc_id").isin(*ids)), ["doc_id", "line_start"])
     own = own.select("seed", "doc_id", "line_start", "norm", F.explode("toks").alias("word")).groupBy("seed", "doc_id", "line_start", "norm", "word").agg(F.count(F.lit(1)).alias("tf"))
     # ten passages' words at most, with their idf: collected, so that the postings are pruned by them
-    vector = weigh(own, index.words).select("seed", "word", "norm", "w").collect()
+    with swept(spark):
+        vector = weigh(own, index.words).select("seed", "word", "norm", "w").collect()
     centre: dict[str, float] = {}
     for r in vector:
         centre[r.word] = centre.get(r.word, 0.0) + r.w / r.norm / len(seeds)

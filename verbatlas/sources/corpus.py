@@ -15,12 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lines(docs: DataFrame) -> DataFrame:
+    """Lines that have a token: doc_id, lang, source, line_start (from 1), line."""
+    rows = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # a filter on the tokens would take them twice
+    return rows.select("doc_id", "lang", "source", (F.col("pos") + 1).cast("long").alias("line_start"), "line").filter(F.col("line").rlike(TOKEN_START))
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """Non-blank lines with tokens: doc_id, lang, source, line_start (from 1), line, toks, n_tok."""
-    lines = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    toks = lines.select("doc_id", "lang", "source", (F.col("pos") + 1).cast("long").alias("line_start"), "line", tokens(F.col("line")).alias("toks"))
-    # a filter on the tokens would move below them and take them twice
-    return toks.filter(F.col("line").rlike(TOKEN_START)).withColumn("n_tok", F.size("toks").cast("long"))
+    return lines(docs).withColumn("toks", tokens(F.col("line"))).withColumn("n_tok", F.size("toks").cast("long"))
 
 
 def words(rows: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.functions.stats import round6
-from verbatlas.sources.store import Index, _file_system, _write, tokenised
+from verbatlas.sources.store import Index, _file_system, _write, among, tokenised
 
 SCHEMA = "doc_id long, line_start long, v array<double>, seg int"
 
@@ -33,8 +34,10 @@ def build(index: Index, model: str, embed: Callable[[Column], Column], least: in
     made = 0
     for s, there in zip(index.state.segments, _there(index, model), strict=True):
         if not there:
-            rows = tokenised(index.spark.read.parquet(f"{index.folder}/{s['name']}/passages").filter(F.col("n_tok") >= least))
-            _write(rows.select("doc_id", "line_start", embed(F.col("toks")).alias("v"), "seg"), f"{index.folder}/{s['name']}/vectors-{model}")
+            whole = replace(index, kept=None)
+            rows = whole.lines if len(index.state.segments) == 1 else among(whole.lines, whole.docs.filter(F.col("seg") == s["seg"]).select("doc_id"))
+            rows = tokenised(rows).filter(F.col("n_tok") >= least)
+            _write(rows.select("doc_id", "line_start", embed(F.col("toks")).alias("v"), F.lit(s["seg"]).alias("seg")), f"{index.folder}/{s['name']}/vectors-{model}")
             made += 1
     return made
 

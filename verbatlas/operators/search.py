@@ -50,7 +50,7 @@ def posted(index, terms: list[tuple[str, str]], table: str = "postings", keys: t
     for k, (kind, value) in enumerate(terms):
         own = F.lit(k).alias("term")
         if kind == "phrase" and table == "postings":
-            parts.append(postings_of(index, value.split()).select(*keys, "n_tok", own, F.size("starts").cast("long").alias("tf")))
+            parts.append(postings_of(index, value.split(), beside=False).select(*keys, "n_tok", own, F.size("starts").cast("long").alias("tf")))
         elif kind == "phrase":
             words = value.split()
             at = every.filter(F.col("word") == words[0]).select(*keys, "n_tok", "at")

@@ -34,7 +34,7 @@ def _held(kind: str, value: str) -> Column:
 
 
 def term_counts(rows: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
-    """Per passage and term that it holds: doc_id, line_start, term (number), tf.
+    """Per passage and term that it holds: doc_id, line_start, n_tok, term (number), tf.
 
     A term is ("word", w), ("prefix", w) or ("phrase", "w1 w2 ...")."""
     counts = [_held(kind, value).cast("long") for kind, value in terms]
@@ -43,26 +43,26 @@ def term_counts(rows: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
 
 
 def posted(index, terms: list[tuple[str, str]], table: str = "postings", keys: tuple[str, ...] = ("doc_id", "line_start")) -> DataFrame:
-    """``term_counts`` read from the postings of a stored index: the row groups of the terms' words, phrases by their places."""
+    """``term_counts`` read from the postings of a stored index: the row groups of the terms' words, phrases by their places; n_tok of fields only."""
     from verbatlas.operators.concord import postings_of, shifted
 
-    parts, every = [], getattr(index, table)
+    parts, every, sized = [], getattr(index, table), ["n_tok"] if table == "fields" else []
     for k, (kind, value) in enumerate(terms):
         own = F.lit(k).alias("term")
         if kind == "phrase" and table == "postings":
-            parts.append(postings_of(index, value.split(), beside=False).select(*keys, "n_tok", own, F.size("starts").cast("long").alias("tf")))
+            parts.append(postings_of(index, value.split(), beside=False).select(*keys, own, F.size("starts").cast("long").alias("tf")))
         elif kind == "phrase":
             words = value.split()
-            at = every.filter(F.col("word") == words[0]).select(*keys, "n_tok", "at")
+            at = every.filter(F.col("word") == words[0]).select(*keys, *sized, "at")
             for j, word in enumerate(words[1:], 1):
                 more = every.filter(F.col("word") == word).select(*keys, shifted("at", j).alias("at2"))
                 at = at.join(more, [*keys]).withColumn("at", F.array_intersect("at", "at2")).drop("at2").filter(F.size("at") > 0)
-            parts.append(at.select(*keys, "n_tok", own, F.size("at").cast("long").alias("tf")))
+            parts.append(at.select(*keys, *sized, own, F.size("at").cast("long").alias("tf")))
         elif kind == "prefix":
             hit = every.filter(F.startswith("word", F.lit(value)) & (F.col("word") >= value))
-            parts.append(hit.groupBy(*keys, "n_tok").agg(F.sum("tf").alias("tf")).select(*keys, "n_tok", own, "tf"))
+            parts.append(hit.groupBy(*keys, *sized).agg(F.sum("tf").alias("tf")).select(*keys, *sized, own, "tf"))
         else:
-            parts.append(every.filter(F.col("word") == value).select(*keys, "n_tok", own, "tf"))
+            parts.append(every.filter(F.col("word") == value).select(*keys, *sized, own, "tf"))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
@@ -80,10 +80,12 @@ def weighed(index, terms: list[tuple[str, str]], table: str = "postings", keys:
     Each term's postings are read once: they meet in one exchange, on which the document frequencies and the scores rest.
     ``stats``: one row with N and avgdl."""
     tf = lambda k: F.max(F.when(F.col("term") == k, F.col("tf")))
-    met = posted(index, terms, table, keys).groupBy(*keys).agg(F.max("n_tok").alias("n_tok"), F.array(*[tf(k) for k in range(len(terms))]).alias("tf"))
+    size = [F.max("n_tok").alias("n_tok")] if table == "fields" else []
+    met = posted(index, terms, table, keys).groupBy(*keys).agg(*size, F.array(*[tf(k) for k in range(len(terms))]).alias("tf"))
     if stats is None:
         stats = index.totals.select(F.col("passages").alias("N"), (F.col("tokens") / F.col("passages")).alias("avgdl"))
     df = met.agg(F.array(*[F.count(F.get("tf", F.lit(k))) for k in range(len(terms))]).alias("df")).crossJoin(stats)  # one row
+    met = met if size else met.join(index.sizes, [*keys])
 
     def weight(k: int) -> Column:
         n = F.get("tf", F.lit(k))

@@ -148,3 +148,27 @@ def test_events_meet_once_a_shared_signal(spark):
     expected = {(i, j): (max(0, max(s, s2) - min(e, e2)), len(set(w) & set(w2))) for i, s, e, w in spans for j, s2, e2, w2 in spans if i < j and set(w) & set(w2) and max(s, s2) - min(e, e2) <= 5}
     found = tagger.merge_candidates(events, gap=5)
     assert {(r.a, r.b): (r.gap_days, r.shared) for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("signals, most_batches", [(20, 9), (70, 9), (2000, 9)])
+def test_merge_candidates_go_in_batches(spark, monkeypatch, signals, most_batches):
+    import random
+
+    from verbatlas.operators import tagger
+
+    r, tables = random.Random(signals), []
+    write = tagger.written
+    monkeypatch.setattr(tagger, "written", lambda df: tables.append(1) or write(df))
+    monkeypatch.setattr(tagger, "BATCH", 300, raising=False)
+    spans = [(i, s, s + r.randrange(9), {r.randrange(signals) for _ in range(signals // 2 if signals < 99 else 60)}) for i in range(120) for s in [1 + r.randrange(15)]]
+    spans += [(i, s, e, w) for i, (s, e, w) in enumerate([(3, 5, {0, 1, 2})] * 40, 200)]  # ties: the order of ids decides
+    day = lambda k: f"2024-01-{k:02}"
+    events = spark.createDataFrame([(i, day(s), day(e), [f"w{x}" for x in w] + [None]) for i, s, e, w in spans], "id long, start string, end string, signals array<string>")
+    pairs = [(-len(w & w2), max(0, max(s, s2) - min(e, e2)), i, j) for i, s, e, w in spans for j, s2, e2, w2 in spans if i < j and w & w2 and max(s, s2) - min(e, e2) <= 5]
+    used, want = {}, []
+    for shared, away, a, b in sorted(pairs):
+        if used.get(a, 0) < 6 and used.get(b, 0) < 6:
+            want.append((a, b, away, -shared))
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+    assert sorted(map(tuple, tagger.merge_candidates(events, gap=5).collect())) == sorted(want)
+    assert len(pairs) > 3 * 300 and len(tables) <= 3 + 2 * most_batches  # a round of the best pairs at both ends took two tables each

@@ -1,6 +1,7 @@
 """The engine against its SQL twins, and the invariants that tie its views together."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -120,6 +121,17 @@ def test_names_are_compared_as_classes(spark):
     assert compared and not any("id2#" in x or "id#" in x for x in compared)
 
 
+def test_pairs_of_names_are_opened_out_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(topics, "TILE", 5, raising=False)
+    names = ["red bolt"] * 33 + ["red bolt gear"] * 12 + ["blue rod"] * 2 + ["blue"] + [None, None, "", ""]
+    found = topics.name_pairs(spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(3))
+    own = {i: set(n.split(" ")) for i, n in enumerate(names) if n is not None}
+    share = {(i, j): len(a & b) / len(a | b) for i, a in own.items() for j, b in own.items() if i < j}
+    assert sorted((r.id, r.id2, r.jaccard) for r in found.collect()) == sorted((*p, round(s, 3)) for p, s in share.items() if s >= 0.5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in re.findall(r"Join|Generate", plan)][:3] == ["Generate", "Generate", "Join"]  # no join makes a row a pair
+
+
 @pytest.mark.parametrize("frequent, named", [(2, 4), (2, 50), (3, 3), (500, 2000)])
 def test_ngrams_of_frequent_words_are_all(spark, monkeypatch, frequent, named):
     monkeypatch.setattr(concord, "FREQUENT", frequent)

@@ -82,13 +82,18 @@ def majority(rows: DataFrame, group: str, theme: str, top: int = 5) -> DataFrame
     return each.withColumn("r", rank).filter(F.col("r") <= top).select(group, theme, "n")
 
 
+#: Ids of one name that a row of ``name_pairs`` holds, about; all pairs that a row of two tiles makes are in memory at once.
+TILE = 256
+
+
 def name_pairs(names: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of names with a Jaccard share of words of at least ``least``.  names: id, name.
 
     Names with the same words are one class, and classes are compared: two that are close share one of the rarest
     n - ceil(least * n) + 1 words of each, so only those are joined on, and a word that very many names hold brings no
-    pairs.  Members are joined to the pairs of classes at the end; all of a class are pairs among themselves."""
-    words = names.select("id", F.array_sort(F.array_distinct(F.split(fold(F.col("name")), " "))).alias("ws")).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("ws"))
+    pairs.  All of a class are pairs among themselves.  Members are dealt into tiles of about ``TILE`` ids, and pairs of tiles are opened row by row
+    in tasks as many as there are shuffle partitions, so no task holds more than a few tiles, however many share a name."""
+    words = names.select("id", F.array_sort(F.array_distinct(F.split(fold(F.col("name")), " "))).alias("ws")).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("ws")).filter("size(ws) > 0")
     member = words.select("id", F.sha2(F.to_json(F.struct("ws")), 256).alias("k"), "ws")
     classes = member.groupBy("k").agg(F.first("ws").alias("ws"))  # equal in all of a class
     each = classes.select("k", F.explode("ws").alias("w"))
@@ -101,11 +106,21 @@ def name_pairs(names: DataFrame, least: float = 0.5) -> DataFrame:
     n, n2 = F.size("ws"), F.size("ws2")
     share = F.col("c") / (n + n2 - F.col("c"))
     close = both.filter(share >= least).select("k", "k2", round3(share).alias("jaccard"), round3(2 * F.col("c") / (n + n2)).alias("dice"))
-    close = close.unionByName(close.select(F.col("k2").alias("k"), F.col("k").alias("k2"), "jaccard", "dice"))
+    size = member.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
+    tile = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / TILE)).cast("int")
+    ids = member.select("id", "k").join(size, "k").groupBy("k", "m", tile.alias("t")).agg(F.collect_list("id").alias("ids"))
+    deal = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = ids.select("k", "t", "ids")
+    b = ids.select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("ids").alias("ids2"))
+    # numbers of tiles meet first, then the ids of each; so many partitions whatever their bytes, as a row of a few KB makes millions
+    met = close.join(a.select("k", "t"), "k").join(b.select("k2", "t2"), "k2")
     if least <= 1:
-        close = close.unionByName(classes.select("k", F.col("k").alias("k2"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("dice")))
-    ids = member.select("id", "k")
-    return ids.join(close, "k").join(ids.select(F.col("id").alias("id2"), F.col("k").alias("k2")), "k2").filter("id < id2").select("id", "id2", "jaccard", "dice")
+        own = size.filter("m > 1").select("k", F.col("k").alias("k2"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("dice"))
+        met = met.unionByName(own.join(a.select("k", "t"), "k").join(b.select("k2", "t2"), "k2").filter("t <= t2").select(*met.columns))
+    tiles = met.join(a, ["k", "t"]).repartition(deal, "k2", "t2").join(b.repartition(deal, "k2", "t2"), ["k2", "t2"])
+    within = (F.col("k") == F.col("k2")) & (F.col("t") == F.col("t2"))
+    opened = tiles.select("ids2", F.explode("ids").alias("x"), within.alias("within"), "jaccard", "dice").select("x", F.explode("ids2").alias("y"), "within", "jaccard", "dice")
+    return opened.filter(~F.col("within") | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("id2"), "jaccard", "dice")
 
 
 def coverage_order(records: DataFrame, terms: list[str], limit: int) -> DataFrame:
